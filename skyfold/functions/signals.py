@@ -203,3 +203,24 @@ def unsigned(v: Column, decimals: int) -> Column:
 def value_label(v: Column, decimals: int, unit: str) -> Column:
     """Map label such as ``+1.5 mm/day``, or ``n/a``."""
     return F.when(v.isNull(), "n/a").otherwise(F.concat(signed(v, decimals), F.lit(f" {unit}")))
+
+
+# Departure bands of the published maps and their midpoints.
+DEPARTURE_BANDS = ((60, "large_excess", 80), (20, "excess", 40), (-19, "normal", 0), (-59, "deficient", -40))
+DEPARTURE_LOWEST = ("large_deficient", -80)
+
+
+def departure_band(pct: Column) -> Column:
+    """Band of a percent departure."""
+    expr = None
+    for limit, name, _ in DEPARTURE_BANDS:
+        expr = F.when(pct >= limit, name) if expr is None else expr.when(pct >= limit, name)
+    return expr.when(pct.isNotNull(), DEPARTURE_LOWEST[0])
+
+
+def band_midpoint(band: Column) -> Column:
+    """Percent that stands for a band."""
+    expr = F.when(band == DEPARTURE_LOWEST[0], DEPARTURE_LOWEST[1])
+    for _, name, mid in DEPARTURE_BANDS:
+        expr = expr.when(band == name, mid)
+    return expr
