@@ -252,10 +252,10 @@ def sk4(spark, sf):
 
 
 @query("sk5_missing_stages", """SELECT model, init_date FROM (SELECT DISTINCT event_type AS model, CAST(ts AS DATE) AS init_date FROM events)
-   EXCEPT SELECT event_type, CAST(ts AS DATE) FROM events WHERE value > 40""")
+   EXCEPT SELECT event_type, CAST(ts AS DATE) FROM events WHERE value > 50""")
 def sk5(spark, sf):
     e = v.table(spark, sf, "events").select(F.col("event_type").alias("model"), F.col("ts").cast("date").alias("init_date"), F.lit("weekly").alias("kind"), "value")
-    return grids.missing_partitions(e, e.where("value > 40")).select("model", "init_date")
+    return grids.missing_partitions(e, e.where("value > 50")).select("model", "init_date")
 
 
 @query("sk6_checksum_audit", """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'MISSING' WHEN doc_id % 5 = 1 THEN 'NO_CHECKSUM' WHEN doc_id % 5 = 2 THEN 'MISMATCH' ELSE 'OK' END AS status,
@@ -486,9 +486,9 @@ def jn28(spark, sf):
     return matching.catalog_lookup(texts(spark, sf), catalog(spark, sf), "hi").select("text", "translated")
 
 
-@query("ud2_translator_fallback", f"SELECT t.text, coalesce(c.translated, CASE WHEN length(t.text) < 40 THEN upper(t.text) END, t.text) AS translated FROM v_texts t LEFT JOIN v_catalog c ON c.key = {_CKEY.format('t.text')}")
+@query("ud2_translator_fallback", f"SELECT t.text, coalesce(c.translated, CASE WHEN length(t.text) < 40 THEN '~' || t.text END, t.text) AS translated FROM v_texts t LEFT JOIN v_catalog c ON c.key = {_CKEY.format('t.text')}")
 def ud2(spark, sf):
-    provider = F.when(F.length("text") < 40, F.upper("text"))
+    provider = F.when(F.length("text") < 40, F.concat(F.lit("~"), "text"))
     return matching.catalog_lookup(texts(spark, sf), catalog(spark, sf), "hi", provider).select("text", "translated")
 
 
