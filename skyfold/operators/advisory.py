@@ -230,18 +230,25 @@ def prepare_contexts(records: DataFrame, contexts: list[dict]) -> DataFrame:
     """Records in all contexts with scenarios and normalised user type."""
     out = rules.expand_contexts(records, contexts)
     user = F.regexp_replace(F.coalesce("user_type", F.lit("farmer")), r"[^a-z0-9]+", "_")
-    return out.withColumn("user_type", user).withColumn("scenarios", rules.scenarios())
+    return rules.with_inputs(out.withColumn("user_type", user)).withColumn("scenarios", rules.scenarios())
 
 
-def _rows(base: DataFrame, block: int, category: Column, pos: Column, text: Column, extra: list[str]) -> DataFrame:
-    return base.select(
-        *RECORD_KEY,
-        *extra,
-        category.alias("category"),
-        F.col("rank").cast("int").alias("rank"),
-        F.lit(block).alias("block"),
-        pos.cast("int").alias("pos"),
-        text.alias("text"),
+def guidance_table(library: DataFrame, community: DataFrame) -> DataFrame:
+    """Library, irrigation and community texts under one key: scenario and audience.
+
+    ``block`` keeps the order of the lists: general, by user, by irrigation, (plan,) community.
+    """
+    spark = library.sparkSession
+    water = [(s, "farmer:rainfed", "do_now", RAINFED_NOW) for s in RAINFED_SCENARIOS]
+    water += [(s, "farmer:rainfed", "prepare", RAINFED_PREPARE) for s in RAINFED_SCENARIOS]
+    water += [(s, "farmer:assured_irrigation", "do_now", IRRIGATED_NOW) for s in IRRIGATED_SCENARIOS]
+    irrigation = spark.createDataFrame(water, "scenario string, audience string, category string, text string")
+    cols = ["scenario", "audience", "category", "block", "pos", "text"]
+    general = F.when(F.col("audience") == "all", 1).otherwise(2)
+    return (
+        library.withColumn("block", general).select(*cols)
+        .unionByName(irrigation.withColumn("block", F.lit(3)).withColumn("pos", F.lit(0)).select(*cols))
+        .unionByName(community.withColumn("block", F.lit(5)).select(*cols))
     )
 
 
@@ -251,42 +258,18 @@ def scenario_actions(ctx: DataFrame, library: DataFrame, community: DataFrame, p
         *RECORD_KEY, "user_type", "crop", "irrigation_status", "crop_stage",
         F.posexplode(F.transform("scenarios", lambda s: s["scenario"])).alias("rank", "scenario"),
     )
-    extra = ["crop_stage"]
-    audience = F.explode(F.array(F.lit("all"), F.col("user_type"))).alias("audience")
-    asked = fired.select("*", audience)
-    lib = asked.join(library.withColumnRenamed("pos", "lib_pos"), ["scenario", "audience"])
-    lib = lib.where((F.col("audience") != "all") | relevant_for_user(F.col("text"), F.col("user_type")))
-    block = F.when(F.col("audience") == "all", 1).otherwise(2)
-    general = lib.select(
-        *RECORD_KEY, *extra, "category", F.col("rank").cast("int").alias("rank"), block.alias("block"),
-        F.col("lib_pos").alias("pos"), "text",
-    )
-
-    farmer = F.col("user_type") == "farmer"
-    dry = farmer & (F.col("irrigation_status") == "rainfed") & F.col("scenario").isin(*RAINFED_SCENARIOS)
-    wet = farmer & (F.col("irrigation_status") == "assured_irrigation") & F.col("scenario").isin(*IRRIGATED_SCENARIOS)
-    entries = F.array_compact(
-        F.array(
-            F.when(dry, F.struct(F.lit("do_now").alias("category"), F.lit(RAINFED_NOW).alias("text"))),
-            F.when(dry, F.struct(F.lit("prepare").alias("category"), F.lit(RAINFED_PREPARE).alias("text"))),
-            F.when(wet, F.struct(F.lit("do_now").alias("category"), F.lit(IRRIGATED_NOW).alias("text"))),
-        )
-    )
-    water = fired.select("*", F.inline(entries))
-    irrigation = _rows(water, 3, F.col("category"), F.lit(0), F.col("text"), extra)
-
-    people = fired.join(
-        community.select("scenario", F.col("audience").alias("user_type"), "category", F.col("pos").alias("c_pos"), "text"),
-        ["scenario", "user_type"],
-    )
-    shared = _rows(people, 5, F.col("category"), F.col("c_pos"), F.col("text"), extra)
-
-    out = general.unionByName(irrigation).unionByName(shared)
+    columns = [*RECORD_KEY, "crop_stage", "category", "rank", "block", "pos", "text"]
+    audiences = F.array(F.lit("all"), F.col("user_type"), F.concat_ws(":", "user_type", "irrigation_status"))
+    asked = fired.withColumn("audience", F.explode(audiences))
+    told = asked.join(guidance_table(library, community), ["scenario", "audience"])
+    out = told.where(
+        (F.col("audience") != "all") | relevant_for_user(F.col("text"), F.col("user_type"))
+    ).select(*columns)
     if plan is not None:
         p = plan.select(
-            "state", "district", "scenario", "kind", F.col("pos").alias("p_pos"), "action", F.col("crop").alias("p_crop")
+            "state", "district", "scenario", "kind", "pos", F.col("action").alias("text"), F.col("crop").alias("p_crop")
         )
-        wants = F.when(farmer, "crop").when(F.col("user_type") == "livestock_owner", "livestock")
+        wants = F.when(F.col("user_type") == "farmer", "crop").when(F.col("user_type") == "livestock_owner", "livestock")
         local = fired.withColumn("kind", wants).join(p, ["state", "district", "scenario", "kind"])
         named = F.contains(F.lower("p_crop"), F.lower("crop"))
         category = (
@@ -294,7 +277,8 @@ def scenario_actions(ctx: DataFrame, library: DataFrame, community: DataFrame, p
             .when(F.coalesce(named, F.lit(False)) & (F.col("p_crop") != ""), "do_now")
             .otherwise("prepare")
         )
-        out = out.unionByName(_rows(local, 4, category, F.col("p_pos"), F.col("action"), extra))
+        local = local.withColumn("category", category).withColumn("block", F.lit(4))
+        out = out.unionByName(local.select(*columns))
     return out.where(fits_crop_stage(F.col("text"), F.col("crop_stage"))).drop("crop_stage")
 
 

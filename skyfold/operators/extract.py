@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skyfold.functions.text import BULLETS, CELL_TRIM, squeeze, squeeze_lower
 from skyfold.operators.ordered import carry_forward, keep_first
+from skyfold.session import stage as staged
 
 # Phrases, labels and patterns of the plan tables.
 SCENARIO_PHRASES = {
@@ -300,26 +301,25 @@ def usable_tables(cells: DataFrame, analysis: DataFrame) -> DataFrame:
     source = F.when(F.col("own"), F.struct(F.col("page").alias("src_page"), F.col("table").alias("src_table")))
     marked = carry_forward(marked, ["doc_id"], "seq", {"src": source}, block=1_000_000_000)
     info = analysis.withColumnsRenamed({"page": "src_page", "table": "src_table"})
-    joined = (
+    known = (
         marked.where(F.col("src").isNotNull())
         .select("doc_id", "page", "table", "own", "own_cols", "names_condition", "src.src_page", "src.src_table")
         .join(info, ["doc_id", "src_page", "src_table"])
+        .where("own or own_cols = ncols")
     )
-    owned = joined.where("own")
-    follow = joined.where("own is null and own_cols = ncols")
-    by_condition = follow.where("kind = 'measures' and names_condition")
-    stage_follow = follow.where("kind = 'stages'")
+    role = nearest_role(F.col("anchors"), F.col("col"))["role"]
+    stage_cell = (squeeze(F.col("text")) != "") & F.startswith(role, F.lit("stage:"))
+    # a stage continuation needs its cells counted; the other tables are decided already
+    follow = F.col("own").isNull() & (F.col("kind") == "stages")
     filled = (
-        cells.where(squeeze(F.col("text")) != "")
-        .join(stage_follow.select(*TABLE, "anchors"), TABLE)
-        .where(F.startswith(nearest_role(F.col("anchors"), F.col("col"))["role"], F.lit("stage:")))
+        cells.join(known.where(follow).select(*TABLE, "anchors"), TABLE)
         .groupBy(*TABLE)
-        .agg(F.count("*").alias("n"))
-        .where("n >= 2")
+        .agg(F.count_if(stage_cell).alias("filled"))
     )
-    by_stage = stage_follow.join(filled.select(*TABLE), TABLE, "left_semi")
-    out = owned.unionByName(by_condition).unionByName(by_stage)
-    return out.select(
+    accepted = F.coalesce("own", F.lit(False)) | F.when(
+        F.col("kind") == "measures", F.col("names_condition")
+    ).otherwise(F.coalesce("filled", F.lit(0)) >= 2)
+    return known.join(filled, TABLE, "left").where(accepted).select(
         *TABLE, "kind", "anchors", "table_scenario", "col_headers",
         F.when(F.col("own"), F.col("data_start")).otherwise(0).alias("data_start"),
     )
@@ -365,7 +365,7 @@ def resolve_dittos(cells: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def harvest(cells: DataFrame) -> DataFrame:
     """All action rows of all documents with their provenance."""
-    tables = usable_tables(cells, analyze_tables(cells))
+    tables = staged(usable_tables(cells, staged(analyze_tables(cells), "analysis")), "tables")
     body = cells.join(tables, TABLE).where(F.col("row") >= F.col("data_start"))
     cond_col = F.coalesce(_anchor_col("condition"), F.lit(0))
     crop_col = F.coalesce(_anchor_col("normal"), F.when(F.col("kind") == "stages", _anchor_col("condition")))
@@ -376,7 +376,7 @@ def harvest(cells: DataFrame) -> DataFrame:
         F.max(F.when(F.col("col") == farm_col, F.col("text"))).alias("farm_text"),
         F.max(F.when(F.col("col") == crop_col, F.col("text"))).alias("crop_text"),
     )
-    rows = fill_scenarios(rows, TABLE, "named", F.col("table_scenario"))
+    rows = staged(fill_scenarios(staged(rows, "rows"), TABLE, "named", F.col("table_scenario")), "scenarios")
     rows = fill_context(rows, TABLE, "farm_text", "crop_text").select(
         *TABLE, "row", "scenario", "farming_situation", "crop"
     )
@@ -395,7 +395,7 @@ def harvest(cells: DataFrame) -> DataFrame:
     wanted = wanted.select(
         *TABLE, F.col("row"), F.col("col"), "text", F.col("near.role").alias("column"), header.alias("header")
     )
-    with_rows = wanted.join(rows, [*TABLE, "row"])
+    with_rows = staged(wanted.join(rows, [*TABLE, "row"]), "cells")
     texts = resolve_dittos(with_rows, [*TABLE, "col"], "text").withColumn("placeholder", is_placeholder(F.col("resolved")))
     pieces = texts.select(
         "*", F.posexplode(split_actions(F.col("resolved"), F.col("header"))).alias("piece", "action")

@@ -48,11 +48,15 @@ def _block_ratio(word: pd.Series, candidate: pd.Series) -> pd.Series:
 
 def letter_counts(c: Column) -> Column:
     """Characters with a running number, so set overlap equals multiset overlap."""
-    chars = F.array_sort(F.filter(F.split(c, ""), lambda x: x != ""))
-    return F.transform(
-        chars,
-        lambda x, i: F.concat(x, (i - F.array_position(chars, x)).cast("string")),
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    numbered = F.transform(
+        F.array_distinct(chars),
+        lambda x: F.transform(
+            F.sequence(F.lit(1), F.length(c) - F.length(F.replace(c, x, F.lit("")))),
+            lambda i: F.concat(x, i.cast("string")),
+        ),
     )
+    return F.flatten(numbered)
 
 
 def fuzzy_best(names: DataFrame, roster: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -64,25 +68,22 @@ def fuzzy_best(names: DataFrame, roster: DataFrame, cutoff: float = CUTOFF) -> D
     length and letter-overlap bounds drop pairs before the Arrow call scores them.
     ``names`` has ``id``, ``state``, ``district``; equal scores take the larger name.
     """
-    def tokens(c: Column) -> Column:
-        # any pair at the cutoff overlaps in at least cutoff/(2-cutoff) of the shorter's letters' count
-        letters = F.array_sort(letter_counts(F.translate(c, RARE_FIRST, ORDERED)))
-        need = F.ceil(F.size(letters) * (cutoff / (2.0 - cutoff)))
-        return F.slice(letters, 1, F.greatest(F.lit(1), (F.size(letters) - need + 1).cast("int")))
+    def with_tokens(df: DataFrame, name: str) -> DataFrame:
+        # a pair at the cutoff shares at least cutoff/(2-cutoff) of either side's letters
+        letters = F.array_sort(letter_counts(F.translate(name, RARE_FIRST, ORDERED)))
+        lettered = df.withColumn(f"_l_{name}", letters)
+        n = F.size(f"_l_{name}")
+        prefix = F.greatest(F.lit(1), (n - F.ceil(n * (cutoff / (2.0 - cutoff))) + 1).cast("int"))
+        return lettered.withColumn("_t", F.explode(F.slice(f"_l_{name}", F.lit(1), prefix)))
 
     q = names.select("id", F.lower("state").alias("_s"), F.lower("district").alias("word"))
     pool = roster.select(F.lower("state").alias("_s"), F.lower("district").alias("cand")).distinct()
-    q_words = q.select("_s", "word").distinct().withColumn("_t", F.explode(tokens(F.col("word"))))
-    r_words = pool.withColumn("_t", F.explode(tokens(F.col("cand"))))
-    la, lb = F.length("word"), F.length("cand")
-    shared = F.size(F.array_intersect(letter_counts(F.col("word")), letter_counts(F.col("cand"))))
-    pairs = (
-        q_words.join(r_words, ["_s", "_t"])
-        .where(2 * F.least(la, lb) >= cutoff * (la + lb))
-        .select("_s", "word", "cand")
-        .distinct()
-        .where(2 * shared >= cutoff * (la + lb))
-    )
+    words = with_tokens(q.select("_s", "word").distinct(), "word")
+    cands = with_tokens(pool, "cand")
+    need = cutoff * (F.length("word") + F.length("cand"))
+    shared = F.size(F.array_intersect("_l_word", "_l_cand"))
+    close = (2 * F.least(F.length("word"), F.length("cand")) >= need) & (2 * shared >= need)
+    pairs = words.join(cands, ["_s", "_t"]).where(close).select("_s", "word", "cand").distinct()
     scored = pairs.withColumn("score", _block_ratio("word", "cand")).where(F.col("score") >= cutoff)
     best = scored.groupBy("_s", "word").agg(F.max(F.struct("score", "cand")).alias("_b"))
     return q.join(best, ["_s", "word"]).select("id", F.col("_b.cand").alias("match"), F.col("_b.score").alias("score"))

@@ -34,7 +34,7 @@ WEEK_FIELDS = tuple(f"week{i}_rainfall_anomaly_mm_day" for i in range(1, 5))
 
 @dataclass(frozen=True)
 class Inputs:
-    """Record and context columns with the defaults of missing fields."""
+    """Names of the derived columns that :func:`with_inputs` adds, as columns."""
 
     since_june: Column
     last_14: Column
@@ -48,45 +48,35 @@ class Inputs:
     humid: Column
     stage: Column
     stage_raw: Column
+    later: Column
+    below_count: Column
+    above_count: Column
+    peak: Column
+    relief: Column
+    drying: Column
+    all_dry: Column
+    all_wet: Column
+    outlook: Column
     weeks: tuple[Column, ...]
 
-    @property
-    def later(self) -> Column:
-        return (self.weeks[1] + self.weeks[2] + self.weeks[3]) / 3.0
 
-    def count(self, hit: Callable[[Column], Column]) -> Column:
-        return sum((hit(w).cast("int") for w in self.weeks[1:]), hit(self.weeks[0]).cast("int"))
+_SCALARS = [f for f in Inputs.__dataclass_fields__ if f != "weeks"]
+INPUT_COLUMNS = [f"_in_{f}" for f in _SCALARS] + [f"_in_week{i}" for i in range(1, 5)]
 
-    @property
-    def below_count(self) -> Column:
-        return self.count(lambda w: w <= -3.0)
 
-    @property
-    def above_count(self) -> Column:
-        return self.count(lambda w: w >= 3.0)
-
-    @property
-    def relief(self) -> Column:
-        return (self.weeks[0] <= -3.0) & (self.later > -1.0)
-
-    @property
-    def drying(self) -> Column:
-        return (self.weeks[0] >= -1.0) & (self.later <= -3.0)
-
-    @property
-    def all_dry(self) -> Column:
-        return self.below_count >= 3
-
-    @property
-    def all_wet(self) -> Column:
-        return self.above_count >= 3
+def inputs() -> Inputs:
+    """Columns of a frame prepared by :func:`with_inputs`."""
+    return Inputs(
+        **{f: F.col(f"_in_{f}") for f in _SCALARS}, weeks=tuple(F.col(f"_in_week{i}") for i in range(1, 5))
+    )
 
-    @property
-    def peak(self) -> Column:
-        return F.greatest(*self.weeks)
 
+def with_inputs(df: DataFrame) -> DataFrame:
+    """Add defaults for missing fields and the four-week trajectory.
 
-def inputs() -> Inputs:
+    Derived once here, so that rules and sentences refer to plain columns
+    instead of repeating the expressions.
+    """
     def flag(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(False))
 
@@ -94,21 +84,43 @@ def inputs() -> Inputs:
         return F.coalesce(F.col(name) == value, F.lit(False))
 
     stage = F.coalesce(F.col("crop_stage"), F.lit(""))
-    return Inputs(
-        since_june=F.coalesce("rainfall_since_june_1_pct_departure", F.lit(0)),
-        last_14=F.coalesce("rainfall_last_14_days_pct_departure", F.lit(0)),
-        onset=F.coalesce("monsoon_onset_status", F.lit("normal")),
-        onset_raw=F.coalesce("monsoon_onset_status", F.lit("unknown")),
-        week1_signal=F.coalesce("week1_rainfall_signal", F.lit("near_normal")),
-        heat_wave=flag("heat_wave_warning"),
-        heavy_rain=flag("heavy_rain_warning"),
-        tmax_above=equals("tmax_signal", "above_normal"),
-        tmin_above=equals("tmin_signal", "above_normal"),
-        humid=equals("humidity_heat_index_signal", "high"),
-        stage=F.when(stage == "flowering_reproductive", "flowering").otherwise(stage),
-        stage_raw=F.coalesce("crop_stage", F.lit("unknown")),
-        weeks=tuple(F.coalesce(F.col(f), F.lit(0.0)) for f in WEEK_FIELDS),
-    )
+    base = {
+        "since_june": F.coalesce("rainfall_since_june_1_pct_departure", F.lit(0)),
+        "last_14": F.coalesce("rainfall_last_14_days_pct_departure", F.lit(0)),
+        "onset": F.coalesce("monsoon_onset_status", F.lit("normal")),
+        "onset_raw": F.coalesce("monsoon_onset_status", F.lit("unknown")),
+        "week1_signal": F.coalesce("week1_rainfall_signal", F.lit("near_normal")),
+        "heat_wave": flag("heat_wave_warning"),
+        "heavy_rain": flag("heavy_rain_warning"),
+        "tmax_above": equals("tmax_signal", "above_normal"),
+        "tmin_above": equals("tmin_signal", "above_normal"),
+        "humid": equals("humidity_heat_index_signal", "high"),
+        "stage": F.when(stage == "flowering_reproductive", "flowering").otherwise(stage),
+        "stage_raw": F.coalesce("crop_stage", F.lit("unknown")),
+    }
+    base |= {f"week{i}": F.coalesce(F.col(f), F.lit(0.0)) for i, f in enumerate(WEEK_FIELDS, 1)}
+    w = [F.col(f"_in_week{i}") for i in range(1, 5)]
+
+    def count(hit: Callable[[Column], Column]) -> Column:
+        return hit(w[0]).cast("int") + hit(w[1]).cast("int") + hit(w[2]).cast("int") + hit(w[3]).cast("int")
+
+    shape = {
+        "later": (w[1] + w[2] + w[3]) / 3.0,
+        "below_count": count(lambda x: x <= -3.0),
+        "above_count": count(lambda x: x >= 3.0),
+        "peak": F.greatest(*w),
+        "outlook": weekly_outlook(tuple(w)),
+    }
+    later = F.col("_in_later")
+    course = {
+        "relief": (w[0] <= -3.0) & (later > -1.0),
+        "drying": (w[0] >= -1.0) & (later <= -3.0),
+        "all_dry": F.col("_in_below_count") >= 3,
+        "all_wet": F.col("_in_above_count") >= 3,
+    }
+    for group in (base, shape, course):
+        df = df.withColumns({f"_in_{k}": c for k, c in group.items()})
+    return df
 
 
 @dataclass(frozen=True)
@@ -174,7 +186,7 @@ def delayed_monsoon(x: Inputs) -> Rule:
             F.when(x.onset == "delayed", "Monsoon onset status is delayed").when(
                 x.onset == "not_started", "Monsoon has not started yet"
             ),
-            weekly_outlook(x.weeks),
+            x.outlook,
             F.when(x.relief, SAYS_RELIEF).when(x.all_dry, SAYS_DRY),
         ),
         DELAY_SOURCES,
@@ -190,7 +202,7 @@ def early_season_dry_spell(x: Inputs) -> Rule:
         (
             _rain_is("Rainfall in last 14 days", x.last_14),
             F.concat(F.lit("Crop stage: "), x.stage_raw),
-            weekly_outlook(x.weeks),
+            x.outlook,
             F.when(x.relief, SAYS_RELIEF_HOLD).when(x.all_dry, SAYS_DRY),
         ),
         OBSERVED_SOURCES,
@@ -210,7 +222,7 @@ def mid_season_break(x: Inputs) -> Rule:
             _rain_is("Rainfall in last 14 days", x.last_14),
             F.concat(F.lit("Crop stage: "), x.stage_raw),
             F.concat(F.lit("Monsoon status: "), x.onset_raw),
-            weekly_outlook(x.weeks),
+            x.outlook,
             F.when(x.relief, SAYS_RELIEF_BREAK).when(x.all_dry, SAYS_DRY_BREAK),
         ),
         OBSERVED_SOURCES,
@@ -226,7 +238,7 @@ def terminal_drought(x: Inputs) -> Rule:
         (
             _rain_is("Rainfall in last 14 days", x.last_14),
             F.concat(F.lit("Crop stage: "), x.stage_raw, F.lit(" (critical reproductive phase)")),
-            weekly_outlook(x.weeks),
+            x.outlook,
             F.when(x.all_dry, SAYS_DRY_TERMINAL).when(x.relief, SAYS_RELIEF_PARTIAL),
         ),
         OBSERVED_SOURCES,
@@ -245,7 +257,7 @@ def excess_rainfall_waterlogging(x: Inputs) -> Rule:
         (
             _say(x.heavy_rain, "Heavy rainfall warning in effect"),
             F.concat(F.lit("Peak rainfall anomaly: +"), unsigned(x.peak, 0), F.lit(" mm/day above normal")),
-            weekly_outlook(x.weeks),
+            x.outlook,
             _say(x.all_wet, SAYS_WET),
         ),
         RAIN_SOURCES,
@@ -270,7 +282,7 @@ def severity(level: Column) -> Column:
 
 
 def scenarios(rules: dict[str, Callable[[Inputs], Rule]] | None = None) -> Column:
-    """Array of fired scenarios, most severe first, rule order on ties."""
+    """Array of fired scenarios, most severe first, rule order on ties. Needs :func:`with_inputs`."""
     x = inputs()
     entries = []
     for pos, (name, build) in enumerate((rules or RULES).items()):
@@ -295,7 +307,7 @@ def scenarios(rules: dict[str, Callable[[Inputs], Rule]] | None = None) -> Colum
 
 def classify(records: DataFrame, rules: dict[str, Callable[[Inputs], Rule]] | None = None) -> DataFrame:
     """One row per fired scenario with its rank inside the record and context."""
-    ranked = records.withColumn("_s", scenarios(rules))
+    ranked = with_inputs(records).withColumn("_s", scenarios(rules))
     return ranked.select(
         *records.columns, F.posexplode("_s").alias("scenario_rank", "_one")
     ).select(*records.columns, "scenario_rank", "_one.*").drop("order")

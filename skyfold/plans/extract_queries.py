@@ -9,6 +9,7 @@ from skyfold.operators import extract, quality, raster
 from skyfold.plans import views as v
 from skyfold.plans.record_queries import sql_text
 from skyfold.plans.registry import VIEW_SQL, query
+from skyfold.session import stage
 from skyfold.sources import documents
 
 PHRASES = (
@@ -199,13 +200,13 @@ def ex2(spark, sf):
    UNION SELECT DISTINCT doc_id, page FROM v_plan_rows WHERE page > 0 GROUP BY doc_id, page HAVING count(*) >= 2 AND
      bool_or(cond <> '' OR ({condition_sql("chg")}) IS NOT NULL OR ({condition_sql("agro")}) IS NOT NULL)) GROUP BY ALL""")
 def wn9(spark, sf):
-    cells = plan_cells(spark, sf)
-    t = extract.usable_tables(cells, extract.analyze_tables(cells))
+    cells = stage(plan_cells(spark, sf), "plan-cells")
+    t = extract.usable_tables(cells, stage(extract.analyze_tables(cells), "analysis"))
     return t.groupBy("doc_id", "page").agg(F.count("*").alias("n_tables"))
 
 
 def harvested(spark, sf):
-    return extract.harvest(plan_cells(spark, sf))
+    return extract.harvest(stage(plan_cells(spark, sf), "plan-cells"))
 
 
 @query("ex3_harvest")
@@ -216,8 +217,8 @@ def ex3(spark, sf):
 
 @query("pf34_verbatim_actions", "SELECT doc_id FROM documents WHERE false")
 def pf34(spark, sf):
-    cells = plan_cells(spark, sf)
-    plain = extract.harvest(cells).where(~F.col("resolved_from_ditto"))
+    cells = stage(plan_cells(spark, sf), "plan-cells")
+    plain = stage(extract.harvest(cells).where(~F.col("resolved_from_ditto")), "harvest")
     bad = quality.not_verbatim(plain, cells).select("doc_id")
     headers = plain.where(extract.is_header_label(F.col("action"))).select("doc_id")
     return bad.unionByName(headers)
@@ -370,11 +371,11 @@ def wn16(spark, sf):
 
 
 VIEW_SQL["v_map"] = """SELECT (idx % 500)::INT AS x, (idx // 500)::INT AS y, CASE WHEN ink THEN 0 ELSE (idx * 37) % 256 END AS r, CASE WHEN ink THEN 0 ELSE (idx * 59) % 256 END AS g, CASE WHEN ink THEN 0 ELSE 90 + (idx * 83) % 160 END AS b
-  FROM (SELECT idx, (idx % 500) IN (20, 200, 270, 340) OR (idx // 500) % 60 IN (32, 55) AS ink FROM (SELECT l_orderkey * 7 + l_linenumber - 1 AS idx FROM lineitem GROUP BY 1))"""
+  FROM (SELECT idx, (idx % 500) IN (20, 200, 270, 340) OR (idx // 500) % 60 IN (32, 55) AS ink FROM (SELECT (l_orderkey * 7 + l_linenumber - 1) // 2 AS idx FROM lineitem GROUP BY 1))"""
 
 
 def map_pixels(spark, sf):
-    idx = v.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 7 + F.col("l_linenumber") - 1).alias("idx")).distinct()
+    idx = v.table(spark, sf, "lineitem").select(F.floor((F.col("l_orderkey") * 7 + F.col("l_linenumber") - 1) / 2).alias("idx")).distinct()
     x, y = F.col("idx") % 500, F.floor(F.col("idx") / 500)
     ink = x.isin(20, 200, 270, 340) | (y % 60).isin(32, 55)
     return idx.select(
@@ -417,9 +418,9 @@ def ex5(spark, sf):
     return map_read(spark, sf)
 
 
-@query("pf28_out_of_bounds", """SELECT CAST(cell AS VARCHAR) AS district, panel, px < 0 OR px >= 500 OR py < 0 OR py >= (SELECT max(y) + 1 FROM v_map) AS out_of_bounds FROM (
+@query("pf28_out_of_bounds", """SELECT CAST(cell AS VARCHAR) AS district, panel, m.x IS NULL AS out_of_bounds FROM (
    SELECT cell, panel, trunc(x0 + 36 + (lon - 70.0) * (201 / 28.0::DOUBLE)) AS px, trunc(y0 + 26 + (35.0 - lat) * (257 / 30.0::DOUBLE)) AS py FROM v_cells,
-   (VALUES (1, 20, 32), (2, 270, 32), (3, 20, 400), (4, 270, 400)) t(panel, x0, y0))""")
+   (VALUES (1, 20, 32), (2, 270, 32), (3, 20, 400), (4, 270, 400)) t(panel, x0, y0)) p LEFT JOIN v_map m ON m.x = p.px AND m.y = p.py""")
 def pf28(spark, sf):
     m = map_read(spark, sf)
     return m.select("district", "panel", (F.col("rgb") == "OUT_OF_BOUNDS").alias("out_of_bounds"))

@@ -23,6 +23,10 @@ CONTEXTS = [
 ]
 
 
+def prepared(spark, sf):
+    return rules.with_inputs(v.records(spark, sf))
+
+
 def sql_text(s):
     return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
 
@@ -158,7 +162,7 @@ def sr8(spark, sf):
 @query("sl1_severity_order", "SELECT k, array_to_string(list(scenario ORDER BY scenario_rank), '>') AS scenarios FROM v_scen GROUP BY k")
 def sl1(spark, sf):
     s = F.transform(rules.scenarios(), lambda x: x["scenario"])
-    return v.records(spark, sf).select("k", s.alias("s")).where(F.size("s") > 0).select("k", F.array_join("s", ">").alias("scenarios"))
+    return prepared(spark, sf).select("k", s.alias("s")).where(F.size("s") > 0).select("k", F.array_join("s", ">").alias("scenarios"))
 
 
 @query("ag24_trajectory", """SELECT k, below AS below_count, above AS above_count, round((wk1 + wk2 + wk3 + wk4) / 4, 6) AS avg_anomaly, round(later, 6) AS later,
@@ -166,7 +170,7 @@ def sl1(spark, sf):
 def ag24(spark, sf):
     x = rules.inputs()
     avg = (x.weeks[0] + x.weeks[1] + x.weeks[2] + x.weeks[3]) / 4.0
-    return v.records(spark, sf).select(
+    return prepared(spark, sf).select(
         "k", x.below_count.alias("below_count"), x.above_count.alias("above_count"), F.round(avg, 6).alias("avg_anomaly"),
         F.round(x.later, 6).alias("later"), x.relief.alias("relief"), x.drying.alias("drying"),
         x.all_dry.alias("all_dry"), x.all_wet.alias("all_wet"), x.peak.alias("peak"),
@@ -176,7 +180,7 @@ def ag24(spark, sf):
 @query("ag25_overall_risk", """SELECT r.k, coalesce(max(CASE WHEN scenario_rank = 0 THEN risk_level END), 'Low') AS overall_risk
    FROM v_record r LEFT JOIN v_scen s ON s.k = r.k GROUP BY r.k""")
 def ag25(spark, sf):
-    return v.records(spark, sf).select("k", rules.overall_risk(rules.scenarios()).alias("overall_risk"))
+    return prepared(spark, sf).select("k", rules.overall_risk(rules.scenarios()).alias("overall_risk"))
 
 
 @query("jn33_records_by_contexts", """SELECT context_id, user_type, count(*) AS n, count(DISTINCT k) AS n_records FROM v_rc GROUP BY ALL""")
@@ -474,14 +478,14 @@ EN, HI = signals.OUTLOOK_LABELS_EN, signals.OUTLOOK_LABELS_HI
    ELSE 'the 4-week rainfall outlook is mixed (' || {_T3.format('wk1')} || ' this week, ' || {_T3.format('wk4')} || ' by week 4)' END ||
    CASE WHEN heat_wave THEN ', and Heat stress is elevated with heat wave warnings in effect' WHEN tmax = 'above_normal' THEN ', and Above-normal temperatures are expected' ELSE '' END || '.' AS summary FROM v_traj""")
 def ad1(spark, sf):
-    return v.records(spark, sf).select("k", advisory.summary_en().alias("summary"))
+    return prepared(spark, sf).select("k", advisory.summary_en().alias("summary"))
 
 
 @query("ad2_summary_hi", """SELECT k, CASE WHEN since_jun1 < -20 THEN '1 जून से वर्षा सामान्य से ' || abs(since_jun1) || '% कम रही है' WHEN since_jun1 > 20 THEN '1 जून से वर्षा सामान्य से ' || since_jun1 || '% अधिक रही है'
    ELSE '1 जून से वर्षा सामान्य के आसपास रही है' END || '। ' || CASE WHEN below = 4 THEN '4 सप्ताह के पूर्वानुमान में लगातार सामान्य से कम वर्षा दिख रही है' WHEN above = 4 THEN '4 सप्ताह के पूर्वानुमान में लगातार सामान्य से अधिक वर्षा दिख रही है'
    ELSE '4 सप्ताह का वर्षा पूर्वानुमान मिला-जुला है' END || CASE WHEN heat_wave THEN '। लू का खतरा बढ़ा हुआ है और लू की चेतावनी लागू है' WHEN tmax = 'above_normal' THEN '। सामान्य से अधिक तापमान की संभावना है' ELSE '' END || '।' AS summary FROM v_traj""")
 def ad2(spark, sf):
-    return v.records(spark, sf).select("k", advisory.summary_hi().alias("summary"))
+    return prepared(spark, sf).select("k", advisory.summary_hi().alias("summary"))
 
 
 _DESC = """CASE WHEN l2 = l3 AND l3 = l4 THEN l2 || ' rainfall throughout weeks 2-4' WHEN l2 = l3 THEN l2 || ' in weeks 2-3, shifting to ' || l4 || ' by week 4'
@@ -493,7 +497,7 @@ VIEW_SQL["v_desc"] = f"SELECT *, {_DESC} AS d FROM v_labels"
 @query("wn13_weeks_2_4_phrase", "SELECT k, d AS phrase FROM v_desc")
 def wn13(spark, sf):
     labels = tuple(signals.outlook_label(w) for w in rules.inputs().weeks[1:])
-    return v.records(spark, sf).select("k", advisory.describe_later_weeks(labels).alias("phrase"))
+    return prepared(spark, sf).select("k", advisory.describe_later_weeks(labels).alias("phrase"))
 
 
 @query("ad3_outlook_en", f"""SELECT k, 'This week: rainfall ' || l1 || ' (' || {signed_sql('wk1', 1)} || ' mm/day) ' ||
@@ -504,7 +508,7 @@ def wn13(spark, sf):
    CASE WHEN t1 >= 2 THEN ' Temperatures are elevated (' || {signed_sql('t1', 1)} || '°C above normal this week).'
    WHEN t1 <= -2 THEN ' Temperatures are cooler than normal (' || {signed_sql('t1', 1)} || '°C this week), likely due to cloud cover.' ELSE '' END AS narrative FROM v_desc""")
 def ad3(spark, sf):
-    return v.records(spark, sf).select("k", advisory.narrative_en().alias("narrative"))
+    return prepared(spark, sf).select("k", advisory.narrative_en().alias("narrative"))
 
 
 @query("ad3_outlook_hi", f"""SELECT k, 'इस सप्ताह: वर्षा ' || {_L5.format('wk1', HI)} || ' (' || {signed_sql('wk1', 1)} || ' मिमी/दिन) ' ||
@@ -516,7 +520,7 @@ def ad3(spark, sf):
    CASE WHEN t1 >= 2 THEN ' इस सप्ताह तापमान सामान्य से अधिक (' || {signed_sql('t1', 1)} || '°C) रहने की संभावना है।'
    WHEN t1 <= -2 THEN ' इस सप्ताह तापमान सामान्य से कम (' || {signed_sql('t1', 1)} || '°C) रहने की संभावना है।' ELSE '' END AS narrative FROM v_traj""")
 def ad3_hi(spark, sf):
-    return v.records(spark, sf).select("k", advisory.narrative_hi().alias("narrative"))
+    return prepared(spark, sf).select("k", advisory.narrative_hi().alias("narrative"))
 
 
 def plan_rows(spark, sf):

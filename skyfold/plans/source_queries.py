@@ -252,10 +252,10 @@ def sk4(spark, sf):
 
 
 @query("sk5_missing_stages", """SELECT model, init_date FROM (SELECT DISTINCT event_type AS model, CAST(ts AS DATE) AS init_date FROM events)
-   EXCEPT SELECT event_type, CAST(ts AS DATE) FROM events WHERE value > 50""")
+   EXCEPT SELECT event_type, CAST(ts AS DATE) FROM events WHERE value > 200""")
 def sk5(spark, sf):
     e = v.table(spark, sf, "events").select(F.col("event_type").alias("model"), F.col("ts").cast("date").alias("init_date"), F.lit("weekly").alias("kind"), "value")
-    return grids.missing_partitions(e, e.where("value > 50")).select("model", "init_date")
+    return grids.missing_partitions(e, e.where("value > 200")).select("model", "init_date")
 
 
 @query("sk6_checksum_audit", """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'MISSING' WHEN doc_id % 5 = 1 THEN 'NO_CHECKSUM' WHEN doc_id % 5 = 2 THEN 'MISMATCH' ELSE 'OK' END AS status,

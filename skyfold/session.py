@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "skyfold", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,3 +46,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = os.path.join(tempfile.mkdtemp(prefix="skyfold-"), "checkpoints")
     spark.conf.set("spark.checkpoint.dir", local)
     return local
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a stage table to the shared folder and read it back.
+
+    Later steps that use the stage several times then scan a small table instead
+    of repeating its work, and survive the loss of executors.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/stages/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
