@@ -208,18 +208,42 @@ def relevant_for_user(text: Column, user_type: Column) -> Column:
 
 def fits_crop_stage(text: Column, stage: Column) -> Column:
     """False where the text belongs to another crop stage; true when the stage is unknown."""
-    sowing = stage.isin("flowering", "flowering_reproductive", "harvesting") & any_phrase(text, SOWING_KEYWORDS) & ~F.contains(
-        F.lower(text), F.lit("re-sow")
-    )
-    harvest = stage.isin("recently_sown", "vegetative", "not_sown") & any_phrase(text, HARVEST_KEYWORDS)
-    flowering = stage.isin("not_sown", "recently_sown") & any_phrase(text, FLOWERING_KEYWORDS)
-    return F.coalesce(~(sowing | harvest | flowering), F.lit(True))
+    return stage_fit(*stage_marks(text), stage)
+
+
+def stage_marks(text: Column) -> tuple[Column, Column, Column]:
+    """Whether a text speaks of sowing (but not of re-sowing), harvest or flowering."""
+    sowing = any_phrase(text, SOWING_KEYWORDS) & ~F.contains(F.lower(text), F.lit("re-sow"))
+    return sowing, any_phrase(text, HARVEST_KEYWORDS), any_phrase(text, FLOWERING_KEYWORDS)
+
+
+def stage_fit(sowing: Column, harvest: Column, flowering: Column, stage: Column) -> Column:
+    late = stage.isin("flowering", "flowering_reproductive", "harvesting") & sowing
+    early = stage.isin("recently_sown", "vegetative", "not_sown") & harvest
+    young = stage.isin("not_sown", "recently_sown") & flowering
+    return F.coalesce(~(late | early | young), F.lit(True))
 
 
 def evergreen_category(text: Column, category: Column) -> Column:
     return F.when(any_phrase(text, EVERGREEN), "general_guidance").otherwise(category)
 
 
+def annotate(df: DataFrame) -> DataFrame:
+    """Keyword classes of a text table, found once per text and not per district and context."""
+    t = F.col("text")
+    sowing, harvest, flowering = stage_marks(t)
+    return df.withColumns(
+        {
+            "crop_advice": any_phrase(t, CROP_KEYWORDS),
+            "sowing": sowing,
+            "harvest": harvest,
+            "flowering": flowering,
+            "evergreen": any_phrase(t, EVERGREEN),
+            "concept": dedup.concept(t),
+        }
+    )
+
+
 def guardrail_hits(text: Column) -> Column:
     return any_phrase(text, FORBIDDEN)
 
@@ -258,19 +282,19 @@ def scenario_actions(ctx: DataFrame, library: DataFrame, community: DataFrame, p
         *RECORD_KEY, "user_type", "crop", "irrigation_status", "crop_stage",
         F.posexplode(F.transform("scenarios", lambda s: s["scenario"])).alias("rank", "scenario"),
     )
-    columns = [*RECORD_KEY, "crop_stage", "category", "rank", "block", "pos", "text"]
+    columns = [*RECORD_KEY, "category", "rank", "block", "pos", "text", "evergreen", "concept"]
+    fits = stage_fit(F.col("sowing"), F.col("harvest"), F.col("flowering"), F.col("crop_stage"))
     audiences = F.array(F.lit("all"), F.col("user_type"), F.concat_ws(":", "user_type", "irrigation_status"))
     asked = fired.withColumn("audience", F.explode(audiences))
-    told = asked.join(guidance_table(library, community), ["scenario", "audience"])
-    out = told.where(
-        (F.col("audience") != "all") | relevant_for_user(F.col("text"), F.col("user_type"))
-    ).select(*columns)
+    told = asked.join(annotate(guidance_table(library, community)), ["scenario", "audience"])
+    shown = (F.col("audience") != "all") | (F.col("user_type") != "livestock_owner") | ~F.col("crop_advice")
+    out = told.where(shown & fits).select(*columns)
     if plan is not None:
         p = plan.select(
             "state", "district", "scenario", "kind", "pos", F.col("action").alias("text"), F.col("crop").alias("p_crop")
         )
         wants = F.when(F.col("user_type") == "farmer", "crop").when(F.col("user_type") == "livestock_owner", "livestock")
-        local = fired.withColumn("kind", wants).join(p, ["state", "district", "scenario", "kind"])
+        local = fired.withColumn("kind", wants).join(annotate(p), ["state", "district", "scenario", "kind"])
         named = F.contains(F.lower("p_crop"), F.lower("crop"))
         category = (
             F.when((F.col("kind") == "livestock") | (F.coalesce("crop", F.lit("")) == ""), "do_now")
@@ -278,8 +302,8 @@ def scenario_actions(ctx: DataFrame, library: DataFrame, community: DataFrame, p
             .otherwise("prepare")
         )
         local = local.withColumn("category", category).withColumn("block", F.lit(4))
-        out = out.unionByName(local.select(*columns))
-    return out.where(fits_crop_stage(F.col("text"), F.col("crop_stage"))).drop("crop_stage")
+        out = out.unionByName(local.where(fits).select(*columns))
+    return out
 
 
 def baseline_actions(ctx: DataFrame) -> DataFrame:
@@ -313,7 +337,7 @@ def baseline_actions(ctx: DataFrame) -> DataFrame:
     )
     quiet = ctx.where(F.size("scenarios") == 0)
     rows = quiet.select(*RECORD_KEY, F.posexplode(entries).alias("pos", "_e"))
-    return rows.select(
+    flat = rows.select(
         *RECORD_KEY,
         F.col("_e.category").alias("category"),
         F.lit(0).alias("rank"),
@@ -321,17 +345,18 @@ def baseline_actions(ctx: DataFrame) -> DataFrame:
         F.col("pos").cast("int").alias("pos"),
         F.col("_e.text").alias("text"),
     )
+    return annotate(flat).drop("crop_advice", "sowing", "harvest", "flowering")
 
 
 def separate_evergreen(actions: DataFrame) -> DataFrame:
     """Move evergreen advice to general guidance, keeping the order of the source lists."""
     origin = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category")).cast("int")
-    moved = evergreen_category(F.col("text"), F.col("category"))
+    moved = F.when(F.col("evergreen"), "general_guidance").otherwise(F.col("category"))
     order = F.struct(
         F.when(moved == "general_guidance", origin).otherwise(0).alias("origin"), F.col("rank").alias("rank"),
         F.col("block").alias("block"), F.col("pos").alias("pos"),
     )
-    return actions.select(*RECORD_KEY, moved.alias("category"), order.alias("order"), "text")
+    return actions.select(*RECORD_KEY, moved.alias("category"), order.alias("order"), "text", "concept")
 
 
 def deduplicate(actions: DataFrame) -> DataFrame:
@@ -341,10 +366,10 @@ def deduplicate(actions: DataFrame) -> DataFrame:
     district's plan, already distinct.
     """
     keys = [*RECORD_KEY, "category"]
-    unique = dedup.exact_first(actions, keys, "text", "order")
-    merged = dedup.concept_longest(unique, keys, "text", "order")
+    unique = dedup.exact_first(actions, [*keys, "concept"], "text", "order")
+    merged = dedup.concept_longest(unique, keys, "text", "order", known="concept")
     lists = merged.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("order", "text"))).alias("_l"))
-    return lists.select(*keys, dedup.overlap_fold(F.transform("_l", lambda e: e["text"])).alias("actions"))
+    return lists.select(*keys, dedup.overlap_fold(F.col("_l.text")).alias("actions"))
 
 
 def assemble(lists: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skyfold.functions.text import any_phrase, significant_words
+from skyfold.functions.text import STOP_WORDS, any_phrase
 
 # Phrase groups; actions that hit the same group say the same thing.
 CONCEPTS = (
@@ -17,8 +19,6 @@ CONCEPTS = (
     ("short-duration crop", "short-duration rice", "shorter-duration"),
     ("delay fertilizer application", "delay fertilizer"),
 )
-OVERLAP = 0.5
-_KEPT = "array<struct<text:string,words:array<string>>>"
 
 
 def concept(text: Column) -> Column:
@@ -35,9 +35,12 @@ def exact_first(df: DataFrame, keys: list[str], text: str, order: str) -> DataFr
     return df.groupBy(*keys, text).agg(F.min(order).alias(order))
 
 
-def concept_longest(df: DataFrame, keys: list[str], text: str, order: str) -> DataFrame:
-    """One action per concept: first position, longest text, earlier text on equal length."""
-    c = concept(F.col(text))
+def concept_longest(df: DataFrame, keys: list[str], text: str, order: str, known: str | None = None) -> DataFrame:
+    """One action per concept: first position, longest text, earlier text on equal length.
+
+    ``known`` names a column that already holds the concept of the text.
+    """
+    c = F.col(known) if known else concept(F.col(text))
     group = F.when(c.isNotNull(), F.struct(c.alias("c"), F.lit(None).cast("string").alias("t"))).otherwise(
         F.struct(F.lit(None).cast("int").alias("c"), F.col(text).alias("t"))
     )
@@ -51,33 +54,33 @@ def order_fields(df: DataFrame, order: str) -> list[str]:
     return df.schema[order].dataType.fieldNames()
 
 
-def overlap_fold(texts: Column) -> Column:
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def overlap_fold(texts: pd.Series) -> pd.Series:
     """Greedy pass over an ordered array of texts.
 
     A text that shares at least half of the smaller word set with a kept one is
     absorbed by the first such; the kept text is replaced when the new one is
-    longer, and its words count from then on. Input is one row's own array.
+    longer, and its words count from then on. Every decision depends on the
+    ones before it, so the pass runs over one row's own array, in Arrow batches.
     """
-    items = F.transform(texts, lambda t: F.struct(t.alias("text"), significant_words(t).alias("words")))
-
-    def step(kept: Column, item: Column) -> Column:
-        similar = F.transform(
-            kept,
-            lambda k: (F.size(k["words"]) > 0)
-            & (F.size(item["words"]) > 0)
-            & (
-                F.size(F.array_intersect(k["words"], item["words"]))
-                >= OVERLAP * F.least(F.size(k["words"]), F.size(item["words"]))
-            ),
-        )
-        at = F.array_position(similar, True)
-        absorbed = F.transform(
-            kept,
-            lambda k, i: F.when(
-                (i + 1 == at) & (F.length(item["text"]) > F.length(k["text"])), item
-            ).otherwise(k),
-        )
-        return F.when(at > 0, absorbed).otherwise(F.concat(kept, F.array(item)))
-
-    folded = F.aggregate(items, F.array().cast(_KEPT), step)
-    return F.transform(folded, lambda k: k["text"])
+    stops = frozenset(STOP_WORDS)
+
+    def fold(items) -> list[str]:
+        kept: list[str] = []
+        bags: list[frozenset[str]] = []
+        for text in items:
+            bag = frozenset(w for w in text.lower().split() if len(w) > 2 and w not in stops)
+            near = None
+            if bag:
+                near = next(
+                    (i for i, other in enumerate(bags) if other and 2 * len(bag & other) >= min(len(bag), len(other))),
+                    None,
+                )
+            if near is None:
+                kept.append(text)
+                bags.append(bag)
+            elif len(text) > len(kept[near]):
+                kept[near], bags[near] = text, bag
+        return kept
+
+    return texts.map(lambda items: None if items is None else fold(items))

@@ -57,7 +57,9 @@ STAGE_KEYS = (
 )
 AGRO_HINTS = ("agronomic", "soil nutrient", "soil management", "moisture conservation")
 HEADER_DEPTH, HEADER_CELL_MAX, FRAGMENT_MAX = 5, 60, 25
-ENUMERATOR = r"(?:(?<=^)|(?<=\s))(?:\d{1,2}|i{1,3}|iv|vi{0,3}|v)[.)](?:\s+(?=[A-Za-z])|(?=[A-Z]))"
+ENUMERATOR = r"(?:\d{1,2}|i{1,3}|iv|vi{0,3}|v)[.)](?:\s+(?=[A-Za-z])|(?=[A-Z]))"
+# a bullet anywhere, or an enumerator at the start of a piece or after a space
+BREAK = rf"[{BULLETS}]|(?:(?<=^)|(?<=[\s{BULLETS}])){ENUMERATOR}"
 LIVESTOCK = (
     r"(?i)\b(cattle|cow|buffalo|poultry|goat|sheep|livestock|fodder|feed ingredient|birds|fish|pig|camel|donkey|animal|"
     r"grazing|breed|vaccin|deworm|shed|piggery|fishery|duck|hen|chick|hatch|milch|calving|lamb|kid\b|ewe)\b"
@@ -115,23 +117,20 @@ def is_livestock(action: Column) -> Column:
     return action.rlike(LIVESTOCK)
 
 
-def split_actions(cell: Column, header: Column | None = None) -> Column:
-    """Candidate actions of a cell: split on bullets, then on enumerators.
+def explode_actions(df: DataFrame, cell: str, header: str | None = None) -> DataFrame:
+    """Candidate actions of a cell: split on bullets and enumerators, one row each.
 
-    Short pieces that only repeat the column's own header are dropped.
+    Invalid pieces and short ones that only repeat the column's own header drop
+    out. Pieces become rows before they are tested, so the tests stay in
+    generated code.
     """
-    chunks = F.split(squeeze(cell), f"[{BULLETS}]")
-    pieces = F.flatten(F.transform(chunks, lambda c: F.split(c, ENUMERATOR)))
-    clean = F.transform(pieces, squeeze)
-
-    def keep(p: Column) -> Column:
-        ok = is_valid_action(p)
-        if header is not None:
-            low = squeeze_lower(p)
-            ok = ok & ~((F.length(low) < 60) & F.contains(header, low) & (header != ""))
-        return ok
-
-    return F.filter(clean, keep)
+    pieces = df.select("*", F.posexplode(F.split(squeeze(F.col(cell)), BREAK)).alias("piece", "_raw"))
+    pieces = pieces.withColumn("action", squeeze(F.col("_raw"))).drop("_raw").where(is_valid_action(F.col("action")))
+    if header is None:
+        return pieces
+    low = F.lower("action")
+    own = (F.length(low) < HEADER_CELL_MAX) & (F.col(header) != "") & F.contains(F.col(header), low)
+    return pieces.where(~own)
 
 
 # --- header analysis ---------------------------------------------------------
@@ -397,9 +396,7 @@ def harvest(cells: DataFrame) -> DataFrame:
     )
     with_rows = staged(wanted.join(rows, [*TABLE, "row"]), "cells")
     texts = resolve_dittos(with_rows, [*TABLE, "col"], "text").withColumn("placeholder", is_placeholder(F.col("resolved")))
-    pieces = texts.select(
-        "*", F.posexplode(split_actions(F.col("resolved"), F.col("header"))).alias("piece", "action")
-    )
+    pieces = explode_actions(texts, "resolved", "header")
     low_crop, low_farm = F.lower(F.coalesce("crop", F.lit(""))), F.lower(F.coalesce("farming_situation", F.lit("")))
     first = keep_first(
         pieces,

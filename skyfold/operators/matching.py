@@ -74,7 +74,8 @@ def fuzzy_best(names: DataFrame, roster: DataFrame, cutoff: float = CUTOFF) -> D
         lettered = df.withColumn(f"_l_{name}", letters)
         n = F.size(f"_l_{name}")
         prefix = F.greatest(F.lit(1), (n - F.ceil(n * (cutoff / (2.0 - cutoff))) + 1).cast("int"))
-        return lettered.withColumn("_t", F.explode(F.slice(f"_l_{name}", F.lit(1), prefix)))
+        lettered = lettered.withColumn(f"_p_{name}", F.slice(f"_l_{name}", F.lit(1), prefix))
+        return lettered.withColumn("_t", F.explode(f"_p_{name}"))
 
     q = names.select("id", F.lower("state").alias("_s"), F.lower("district").alias("word"))
     pool = roster.select(F.lower("state").alias("_s"), F.lower("district").alias("cand")).distinct()
@@ -82,8 +83,10 @@ def fuzzy_best(names: DataFrame, roster: DataFrame, cutoff: float = CUTOFF) -> D
     cands = with_tokens(pool, "cand")
     need = cutoff * (F.length("word") + F.length("cand"))
     shared = F.size(F.array_intersect("_l_word", "_l_cand"))
-    close = (2 * F.least(F.length("word"), F.length("cand")) >= need) & (2 * shared >= need)
-    pairs = words.join(cands, ["_s", "_t"]).where(close).select("_s", "word", "cand").distinct()
+    # a pair that shares several prefix tokens is kept at the first one only
+    first = F.get(F.array_intersect("_p_word", "_p_cand"), F.lit(0)) == F.col("_t")
+    long_enough = 2 * F.least(F.length("word"), F.length("cand")) >= need
+    pairs = words.join(cands, ["_s", "_t"]).where(long_enough & first & (2 * shared >= need)).select("_s", "word", "cand")
     scored = pairs.withColumn("score", _block_ratio("word", "cand")).where(F.col("score") >= cutoff)
     best = scored.groupBy("_s", "word").agg(F.max(F.struct("score", "cand")).alias("_b"))
     return q.join(best, ["_s", "word"]).select("id", F.col("_b.cand").alias("match"), F.col("_b.score").alias("score"))

@@ -92,10 +92,8 @@ def pf21(spark, sf):
 @query("fn7_split_actions", f"""SELECT doc_id, pos, count(*) AS n, sum(length(p))::BIGINT AS chars FROM (SELECT doc_id, pos, trim(regexp_replace(unnest(string_split(replace(line, '. ', ' • '), '•')), '\\s+', ' ', 'g')) AS p FROM v_lines)
    WHERE {valid_sql('p')} GROUP BY doc_id, pos""")
 def fn7(spark, sf):
-    cell = F.replace("line", F.lit(". "), F.lit(" • "))
-    return v.lines(spark, sf).select("doc_id", "pos", F.explode(extract.split_actions(cell)).alias("p")).groupBy("doc_id", "pos").agg(
-        F.count("*").alias("n"), F.sum(F.length("p")).alias("chars")
-    )
+    cells = v.lines(spark, sf).select("doc_id", "pos", F.replace("line", F.lit(". "), F.lit(" • ")).alias("cell"))
+    return extract.explode_actions(cells, "cell").groupBy("doc_id", "pos").agg(F.count("*").alias("n"), F.sum(F.length("action")).alias("chars"))
 
 
 STOCK = ("Feed the cattle ", "Sow maize ", "Vaccinated birds ", "Deworm ", "shed ", "Kids play ")

@@ -583,7 +583,7 @@ def all_actions(spark, sf):
 
 @query("ad4_scenario_actions", "SELECT * FROM v_actions")
 def ad4(spark, sf):
-    return keyed(all_actions(spark, sf), spark, sf)
+    return keyed(all_actions(spark, sf), spark, sf).drop("evergreen", "concept")
 
 
 @query("jn24_library_join", "SELECT k, context_id, category, rank, block, pos, text FROM v_lib_actions UNION ALL SELECT k, context_id, category, rank, block, pos, text FROM v_people_actions")
@@ -591,7 +591,7 @@ def jn24(spark, sf):
     ctx = ctx_records(spark, sf)
     fired_all = ctx.withColumn("crop_stage", F.lit(None).cast("string"))  # stage filter off
     out = advisory.scenario_actions(fired_all, lib.default_library(spark), lib.default_community(spark))
-    return keyed(out.where("block <> 3"), spark, sf)
+    return keyed(out.where("block <> 3"), spark, sf).drop("evergreen", "concept")
 
 
 @query("jn25_plan_by_crop", "SELECT k, context_id, category, rank, pos, text FROM v_plan_actions")
@@ -700,7 +700,7 @@ def dd2(spark, sf):
 
     keys = [*advisory.RECORD_KEY, "category"]
     rows = advisory.separate_evergreen(all_actions(spark, sf))
-    merged = dedup.concept_longest(dedup.exact_first(rows, keys, "text", "order"), keys, "text", "order")
+    merged = dedup.concept_longest(dedup.exact_first(rows, [*keys, "concept"], "text", "order"), keys, "text", "order", known="concept")
     placed = merged.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("order")))
     return keyed(placed.drop("order"), spark, sf)
 
