@@ -67,9 +67,12 @@ def action_id(c: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "_"), F.lit("_")), 1, 120)
 
 
+WHITESPACE = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def squeeze(c: Column) -> Column:
     """Collapse whitespace and trim; null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WHITESPACE, " "))
 
 
 def squeeze_lower(c: Column) -> Column:

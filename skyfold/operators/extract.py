@@ -77,18 +77,22 @@ def _has(c: Column, phrases: tuple[str, ...]) -> Column:
 
 # --- cell predicates --------------------------------------------------------
 
+def _pattern(phrases: tuple[str, ...]) -> str:
+    """Case-blind pattern for any of the phrases; a space stands for any run of whitespace."""
+    return "(?i)" + "|".join(p.replace(" ", r"\s+") for p in phrases)
+
+
 def condition_scenario(text: Column) -> Column:
     """Scenario named by a condition text; first matching rule, else null."""
-    t = squeeze_lower(text)
     return (
-        F.when(F.contains(t, F.lit("terminal")), "terminal_drought")
-        .when(t.rlike("mid[ -]season"), "mid_season_break")
-        .when(_has(t, SCENARIO_PHRASES["excess_rainfall_waterlogging"]), "excess_rainfall_waterlogging")
+        F.when(text.rlike("(?i)terminal"), "terminal_drought")
+        .when(text.rlike(r"(?i)mid(?:\s+|-)season"), "mid_season_break")
+        .when(text.rlike(_pattern(SCENARIO_PHRASES["excess_rainfall_waterlogging"])), "excess_rainfall_waterlogging")
         .when(
-            F.contains(t, F.lit("delay by 2")) | (F.contains(t, F.lit("delayed onset")) & F.contains(t, F.lit("2 week"))),
+            text.rlike(_pattern(("delay by 2",))) | (text.rlike(_pattern(("delayed onset",))) & text.rlike(_pattern(("2 week",)))),
             "delayed_monsoon",
         )
-        .when(_has(t, SCENARIO_PHRASES["early_season_dry_spell"]), "early_season_dry_spell")
+        .when(text.rlike(_pattern(SCENARIO_PHRASES["early_season_dry_spell"])), "early_season_dry_spell")
     )
 
 
@@ -107,10 +111,11 @@ def is_ditto(text: Column) -> Column:
 
 
 def is_valid_action(piece: Column) -> Column:
-    """Not a header, not a short lower-case tail of another cell, and carries a word."""
-    first = F.regexp_extract(piece, "[A-Za-z]", 0)
-    tail = first.rlike("[a-z]") & (F.size(F.split(squeeze(piece), " ")) < 9)
-    return ~is_header_label(piece) & ~tail & piece.rlike("[A-Za-z]{3,}") & (F.length(piece) >= 4)
+    """Not a header, not a short lower-case tail of another cell, and carries a word. Expects squeezed text."""
+    low = F.lower(piece)
+    header = low.isin(*HEADER_LABELS) | F.substring(low, F.lit(1), F.length(low) - 1).isin(*HEADER_LABELS)
+    tail = piece.rlike("^[^A-Za-z]*[a-z]") & (F.size(F.split(piece, " ")) < 9)
+    return (F.length(piece) >= 4) & piece.rlike("[A-Za-z]{3}") & ~tail & ~header
 
 
 def is_livestock(action: Column) -> Column:
@@ -125,7 +130,7 @@ def explode_actions(df: DataFrame, cell: str, header: str | None = None) -> Data
     generated code.
     """
     pieces = df.select("*", F.posexplode(F.split(squeeze(F.col(cell)), BREAK)).alias("piece", "_raw"))
-    pieces = pieces.withColumn("action", squeeze(F.col("_raw"))).drop("_raw").where(is_valid_action(F.col("action")))
+    pieces = pieces.withColumn("action", F.trim("_raw")).drop("_raw").where(is_valid_action(F.col("action")))
     if header is None:
         return pieces
     low = F.lower("action")
@@ -319,8 +324,31 @@ def usable_tables(cells: DataFrame, analysis: DataFrame) -> DataFrame:
         F.col("kind") == "measures", F.col("names_condition")
     ).otherwise(F.coalesce("filled", F.lit(0)) >= 2)
     return known.join(filled, TABLE, "left").where(accepted).select(
-        *TABLE, "kind", "anchors", "table_scenario", "col_headers",
+        *TABLE, "kind", "anchors", "ncols", "table_scenario", "col_headers",
         F.when(F.col("own"), F.col("data_start")).otherwise(0).alias("data_start"),
+        F.coalesce(_anchor_col("condition"), F.lit(0)).alias("condition_col"),
+        F.coalesce(
+            _anchor_col("normal"), F.when(F.col("kind") == "stages", _anchor_col("condition"))
+        ).alias("crop_col"),
+        _anchor_col("farming").alias("farming_col"),
+    )
+
+
+def action_columns(tables: DataFrame) -> DataFrame:
+    """Columns that hold advice, with their role and header text; one row per table and column."""
+    cols = tables.select("*", F.explode(F.sequence(F.lit(0), F.col("ncols") - 1)).alias("col"))
+    cols = cols.withColumn("near", nearest_role(F.col("anchors"), F.col("col")))
+    own = F.coalesce(F.get("col_headers", F.col("col")), F.lit(""))
+    anchor = F.coalesce(F.get("col_headers", F.col("near.anchor")), F.lit(""))
+    header = (
+        F.when(F.col("near.anchor") == F.col("col"), own)
+        .when(F.col("near.anchor") < F.col("col"), F.concat_ws(" ", anchor, own))
+        .otherwise(F.concat_ws(" ", own, anchor))
+    )
+    role = F.col("near.role")
+    measures = (F.col("kind") == "measures") & role.isin("change", "agro")
+    return cols.where(measures | F.startswith(role, F.lit("stage:"))).select(
+        *TABLE, "col", role.alias("column"), header.alias("header")
     )
 
 
@@ -365,35 +393,21 @@ def resolve_dittos(cells: DataFrame, keys: list[str], text: str) -> DataFrame:
 def harvest(cells: DataFrame) -> DataFrame:
     """All action rows of all documents with their provenance."""
     tables = staged(usable_tables(cells, staged(analyze_tables(cells), "analysis")), "tables")
-    body = cells.join(tables, TABLE).where(F.col("row") >= F.col("data_start"))
-    cond_col = F.coalesce(_anchor_col("condition"), F.lit(0))
-    crop_col = F.coalesce(_anchor_col("normal"), F.when(F.col("kind") == "stages", _anchor_col("condition")))
-    farm_col = _anchor_col("farming")
+    body = cells.join(
+        tables.select(*TABLE, "data_start", "table_scenario", "condition_col", "crop_col", "farming_col"), TABLE
+    ).where(F.col("row") >= F.col("data_start"))
     named = condition_scenario(F.col("text"))
+    leading = F.when(F.col("col") <= F.col("condition_col"), named)
     rows = body.groupBy(*TABLE, "row", "table_scenario").agg(
-        F.min_by(named, F.when((F.col("col") <= cond_col) & named.isNotNull(), F.col("col"))).alias("named"),
-        F.max(F.when(F.col("col") == farm_col, F.col("text"))).alias("farm_text"),
-        F.max(F.when(F.col("col") == crop_col, F.col("text"))).alias("crop_text"),
+        F.min(F.when(leading.isNotNull(), F.struct("col", leading.alias("s"))))["s"].alias("named"),
+        F.max(F.when(F.col("col") == F.col("farming_col"), F.col("text"))).alias("farm_text"),
+        F.max(F.when(F.col("col") == F.col("crop_col"), F.col("text"))).alias("crop_text"),
     )
     rows = staged(fill_scenarios(staged(rows, "rows"), TABLE, "named", F.col("table_scenario")), "scenarios")
     rows = fill_context(rows, TABLE, "farm_text", "crop_text").select(
         *TABLE, "row", "scenario", "farming_situation", "crop"
     )
-    near = nearest_role(F.col("anchors"), F.col("col"))
-    wanted = body.withColumn("near", near).where(
-        F.col("near.role").isin("change", "agro") & (F.col("kind") == "measures")
-        | F.startswith(F.col("near.role"), F.lit("stage:"))
-    )
-    own_header = F.coalesce(F.get("col_headers", F.col("col")), F.lit(""))
-    anchor_header = F.coalesce(F.get("col_headers", F.col("near.anchor")), F.lit(""))
-    header = (
-        F.when(F.col("near.anchor") == F.col("col"), own_header)
-        .when(F.col("near.anchor") < F.col("col"), F.concat_ws(" ", anchor_header, own_header))
-        .otherwise(F.concat_ws(" ", own_header, anchor_header))
-    )
-    wanted = wanted.select(
-        *TABLE, F.col("row"), F.col("col"), "text", F.col("near.role").alias("column"), header.alias("header")
-    )
+    wanted = cells.join(action_columns(tables), [*TABLE, "col"]).where(squeeze(F.col("text")) != "")
     with_rows = staged(wanted.join(rows, [*TABLE, "row"]), "cells")
     texts = resolve_dittos(with_rows, [*TABLE, "col"], "text").withColumn("placeholder", is_placeholder(F.col("resolved")))
     pieces = explode_actions(texts, "resolved", "header")

@@ -47,13 +47,13 @@ def _block_ratio(word: pd.Series, candidate: pd.Series) -> pd.Series:
 
 
 def letter_counts(c: Column) -> Column:
-    """Characters with a running number, so set overlap equals multiset overlap."""
+    """Letters with a running number, coded as whole numbers, so set overlap equals multiset overlap."""
     chars = F.filter(F.split(c, ""), lambda x: x != "")
     numbered = F.transform(
         F.array_distinct(chars),
         lambda x: F.transform(
             F.sequence(F.lit(1), F.length(c) - F.length(F.replace(c, x, F.lit("")))),
-            lambda i: F.concat(x, i.cast("string")),
+            lambda i: F.ascii(x) * 256 + i,
         ),
     )
     return F.flatten(numbered)

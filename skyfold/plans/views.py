@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.plans.registry import VIEW_SQL
+from skyfold.session import spread
 
 INIT = "2024-01-01"
+# Tables whose rows are heavy to process: whole texts and markup.
+TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 # --- grid -----------------------------------------------------------------
@@ -235,7 +239,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
         )
 
     return (
-        table(spark, sf, "customer")
+        spread(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             k.alias("k"),
