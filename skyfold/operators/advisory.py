@@ -352,10 +352,9 @@ def separate_evergreen(actions: DataFrame) -> DataFrame:
     """Move evergreen advice to general guidance, keeping the order of the source lists."""
     origin = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category")).cast("int")
     moved = F.when(F.col("evergreen"), "general_guidance").otherwise(F.col("category"))
-    order = F.struct(
-        F.when(moved == "general_guidance", origin).otherwise(0).alias("origin"), F.col("rank").alias("rank"),
-        F.col("block").alias("block"), F.col("pos").alias("pos"),
-    )
+    first = F.when(moved == "general_guidance", origin).otherwise(0)
+    # one whole number keeps the order (list, rank, block, position), so that its minimum is a hash aggregate
+    order = ((first * 64 + F.col("rank")) * 8 + F.col("block")).cast("long") * F.lit(2**40) + F.col("pos")
     return actions.select(*RECORD_KEY, moved.alias("category"), order.alias("order"), "text", "concept")
 
 
@@ -366,7 +365,7 @@ def deduplicate(actions: DataFrame) -> DataFrame:
     district's plan, already distinct.
     """
     keys = [*RECORD_KEY, "category"]
-    unique = dedup.exact_first(actions, [*keys, "concept"], "text", "order")
+    unique = dedup.exact_first(actions, [*keys, "concept"], "text", "order")  # the concept follows from the text
     merged = dedup.concept_longest(unique, keys, "text", "order", known="concept")
     lists = merged.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("order", "text"))).alias("_l"))
     return lists.select(*keys, dedup.overlap_fold(F.col("_l.text")).alias("actions"))

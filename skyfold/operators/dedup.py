@@ -38,20 +38,13 @@ def exact_first(df: DataFrame, keys: list[str], text: str, order: str) -> DataFr
 def concept_longest(df: DataFrame, keys: list[str], text: str, order: str, known: str | None = None) -> DataFrame:
     """One action per concept: first position, longest text, earlier text on equal length.
 
-    ``known`` names a column that already holds the concept of the text.
+    ``order`` is a whole number. ``known`` names a column that already holds the concept of the text.
     """
     c = F.col(known) if known else concept(F.col(text))
-    group = F.when(c.isNotNull(), F.struct(c.alias("c"), F.lit(None).cast("string").alias("t"))).otherwise(
-        F.struct(F.lit(None).cast("int").alias("c"), F.col(text).alias("t"))
-    )
-    work = df.withColumn("_g", group)
-    best = F.max_by(F.col(text), F.struct(F.length(text), F.col("_neg")))
-    ordered = work.withColumn("_neg", F.struct(*[(-F.col(f"{order}.{f}")).alias(f) for f in order_fields(df, order)]))
-    return ordered.groupBy(*keys, "_g").agg(F.min(order).alias(order), best.alias(text)).drop("_g")
-
-
-def order_fields(df: DataFrame, order: str) -> list[str]:
-    return df.schema[order].dataType.fieldNames()
+    work = df.withColumn("_c", c)
+    work = work.withColumn("_t", F.when(F.col("_c").isNull(), F.col(text)))
+    best = F.max_by(F.col(text), F.struct(F.length(text), -F.col(order)))
+    return work.groupBy(*keys, "_c", "_t").agg(F.min(order).alias(order), best.alias(text)).drop("_c", "_t")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
