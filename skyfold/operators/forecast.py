@@ -148,11 +148,11 @@ def robust_limits(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
     A map is one group of every cell, so the distributed selection is used.
     """
-    on = keys or ["_all"]
-    base = df if keys else df.withColumn("_all", F.lit(0))
-    size = exact_quantiles(base.withColumn("_abs", F.abs(value)), on, "_abs", {"symmetric": 0.98})
-    ends = exact_quantiles(base, on, value, {"low": 0.02, "high": 0.98})
-    return size.join(ends, on).drop("_all")
+    size = exact_quantiles(df.withColumn("_abs", F.abs(value)), keys, "_abs", {"symmetric": 0.98})
+    ends = exact_quantiles(df, keys, value, {"low": 0.02, "high": 0.98})
+    if keys:
+        return size.join(ends, keys)
+    return ends.withColumn("symmetric", size.scalar())
 
 
 def seasonal_context(terciles: DataFrame, keys: list[str], leads: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:

@@ -372,12 +372,17 @@ VIEW_SQL["v_map"] = """SELECT (idx % 500)::INT AS x, (idx // 500)::INT AS y, CAS
   FROM (SELECT idx, (idx % 500) IN (20, 200, 270, 340) OR (idx // 500) % 60 IN (32, 55) AS ink FROM (SELECT (l_orderkey * 7 + l_linenumber - 1) // 2 AS idx FROM lineitem GROUP BY 1))"""
 
 
+def image_name(number):
+    """Image of a pixel or place number; all numbers in use fall into the first image."""
+    return F.concat(F.lit("map"), F.floor(number / 1e12).cast("string"))
+
+
 def map_pixels(spark, sf):
     idx = v.table(spark, sf, "lineitem").select(F.floor((F.col("l_orderkey") * 7 + F.col("l_linenumber") - 1) / 2).alias("idx")).distinct()
     x, y = F.col("idx") % 500, F.floor(F.col("idx") / 500)
     ink = x.isin(20, 200, 270, 340) | (y % 60).isin(32, 55)
     return idx.select(
-        F.lit("map").alias("image_id"), x.cast("int").alias("x"), y.cast("int").alias("y"),
+        image_name(F.col("idx")).alias("image_id"), x.cast("int").alias("x"), y.cast("int").alias("y"),
         F.when(ink, 0).otherwise((F.col("idx") * 37) % 256).cast("int").alias("r"), F.when(ink, 0).otherwise((F.col("idx") * 59) % 256).cast("int").alias("g"),
         F.when(ink, 0).otherwise(90 + (F.col("idx") * 83) % 160).cast("int").alias("b"),
     )
@@ -404,7 +409,7 @@ def ag30(spark, sf):
 def map_read(spark, sf):
     px = map_pixels(spark, sf)
     size = map_size(px)
-    places = v.cells(spark, sf).select(F.col("state"), F.col("cell").cast("string").alias("district"), "lat", "lon", F.lit("map").alias("image_id"))
+    places = v.cells(spark, sf).select(F.col("state"), F.col("cell").cast("string").alias("district"), "lat", "lon", image_name(F.col("cell")).alias("image_id"))
     panels = size.select("image_id", F.inline(F.array(*[
         F.struct(F.lit(i).alias("panel"), F.lit(x).alias("x0"), F.lit(y).alias("y0")) for i, x, y in ((1, 20, 32), (2, 270, 32), (3, 20, 400), (4, 270, 400))
     ])))
