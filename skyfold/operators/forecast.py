@@ -159,7 +159,7 @@ def seasonal_context(terciles: DataFrame, keys: list[str], leads: tuple[int, ...
     """Season lean: mean odds above minus mean odds below over the leads and models."""
     picked = terciles.where(F.col("lead").isin(list(leads)) & F.col("p_above").isNotNull() & F.col("p_below").isNotNull())
     out = picked.groupBy(*keys).agg(
-        (F.avg("p_above") - F.avg("p_below")).alias("_net"), F.count("*").alias("leads")
+        F.round(F.avg("p_above") - F.avg("p_below"), 9).alias("_net"), F.count("*").alias("leads")
     )
     context = (
         F.when(F.col("_net") >= SEASONAL_MARGIN, "above_normal")

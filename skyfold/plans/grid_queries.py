@@ -348,13 +348,13 @@ def ag2(spark, sf):
 
 @query(
     "ag3_multi_model_mean",
-    """SELECT state, district, model, week, round(t2m, 6) AS t2m, round(precip, 6) AS precip, 1 AS n_models FROM v_regional
-       UNION ALL SELECT state, district, 'MME', week, round(avg(t2m), 6), round(avg(precip), 6), count(DISTINCT model)
+    """SELECT state, district, model, week, round(t2m + 1e-9, 6) AS t2m, round(precip + 1e-9, 6) AS precip, 1 AS n_models FROM v_regional
+       UNION ALL SELECT state, district, 'MME', week, round(avg(t2m) + 1e-9, 6), round(avg(precip) + 1e-9, 6), count(DISTINCT model)
        FROM v_regional GROUP BY state, district, week""",
 )
 def ag3(spark, sf):
     both = forecast.with_multi_model(regional_models(spark, sf), ["state", "district", "week"], ["t2m", "precip"])
-    return both.select("state", "district", "model", "week", r("t2m"), r("precip"), "n_models")
+    return both.select("state", "district", "model", "week", up("t2m"), up("precip"), "n_models")
 
 
 @query(
@@ -619,7 +619,7 @@ def ag16(spark, sf):
 
 @query(
     "pf33_low_skill",
-    "SELECT lead, count(*) AS n, sum(CASE WHEN acc >= 0.3 THEN 0 ELSE 1 END)::BIGINT AS n_low FROM v_acc GROUP BY lead",
+    "SELECT lead, count(*) AS n, sum(CASE WHEN acc >= 0.3 AND NOT isnan(acc) THEN 0 ELSE 1 END)::BIGINT AS n_low FROM v_acc GROUP BY lead",
 )
 def pf33(spark, sf):
     acc = forecast.anomaly_correlation(skill_pairs(spark, sf), ["district", "lead"], "t", "t2m")
@@ -665,7 +665,7 @@ def ag18(spark, sf):
 
 @query(
     "ag19_observed_month_anomaly",
-    """SELECT o.district, o.month, round(o.t2m - c.t, 5) AS t2m, round((o.precip - c.p) / day(last_day(o.month)), 5) AS precip
+    """SELECT o.district, o.month, round(o.t2m - c.t + 1e-9, 5) AS t2m, round((o.precip - c.p) / day(last_day(o.month)) + 1e-9, 5) AS precip
        FROM v_obs_month o JOIN (SELECT district, month(month) AS m, avg(t2m) AS t, avg(precip) AS p FROM v_obs_month GROUP BY ALL) c
        ON c.district = o.district AND c.m = month(o.month) WHERE o.month BETWEEN DATE '1999-06-01' AND DATE '2000-05-01'""",
 )
@@ -673,7 +673,7 @@ def ag19(spark, sf):
     out = climatology.calendar_month_anomaly(
         v.obs_monthly(spark, sf), ["district"], "month", "t2m", "precip", ("1999-06-01", "2000-05-01")
     )
-    return out.select("district", "month", r("t2m", 5), r("precip", 5))
+    return out.select("district", "month", up("t2m", 5), up("precip", 5))
 
 
 @query(

@@ -594,7 +594,7 @@ VIEW_SQL["v_links"] = "SELECT page_id AS pos, regexp_extract(url, 'example\\.com
 @query("jn27_manifest_upsert", """WITH l AS (SELECT lower(state) AS s, lower(district) AS d, arg_min(state, pos) AS state, arg_min(district, pos) AS district, arg_min(href, pos) AS href FROM v_links WHERE length(district) >= 2 GROUP BY ALL),
    e AS (SELECT lower(state) AS s, lower(district) AS d, arg_min(state, pos) AS state, arg_min(district, pos) AS district, 'old_' || min(pos) || '.pdf' AS filename, 'x' AS source_url, 'sha' AS sha256 FROM
      (SELECT pos, state, CASE WHEN pos % 3 = 0 THEN district || ' old' ELSE district END AS district FROM v_links) GROUP BY 1, 2)
-   SELECT coalesce(l.state, e.state) AS state, coalesce(l.district, e.district) AS district, coalesce(e.filename, lower(l.state || '_' || l.district) || '.pdf') AS filename, coalesce(l.href, e.source_url) AS source_url,
+   SELECT coalesce(l.state, e.state) AS state, coalesce(l.district, e.district) AS district, coalesce(e.filename, trim(lower(l.state || '_' || l.district), '_') || '.pdf') AS filename, coalesce(l.href, e.source_url) AS source_url,
      coalesce(e.sha256, '') AS sha256, CASE WHEN l.s IS NULL THEN 'kept' WHEN e.s IS NULL THEN 'new' ELSE 'preserved' END AS origin FROM l FULL JOIN e ON l.s = e.s AND l.d = e.d""")
 def jn27(spark, sf):
     pages = v.table(spark, sf, "pages")
