@@ -32,15 +32,14 @@ TABLES = {
         ],
         ("measures", 0, "mid_season_break", {"farming": 1, "change": 2, "agro": 3}),
     ),
-    # crops in rows, growth stages in columns
+    # a row with the condition only, then growth stages in columns and crops in rows
     "stages": (
         [
-            ["Condition", "Suggested contingency measure", None, None],
             ["Heavy rainfall with high speed winds", None, None, None],
             ["", "Vegetative stage", "Flowering stage", "Crop maturity stage"],
             ["Rice", "Drain the field and add urea", "Drain the field", "Harvest at once and dry the sheaves"],
         ],
-        ("stages", 3, "excess_rainfall_waterlogging", {"stage:vegetative stage": 1, "stage:flowering stage": 2, "stage:crop maturity": 3, "condition": 0}),
+        ("stages", 2, "excess_rainfall_waterlogging", {"stage:vegetative stage": 1, "stage:flowering stage": 2, "stage:crop maturity": 3, "condition": 0}),
     ),
     "not a plan": ([["Name", "Area", "Yield"], ["Rice", "12", "2.1"]], None),
 }
