@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfold.llm import licenses, packing, pieces, quality, rules, sharding, warc
+from skyfold.llm import licenses, neardup, neighbours, packing, pieces, quality, rules, sharding, suffixes, warc
 from skyfold.llm.common import table
 
 
@@ -25,10 +25,19 @@ def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.class_of_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(rules.ledger(table(spark, sf_dir, "documents")))
 
@@ -39,10 +48,15 @@ def op9_tree_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_warc_chunks, op2_piece_codec, op3_license_scan, op4_compression_quality, op6_hilbert_shards, op8_rule_ledger, op9_tree_packing,
+        op1_warc_chunks, op2_piece_codec, op3_license_scan, op4_compression_quality, op5_order_minhash, op6_hilbert_shards,
+        op7_multi_index, op8_rule_ledger, op9_tree_packing, op10_suffix_arrays,
     )
 }
 
