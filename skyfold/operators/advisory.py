@@ -7,6 +7,9 @@ deduplicated by map-side combined aggregation, and folded back to one row.
 
 from __future__ import annotations
 
+from decimal import Decimal
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +125,7 @@ def describe_later_weeks(labels: tuple[Column, Column, Column]) -> Column:
 
 
 def _capitalised(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1000)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, F.lit(2), F.length(c))))
 
 
 def narrative_en() -> Column:
@@ -342,7 +345,7 @@ def baseline_actions(ctx: DataFrame) -> DataFrame:
         F.col("_e.category").alias("category"),
         F.lit(0).alias("rank"),
         F.lit(0).alias("block"),
-        F.col("pos").cast("int").alias("pos"),
+        F.col("pos").cast("long").alias("pos"),
         F.col("_e.text").alias("text"),
     )
     return annotate(flat).drop("crop_advice", "sowing", "harvest", "flowering")
@@ -353,8 +356,11 @@ def separate_evergreen(actions: DataFrame) -> DataFrame:
     origin = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category")).cast("int")
     moved = F.when(F.col("evergreen"), "general_guidance").otherwise(F.col("category"))
     first = F.when(moved == "general_guidance", origin).otherwise(0)
-    # one whole number keeps the order (list, rank, block, position), so that its minimum is a hash aggregate
-    order = ((first * 64 + F.col("rank")) * 8 + F.col("block")).cast("long") * F.lit(2**40) + F.col("pos")
+    # one whole number of wide fields keeps the order (list, rank, block, position), so that its minimum is a hash aggregate
+    parts = (first, F.col("rank"), F.col("block"), F.col("pos"))
+    places = (Decimal(10) ** 32, Decimal(10) ** 26, Decimal(10) ** 20, Decimal(1))
+    whole = "decimal(38,0)"
+    order = reduce(lambda a, b: a + b, ((p.cast(whole) * F.lit(n).cast(whole)).cast(whole) for p, n in zip(parts, places, strict=True))).cast(whole)
     return actions.select(*RECORD_KEY, moved.alias("category"), order.alias("order"), "text", "concept")
 
 

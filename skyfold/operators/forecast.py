@@ -195,7 +195,7 @@ def dataset_pairs(wide: DataFrame, names: list[str]) -> DataFrame:
                 F.lit(b).alias("b"),
                 F.col(f"_r_{a}_{b}").alias("r"),
                 (F.col(f"_m_{a}") - F.col(f"_m_{b}")).alias("bias"),
-                ((F.col(f"_m_{a}") - F.col(f"_m_{b}")) / F.col(f"_m_{b}") * 100.0).alias("bias_pct"),
+                (F.try_divide(F.col(f"_m_{a}") - F.col(f"_m_{b}"), F.col(f"_m_{b}")) * 100.0).alias("bias_pct"),
                 F.col(f"_m_{a}").alias("mean_a"),
                 F.col(f"_m_{b}").alias("mean_b"),
             )

@@ -73,7 +73,7 @@ def fuzzy_best(names: DataFrame, roster: DataFrame, cutoff: float = CUTOFF) -> D
         letters = F.array_sort(letter_counts(F.translate(name, RARE_FIRST, ORDERED)))
         lettered = df.withColumn(f"_l_{name}", letters)
         n = F.size(f"_l_{name}")
-        prefix = F.greatest(F.lit(1), (n - F.ceil(n * (cutoff / (2.0 - cutoff))) + 1).cast("int"))
+        prefix = F.greatest(F.lit(1), (n - F.ceil(F.round(n * (cutoff / (2.0 - cutoff)), 9)) + 1).cast("int"))
         lettered = lettered.withColumn(f"_p_{name}", F.slice(f"_l_{name}", F.lit(1), prefix))
         return lettered.withColumn("_t", F.explode(f"_p_{name}"))
 
@@ -81,7 +81,7 @@ def fuzzy_best(names: DataFrame, roster: DataFrame, cutoff: float = CUTOFF) -> D
     pool = roster.select(F.lower("state").alias("_s"), F.lower("district").alias("cand")).distinct()
     words = with_tokens(q.select("_s", "word").distinct(), "word")
     cands = with_tokens(pool, "cand")
-    need = cutoff * (F.length("word") + F.length("cand"))
+    need = cutoff * (F.length("word") + F.length("cand")) - 1e-9  # a pair exactly at the cutoff stays
     shared = F.size(F.array_intersect("_l_word", "_l_cand"))
     # a pair that shares several prefix tokens is kept at the first one only
     first = F.get(F.array_intersect("_p_word", "_p_cand"), F.lit(0)) == F.col("_t")

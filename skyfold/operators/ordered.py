@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyfold.session import stage
+
 BLOCK = 100_000
 
 
@@ -130,3 +132,18 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         b = F.coalesce(F.col(f"_b_{name}"), a)
         cols.append((a + (b - a) * (h - F.floor(h))).alias(name))
     return out.select(*keys, *cols)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows with their place from 1 in an order over the whole table.
+
+    Rows are range-partitioned and sorted once and written to the shared folder; a
+    place is the row's place in its partition plus the rows of the partitions
+    before, of which there is one number each.
+    """
+    number = F.monotonically_increasing_id()
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = stage(ordered.withColumns({"_part": F.shiftright(number, 33), "_place": number.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return ordered.join(before, "_part").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyfold.functions import geo
 from skyfold.functions.text import alnum_key
 from skyfold.operators.regrid import nearest_axis
+from skyfold.session import stage
 
 REGION = ["state", "district"]
 
@@ -60,13 +61,18 @@ def cells_inside(points: DataFrame, polygons: DataFrame, bucket: float = 1.0) ->
 
 
 def centroids(polygons: DataFrame) -> DataFrame:
-    """Area centroid of every region over all its parts."""
+    """Area centroid of every region over all its parts; the middle of its box where it has no area."""
     area, mx, my = geo.area_moments("edges")
-    parts = with_edges(polygons).select(*REGION, area.alias("a"), mx.alias("mx"), my.alias("my"))
+    box = ("min_lon", "max_lon", "min_lat", "max_lat")
+    parts = with_edges(polygons).select(*REGION, *box, area.alias("a"), mx.alias("mx"), my.alias("my"))
+
+    def middle(axis: str) -> Column:
+        return (F.min(f"min_{axis}") + F.max(f"max_{axis}")) / 2.0
+
     sign = F.signum("a")
     return parts.groupBy(*REGION).agg(
-        (F.sum(sign * F.col("mx")) / (3.0 * F.sum(F.abs("a")))).alias("lon"),
-        (F.sum(sign * F.col("my")) / (3.0 * F.sum(F.abs("a")))).alias("lat"),
+        F.coalesce(F.try_divide(F.sum(sign * F.col("mx")), 3.0 * F.sum(F.abs("a"))), middle("lon")).alias("lon"),
+        F.coalesce(F.try_divide(F.sum(sign * F.col("my")), 3.0 * F.sum(F.abs("a"))), middle("lat")).alias("lat"),
     )
 
 
@@ -245,28 +251,30 @@ def focus_regions(regions: DataFrame, names: list[str], margin: float = 0.6) ->
     )
 
 
-def nearest_place(queries: DataFrame, places: DataFrame, chunk: int = 4096) -> DataFrame:
+#: Sides of the buckets in degrees, from small to one that holds every coordinate.
+NEAREST_SIDES = (1.0, 4.0, 16.0, 64.0, 1024.0)
+
+
+def nearest_place(queries: DataFrame, places: DataFrame) -> DataFrame:
     """Nearest (state, district) point to each query point by squared degrees.
 
-    The place list is a reference table. It is cut into chunks of at most
-    ``chunk`` points that reach the query rows as scalar-subquery arrays, so the
-    queries are never shuffled or paired with whole tables, whatever the list's size.
+    Places lie in square buckets. A point meets the places of its bucket and the
+    eight round it; the nearest of them is final if it is no farther than the
+    bucket's side. Points without a final answer go on with larger buckets, so
+    points and places are paired by neighbourhood only. Ties go to the smaller name.
     """
-    n_chunks = max(1, -(-places.count() // chunk))
-    buckets = places.withColumn("_c", F.pmod(F.xxhash64("state", "district", "lat", "lon"), F.lit(n_chunks)))
-    lists = {}
-    for i in range(n_chunks):
-        point = F.struct(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "state", "district")
-        lists[f"_p{i}"] = buckets.where(F.col("_c") == i).select(F.collect_list(point)).scalar()
-    out = queries.withColumns(lists)
-    nearest = []
-    for name in lists:
-        d_lat, d_lon = (lambda p: F.col("lat") - p["p_lat"]), (lambda p: F.col("lon") - p["p_lon"])
-        ranked = F.transform(
-            name,
-            lambda p: F.struct(
-                (d_lat(p) * d_lat(p) + d_lon(p) * d_lon(p)).alias("d2"), p["state"].alias("state"), p["district"].alias("district")
-            ),
+    waiting = queries.select("lat", "lon").distinct()
+    around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+    final = None
+    for side in NEAREST_SIDES:
+        by, bx = F.floor(F.col("lat") / side), F.floor(F.col("lon") / side)
+        held = places.select("state", "district", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), by.alias("_by"), bx.alias("_bx"))
+        asked = waiting.withColumn("_n", F.explode(around)).select("lat", "lon", (by + F.col("_n.dy")).alias("_by"), (bx + F.col("_n.dx")).alias("_bx"))
+        d_lat, d_lon = F.col("lat") - F.col("p_lat"), F.col("lon") - F.col("p_lon")
+        found = asked.join(held, ["_by", "_bx"]).groupBy("lat", "lon").agg(
+            F.min(F.struct((d_lat * d_lat + d_lon * d_lon).alias("d2"), "state", "district")).alias("near")
         )
-        nearest.append(F.array_min(ranked))
-    return out.withColumn("near", F.least(*nearest) if len(nearest) > 1 else nearest[0]).drop(*lists)
+        settled = stage(found.where(F.col("near.d2") <= side * side), "nearest-place")
+        final = settled if final is None else final.unionAll(settled)
+        waiting = waiting.join(settled.select("lat", "lon"), ["lat", "lon"], "left_anti")
+    return queries.join(final, ["lat", "lon"], "left")

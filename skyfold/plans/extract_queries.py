@@ -118,11 +118,11 @@ def wn7(spark, sf):
 
 @query("wn6_context_fill", f"""SELECT doc, "row", last_value(CASE WHEN t <> '' THEN t END IGNORE NULLS) OVER w AS farming_situation,
    last_value(CASE WHEN c <> '' AND ({condition_sql('c')}) IS NULL THEN c END IGNORE NULLS) OVER w AS crop FROM (
-   SELECT doc, "row", trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, trim(CASE WHEN "row" % 3 = 1 THEN 'Flood' ELSE left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 12) END) AS c FROM v_cells_tbl)
+   SELECT doc, "row", trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, trim(CASE WHEN "row" % 3 = 1 THEN 'Flood' ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END) AS c FROM v_cells_tbl)
    WINDOW w AS (PARTITION BY doc ORDER BY "row" ROWS UNBOUNDED PRECEDING)""")
 def wn6(spark, sf):
     cells = v.table_cells(spark, sf).select(
-        "doc", "row", F.col("text").alias("farm"), F.when(F.col("row") % 3 == 1, "Flood").otherwise(F.left(text.squeeze(F.col("text")), F.lit(12))).alias("crop_text")
+        "doc", "row", F.col("text").alias("farm"), F.when(F.col("row") % 3 == 1, "Flood").otherwise(text.squeeze(F.col("text"))).alias("crop_text")
     )
     return extract.fill_context(cells, ["doc"], "farm", "crop_text").select("doc", "row", "farming_situation", "crop")
 
@@ -162,7 +162,7 @@ def plan_cells(spark, sf):
         F.when(pos % 3 == 0, F.concat(F.lit("Situation "), (pos % 4).cast("string"))).otherwise(""),
         F.when(pos % 4 == 1, F.concat(F.lit("Rice - "), (pos % 7).cast("string"))),
         F.when(pos % 7 == 3, "-do-").otherwise(step),
-        F.when(pos % 5 == 2, "NA").when(pos % 5 == 4, "").otherwise(F.concat(F.lit("Mulch then "), F.left("line", F.lit(80)))),
+        F.when(pos % 5 == 2, "NA").when(pos % 5 == 4, "").otherwise(F.concat(F.lit("Mulch then "), F.col("line"))),
         F.lit(""),
     )
     # the first page starts with a header row, so its body is one row lower
@@ -176,7 +176,7 @@ def plan_cells(spark, sf):
 
 VIEW_SQL["v_plan_rows"] = f"""SELECT doc_id, pos, CAST(floor(pos / 6.0) AS BIGINT) AS page, {_sql_pick('pos % 5', CONDITIONS)} AS cond, CASE WHEN pos % 3 = 0 THEN 'Situation ' || pos % 4 END AS farm,
   CASE WHEN pos % 4 = 1 THEN 'Rice - ' || pos % 7 END AS crop, CASE WHEN pos % 7 = 3 THEN '-do-' ELSE replace(line, '. ', ' • ') END AS chg,
-  CASE WHEN pos % 5 = 2 THEN 'NA' WHEN pos % 5 = 4 THEN '' ELSE 'Mulch then ' || left(line, 80) END AS agro, line FROM v_lines"""
+  CASE WHEN pos % 5 = 2 THEN 'NA' WHEN pos % 5 = 4 THEN '' ELSE 'Mulch then ' || line END AS agro, line FROM v_lines"""
 
 
 @query("ex1_table_analysis", """SELECT doc_id, 0 AS page, 'measures' AS kind, 1 AS data_start, '0:condition,1:farming,2:normal,3:change,4:agro,5:remarks' AS anchors FROM documents""")

@@ -13,6 +13,7 @@ VARS = {"t2m": "mean", "precip": "mean"}
 
 
 def r(name: str, digits: int = 6):
+    """Rounded for quantities that cannot sit on a tie of the last digit."""
     return F.round(F.col(name), digits).alias(name)
 
 
@@ -58,14 +59,14 @@ SIGNAL = "CASE WHEN precip >= 3 THEN 'above_normal' WHEN precip <= -3 THEN 'belo
 
 @query(
     "flagship_weekly_outlook",
-    f"""SELECT state, district, week, round(precip, 6) AS precip, round(t2m, 6) AS t2m, n_models, {SIGNAL} AS signal
+    f"""SELECT state, district, week, round(precip + 1e-9, 6) AS precip, round(t2m + 1e-9, 6) AS t2m, n_models, {SIGNAL} AS signal
     FROM (SELECT state, district, week, avg(precip) AS precip, avg(t2m) AS t2m, count(DISTINCT model) AS n_models
           FROM v_regional GROUP BY ALL)""",
 )
 def flagship(spark, sf):
     mme = forecast.multi_model_mean(regional_models(spark, sf), ["state", "district", "week"], ["t2m", "precip"])
     return mme.select(
-        "state", "district", "week", r("precip"), r("t2m"), "n_models",
+        "state", "district", "week", up("precip"), up("t2m"), "n_models",
         signals.rain_signal(F.col("precip")).alias("signal"),
     )
 
@@ -132,13 +133,13 @@ def pf6(spark, sf):
 @query(
     "pf7_units",
     """SELECT year, lead, count(*) AS n, round(avg(t - 273.15), 5) AS celsius, round(avg(p * 86400000), 3) AS mm_day,
-       round(avg(p * 86400), 6) AS mm_day_mass, round(avg(p * 1e9 / day(last_day(make_date(CAST(year AS BIGINT), CAST(lead + 6 AS BIGINT), 1)))), 3) AS per_day,
+       round(avg(p * 86400), 6) AS mm_day_mass, round(avg(p * 1e9 / day(last_day((make_date(CAST(year AS BIGINT), 6, 1) + to_months(CAST(lead AS INT)))))), 3) AS per_day,
        round(avg(p * 1e6 * 1000), 3) AS mm
        FROM v_hind GROUP BY year, lead""",
 )
 def pf7(spark, sf):
     h = v.hindcast(spark, sf)
-    month = F.make_date("year", F.col("lead") + 6, F.lit(1))
+    month = F.add_months(F.make_date("year", F.lit(6), F.lit(1)), F.col("lead"))
     return h.groupBy("year", "lead").agg(
         F.count("*").alias("n"),
         F.round(F.avg(grid.kelvin_to_celsius(F.col("t"))), 5).alias("celsius"),
@@ -173,7 +174,7 @@ def pf32_percent(spark, sf):
 @query(
     "pf35_slice_by_label",
     """SELECT cell, round(avg(t), 5) AS t FROM v_hind
-       WHERE strftime(make_date(CAST(year AS BIGINT), CAST(lead + 6 AS BIGINT), 1), '%b %Y') = 'Aug 1999' GROUP BY cell""",
+       WHERE strftime((make_date(CAST(year AS BIGINT), 6, 1) + to_months(CAST(lead AS INT))), '%b %Y') = 'Aug 1999' GROUP BY cell""",
 )
 def pf35(spark, sf):
     label = dates.valid_month_label(F.make_date("year", F.lit(6), F.lit(1)), F.col("lead"))
@@ -303,11 +304,11 @@ def st3(spark, sf):
 
 @query(
     "st5_pool_members",
-    "SELECT state, district, week, count(precip) AS n_pool, round(avg(precip), 6) AS precip FROM v_regional_members GROUP BY ALL",
+    "SELECT state, district, week, count(precip) AS n_pool, round(avg(precip) + 1e-9, 6) AS precip FROM v_regional_members GROUP BY ALL",
 )
 def st5(spark, sf):
     return member_regional(spark, sf).groupBy("state", "district", "week").agg(
-        F.count("precip").alias("n_pool"), F.round(F.avg("precip"), 6).alias("precip")
+        F.count("precip").alias("n_pool"), up(F.avg("precip")).alias("precip")
     )
 
 
@@ -324,18 +325,18 @@ def jn18(spark, sf):
     return mean_anomaly(spark, sf).select("model", "cell", "week", r("t2m"), r("precip"))
 
 
-@query("ag1_regional_mean", """SELECT state, district, model, week, round(sum(w * t2m) / sum(w), 6) AS t2m,
-       round(sum(w * x) / sum(CASE WHEN x IS NOT NULL THEN w END), 6) AS precip
+@query("ag1_regional_mean", """SELECT state, district, model, week, round(sum(w * t2m) / sum(w) + 1e-9, 6) AS t2m,
+       round(sum(w * x) / sum(CASE WHEN x IS NOT NULL THEN w END) + 1e-9, 6) AS precip
        FROM (SELECT *, CASE WHEN precip > -4 THEN precip END AS x FROM v_anom_mean JOIN v_weights USING (cell)) GROUP BY ALL""")
 def ag1(spark, sf):
     holes = mean_anomaly(spark, sf).withColumn("precip", F.when(F.col("precip") > -4, F.col("precip")))
     return region.regional_mean(holes, cell_weights(spark, sf), ["cell"], ["model", "week"], ["t2m", "precip"]).select(
-        "state", "district", "model", "week", r("t2m"), r("precip")
+        "state", "district", "model", "week", up("t2m"), up("precip")
     )
 
 
 @query("ag2_null_propagating_mean", """SELECT district, model, week,
-       round(CASE WHEN bool_or(bad) THEN NULL ELSE sum(w * t2m) / sum(w) END, 6) AS t2m
+       round(CASE WHEN bool_or(bad) THEN NULL ELSE sum(w * t2m) / sum(w) END + 1e-9, 6) AS t2m
        FROM (SELECT a.*, b.bad FROM (SELECT *, CASE WHEN t2m > -48 THEN t2m END AS x FROM v_anom_mean) a
              JOIN (SELECT model, week, bool_or(t2m <= -48) AS bad FROM v_anom_mean GROUP BY ALL) b USING (model, week))
        JOIN v_weights USING (cell) GROUP BY district, model, week""")
@@ -343,7 +344,7 @@ def ag2(spark, sf):
     holes = mean_anomaly(spark, sf).withColumn("t2m", F.when(F.col("t2m") > -48, F.col("t2m")))
     return region.slice_propagating_mean(
         holes, cell_weights(spark, sf), ["cell"], ["model", "week"], "t2m", ["district"]
-    ).select("district", "model", "week", r("t2m"))
+    ).select("district", "model", "week", up("t2m"))
 
 
 @query(
@@ -575,7 +576,7 @@ def ag13(spark, sf):
 VIEW_SQL["v_acc"] = """
 SELECT h.district, h.lead, corr(h.t, o.t2m) AS acc, count(*) AS n_years FROM
  (SELECT district, lead, year, avg(t) AS t FROM v_hind_reg GROUP BY ALL) h
- JOIN v_obs_month o ON o.district = h.district AND o.month = make_date(CAST(h.year AS BIGINT), CAST(h.lead + 6 AS BIGINT), 1)
+ JOIN v_obs_month o ON o.district = h.district AND o.month = CAST(make_date(CAST(h.year AS BIGINT), 6, 1) + to_months(CAST(h.lead AS INT)) AS DATE)
 GROUP BY ALL"""
 
 
@@ -590,7 +591,7 @@ def skill_pairs(spark, sf):
     "jn17_asof_month",
     """SELECT h.district, h.lead, h.year, o.month AS obs_month, round(o.t2m + 1e-9, 5) AS t2m
        FROM (SELECT DISTINCT district, lead, year FROM v_hind_reg) h
-       JOIN v_obs_month o ON o.district = h.district AND o.month = make_date(CAST(h.year AS BIGINT), CAST(h.lead + 6 AS BIGINT), 1)""",
+       JOIN v_obs_month o ON o.district = h.district AND o.month = CAST(make_date(CAST(h.year AS BIGINT), 6, 1) + to_months(CAST(h.lead AS INT)) AS DATE)""",
 )
 def jn17(spark, sf):
     return skill_pairs(spark, sf).select("district", "lead", "year", "obs_month", up("t2m", 5))
@@ -604,7 +605,7 @@ def ag15(spark, sf):
 
 @query(
     "ag16_regional_skill",
-    """SELECT r_name AS state, lead, round(sum(w * acc) / sum(w), 5) AS acc FROM
+    """SELECT r_name AS state, lead, round(sum(w * acc) / sum(w) + 1e-9, 5) AS acc FROM
        (SELECT district, lead, acc FROM v_acc WHERE n_years > 2) a JOIN nation ON n_name = district JOIN region ON r_regionkey = n_regionkey
        JOIN (SELECT n_name AS nm, cos(radians(6.0::DOUBLE + n_nationkey)) AS w FROM nation) ON nm = district GROUP BY ALL""",
 )
@@ -614,7 +615,7 @@ def ag16(spark, sf):
     w = nation.join(reg, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("r_name").alias("state"), F.col("n_name").alias("district"), F.cos(F.radians(6.0 + F.col("n_nationkey"))).alias("w")
     )
-    return region.regional_mean(acc, w, ["district"], ["lead"], ["acc"], ["state"]).select("state", "lead", r("acc", 5))
+    return region.regional_mean(acc, w, ["district"], ["lead"], ["acc"], ["state"]).select("state", "lead", up("acc", 5))
 
 
 @query(
@@ -718,8 +719,8 @@ def ag22_all(spark, sf):
 @query(
     "jn21_combine_models",
     """SELECT cell, label, round((a.t + b.t) / 2 + 1e-9, 5) AS t FROM
-       (SELECT cell, strftime(make_date(CAST(year AS BIGINT), CAST(lead + 6 AS BIGINT), 1), '%b %Y') AS label, avg(t) AS t FROM v_hind WHERE member <= 3 GROUP BY ALL) a JOIN
-       (SELECT cell, strftime(make_date(CAST(year AS BIGINT), CAST(lead + 6 AS BIGINT), 1), '%b %Y') AS label, avg(t) AS t FROM v_hind WHERE member > 3 GROUP BY ALL) b USING (cell, label)""",
+       (SELECT cell, strftime((make_date(CAST(year AS BIGINT), 6, 1) + to_months(CAST(lead AS INT))), '%b %Y') AS label, avg(t) AS t FROM v_hind WHERE member <= 3 GROUP BY ALL) a JOIN
+       (SELECT cell, strftime((make_date(CAST(year AS BIGINT), 6, 1) + to_months(CAST(lead AS INT))), '%b %Y') AS label, avg(t) AS t FROM v_hind WHERE member > 3 GROUP BY ALL) b USING (cell, label)""",
 )
 def jn21(spark, sf):
     label = dates.valid_month_label(F.make_date("year", F.lit(6), F.lit(1)), F.col("lead"))
@@ -892,7 +893,7 @@ def jn11(spark, sf):
     names = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(g, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("c_custkey").alias("k"),
         F.when(F.col("c_custkey") % 2 == 0, F.col("r_name")).otherwise("ELSEWHERE").alias("state"),
-        F.concat(F.substring("n_name", 1, 3), F.lit(" "), F.substring("n_name", 4, 20)).alias("district"),
+        F.concat(F.substring("n_name", 1, 3), F.lit(" "), F.expr("substring(n_name, 4)")).alias("district"),
         F.col("n_name").alias("req"),
     )
     m = region.match_polygons(names, v.polygons(spark, sf))

@@ -446,7 +446,7 @@ def fuzzy_inputs(spark, sf):
     full = F.concat_ws(" ", "p_name", "p_type")
     cut = 1 + F.col("p_partkey") % 5
     typed = F.when(F.col("p_partkey") % 3 == 0, F.upper(full)).otherwise(
-        F.concat(F.substring(full, F.lit(1), cut), F.substring(full, cut + 2, F.lit(100)))
+        F.concat(F.substring(full, F.lit(1), cut), F.substring(full, cut + 2, F.length(full)))
     )
     return p.select(F.col("p_partkey").alias("id"), F.lower("p_brand").alias("state"), typed.alias("district")), roster
 
@@ -531,7 +531,7 @@ def plan_rows(spark, sf):
     k = F.col("o_orderkey")
     return o.join(recs, F.col("o_custkey") == F.col("k")).select(
         "state", "district", F.get(names, (k % 6).cast("int")).alias("scenario"),
-        F.when(k % 4 == 0, "livestock").otherwise("crop").alias("kind"), k.cast("int").alias("pos"),
+        F.when(k % 4 == 0, "livestock").otherwise("crop").alias("kind"), k.alias("pos"),
         F.concat(F.lit("Plan step "), k.cast("string"), F.lit(" for "), "o_orderpriority").alias("action"),
         F.when(k % 2 == 0, "Basmati Rice - late").otherwise("Maize").alias("crop"),
     )

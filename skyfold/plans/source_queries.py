@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skyfold import schemas
 from skyfold.functions import dates, geo, signals, text
-from skyfold.operators import grid, matching, quality, records
+from skyfold.operators import grid, matching, ordered, quality, records
 from skyfold.plans import views as v
 from skyfold.plans.grid_queries import r
 from skyfold.plans.record_queries import odds_rows, s2s, signed_sql, sql_text
@@ -388,10 +388,9 @@ def fn1(spark, sf):
     return v.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), text.alnum_key(F.concat("p_name", F.lit(" - "), "p_brand")).alias("key"))
 
 
-@query("fn2_slugs", """SELECT doc_id, pos, trim(regexp_replace(lower(strip_accents(line)), '[^a-z0-9]+', '_', 'g'), '_') AS ascii FROM v_lines WHERE regexp_full_match(line, '[ -~àâäçèéêëîïôöùûüÀÂÄÇÈÉÊËÎÏÔÖÙÛÜñáíóúÑÁÍÓÚ]*')""")
+@query("fn2_slugs", """SELECT doc_id, pos, trim(regexp_replace(lower(regexp_replace(strip_accents(line), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '_', 'g'), '_') AS ascii FROM v_lines""")
 def fn2(spark, sf):
-    lines = v.lines(spark, sf).where(F.col("line").rlike("^[ -~àâäçèéêëîïôöùûüÀÂÄÇÈÉÊËÎÏÔÖÙÛÜñáíóúÑÁÍÓÚ]*$"))
-    return lines.select("doc_id", "pos", text.ascii_slug(F.col("line")).alias("ascii"))
+    return v.lines(spark, sf).select("doc_id", "pos", text.ascii_slug(F.col("line")).alias("ascii"))
 
 
 @query("fn2_word_slug", "SELECT p_partkey AS k, lower(replace(p_name, ' ', '_') || '_' || replace(p_brand, '#', '')) AS slug, '_' || lower(replace(p_name, ' ', '_')) || '-' || lower(p_type) AS focus FROM part")
@@ -521,14 +520,8 @@ def pf30(spark, sf):
 
 @query("sl5_sorted_rows", "SELECT state, district, row_number() OVER (ORDER BY lower(state), lower(district)) AS place FROM v_record")
 def sl5(spark, sf):
-    # place = rows in earlier states plus the place inside the state, so no task orders the whole table
-    from pyspark.sql import Window
-
     recs = v.records(spark, sf).select("state", "district", F.lower("state").alias("_s"), F.lower("district").alias("_d"))
-    sizes = recs.groupBy("_s").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
-    inside = F.row_number().over(Window.partitionBy("_s").orderBy("_d"))
-    return recs.withColumn("i", inside).join(before, "_s").select("state", "district", (F.col("before") + F.col("i")).alias("place"))
+    return ordered.numbered(recs, ["_s", "_d"], "place").select("state", "district", "place")
 
 
 _ERR = """SELECT k, 'rainfall_last_14_days_pct_departure' AS field, 'missing' AS error FROM v_record WHERE k % 10 = 3

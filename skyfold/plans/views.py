@@ -10,16 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.plans.registry import VIEW_SQL
-from skyfold.session import spread
 
 INIT = "2024-01-01"
-# Tables whose rows are heavy to process: whole texts and markup.
-TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 # --- grid -----------------------------------------------------------------
@@ -140,26 +136,22 @@ FROM orders"""
 
 
 def hindcast(spark: SparkSession, sf: str) -> DataFrame:
-    """Seasonal member values for every year, one row per line item of June to November."""
+    """Seasonal member values of every June start, twelve months ahead, one row per line item."""
     ship = F.col("l_shipdate").cast("date")
-    return (
-        table(spark, sf, "lineitem")
-        .where(F.month(ship).between(6, 11))
-        .select(
-            F.year(ship).alias("year"),
-            (F.month(ship) - 6).alias("lead"),
-            F.col("l_linenumber").alias("member"),
-            F.col("l_suppkey").alias("cell"),
-            (F.col("l_quantity") + 273.15).alias("t"),
-            (F.col("l_extendedprice") / 1e9).alias("p"),
-        )
+    return table(spark, sf, "lineitem").select(
+        (F.year(ship) - F.when(F.month(ship) < 6, 1).otherwise(0)).alias("year"),
+        F.pmod(F.month(ship) - 6, F.lit(12)).alias("lead"),
+        F.col("l_linenumber").alias("member"),
+        F.col("l_suppkey").alias("cell"),
+        (F.col("l_quantity") + 273.15).alias("t"),
+        (F.col("l_extendedprice") / 1e9).alias("p"),
     )
 
 
 VIEW_SQL["v_hind"] = """
-SELECT year(l_shipdate) AS year, month(l_shipdate) - 6 AS lead, l_linenumber AS member,
+SELECT year(l_shipdate) - (month(l_shipdate) < 6)::INT AS year, (month(l_shipdate) + 6) % 12 AS lead, l_linenumber AS member,
        l_suppkey AS cell, l_quantity + 273.15::DOUBLE AS t, l_extendedprice / 1e9::DOUBLE AS p
-FROM lineitem WHERE month(l_shipdate) BETWEEN 6 AND 11"""
+FROM lineitem"""
 
 
 def supplier_regions(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,7 +231,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
         )
 
     return (
-        spread(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+        table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             k.alias("k"),

@@ -26,6 +26,9 @@ def build_session(app: str = "skyfold", master: str | None = None, **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
     }
+    if master and master.startswith("local["):
+        # small single-file inputs are cut for all cores
+        settings["spark.sql.files.minPartitionNum"] = master[6:].split(",")[0].rstrip("]").replace("*", str(os.cpu_count()))
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -58,12 +61,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over all cores when it comes from fewer file splits than there are cores.
-
-    For work that is heavy per row. A large input has more splits than cores and
-    is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
