@@ -470,13 +470,16 @@ _L5 = "CASE WHEN {0} >= 7 THEN '{1[0]}' WHEN {0} >= 3 THEN '{1[1]}' WHEN {0} <=
 EN, HI = signals.OUTLOOK_LABELS_EN, signals.OUTLOOK_LABELS_HI
 
 
-@query("ad1_summary_en", f"""SELECT k, CASE WHEN since_jun1 < -20 THEN 'Rainfall has been ' || abs(since_jun1) || '% below normal since June 1'
+VIEW_SQL["v_summary_en"] = f"""SELECT k, CASE WHEN since_jun1 < -20 THEN 'Rainfall has been ' || abs(since_jun1) || '% below normal since June 1'
    WHEN since_jun1 > 20 THEN 'Rainfall has been ' || since_jun1 || '% above normal since June 1' ELSE 'Rainfall has been near normal since June 1' END || ', ' ||
    CASE WHEN below = 4 THEN 'the 4-week outlook shows persistently below-normal rainfall' WHEN above = 4 THEN 'the 4-week outlook shows sustained above-normal rainfall'
    WHEN relief THEN 'this week''s rainfall is ' || {_T3.format('wk1')} || ' but the outlook improves over weeks 2-4'
    WHEN drying THEN 'this week''s rainfall is ' || {_T3.format('wk1')} || ' but the outlook dries out over weeks 2-4'
    ELSE 'the 4-week rainfall outlook is mixed (' || {_T3.format('wk1')} || ' this week, ' || {_T3.format('wk4')} || ' by week 4)' END ||
-   CASE WHEN heat_wave THEN ', and Heat stress is elevated with heat wave warnings in effect' WHEN tmax = 'above_normal' THEN ', and Above-normal temperatures are expected' ELSE '' END || '.' AS summary FROM v_traj""")
+   CASE WHEN heat_wave THEN ', and Heat stress is elevated with heat wave warnings in effect' WHEN tmax = 'above_normal' THEN ', and Above-normal temperatures are expected' ELSE '' END || '.' AS summary FROM v_traj"""
+
+
+@query("ad1_summary_en", "SELECT k, summary FROM v_summary_en")
 def ad1(spark, sf):
     return prepared(spark, sf).select("k", advisory.summary_en().alias("summary"))
 
@@ -500,13 +503,16 @@ def wn13(spark, sf):
     return prepared(spark, sf).select("k", advisory.describe_later_weeks(labels).alias("phrase"))
 
 
-@query("ad3_outlook_en", f"""SELECT k, 'This week: rainfall ' || l1 || ' (' || {signed_sql('wk1', 1)} || ' mm/day) ' ||
+VIEW_SQL["v_narrative_en"] = f"""SELECT k, 'This week: rainfall ' || l1 || ' (' || {signed_sql('wk1', 1)} || ' mm/day) ' ||
    CASE WHEN relief THEN 'Outlook improves — ' || d || '. Some relief expected.' WHEN drying THEN 'Caution — while this week is ' || l1 || ', the outlook dries: ' || d || '.'
    WHEN below = 4 THEN 'Persistent dry conditions expected across all 4 weeks.' WHEN above = 4 THEN 'Sustained above-normal rainfall expected across all 4 weeks.'
    ELSE upper(d[1]) || d[2:] || '.' END || CASE WHEN since_jun1 <= -30 THEN ' Season-to-date rainfall is ' || abs(since_jun1) || '% below normal — any above-normal rain is helpful for deficit recovery.'
    WHEN since_jun1 >= 20 THEN ' Season-to-date rainfall is ' || since_jun1 || '% above normal — additional heavy rain increases waterlogging risk.' ELSE '' END ||
    CASE WHEN t1 >= 2 THEN ' Temperatures are elevated (' || {signed_sql('t1', 1)} || '°C above normal this week).'
-   WHEN t1 <= -2 THEN ' Temperatures are cooler than normal (' || {signed_sql('t1', 1)} || '°C this week), likely due to cloud cover.' ELSE '' END AS narrative FROM v_desc""")
+   WHEN t1 <= -2 THEN ' Temperatures are cooler than normal (' || {signed_sql('t1', 1)} || '°C this week), likely due to cloud cover.' ELSE '' END AS narrative FROM v_desc"""
+
+
+@query("ad3_outlook_en", "SELECT k, narrative FROM v_narrative_en")
 def ad3(spark, sf):
     return prepared(spark, sf).select("k", advisory.narrative_en().alias("narrative"))
 
@@ -686,15 +692,27 @@ def dd1(spark, sf):
 
 
 _ORIGIN = "CASE category WHEN 'do_now' THEN 1 WHEN 'prepare' THEN 2 ELSE 3 END"
-VIEW_SQL["v_split"] = f"""SELECT k, context_id, cat AS category, text, min(ROW(CASE WHEN cat = 'general_guidance' THEN o ELSE 0 END, rank, block, pos)) AS ord FROM (
-  SELECT *, {_ORIGIN} AS o, CASE WHEN {_any('text', advisory.EVERGREEN)} THEN 'general_guidance' ELSE category END AS cat FROM v_actions) GROUP BY ALL"""
+
+
+def split_sql(source):
+    """Actions under their final category, each text once at its first place."""
+    return f"""SELECT k, context_id, cat AS category, text, min(ROW(CASE WHEN cat = 'general_guidance' THEN o ELSE 0 END, rank, block, pos)) AS ord FROM (
+  SELECT *, {_ORIGIN} AS o, CASE WHEN {_any('text', advisory.EVERGREEN)} THEN 'general_guidance' ELSE category END AS cat FROM {source}) GROUP BY ALL"""
+
+
+VIEW_SQL["v_split"] = split_sql("v_actions")
 _CONCEPT = "CASE " + " ".join(f"WHEN {_any('text', g)} THEN {i}" for i, g in enumerate(dedup.CONCEPTS)) + " END"
 
 
-@query("dd2_concept_dedup", f"""WITH u AS (SELECT *, {_CONCEPT} AS c, row_number() OVER (PARTITION BY k, context_id, category ORDER BY ord) AS n FROM v_split)
+def merged_sql(source):
+    """One text per concept and list, in order."""
+    return f"""WITH u AS (SELECT *, {_CONCEPT} AS c, row_number() OVER (PARTITION BY k, context_id, category ORDER BY ord) AS n FROM {source})
    SELECT k, context_id, category, text, row_number() OVER (PARTITION BY k, context_id, category ORDER BY n) AS place FROM (
      SELECT k, context_id, category, text, n FROM u WHERE c IS NULL UNION ALL
-     SELECT k, context_id, category, first(text ORDER BY length(text) DESC, n), min(n) FROM u WHERE c IS NOT NULL GROUP BY k, context_id, category, c)""")
+     SELECT k, context_id, category, first(text ORDER BY length(text) DESC, n), min(n) FROM u WHERE c IS NOT NULL GROUP BY k, context_id, category, c)"""
+
+
+@query("dd2_concept_dedup", merged_sql("v_split"))
 def dd2(spark, sf):
     from pyspark.sql import Window
 
@@ -705,11 +723,29 @@ def dd2(spark, sf):
     return keyed(placed.drop("order"), spark, sf)
 
 
-@query("dd3_overlap_fold")
+_STOP_LIST = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+def fold_sql(source):
+    """The greedy overlap fold of ordered lists (``id, ts``) as a recursion over their places: ``id, kt``."""
+    words = f"list_distinct(list_filter(string_split_regex(lower(t), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains([{_STOP_LIST}], w)))"
+    hit = "len(o) > 0 AND 2 * len(list_intersect(o, bag)) >= least(len(o), len(bag))"
+    return f"""(WITH RECURSIVE s AS (SELECT id, ts, list_transform(ts, lambda t: {words}) AS bags FROM {source}),
+  f(id, i, kt, kb) AS (SELECT id, 0, []::VARCHAR[], []::VARCHAR[][] FROM s
+   UNION ALL SELECT id, i + 1,
+     CASE WHEN near IS NULL THEN list_append(kt, t) WHEN length(t) > length(kt[near]) THEN list_concat(list_append(kt[:near - 1], t), kt[near + 1:]) ELSE kt END,
+     CASE WHEN near IS NULL THEN list_append(kb, bag) WHEN length(t) > length(kt[near]) THEN list_concat(list_append(kb[:near - 1], bag), kb[near + 1:]) ELSE kb END
+   FROM (SELECT id, i, kt, kb, t, bag, CASE WHEN len(bag) > 0 THEN nullif(coalesce(list_position(list_transform(kb, lambda o: {hit}), true), 0), 0) END AS near
+     FROM (SELECT f.id, i, kt, kb, ts[i + 1] AS t, bags[i + 1] AS bag FROM f JOIN s ON s.id = f.id WHERE i < len(ts))))
+  SELECT f.id, kt FROM f JOIN s ON s.id = f.id WHERE i = len(ts))"""
+
+
+@query("dd3_overlap_fold", f"""SELECT id AS doc_id, len(kt) AS n_kept, array_to_string(kt, ' | ') AS kept
+   FROM {fold_sql("(SELECT doc_id AS id, string_split(text, chr(10)) AS ts FROM documents)")}""")
 def dd3(spark, sf):
     kept = dedup.overlap_fold(F.split("text", "\n"))
     return v.table(spark, sf, "documents").select("doc_id", kept.alias("k")).select(
-        "doc_id", F.size("k").alias("n_kept"), F.xxhash64("k").alias("hash")
+        "doc_id", F.size("k").alias("n_kept"), F.array_join("k", " | ").alias("kept")
     )
 
 
@@ -725,18 +761,42 @@ def full_advisories(spark, sf):
     )
 
 
-@query("ad7_action_lists")
+def lists_sql(source):
+    """Capped lists with their overflow notes: ``k, context_id`` and one text per category."""
+    over = {c: f"len({c}) - {n}" for c, n in advisory.CAPS.items()}
+    note = {c: "'" + text.ACTION_TEMPLATES[key].replace("%d", f"' || ({over[c]}) || '") + "'" for c, key in (("do_now", "additional_contingency"), ("prepare", "additional_preparatory"))}
+    key = "k || '/' || context_id || '/' || category"
+    folded = fold_sql(f"(SELECT {key} AS id, list(text ORDER BY place) AS ts FROM ({merged_sql(f'({split_sql(source)})')}) GROUP BY ALL)")
+    columns = ", ".join(f"coalesce(any_value(kt) FILTER (WHERE split_part(id, '/', 3) = '{c}'), []) AS {c}" for c in advisory.CATEGORIES)
+    shown = ", ".join(f"array_to_string({c}[:{n}], ' | ') AS {c}" for c, n in advisory.CAPS.items())
+    return f"""SELECT k, context_id, {shown}, array_to_string(avoid, ' | ') AS avoid, array_to_string(list_concat(general_guidance, list_filter([now_note,
+     CASE WHEN {over['prepare']} > 0 AND now_note IS NULL AND len(list_filter(general_guidance, lambda g: contains(g, 'Additional contingency measures'))) = 0 THEN {note['prepare']} END],
+     lambda z: z IS NOT NULL)), ' | ') AS general_guidance
+   FROM (SELECT *, CASE WHEN {over['do_now']} > 0 THEN {note['do_now']} END AS now_note FROM (
+     SELECT split_part(id, '/', 1)::BIGINT AS k, split_part(id, '/', 2)::INT AS context_id, {columns} FROM {folded} GROUP BY 1, 2))"""
+
+
+@query("ad7_action_lists", f"SELECT state, district, l.* EXCLUDE (k) FROM ({lists_sql('v_actions')}) l JOIN v_record USING (k)")
 def ad7(spark, sf):
     lists = advisory.assemble(advisory.deduplicate(advisory.separate_evergreen(all_actions(spark, sf))))
     return lists.select(*advisory.RECORD_KEY, *[F.array_join(c, " | ").alias(c) for c in advisory.CATEGORIES])
 
 
-@query("ad8_advisories")
+VIEW_SQL["v_all_actions"] = """SELECT k, context_id, category, rank, block, pos, text FROM v_actions
+  UNION ALL SELECT k, context_id, category, 0, 0, i, text FROM v_baseline"""
+
+
+@query("ad8_advisories", f"""SELECT r.state, r.district, r.context_id, coalesce(s.overall_risk, 'Low') AS overall_risk, coalesce(s.confidence, 'Low') AS confidence,
+   summary AS forecast_summary, narrative AS outlook_narrative, coalesce(s.main_concerns, '') AS main_concerns, l.do_now, l.prepare, l.avoid, l.general_guidance
+   FROM v_rc r JOIN v_summary_en USING (k) JOIN v_narrative_en USING (k)
+   LEFT JOIN (SELECT k, context_id, max(CASE WHEN scenario_rank = 0 THEN risk_level END) AS overall_risk, max(CASE WHEN scenario_rank = 0 THEN confidence END) AS confidence,
+     string_agg(display_name, '; ' ORDER BY scenario_rank) AS main_concerns FROM v_scen_ctx GROUP BY ALL) s ON s.k = r.k AND s.context_id = r.context_id
+   LEFT JOIN ({lists_sql('v_all_actions')}) l ON l.k = r.k AND l.context_id = r.context_id""")
 def ad8(spark, sf):
     return full_advisories(spark, sf).select(
         "state", "district", "context_id", "overall_risk", "confidence", "forecast_summary", "outlook_narrative",
         F.array_join("main_concerns", "; ").alias("main_concerns"),
-        *[F.size(c).alias(f"n_{c}") for c in advisory.CATEGORIES],
+        *[F.array_join(c, " | ").alias(c) for c in advisory.CATEGORIES],
     )
 
 
