@@ -66,13 +66,12 @@ def test_suffix_array_and_prefixes():
     for n in (50, 51, 900):
         text = bytes(rng.choice(b"ab") for _ in range(n)) if n > 60 else b"a" * n
         data = np.frombuffer(text, np.uint8)
-        order, rank = suffixes.suffix_order(data)
-        whole = [i for i in order.tolist() if i + 50 <= n]
+        marked = np.arange(n) + 50 <= n
+        whole = suffixes.suffix_order(data, marked)[0].tolist()
         assert whole == sorted(range(n - 49), key=lambda i: (text[i : i + 50], i))
         before = np.full(n, -1)
         before[whole[1:]] = whole[:-1]
-        marked = np.arange(n) + 50 <= n
-        found = suffixes.common_prefixes(data, np.array([0]), np.array([n - 49]), before, marked)
+        found = suffixes.common_prefixes(suffixes.eight_bytes(data), np.array([0]), np.array([n - 49]), before, marked)
         for a, b in zip(whole, whole[1:], strict=False):
             assert found[b] == next((k for k in range(50) if text[a + k] != text[b + k]), 50)
 
