@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -107,11 +109,29 @@ def clean_roster_name(c: Column) -> Column:
     return squeeze(s)
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(s: pd.Series) -> pd.Series:
+    return s.map(html.unescape, na_action="ignore").str.replace("\xa0", " ")
+
+
 def unescape_html(c: Column) -> Column:
-    """The character references that occur in index pages."""
-    for ref, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(ref), F.lit(char))
-    return c
+    """All named and numbered character references; a fixed space becomes a plain one.
+
+    The table of names has no built-in, so texts with a reference go through one Arrow batch call.
+    """
+    return F.when(F.contains(c, F.lit("&")), _decoded(c)).otherwise(c)
+
+
+def absolute_url(base: Column, href: Column) -> Column:
+    """A link's address seen from the page ``base``: full, host-relative or beside the page."""
+    origin = F.regexp_extract(base, r"^[a-zA-Z][\w+.-]*://[^/?#]*", 0)
+    folder = F.regexp_extract(base, r"^[a-zA-Z][\w+.-]*://[^/?#]*(/(?:[^?#]*/)?)?", 1)
+    return (
+        F.when(href.rlike(r"^[a-zA-Z][\w+.-]*:"), href)
+        .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, r"^[a-zA-Z][\w+.-]*:", 0), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
+        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), href))
+    )
 
 
 def anchor_text(c: Column) -> Column:

@@ -302,13 +302,19 @@ def ex6(spark, sf):
     return extract.bulletin_heads(bulletin(spark, sf), "doc_id", "pos", "line")
 
 
-@query("ex7_manifest_from_index")
+_INDEX_SLUG = "trim(regexp_replace(lower(regexp_replace(strip_accents(state || '_' || district), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '_', 'g'), '_')"
+
+
+@query("ex7_manifest_from_index", f"""WITH l AS (SELECT page_id, pos, regexp_extract(url, 'example\\.com/([^/]+)/', 1) AS state,
+    trim(trim(regexp_replace(replace(text, '|', ' '), '\\s+', ' ', 'g')), ' -–') AS district, regexp_extract(url, '^[a-z]+://[^/?#]*') || href AS href FROM v_links WHERE text <> '')
+  SELECT state, district, {_INDEX_SLUG} || '.pdf' AS filename, href AS source_url, '' AS sha256, 'new' AS origin FROM (
+    SELECT *, row_number() OVER (PARTITION BY lower(state), lower(district) ORDER BY page_id, pos) AS n FROM l WHERE length(district) >= 2) WHERE n = 1""")
 def ex7(spark, sf):
     pages = v.table(spark, sf, "pages")
     links = documents.page_links(pages, ["page_id", "url"], "html", suffix=None)
     rows = links.select(
-        F.regexp_extract("url", r"example\.com/([^/]+)/", 1).alias("state"), text.anchor_text(F.col("text")).alias("district"), "href",
-        (F.col("page_id") * 10000 + F.col("pos")).alias("pos"),
+        F.regexp_extract("url", r"example\.com/([^/]+)/", 1).alias("state"), text.anchor_text(F.col("text")).alias("district"),
+        text.absolute_url(F.col("url"), F.col("href")).alias("href"), F.struct("page_id", "pos").alias("pos"),
     )
     rows = rows.withColumn("filename", F.concat(text.ascii_slug(F.concat_ws("_", "state", "district")), F.lit(".pdf")))
     empty = rows.where("false").select("state", "district", "filename", F.lit("").alias("source_url"), F.lit("").alias("sha256"))

@@ -451,13 +451,18 @@ def fuzzy_inputs(spark, sf):
     return p.select(F.col("p_partkey").alias("id"), F.lower("p_brand").alias("state"), typed.alias("district")), roster
 
 
-@query("jn7_fuzzy_match")
+# a name without one of its n letters is at 2(n - 1) / (2n - 1) of the name it came from
+VIEW_SQL["v_typed"] = """SELECT p_partkey AS id, lower(p_name || ' ' || p_type) AS match, p_partkey % 3 = 0 AS whole, length(p_name || ' ' || p_type) AS n FROM part"""
+
+
+@query("jn7_fuzzy_match", "SELECT id, match, CASE WHEN whole THEN 1.0::DOUBLE ELSE round(2.0::DOUBLE * (n - 1) / (2 * n - 1), 6) END AS score FROM v_typed")
 def jn7(spark, sf):
     names, roster = fuzzy_inputs(spark, sf)
     return matching.fuzzy_best(names, roster).select("id", "match", F.round("score", 6).alias("score"))
 
 
-@query("jn8_exact_fuzzy_default")
+@query("jn8_exact_fuzzy_default", """SELECT id, match, CASE WHEN whole THEN 'exact' ELSE 'fuzzy' END AS how,
+   CASE WHEN whole THEN 1.0::DOUBLE ELSE round(2.0::DOUBLE * (n - 1) / (2 * n - 1), 6) END AS score FROM v_typed""")
 def jn8(spark, sf):
     names, roster = fuzzy_inputs(spark, sf)
     return matching.resolve_plans(names, roster).select("id", "match", "how", F.round("score", 6).alias("score"))

@@ -194,7 +194,7 @@ def sc16(spark, sf):
     )
 
 
-@query("sc17_page_links")
+@query("sc17_page_links", "SELECT page_id, pos, href, text FROM v_links WHERE text <> ''")
 def sc17(spark, sf):
     return documents.page_links(v.table(spark, sf, "pages"), ["page_id"], "html", suffix=None)
 

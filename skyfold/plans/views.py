@@ -373,3 +373,17 @@ SELECT CAST(p_partkey % 40 AS INT) AS x, CAST(floor(p_partkey / 40.0) AS INT) AS
   CAST((p_partkey * 37) % 256 AS INT) AS r, CAST((p_partkey * 59) % 256 AS INT) AS g,
   CAST((p_partkey * 83) % 256 AS INT) AS b
 FROM part"""
+
+
+# --- links ----------------------------------------------------------------
+
+def plain_refs(x):
+    """The character references of the pages spelled out."""
+    for ref, char in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        x = f"replace({x}, '{ref}', '{char}')"
+    return x
+
+
+_LINK = '<a href="([^"]*)">([^<]*)</a>'
+VIEW_SQL["v_links"] = f"""SELECT page_id, url, pos, {plain_refs(f"regexp_extract(a, '{_LINK}', 1)")} AS href, trim({plain_refs(f"regexp_extract(a, '{_LINK}', 2)")}) AS text FROM (
+  SELECT page_id, url, unnest(found) AS a, unnest(range(len(found)))::INT AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '{_LINK}') AS found FROM pages))"""
