@@ -207,7 +207,29 @@ def harvested(spark, sf):
     return extract.harvest(stage(plan_cells(spark, sf), "plan-cells"))
 
 
-@query("ex3_harvest")
+def _sq(c):
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+_USABLE = f"""SELECT DISTINCT doc_id, page FROM v_plan_rows WHERE page = 0 UNION SELECT doc_id, page FROM v_plan_rows WHERE page > 0 GROUP BY doc_id, page HAVING count(*) >= 2 AND
+     bool_or(cond <> '' OR ({condition_sql("chg")}) IS NOT NULL OR ({condition_sql("agro")}) IS NOT NULL)"""
+# enumerators before a word count as bullets
+_BULLETED = "regexp_replace(r, '(^|[\\s•])(\\d{1,2}|i{1,3}|iv|vi{0,3}|v)[.)](\\s+([A-Za-z])|([A-Z]))', '\\1•\\4\\5', 'g')"
+_MARKED = "trim(lower({0}), '" + text.CELL_TRIM + "')"
+
+
+@query("ex3_harvest", f"""WITH named AS (SELECT b.*, pos % 6 + (page = 0)::INT AS "row", last_value({condition_sql('cond')} IGNORE NULLS) OVER
+    (PARTITION BY doc_id, page ORDER BY pos ROWS UNBOUNDED PRECEDING) AS scenario FROM v_plan_rows b JOIN ({_USABLE}) USING (doc_id, page)),
+  carried AS (SELECT *, last_value(CASE WHEN farm <> '' THEN {_sq('farm')} END IGNORE NULLS) OVER w AS fs, last_value(CASE WHEN crop <> '' THEN {_sq('crop')} END IGNORE NULLS) OVER w AS cr
+    FROM named WHERE scenario IS NOT NULL WINDOW w AS (PARTITION BY doc_id, page ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+  cells AS (SELECT doc_id, page, "row", 3 AS col, 'change' AS "column", scenario, fs, cr, {_sq('chg')} AS t FROM carried
+    UNION ALL SELECT doc_id, page, "row", 4, 'agro', scenario, fs, cr, {_sq('agro')} FROM carried),
+  marked AS (SELECT *, last_value(CASE WHEN NOT d THEN t END IGNORE NULLS) OVER (PARTITION BY doc_id, page, col ORDER BY "row" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above
+    FROM (SELECT *, {_MARKED.format('t')} IN {_in(extract.DITTOS)} AS d FROM cells WHERE t <> '')),
+  resolved AS (SELECT *, CASE WHEN d THEN above ELSE t END AS r FROM marked WHERE NOT d OR above IS NOT NULL),
+  pieces AS (SELECT * EXCLUDE (parts), trim(unnest(parts)) AS p, unnest(range(len(parts))) AS piece FROM (SELECT *, string_split({_BULLETED}, '•') AS parts FROM resolved))
+  SELECT doc_id, scenario, page, "row", "column", p AS action, cr AS crop, fs AS farming_situation, d AS resolved_from_ditto, {_MARKED.format('r')} IN {_in(extract.PLACEHOLDERS)} AS placeholder FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, scenario, lower(p), lower(coalesce(cr, '')), lower(coalesce(fs, '')), "column" ORDER BY page, "row", col, piece) AS n FROM pieces WHERE {valid_sql('p')}) WHERE n = 1""")
 def ex3(spark, sf):
     h = harvested(spark, sf)
     return h.select("doc_id", "scenario", "page", "row", "column", "action", "crop", "farming_situation", "resolved_from_ditto", "placeholder")
