@@ -444,7 +444,25 @@ def map_read(spark, sf):
     return raster.read_map(places, px, panels, size)
 
 
-@query("ex5_map_reading")
+_DARK = " AND ".join(f"{c} < {raster.BORDER_BLACK}" for c in "rgb")
+_D = {axis: f"(c.{axis} - a.{axis})" for axis in "xy"}
+VIEW_SQL["v_map_read"] = f"""WITH spots AS (SELECT state, CAST(cell AS VARCHAR) AS district, 'map0' AS image_id, panel, CAST(trunc(x0 + 36 + (lon - 70.0) * (201 / 28.0::DOUBLE)) AS INT) AS x,
+    CAST(trunc(y0 + 26 + (35.0 - lat) * (257 / 30.0::DOUBLE)) AS INT) AS y FROM v_cells, (VALUES (1, 20, 32), (2, 270, 32), (3, 20, 400), (4, 270, 400)) t(panel, x0, y0)),
+  px AS (SELECT *, {_DARK} AS dark FROM v_map),
+  targets AS (SELECT DISTINCT p.x, p.y, p.r, p.g, p.b, dark FROM spots JOIN px p ON p.x = spots.x AND p.y = spots.y),
+  near AS (SELECT a.x, a.y, c.r, c.g, c.b, row_number() OVER (PARTITION BY a.x, a.y ORDER BY greatest(abs{_D['x']}, abs{_D['y']}), {_D['x']} * {_D['x']} + {_D['y']} * {_D['y']}, {_D['y']}, {_D['x']}) AS n
+    FROM targets a JOIN px c ON abs{_D['x']} <= 12 AND abs{_D['y']} <= 12 WHERE a.dark AND NOT c.dark),
+  seen AS (SELECT t.x, t.y, CASE WHEN dark THEN coalesce(near.r, 255) ELSE t.r END AS r, CASE WHEN dark THEN coalesce(near.g, 255) ELSE t.g END AS g, CASE WHEN dark THEN coalesce(near.b, 255) ELSE t.b END AS b
+    FROM targets t LEFT JOIN near ON near.x = t.x AND near.y = t.y AND n = 1),
+  scaled AS (SELECT r, g, b, first(val ORDER BY (p.r - s.sr) * (p.r - s.sr) + (p.g - s.sg) * (p.g - s.sg) + (p.b - s.sb) * (p.b - s.sb), i) AS val
+    FROM (SELECT DISTINCT r, g, b FROM seen) p, (SELECT i, val, r AS sr, g AS sg, b AS sb FROM v_rain_scale) s GROUP BY r, g, b)
+  SELECT state, district, image_id, panel, spots.x, spots.y, round(val, 1) AS value,
+    CASE WHEN val IS NULL THEN 'UNKNOWN' WHEN val >= 3 THEN 'above_normal' WHEN val <= -3 THEN 'below_normal' ELSE 'near_normal' END AS signal,
+    coalesce('(' || r || ',' || g || ',' || b || ')', 'OUT_OF_BOUNDS') AS rgb
+  FROM spots LEFT JOIN (SELECT * FROM seen JOIN scaled USING (r, g, b)) k ON k.x = spots.x AND k.y = spots.y"""
+
+
+@query("ex5_map_reading", "SELECT * FROM v_map_read")
 def ex5(spark, sf):
     return map_read(spark, sf)
 
@@ -457,6 +475,7 @@ def pf28(spark, sf):
     return m.select("district", "panel", (F.col("rgb") == "OUT_OF_BOUNDS").alias("out_of_bounds"))
 
 
-@query("rs5_panels_to_wide")
+@query("rs5_panels_to_wide", "SELECT state, district, image_id, " + ", ".join(
+    f"max(CASE WHEN panel = {w} THEN {c} END) AS week{w}_{c}" for w in (1, 2, 3, 4) for c in ("rgb", "value", "signal")) + " FROM v_map_read GROUP BY ALL")
 def rs5(spark, sf):
     return raster.panels_to_wide(map_read(spark, sf))

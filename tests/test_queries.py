@@ -42,6 +42,5 @@ def test_query_equals_sql(spark, sf, duck, key):
     assert canonical(df.columns, df.collect()) == canonical(cols, cur.fetchall())
 
 
-@pytest.mark.parametrize("key", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(spark, sf, key):
-    assert QUERIES[key](spark, sf).count() >= 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
