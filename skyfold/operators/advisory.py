@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyfold.functions import labels
 from skyfold.functions.signals import OUTLOOK_LABELS_EN, OUTLOOK_LABELS_HI, outlook_label, signed
 from skyfold.functions.text import ACTION_TEMPLATES, action_id, any_phrase
 from skyfold.operators import dedup, rules
@@ -413,8 +414,33 @@ def first_and_overflow(actions: Column, n: int = 6) -> tuple[Column, Column]:
     return F.slice(actions, 1, n), F.greatest(F.lit(0), F.size(actions) - n)
 
 
-def advisories(records: DataFrame, contexts: list[dict], library: DataFrame, community: DataFrame, plan: DataFrame | None = None) -> DataFrame:
-    """Complete advisory record for every district and context."""
+# Sources named in an advisory.
+FORECAST_SOURCE = "IMD forecast products"
+AGRICULTURE_SOURCE = "ICAR/CRIDA district agriculture contingency plans"
+HEALTH_SOURCE = "NDMA / state heat action / health guidance where available"
+
+
+def source_notes(records: DataFrame) -> Column:
+    """Sources and date of an advisory; the forecast's own source where the record has one."""
+    own = F.col("forecast_source") if "forecast_source" in records.columns else F.lit(None)
+    return F.struct(
+        F.coalesce(own.cast("string"), F.lit(FORECAST_SOURCE)).alias("forecast_source"),
+        F.lit(AGRICULTURE_SOURCE).alias("agriculture_source"),
+        F.lit(HEALTH_SOURCE).alias("health_source"),
+        F.date_format(F.current_date(), "yyyy-MM-dd").alias("last_updated"),
+    )
+
+
+def advisories(
+    records: DataFrame,
+    contexts: list[dict],
+    library: DataFrame,
+    community: DataFrame,
+    plan: DataFrame | None = None,
+    language: str = "en",
+) -> DataFrame:
+    """Complete advisory record for every district and context, sentences in English or Hindi."""
+    hindi = language == "hi"
     ctx = prepare_contexts(records, contexts)
     actions = scenario_actions(ctx, library, community, plan).unionByName(baseline_actions(ctx))
     lists = assemble(deduplicate(separate_evergreen(actions)))
@@ -423,12 +449,13 @@ def advisories(records: DataFrame, contexts: list[dict], library: DataFrame, com
         "user_type",
         "forecast_date",
         rules.overall_risk(F.col("scenarios")).alias("overall_risk"),
-        F.transform("scenarios", lambda s: s["display_name"]).alias("main_concerns"),
+        F.transform("scenarios", lambda s: labels.scenario_name(s["scenario"], s["display_name"], language)).alias("main_concerns"),
         F.coalesce(F.get("scenarios", F.lit(0))["confidence"], F.lit("Low")).alias("confidence"),
-        summary_en().alias("forecast_summary"),
-        narrative_en().alias("outlook_narrative"),
+        (summary_hi() if hindi else summary_en()).alias("forecast_summary"),
+        (narrative_hi() if hindi else narrative_en()).alias("outlook_narrative"),
         outlook_weeks().alias("outlook_weeks"),
         "scenarios",
+        source_notes(records).alias("source_notes"),
         F.lit(DISCLAIMER).alias("disclaimer"),
     )
     return heads.join(lists, RECORD_KEY, "left")

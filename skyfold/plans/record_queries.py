@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyfold.functions import signals, text
+from skyfold.functions import labels, signals, text
 from skyfold.operators import advisory, dedup, forecast, matching, ordered, records, rules
 from skyfold.plans import views as v
 from skyfold.plans.grid_queries import mean_anomaly, r, up
@@ -489,9 +489,12 @@ def ad1(spark, sf):
     return prepared(spark, sf).select("k", advisory.summary_en().alias("summary"))
 
 
-@query("ad2_summary_hi", """SELECT k, CASE WHEN since_jun1 < -20 THEN '1 जून से वर्षा सामान्य से ' || abs(since_jun1) || '% कम रही है' WHEN since_jun1 > 20 THEN '1 जून से वर्षा सामान्य से ' || since_jun1 || '% अधिक रही है'
+VIEW_SQL["v_summary_hi"] = """SELECT k, CASE WHEN since_jun1 < -20 THEN '1 जून से वर्षा सामान्य से ' || abs(since_jun1) || '% कम रही है' WHEN since_jun1 > 20 THEN '1 जून से वर्षा सामान्य से ' || since_jun1 || '% अधिक रही है'
    ELSE '1 जून से वर्षा सामान्य के आसपास रही है' END || '। ' || CASE WHEN below = 4 THEN '4 सप्ताह के पूर्वानुमान में लगातार सामान्य से कम वर्षा दिख रही है' WHEN above = 4 THEN '4 सप्ताह के पूर्वानुमान में लगातार सामान्य से अधिक वर्षा दिख रही है'
-   ELSE '4 सप्ताह का वर्षा पूर्वानुमान मिला-जुला है' END || CASE WHEN heat_wave THEN '। लू का खतरा बढ़ा हुआ है और लू की चेतावनी लागू है' WHEN tmax = 'above_normal' THEN '। सामान्य से अधिक तापमान की संभावना है' ELSE '' END || '।' AS summary FROM v_traj""")
+   ELSE '4 सप्ताह का वर्षा पूर्वानुमान मिला-जुला है' END || CASE WHEN heat_wave THEN '। लू का खतरा बढ़ा हुआ है और लू की चेतावनी लागू है' WHEN tmax = 'above_normal' THEN '। सामान्य से अधिक तापमान की संभावना है' ELSE '' END || '।' AS summary FROM v_traj"""
+
+
+@query("ad2_summary_hi", "SELECT k, summary FROM v_summary_hi")
 def ad2(spark, sf):
     return prepared(spark, sf).select("k", advisory.summary_hi().alias("summary"))
 
@@ -522,14 +525,17 @@ def ad3(spark, sf):
     return prepared(spark, sf).select("k", advisory.narrative_en().alias("narrative"))
 
 
-@query("ad3_outlook_hi", f"""SELECT k, 'इस सप्ताह: वर्षा ' || {_L5.format('wk1', HI)} || ' (' || {signed_sql('wk1', 1)} || ' मिमी/दिन) ' ||
+VIEW_SQL["v_narrative_hi"] = f"""SELECT k, 'इस सप्ताह: वर्षा ' || {_L5.format('wk1', HI)} || ' (' || {signed_sql('wk1', 1)} || ' मिमी/दिन) ' ||
    CASE WHEN relief THEN 'पूर्वानुमान में सुधार है; अगले सप्ताहों में कुछ राहत की उम्मीद है।' WHEN drying THEN 'सावधानी: आगे के सप्ताहों में वर्षा कम हो सकती है।'
    WHEN below = 4 THEN 'सभी 4 सप्ताह में लगातार सूखी स्थिति की संभावना है।' WHEN above = 4 THEN 'सभी 4 सप्ताह में लगातार सामान्य से अधिक वर्षा की संभावना है।'
    ELSE 'सप्ताह 2-4 में वर्षा ' || {_L5.format('later', HI)} || ' रहने की संभावना है।' END ||
    CASE WHEN since_jun1 <= -30 THEN ' अब तक की वर्षा सामान्य से ' || abs(since_jun1) || '% कम है; अधिक वर्षा से कमी की भरपाई में मदद मिलेगी।'
    WHEN since_jun1 >= 20 THEN ' अब तक की वर्षा सामान्य से ' || since_jun1 || '% अधिक है; अतिरिक्त भारी वर्षा से जलभराव का जोखिम बढ़ सकता है।' ELSE '' END ||
    CASE WHEN t1 >= 2 THEN ' इस सप्ताह तापमान सामान्य से अधिक (' || {signed_sql('t1', 1)} || '°C) रहने की संभावना है।'
-   WHEN t1 <= -2 THEN ' इस सप्ताह तापमान सामान्य से कम (' || {signed_sql('t1', 1)} || '°C) रहने की संभावना है।' ELSE '' END AS narrative FROM v_traj""")
+   WHEN t1 <= -2 THEN ' इस सप्ताह तापमान सामान्य से कम (' || {signed_sql('t1', 1)} || '°C) रहने की संभावना है।' ELSE '' END AS narrative FROM v_traj"""
+
+
+@query("ad3_outlook_hi", "SELECT k, narrative FROM v_narrative_hi")
 def ad3_hi(spark, sf):
     return prepared(spark, sf).select("k", advisory.narrative_hi().alias("narrative"))
 
@@ -805,6 +811,20 @@ def ad8(spark, sf):
     )
 
 
+_SCENARIO_HI = "CASE scenario " + " ".join(f"WHEN '{k}' THEN '{n}'" for k, n in labels.SCENARIOS_HI.items()) + " END"
+
+
+@query("ad8_advisories_hi", f"""SELECT r.k, r.context_id, summary AS forecast_summary, narrative AS outlook_narrative, coalesce(s.main_concerns, '') AS main_concerns,
+   '{advisory.FORECAST_SOURCE}; {advisory.AGRICULTURE_SOURCE}; {advisory.HEALTH_SOURCE}' AS sources
+   FROM v_rc r JOIN v_summary_hi USING (k) JOIN v_narrative_hi USING (k)
+   LEFT JOIN (SELECT k, context_id, string_agg({_SCENARIO_HI}, '; ' ORDER BY scenario_rank) AS main_concerns FROM v_scen_ctx GROUP BY ALL) s ON s.k = r.k AND s.context_id = r.context_id""")
+def ad8_hi(spark, sf):
+    records = v.records(spark, sf)
+    adv = advisory.advisories(records, CONTEXTS, lib.default_library(spark), lib.default_community(spark), language="hi")
+    notes = F.concat_ws("; ", *(F.col(f"source_notes.{c}") for c in ("forecast_source", "agriculture_source", "health_source")))
+    return keyed(adv, spark, sf).select("k", "context_id", "forecast_summary", "outlook_narrative", F.array_join("main_concerns", "; ").alias("main_concerns"), notes.alias("sources"))
+
+
 @query("pf25_guardrail_phrases", "SELECT k, 'summary' AS field FROM v_record WHERE false")
 def pf25(spark, sf):
     adv = full_advisories(spark, sf)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyfold import schemas
-from skyfold.functions import dates, geo, signals, text
+from skyfold.functions import dates, geo, labels, signals, text
 from skyfold.operators import grid, matching, ordered, quality, records
 from skyfold.plans import views as v
 from skyfold.plans.grid_queries import r
@@ -447,18 +447,35 @@ def fn21(spark, sf):
 
 rec_query("fn24_set_note", "SELECT k, note || ' [forecast fields: model import]: new' AS note FROM v_record",
           lambda: text.set_note(F.when(F.col("k") % 2 == 0, F.concat("imd_source_notes", F.lit("  " + text.NOTE_MARKER + ": old"))).otherwise(F.col("imd_source_notes")), F.lit("new")).alias("note"))
-RISK_HI = {"Severe": "गंभीर", "Alert": "सतर्क", "Watch": "निगरानी", "Low": "कम"}
-REASON_HI = {"Rainfall since June 1 is": "1 जून से वर्षा", "below normal": "सामान्य से कम", "above normal": "सामान्य से अधिक"}
+def case_sql(value, mapping, default=None):
+    """A lookup as a CASE expression."""
+    return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN '{n}'" for k, n in mapping.items()) + f" ELSE {default or value} END"
+
+
+_RISK = "(['Severe', 'Alert', 'Watch', 'Low', 'Other'])[CAST(k % 5 AS INT) + 1]"
+_OPTION = "([" + ", ".join(f"'{o}'" for o in labels.OPTIONS_HI["crop_stage"]) + "])[CAST(k % 6 AS INT) + 1]"
+_CATEGORY = "([" + ", ".join(f"'{c}'" for c in labels.CATEGORIES_HI) + "])[CAST(k % 13 AS INT) + 1]"
+_SCENARIO = "([" + ", ".join(f"'{c}'" for c in labels.SCENARIOS_HI) + "])[CAST(k % 6 AS INT) + 1]"
 
 
 @query("fn25_labels", f"""SELECT k, CASE onset WHEN 'active' THEN 'सक्रिय' ELSE onset END AS onset_hi, '1 जून से वर्षा ' || abs(since_jun1) || '% ' || CASE WHEN since_jun1 < 0 THEN 'सामान्य से कम' ELSE 'सामान्य से अधिक' END AS reason_hi,
-   'अतिरिक्त आकस्मिक उपाय (' || abs(since_jun1) || ' वस्तुएँ) उपलब्ध हैं — अपने स्थानीय KVK विस्तार अधिकारी से सलाह लें।' AS note_hi FROM v_record""")
+   'अतिरिक्त आकस्मिक उपाय (' || abs(since_jun1) || ' वस्तुएँ) उपलब्ध हैं — अपने स्थानीय KVK विस्तार अधिकारी से सलाह लें।' AS note_hi,
+   {case_sql(_RISK, labels.RISKS_HI)} AS risk_hi, {case_sql(_CATEGORY, labels.CATEGORIES_HI)} AS category_hi, {case_sql(_SCENARIO, labels.SCENARIOS_HI)} AS scenario_hi,
+   {case_sql(_OPTION, labels.OPTIONS_HI['crop_stage'])} AS option_hi, {_OPTION} AS option_back FROM v_record""")
 def fn25(spark, sf):
+    def pick(names):
+        return F.get(F.array(*(F.lit(n) for n in names)), (F.col("k") % len(names)).cast("int"))
+
+    risk, category, scenario = pick((*labels.RISKS_HI, "Other")), pick(labels.CATEGORIES_HI), pick(labels.SCENARIOS_HI)
+    option = labels.option_label("crop_stage", pick(labels.OPTIONS_HI["crop_stage"]), "hi")
     dep = F.col("rainfall_since_june_1_pct_departure")
     reason = F.concat(F.lit("Rainfall since June 1 is "), F.abs(dep).cast("string"), F.lit("% "), F.when(dep < 0, "below").otherwise("above"), F.lit(" normal"))
     return v.records(spark, sf).select(
-        "k", text.translate_label(F.col("monsoon_onset_status"), {"active": "सक्रिय"}).alias("onset_hi"), text.replace_all(reason, REASON_HI).alias("reason_hi"),
+        "k", text.translate_label(F.col("monsoon_onset_status"), {"active": "सक्रिय"}).alias("onset_hi"), labels.reason_text(reason, "hi").alias("reason_hi"),
         F.format_string(text.ACTION_TEMPLATES_HI["additional_contingency"], F.abs(dep)).alias("note_hi"),
+        labels.risk_name(risk, "hi").alias("risk_hi"), labels.category_name(category, "hi").alias("category_hi"),
+        labels.scenario_name(scenario, F.lit("none"), "hi").alias("scenario_hi"), option.alias("option_hi"),
+        labels.option_value("crop_stage", option, "hi").alias("option_back"),
     )
 
 
