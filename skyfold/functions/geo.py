@@ -14,14 +14,23 @@ FIRST_PANEL_LEFT = 48
 FIRST_PANEL_TOP = 72
 
 
-def ring_edges(ring: str) -> Column:
-    """Edges of an open ring as an array of ``(x1, y1, x2, y2)``."""
-    return F.expr(
+def _edges_sql(ring: str) -> str:
+    return (
         f"transform({ring}, (p, i) -> named_struct('x1', p.lon, 'y1', p.lat,"
         f" 'x2', {ring}[(i + 1) % size({ring})].lon, 'y2', {ring}[(i + 1) % size({ring})].lat))"
     )
 
 
+def ring_edges(ring: str) -> Column:
+    """Edges of an open ring as an array of ``(x1, y1, x2, y2)``."""
+    return F.expr(_edges_sql(ring))
+
+
+def hole_edges(holes: str) -> Column:
+    """Edges of several open rings, an array for each."""
+    return F.expr(f"transform({holes}, hole -> {_edges_sql('hole')})")
+
+
 def inside(edges: str, lon: str, lat: str) -> Column:
     """Even-odd ray cast; points exactly on an edge are half-open."""
     return F.expr(
@@ -30,13 +39,19 @@ def inside(edges: str, lon: str, lat: str) -> Column:
     )
 
 
-def area_moments(edges: str) -> tuple[Column, Column, Column]:
-    """Signed double area and the two moment sums of the centroid formula."""
+def area_moments(rings: str) -> tuple[Column, Column, Column]:
+    """Double area and the two moment sums of the centroid formula, of an outline less its holes.
+
+    ``rings`` holds the edges of the outline, then those of each hole, whichever way they turn.
+    """
     cross = "(e.x1 * e.y2 - e.x2 * e.y1)"
-    area = F.expr(f"aggregate({edges}, 0D, (s, e) -> s + {cross})")
-    mx = F.expr(f"aggregate({edges}, 0D, (s, e) -> s + (e.x1 + e.x2) * {cross})")
-    my = F.expr(f"aggregate({edges}, 0D, (s, e) -> s + (e.y1 + e.y2) * {cross})")
-    return area, mx, my
+
+    def total(term: str) -> Column:
+        turn = f"signum(aggregate(r, 0D, (s, e) -> s + {cross}))"
+        each = f"transform({rings}, (r, i) -> if(i = 0, 1, -1) * {turn} * aggregate(r, 0D, (s, e) -> s + {term}))"
+        return F.expr(f"aggregate({each}, 0D, (s, x) -> s + x)")
+
+    return total(cross), total(f"(e.x1 + e.x2) * {cross}"), total(f"(e.y1 + e.y2) * {cross}")
 
 
 def cos_weight(lat: Column) -> Column:

@@ -14,9 +14,15 @@ REGION = ["state", "district"]
 
 
 def with_edges(polygons: DataFrame) -> DataFrame:
-    """Add the edge array and the bounding box of every polygon part."""
+    """Add the edges of the outline and the holes of every polygon part, all in one array too, and its bounding box.
+
+    ``holes`` is an optional column of rings; a point in a hole crosses two outlines and counts as outside.
+    """
+    outline = F.array(geo.ring_edges("ring"))
+    rings = F.concat(outline, F.coalesce(geo.hole_edges("holes"), F.slice(outline, 1, 0))) if "holes" in polygons.columns else outline
     return (
-        polygons.withColumn("edges", geo.ring_edges("ring"))
+        polygons.withColumn("rings", rings)
+        .withColumn("edges", F.flatten("rings"))
         .withColumn("min_lon", F.expr("array_min(transform(ring, p -> p.lon))"))
         .withColumn("max_lon", F.expr("array_max(transform(ring, p -> p.lon))"))
         .withColumn("min_lat", F.expr("array_min(transform(ring, p -> p.lat))"))
@@ -62,17 +68,16 @@ def cells_inside(points: DataFrame, polygons: DataFrame, bucket: float = 1.0) ->
 
 def centroids(polygons: DataFrame) -> DataFrame:
     """Area centroid of every region over all its parts; the middle of its box where it has no area."""
-    area, mx, my = geo.area_moments("edges")
+    area, mx, my = geo.area_moments("rings")
     box = ("min_lon", "max_lon", "min_lat", "max_lat")
     parts = with_edges(polygons).select(*REGION, *box, area.alias("a"), mx.alias("mx"), my.alias("my"))
 
     def middle(axis: str) -> Column:
         return (F.min(f"min_{axis}") + F.max(f"max_{axis}")) / 2.0
 
-    sign = F.signum("a")
     return parts.groupBy(*REGION).agg(
-        F.coalesce(F.try_divide(F.sum(sign * F.col("mx")), 3.0 * F.sum(F.abs("a"))), middle("lon")).alias("lon"),
-        F.coalesce(F.try_divide(F.sum(sign * F.col("my")), 3.0 * F.sum(F.abs("a"))), middle("lat")).alias("lat"),
+        F.coalesce(F.try_divide(F.sum("mx"), 3.0 * F.sum("a")), middle("lon")).alias("lon"),
+        F.coalesce(F.try_divide(F.sum("my"), 3.0 * F.sum("a")), middle("lat")).alias("lat"),
     )
 
 

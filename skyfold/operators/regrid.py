@@ -84,13 +84,19 @@ def bilinear(source: DataFrame, target_grid: DataFrame, values: list[str], extra
     return corners.join(src, ["_slat", "_slon"]).groupBy("lat", "lon", *extra).agg(*aggs)
 
 
-def asof_nearest_month(wanted: DataFrame, observed: DataFrame, keys: list[str], valid: str, month: str, tolerance_days: int) -> DataFrame:
-    """Observation month nearest to each valid month within a tolerance.
+def asof_nearest_month(wanted: DataFrame, observed: DataFrame, keys: list[str], valid: str, month: str, tolerance_days: int | None) -> DataFrame:
+    """Observation month nearest to each valid month, within a tolerance if there is one.
 
     Both sides are first-of-month dates, and a tolerance under a month can only
     reach the month itself or, around a shifted date, its neighbours: the wanted
-    row is offered to the months its window touches and matched by equality.
+    row is offered to the months its window touches and matched by equality. Without
+    a tolerance the months of a key, few by their nature, are searched in one array.
     """
+    if tolerance_days is None:
+        carried = F.struct(F.col(month), *[F.col(c) for c in observed.columns if c not in (*keys, month)])
+        months = observed.groupBy(*keys).agg(F.collect_list(carried).alias("_all"))
+        near = F.array_min(F.transform("_all", lambda o: F.struct(F.abs(F.datediff(o[month], F.col(valid))).alias("d"), o.alias("o"))))
+        return wanted.join(months, keys).withColumn("_o", near["o"]).select(*wanted.columns, "_o.*")
     lo, hi = F.date_sub(F.col(valid), tolerance_days), F.date_add(F.col(valid), tolerance_days)
     months = F.sequence(F.trunc(lo, "MM"), F.trunc(hi, "MM"), F.expr("interval 1 month"))
     offered = wanted.withColumn("_m", F.explode(months))

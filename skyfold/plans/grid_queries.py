@@ -597,6 +597,19 @@ def jn17(spark, sf):
     return skill_pairs(spark, sf).select("district", "lead", "year", "obs_month", up("t2m", 5))
 
 
+@query(
+    "jn17_nearest_month",
+    """SELECT district, day, obs_month, round(t2m + 1e-9, 5) AS t2m FROM (SELECT n.n_name AS district, d.day, o.month AS obs_month, o.t2m,
+         row_number() OVER (PARTITION BY n.n_name, d.day ORDER BY abs(date_diff('day', d.day, o.month)), o.month) AS rn
+       FROM nation n, (SELECT unnest([DATE '1991-03-10', DATE '1995-06-20', DATE '2001-01-01']) AS day) d JOIN v_obs_month o ON o.district = n.n_name) WHERE rn = 1""",
+)
+def jn17_nearest(spark, sf):
+    days = F.explode(F.array(*(F.lit(d).cast("date") for d in ("1991-03-10", "1995-06-20", "2001-01-01")))).alias("day")
+    wanted = v.table(spark, sf, "nation").select(F.col("n_name").alias("district"), days)
+    obs = v.obs_monthly(spark, sf).select("district", F.col("month").alias("obs_month"), "t2m")
+    return regrid.asof_nearest_month(wanted, obs, ["district"], "day", "obs_month", None).select("district", "day", "obs_month", up("t2m", 5))
+
+
 @query("ag15_anomaly_correlation", "SELECT district, lead, round(acc, 5) AS acc, n_years FROM v_acc WHERE n_years > 2")
 def ag15(spark, sf):
     acc = forecast.anomaly_correlation(skill_pairs(spark, sf), ["district", "lead"], "t", "t2m")

@@ -161,7 +161,7 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def polygon_rows(raw: DataFrame, state_field: str, district_field: str) -> DataFrame:
-    """Features to outline rings under one pair of names; a multipolygon gives several parts."""
+    """Features to open outline rings and holes under one pair of names; a multipolygon gives several parts."""
     f = raw.select(F.explode("features").alias("f"))
     point = "array<double>"
     g = f.select(
@@ -171,12 +171,14 @@ def polygon_rows(raw: DataFrame, state_field: str, district_field: str) -> DataF
         .otherwise(F.from_json("f.geometry.coordinates", f"array<array<array<{point}>>>"))
         .alias("parts"),
     )
-    ring = F.transform(F.get("rings", F.lit(0)), lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
-    closed = F.col("ring")[0] == F.element_at("ring", -1)
-    return (
-        g.select("state", "district", F.posexplode("parts").alias("part", "rings"))
-        .withColumn("ring", ring)
-        .select("state", "district", "part", F.when(closed, F.slice("ring", 1, F.size("ring") - 1)).otherwise(F.col("ring")).alias("ring"))
+
+    def opened(ring: Column) -> Column:
+        points = F.transform(ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
+        return F.when(F.get(ring, F.lit(0)) == F.element_at(ring, -1), F.slice(points, 1, F.size(points) - 1)).otherwise(points)
+
+    rings = g.select("state", "district", F.posexplode("parts").alias("part", "rings")).withColumn("rings", F.transform("rings", opened))
+    return rings.select(
+        "state", "district", "part", F.get("rings", F.lit(0)).alias("ring"), F.slice("rings", 2, F.greatest(F.size("rings") - 1, F.lit(0))).alias("holes")
     )
 
 
