@@ -79,7 +79,7 @@ def threshold_odds(members: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("p_near", F.bround(1.0 - F.col("p_wetter") - F.col("p_drier"), 3))
 
 
-def tercile_limits(pool: DataFrame, keys: list[str], variable: str, bounded: bool = True) -> DataFrame:
+def tercile_limits(pool: DataFrame, keys: list[str], variable: str, bounded: bool = False) -> DataFrame:
     """Lower and upper tercile of the pooled hindcast.
 
     ``bounded`` pools (members x years of one region or cell) use the exact

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from skyfold.session import stage
 
 BLOCK = 100_000
+#: Steps of a bucket of values when its quantile is searched.
+STEPS = 4096
 
 
 def carry_forward(
@@ -89,8 +91,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     """Exact linearly interpolated quantiles of unbounded groups.
 
     Values are first collapsed to counts, then counted in order-preserving
-    logarithmic buckets; only the buckets that hold a wanted rank are sorted.
-    No group is ever gathered into one task or one aggregation buffer.
+    logarithmic buckets. The buckets that hold a wanted rank are counted again in
+    equal steps between their smallest and largest value, since values may crowd
+    round one level; only the steps that hold a wanted rank are sorted.
     """
     v = F.col(value)
     counts = df.where(v.isNotNull()).groupBy(*keys, v.cast("double").alias("_v")).agg(F.count("*").alias("_n"))
@@ -111,8 +114,16 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         )
     picked = buckets.where(wanted).drop("_bn")
     near = _null_safe_join(counts, picked, [*keys, "_b"]).where(F.col("_before").isNotNull())
+    reach = near.groupBy(*keys, "_b").agg(F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+    near = _null_safe_join(near, reach, [*keys, "_b"])
+    share = F.coalesce(F.try_divide(F.col("_v") - F.col("_from"), F.col("_to") - F.col("_from")), F.lit(0.0))
+    near = near.withColumn("_s", F.floor(share * STEPS).cast("long")).drop("_from", "_to")
+    steps = near.groupBy(*keys, "_b", "_s").agg(F.sum("_n").alias("_bn"), F.first("_before").alias("_before"), F.first("_total").alias("_total"))
+    earlier = Window.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = steps.withColumn("_before", F.col("_before") + F.sum("_bn").over(earlier) - F.col("_bn"))
+    near = _null_safe_join(near.drop("_before", "_total"), steps.where(wanted).drop("_bn"), [*keys, "_b", "_s"]).where(F.col("_before").isNotNull())
     inside = (
-        Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys, "_b", "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     near = near.withColumn("_hi", F.col("_before") + F.sum("_n").over(inside)).withColumn(
         "_lo", F.col("_hi") - F.col("_n")

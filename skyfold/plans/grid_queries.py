@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyfold.functions import dates, signals
-from skyfold.operators import climatology, departures, forecast, grid, ordered, region, regrid
+from skyfold.operators import climatology, departures, forecast, grid, ordered, quality, region, regrid
 from skyfold.plans import views as v
 from skyfold.plans.registry import VIEW_SQL, query
 
@@ -523,7 +523,7 @@ WHERE f.year = 2001 GROUP BY ALL"""
 
 def tercile_table(spark, sf):
     h = hind_regional(spark, sf)
-    limits = forecast.tercile_limits(h.where("year <= 2000"), ["district", "lead"], "t")
+    limits = forecast.tercile_limits(h.where("year <= 2000"), ["district", "lead"], "t", bounded=True)
     return forecast.tercile_odds(h.where("year = 2001"), limits, ["district", "lead"], "t")
 
 
@@ -658,6 +658,13 @@ _PAIR = """SELECT '{a}' AS a, '{b}' AS b, count(*) AS n_cells, round(corr({a}, {
  FROM v_sets WHERE era IS NOT NULL AND chirps IS NOT NULL AND imd IS NOT NULL"""
 
 
+@query("pf16_tercile_sums", "SELECT district, lead FROM v_terc WHERE lead % 3 = 2")
+def pf16_sums(spark, sf):
+    odds = tercile_table(spark, sf)
+    shifted = odds.withColumn("p_near", F.col("p_near") + F.when(F.col("lead") % 3 == 2, 0.2).otherwise(0.0))
+    return quality.odds_sum_violations(shifted, "p_below", "p_near", "p_above").select("district", "lead")
+
+
 @query(
     "ag17_dataset_pairs",
     " UNION ALL ".join(_PAIR.format(a=a, b=b) for a, b in (("era", "chirps"), ("era", "imd"), ("chirps", "imd"))),

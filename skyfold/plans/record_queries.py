@@ -833,6 +833,16 @@ def pf25(spark, sf):
     return keyed(hits, spark, sf).select("k", F.lit("summary").alias("field"))
 
 
+_PLANTED = "CASE WHEN pos % 3 = 0 THEN upper(([" + ", ".join(sql_text(p) for p in advisory.FORBIDDEN) + f"])[CAST(pos % {len(advisory.FORBIDDEN)} AS INT) + 1]) || ' ' || line ELSE line END"
+
+
+@query("pf25_planted_phrases", f"SELECT doc_id, count_if({_any('t', advisory.FORBIDDEN)})::BIGINT AS n FROM (SELECT doc_id, {_PLANTED} AS t FROM v_lines) GROUP BY doc_id")
+def pf25_planted(spark, sf):
+    phrase = F.get(F.array(*(F.lit(p) for p in advisory.FORBIDDEN)), F.col("pos") % len(advisory.FORBIDDEN))
+    lines = v.lines(spark, sf).withColumn("t", F.when(F.col("pos") % 3 == 0, F.concat(F.upper(phrase), F.lit(" "), "line")).otherwise(F.col("line")))
+    return lines.groupBy("doc_id").agg(F.count_if(advisory.guardrail_hits(F.col("t"))).alias("n"))
+
+
 @query("sl2_caps_with_overflow", """SELECT doc_id, least(n, 12) AS shown, greatest(n - 12, 0) AS over, CASE WHEN n > 12 THEN 'Additional contingency measures (' || (n - 12) ||
    ' items) are available — consult your local KVK extension officer.' END AS note FROM (SELECT doc_id, count(DISTINCT line) AS n FROM v_lines GROUP BY doc_id)""")
 def sl2(spark, sf):

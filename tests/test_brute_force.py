@@ -220,3 +220,19 @@ def test_library_shape(spark):
     rows = lib.default_library(spark).collect()
     assert {r["category"] for r in rows} == {"do_now", "prepare", "avoid"}
     assert not [r for r in rows if any(p in r["text"].lower() for p in advisory.FORBIDDEN)]
+
+
+def test_quantiles_of_values_round_one_level(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from skyfold.operators.ordered import exact_quantiles
+
+    df = spark.range(200_000, numPartitions=8).select(
+        (F.col("id") % 2).alias("g"), (F.lit(101300.0) + F.pmod(F.xxhash64("id"), F.lit(100_000)) / 4000.0).alias("v")
+    )
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", {"a": 1 / 3, "b": 0.5, "c": 0.99}).collect()}
+    rows = df.collect()
+    for g in (0, 1):
+        want = np.quantile([r["v"] for r in rows if r["g"] == g], [1 / 3, 0.5, 0.99])
+        assert np.allclose([got[g]["a"], got[g]["b"], got[g]["c"]], want, rtol=0, atol=1e-9)
