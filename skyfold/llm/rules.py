@@ -18,13 +18,13 @@ NOT_SPACE = "[^\\x20\\x09-\\x0D]"
 #: Words of a window that counts as repeated.
 WINDOW = 8
 
-#: Rule name to the condition under which a document fails it, over the measurements. A rule's bit is its place here.
+#: Rule name to the condition under which a document fails it, over its measurements. A rule's bit is its place here.
 RULES = (
-    ("few_words", "n_words < 20"),
-    ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
-    ("many_symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "2 * n_dup_lines > n_lines"),
-    ("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
+    ("few_words", lambda m: m["n_words"] < 20),
+    ("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 30 * m["n_words"]),
+    ("many_symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
+    ("repeated_lines", lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
+    ("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
 )
 
 #: Policy version to the rules that it applies.
@@ -43,7 +43,7 @@ def mask_of(rules: tuple[str, ...]) -> int:
 
 
 def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once for the row."""
+    """``body`` of a value that is computed once for the row, wherever the optimizer moves the expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
@@ -76,38 +76,47 @@ def _repeated_words(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(_let(by_hash, covered))
 
 
+def measure(text: Column) -> Column:
+    """All measurements of a text as one struct. Windows are compared by a 64-bit hash of their words."""
+
+    def windows(words: Column) -> Column:
+        n = F.size(words)
+        each = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+        return F.when(n >= WINDOW, each).otherwise(F.array().cast("array<bigint>"))
+
+    def of_words(words: Column, lines: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            F.size(lines).cast("long").alias("n_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            _let(windows(words), _repeated_words).alias("n_repeat_words"),
+        )
+
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(NOT_SPACE))
+    return _let(F.array_remove(F.split(text, SPACES), ""), lambda words: _let(lines, lambda held: of_words(words, held)))
+
+
+def fail_bits(measured: Column) -> Column:
+    """One bit for each rule that the measurements fail."""
+    bits = (F.when(rule(measured), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, rule) in enumerate(RULES))
+    return sum(bits, F.lit(0)).cast("long")
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """Measurements and failure bits of every document, from its whole text.
 
     A null or empty text has no words: all measurements are 0 and it fails
     ``few_words``. Every input row gives one row; only ``doc_id`` and ``text`` are read.
-    Windows are compared by a 64-bit hash of their words.
     """
-    split = docs.select("doc_id", whole_text(docs).alias("text")).select(
-        "doc_id",
-        F.array_remove(F.split("text", SPACES), "").alias("words"),
-        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.filter(F.split("text", "\n"), lambda line: line.rlike(NOT_SPACE)).alias("lines"),
-    )
-    n = F.size("words")
-    windows = F.when(
-        n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))
-    ).otherwise(F.array().cast("array<bigint>"))
-    measured = split.select(
-        "doc_id", "n_symbols",
-        n.cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        windows.alias("windows"),
-    ).withColumn("n_repeat_words", _repeated_words(F.col("windows"))).drop("windows")
-    bits = sum((F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, rule) in enumerate(RULES)), F.lit(0))
-    return measured.withColumn("fail_bits", bits.cast("long"))
-
-
-def passes(fail_bits: Column, policy: str = CURRENT) -> Column:
+    measured = docs.select("doc_id", measure(whole_text(docs)).alias("m"))
+    return measured.select("doc_id", "m.*", fail_bits(F.col("m")).alias("fail_bits"))
+
+
+def passes(bits: Column, policy: str = CURRENT) -> Column:
     """Whether a document passes a policy."""
-    return fail_bits.bitwiseAND(F.lit(mask_of(POLICIES[policy]))) == 0
+    return bits.bitwiseAND(F.lit(mask_of(POLICIES[policy]))) == 0
 
 
 def verdicts(recorded: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -136,14 +145,15 @@ def ablations(recorded: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def keep_passing(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The rows of ``docs`` that a policy keeps, all columns as they are.
+    """The rows of ``docs`` that a policy keeps, all columns as they are; what fails the base is never kept.
 
-    The rules run beside the row's own columns, which travel in one struct, so
-    names of further columns cannot clash with the measurements.
+    The rules are one expression over the text, so no column is added and none can clash.
     """
-    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc_id"), docs["text"])
-    kept = verdicts(ledger(row), policy).where("kept")
-    return kept.select(*(F.col("doc_id").getField(c).alias(c) for c in docs.columns))
+
+    def kept(bits: Column) -> Column:
+        return passes(bits, "base") & passes(bits, policy)
+
+    return docs.where(_let(_let(measure(whole_text(docs)), fail_bits), kept))
 
 
 #: The ledger under the current policy in DuckDB's SQL.
