@@ -852,6 +852,23 @@ def sl2(spark, sf):
     return lists.select("doc_id", F.size(F.slice("do_now", 1, 12)).alias("shown"), F.greatest(over, F.lit(0)).alias("over"), note.alias("note"))
 
 
+_ACTION_NOTE = {c: "'" + text.ACTION_TEMPLATES[k].replace("%d", "' || n || '") + "'" for c, k in (("do_now", "additional_contingency"), ("prepare", "additional_preparatory"))}
+
+
+@query("sl2_assembled_lists", f"""SELECT doc_id, CASE WHEN c = 'do_now' THEN least(total, 12) ELSE 0 END AS n_now, CASE WHEN c = 'prepare' THEN least(total, 8) ELSE 0 END AS n_prepare,
+   CASE WHEN n > 0 THEN CASE c WHEN 'do_now' THEN {_ACTION_NOTE['do_now']} ELSE {_ACTION_NOTE['prepare']} END ELSE '' END AS guidance
+   FROM (SELECT *, total - CASE c WHEN 'do_now' THEN 12 ELSE 8 END AS n FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'do_now' ELSE 'prepare' END AS c, count(DISTINCT line) AS total FROM v_lines GROUP BY doc_id))""")
+def sl2_assembled(spark, sf):
+    lists = v.table(spark, sf, "documents").select(
+        F.lit("S").alias("state"), F.col("doc_id").cast("string").alias("district"), F.lit(0).alias("context_id"),
+        F.when(F.col("doc_id") % 2 == 0, "do_now").otherwise("prepare").alias("category"), F.array_distinct(F.split("text", "\n")).alias("actions"),
+    )
+    out = advisory.assemble(lists)
+    return out.select(
+        F.col("district").cast("long").alias("doc_id"), F.size("do_now").alias("n_now"), F.size("prepare").alias("n_prepare"), F.array_join("general_guidance", " ").alias("guidance")
+    )
+
+
 @query("sl3_first_six", "SELECT doc_id, array_to_string(parts[1:6], '|') AS shown, greatest(len(parts) - 6, 0) AS held FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)")
 def sl3(spark, sf):
     first, held = advisory.first_and_overflow(F.split("text", "\n"))

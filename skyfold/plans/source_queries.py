@@ -144,6 +144,17 @@ def sc11(spark, sf):
     return grids.discover_models(listing(spark, sf))
 
 
+@query("sc11_explicit_files", """SELECT model, name AS file, init, (SELECT count(DISTINCT init) > 1 FROM (SELECT min(init) AS init FROM v_files WHERE model IN ('view', 'purchase') GROUP BY model
+     UNION ALL SELECT max(init) FROM v_files WHERE model = 'purchase')) AS mixed FROM v_files f
+   WHERE (model = 'view' AND init = (SELECT min(init) FROM v_files WHERE model = 'view')) OR (model = 'purchase' AND init = (SELECT max(init) FROM v_files WHERE model = 'purchase'))""")
+def sc11_explicit(spark, sf):
+    files = listing(spark, sf)
+    ends = {r["model"]: r for r in files.groupBy("model").agg(F.min("name").alias("first"), F.max("name").alias("last")).where("model in ('view', 'purchase')").collect()}
+    chosen, mixed = grids.explicit_models({"view": ends["view"]["first"], "purchase": ends["purchase"]["last"]}, files)
+    inits = chosen.agg(mixed.alias("mixed"))
+    return chosen.select("model", F.col("name").alias("file"), "init").withColumn("mixed", inits.scalar())
+
+
 @query("sc12_member_files", "SELECT model, replace(name, '.nc', '_members.nc') AS name FROM v_files WHERE init = '20240115'")
 def sc12(spark, sf):
     files = listing(spark, sf).select("model", F.concat("stem", F.lit("_members.nc")).alias("name"))
@@ -633,6 +644,23 @@ def ad9_categories(spark, sf):
     )
 
 
+def week_sql(n):
+    s, e = f"(f + {7 * n - 6})", f"(f + {7 * n})"
+    label = f"CASE WHEN month({s}) = month({e}) THEN strftime({s}, '%b %-d') || '–' || day({e}) ELSE strftime({s}, '%b %-d') || ' – ' || strftime({e}, '%b %-d') END"
+    return f"SELECT k, {n} AS week, 'Week {n} · ' || {label} AS label, {RAIN_CASE.format(c=f'wk{n}')} AS rainfall, {TEMP_CASE.format(c=f't{n}')} AS temperature FROM r"
+
+
+@query("ad9_category_weeks", "WITH r AS (SELECT *, CAST(forecast_date AS DATE) AS f FROM v_record) " + " UNION ALL ".join(week_sql(n) for n in (1, 2, 3, 4)))
+def ad9_weeks(spark, sf):
+    week = F.explode(F.array(*(
+        F.struct(F.lit(n).alias("week"), F.col(f"week{n}_rainfall_anomaly_mm_day").alias("rain"), F.col(f"week{n}_tmax_anomaly_degC").alias("tmax")) for n in (1, 2, 3, 4)
+    )))
+    rows = v.records(spark, sf).select("k", "forecast_date", week.alias("w")).select("k", "forecast_date", "w.*")
+    return rows.select(
+        "k", "week", dates.week_label(F.col("forecast_date"), F.col("week")).alias("label"), signals.rain_category(F.col("rain")).alias("rainfall"), signals.temp_category(F.col("tmax")).alias("temperature")
+    )
+
+
 @query("ad9_odds_table", f"SELECT kd, week, {_WORD.format('w')} || ' · ' || CAST(round_even(w * 10, 0) AS BIGINT) * 10 || '%' AS odds, CAST(round_even(w * 100, 0) AS BIGINT) AS pct FROM v_odds_rows")
 def ad9_odds(spark, sf):
     return odds_rows(spark, sf).select(
