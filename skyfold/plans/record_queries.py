@@ -9,6 +9,7 @@ from skyfold.operators import advisory, dedup, forecast, matching, ordered, reco
 from skyfold.plans import views as v
 from skyfold.plans.grid_queries import mean_anomaly, r, up
 from skyfold.plans.registry import VIEW_SQL, query
+from skyfold.plans.scratch import scratch
 from skyfold.sources import library as lib
 
 CONTEXTS = [
@@ -567,14 +568,14 @@ _FITS = f"""coalesce(NOT ((stage IN ('flowering', 'flowering_reproductive', 'har
   OR (stage IN ('recently_sown', 'vegetative', 'not_sown') AND {_any('text', advisory.HARVEST_KEYWORDS)}) OR (stage IN ('not_sown', 'recently_sown') AND {_any('text', advisory.FLOWERING_KEYWORDS)})), true)"""
 VIEW_SQL["v_fired"] = """SELECT s.k, s.context_id, s.scenario, s.scenario_rank AS rank, c.user_type, c.crop, c.irrigation, c.ctx_stage AS stage FROM v_scen_ctx s JOIN v_contexts c USING (context_id)"""
 VIEW_SQL["v_lib_actions"] = f"""SELECT f.k, f.context_id, l.category, f.rank, CASE WHEN l.audience = 'all' THEN 1 ELSE 2 END AS block, l.pos, l.text, f.stage FROM v_fired f
-  JOIN (SELECT * FROM (VALUES {lib.library_values()}) t(scenario, category, audience, pos, text)) l ON l.scenario = f.scenario AND l.audience IN ('all', f.user_type)
+  JOIN v_library l ON l.scenario = f.scenario AND l.audience IN ('all', f.user_type)
   WHERE NOT (l.audience = 'all' AND f.user_type = 'livestock_owner' AND {_any('l.text', advisory.CROP_KEYWORDS)})"""
 VIEW_SQL["v_water_actions"] = f"""SELECT k, context_id, 'do_now' AS category, rank, 3 AS block, 0 AS pos, '{advisory.RAINFED_NOW}' AS text, stage FROM v_fired
    WHERE user_type = 'farmer' AND irrigation = 'rainfed' AND scenario IN {advisory.RAINFED_SCENARIOS}
   UNION ALL SELECT k, context_id, 'prepare', rank, 3, 0, '{advisory.RAINFED_PREPARE}', stage FROM v_fired WHERE user_type = 'farmer' AND irrigation = 'rainfed' AND scenario IN {advisory.RAINFED_SCENARIOS}
   UNION ALL SELECT k, context_id, 'do_now', rank, 3, 0, '{advisory.IRRIGATED_NOW}', stage FROM v_fired WHERE user_type = 'farmer' AND irrigation = 'assured_irrigation' AND scenario IN {advisory.IRRIGATED_SCENARIOS}"""
 VIEW_SQL["v_people_actions"] = f"""SELECT f.k, f.context_id, l.category, f.rank, 5 AS block, l.pos, l.text, f.stage FROM v_fired f
-  JOIN (SELECT * FROM (VALUES {lib.community_values()}) t(scenario, category, audience, pos, text)) l ON l.scenario = f.scenario AND l.audience = f.user_type"""
+  JOIN v_community l ON l.scenario = f.scenario AND l.audience = f.user_type"""
 VIEW_SQL["v_plan_actions"] = """SELECT f.k, f.context_id, CASE WHEN p.kind = 'livestock' OR coalesce(f.crop, '') = '' OR contains(lower(p.crop), lower(f.crop)) THEN 'do_now' ELSE 'prepare' END AS category,
   f.rank, 4 AS block, p.pos, p.action AS text, f.stage FROM v_fired f JOIN v_plan p ON p.k = f.k AND p.scenario = f.scenario
   AND p.kind = CASE f.user_type WHEN 'farmer' THEN 'crop' WHEN 'livestock_owner' THEN 'livestock' END"""
@@ -594,7 +595,7 @@ def keyed(df, spark, sf):
 
 def all_actions(spark, sf):
     return advisory.scenario_actions(
-        ctx_records(spark, sf), lib.default_library(spark), lib.default_community(spark), plan_rows(spark, sf)
+        ctx_records(spark, sf), v.action_library(spark, sf), v.community_library(spark, sf), plan_rows(spark, sf)
     )
 
 
@@ -605,16 +606,18 @@ def ad4(spark, sf):
 
 @query("jn24_library_join", "SELECT k, context_id, category, rank, block, pos, text FROM v_lib_actions UNION ALL SELECT k, context_id, category, rank, block, pos, text FROM v_people_actions")
 def jn24(spark, sf):
+    path = scratch(spark, "library")
+    v.action_library(spark, sf).write.option("header", True).csv(path)
     ctx = ctx_records(spark, sf)
     fired_all = ctx.withColumn("crop_stage", F.lit(None).cast("string"))  # stage filter off
-    out = advisory.scenario_actions(fired_all, lib.default_library(spark), lib.default_community(spark))
+    out = advisory.scenario_actions(fired_all, lib.read_action_library(spark, path), v.community_library(spark, sf))
     return keyed(out.where("block <> 3"), spark, sf).drop("evergreen", "concept")
 
 
 @query("jn25_plan_by_crop", "SELECT k, context_id, category, rank, pos, text FROM v_plan_actions")
 def jn25(spark, sf):
     ctx = ctx_records(spark, sf).withColumn("crop_stage", F.lit(None).cast("string"))
-    out = advisory.scenario_actions(ctx, lib.default_library(spark), lib.default_community(spark), plan_rows(spark, sf))
+    out = advisory.scenario_actions(ctx, v.action_library(spark, sf), v.community_library(spark, sf), plan_rows(spark, sf))
     return keyed(out.where("block = 4"), spark, sf).select("k", "context_id", "category", "rank", "pos", "text")
 
 
@@ -646,7 +649,7 @@ def ad5(spark, sf):
 @query("pf22_relevant_for_livestock", "SELECT category, text, count(*) AS n FROM v_lib_actions WHERE context_id = 4 AND block = 1 GROUP BY ALL")
 def pf22(spark, sf):
     ctx = ctx_records(spark, sf).where("user_type = 'livestock_owner'")
-    out = advisory.scenario_actions(ctx, lib.default_library(spark), lib.default_community(spark))
+    out = advisory.scenario_actions(ctx, v.action_library(spark, sf), v.community_library(spark, sf))
     return out.where("block = 1").groupBy("category", "text").agg(F.count("*").alias("n"))
 
 
@@ -768,7 +771,7 @@ def fn8(spark, sf):
 
 def full_advisories(spark, sf):
     return advisory.advisories(
-        v.records(spark, sf), CONTEXTS, lib.default_library(spark), lib.default_community(spark), plan_rows(spark, sf)
+        v.records(spark, sf), CONTEXTS, v.action_library(spark, sf), v.community_library(spark, sf), plan_rows(spark, sf)
     )
 
 
@@ -820,7 +823,7 @@ _SCENARIO_HI = "CASE scenario " + " ".join(f"WHEN '{k}' THEN '{n}'" for k, n in
    LEFT JOIN (SELECT k, context_id, string_agg({_SCENARIO_HI}, '; ' ORDER BY scenario_rank) AS main_concerns FROM v_scen_ctx GROUP BY ALL) s ON s.k = r.k AND s.context_id = r.context_id""")
 def ad8_hi(spark, sf):
     records = v.records(spark, sf)
-    adv = advisory.advisories(records, CONTEXTS, lib.default_library(spark), lib.default_community(spark), language="hi")
+    adv = advisory.advisories(records, CONTEXTS, v.action_library(spark, sf), v.community_library(spark, sf), language="hi")
     notes = F.concat_ws("; ", *(F.col(f"source_notes.{c}") for c in ("forecast_source", "agriculture_source", "health_source")))
     return keyed(adv, spark, sf).select("k", "context_id", "forecast_summary", "outlook_narrative", F.array_join("main_concerns", "; ").alias("main_concerns"), notes.alias("sources"))
 

@@ -387,3 +387,45 @@ def plain_refs(x):
 _LINK = '<a href="([^"]*)">([^<]*)</a>'
 VIEW_SQL["v_links"] = f"""SELECT page_id, url, pos, {plain_refs(f"regexp_extract(a, '{_LINK}', 1)")} AS href, trim({plain_refs(f"regexp_extract(a, '{_LINK}', 2)")}) AS text FROM (
   SELECT page_id, url, unnest(found) AS a, unnest(range(len(found)))::INT AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '{_LINK}') AS found FROM pages))"""
+
+
+# --- action libraries -----------------------------------------------------
+
+_SCENARIOS = ("heat_stress", "delayed_monsoon", "early_season_dry_spell", "mid_season_break", "terminal_drought", "excess_rainfall_waterlogging")
+_AUDIENCES = ("farmer", "livestock_owner", "outdoor_worker", "health_worker")
+_LEADS = (
+    "Conserve water near ", "Monitor forecasts for ", "Use water judiciously in ", "Delay fertilizer application in ", "Keep short-duration crop seed from ",
+    "Harvest the plots of ", "Inspect the panicle stage in ", "Move goods to ",
+)
+_OFFICES = ("village_official", "ngo_extension_worker", "health_worker")
+
+
+def action_library(spark: SparkSession, sf: str) -> DataFrame:
+    """Neutral advice by scenario, category and audience, two rows per nation."""
+    k = F.col("n_nationkey")
+    n = k * 2 + F.col("i")
+    rows = table(spark, sf, "nation").select(k, "n_name", F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    lead = _pick((k + F.col("i") * 3) % len(_LEADS), _LEADS)
+    return rows.select(
+        _pick(k % 6, _SCENARIOS).alias("scenario"), _pick((k + F.col("i")) % 3, ("do_now", "prepare", "avoid")).alias("category"),
+        F.when(n % 3 != 0, "all").otherwise(_pick(n % 4, _AUDIENCES)).alias("audience"), n.cast("int").alias("pos"), F.concat(lead, "n_name").alias("text"),
+    )
+
+
+VIEW_SQL["v_library"] = f"""SELECT {_sql_pick('k % 6', _SCENARIOS)} AS scenario, {_sql_pick('(k + i) % 3', ('do_now', 'prepare', 'avoid'))} AS category,
+  CASE WHEN n % 3 <> 0 THEN 'all' ELSE {_sql_pick('n % 4', _AUDIENCES)} END AS audience, n AS pos, {_sql_pick(f'(k + i * 3) % {len(_LEADS)}', _LEADS)} || n_name AS text
+  FROM (SELECT n_nationkey AS k, n_name, i, n_nationkey * 2 + i AS n FROM nation, range(2) t(i))"""
+
+
+def community_library(spark: SparkSession, sf: str) -> DataFrame:
+    """Neutral steps for officials, field and health workers."""
+    k = F.col("n_nationkey")
+    office = F.explode(F.array(*(F.lit(x) for x in _OFFICES)))
+    return table(spark, sf, "nation").select(
+        _pick(k % 6, _SCENARIOS).alias("scenario"), F.when(k % 5 == 0, "do_now").otherwise("prepare").alias("category"),
+        office.alias("audience"), k.cast("int").alias("pos"), F.concat(F.lit("Inform the households of "), "n_name").alias("text"),
+    )
+
+
+VIEW_SQL["v_community"] = f"""SELECT {_sql_pick('k % 6', _SCENARIOS)} AS scenario, CASE WHEN k % 5 = 0 THEN 'do_now' ELSE 'prepare' END AS category, audience, k AS pos,
+  'Inform the households of ' || n_name AS text FROM (SELECT n_nationkey AS k, n_name FROM nation), (SELECT unnest({list(_OFFICES)!r}) AS audience)"""

@@ -1,8 +1,4 @@
-"""Default action library, community lists and livestock keywords.
-
-The texts are this package's own and replaceable: any table with the columns
-``scenario, category, audience, pos, text`` can be passed to the advisory.
-"""
+"""Action libraries are tables of the user: ``scenario, category, audience, pos, text``."""
 
 from __future__ import annotations
 
@@ -10,108 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "scenario string, category string, audience string, pos int, text string"
 
-_LIBRARY = {
-    "heat_stress": {
-        ("do_now", "all"): [
-            "Drink safe water often and rest in the shade",
-            "Check on elderly neighbours and small children twice a day",
-        ],
-        ("prepare", "all"): ["Store drinking water for two days", "Shift field operations to early morning"],
-        ("avoid", "all"): ["Strenuous work in the early afternoon", "Transporting animals at peak heat"],
-        ("do_now", "livestock_owner"): ["Give animals shade and water through the day"],
-        ("do_now", "outdoor_worker"): ["Take a break in the shade every hour"],
-        ("prepare", "health_worker"): ["Keep rehydration salts ready at the sub-centre"],
-    },
-    "delayed_monsoon": {
-        ("do_now", "all"): ["Conserve water and use water efficiently", "Monitor weather bulletins every morning"],
-        ("prepare", "all"): [
-            "Prepare contingency plans for water shortage",
-            "Keep seed of a short-duration crop at hand",
-        ],
-        ("avoid", "all"): ["Applying fertilizer before the first good rain", "Non-essential water use"],
-        ("do_now", "farmer"): ["Delay fertilizer application until the soil is moist"],
-        ("prepare", "livestock_owner"): ["Arrange dry fodder for four weeks"],
-    },
-    "early_season_dry_spell": {
-        ("do_now", "all"): ["Use water judiciously for essential needs only", "Mulch between rows to hold soil moisture"],
-        ("prepare", "all"): ["Consider re-sowing if plant stand falls below half", "Check local KVK stock of seed"],
-        ("avoid", "all"): ["Adding fertilizer to dry soil", "Re-sowing too early in dry soil"],
-        ("do_now", "farmer"): ["Weed by hand and fill gaps where seed failed"],
-    },
-    "mid_season_break": {
-        ("do_now", "all"): ["Give one protective irrigation at a critical stage", "Monitor forecasts for the next wet spell"],
-        ("prepare", "all"): ["Repair ponds and channels before rain returns"],
-        ("avoid", "all"): ["Top dressing of fertilizer without moisture"],
-        ("do_now", "livestock_owner"): ["Cut fodder from failed field borders"],
-    },
-    "terminal_drought": {
-        ("do_now", "all"): ["Save the crop at flowering with one irrigation", "Harvest matured grain without delay"],
-        ("prepare", "all"): ["Review water conservation works for the dry season", "Plan a fodder harvest from stunted plots"],
-        ("avoid", "all"): ["Spending water on fields past recovery"],
-        ("do_now", "livestock_owner"): ["Move animals near an assured water point"],
-    },
-    "excess_rainfall_waterlogging": {
-        ("do_now", "all"): ["Open drains and let excess water leave the field", "Stay updated with official weather warnings"],
-        ("prepare", "all"): ["Move stored grain and documents to higher ground", "Keep a boat or raft where floods recur"],
-        ("avoid", "all"): ["Spraying or sowing before the field drains", "Walking through fast water"],
-        ("do_now", "livestock_owner"): ["Tie animals on raised ground"],
-        ("do_now", "farmer"): ["Prop lodged plants and drain the nursery"],
-    },
-}
-
-_COMMUNITY = {
-    "heat_stress": ["List households at risk and visit them", "Set up a public water point"],
-    "delayed_monsoon": ["Inspect village ponds, pumps and tanks", "Agree which water uses come first"],
-    "terminal_drought": ["Secure drinking water sources", "Open a shared fodder bank"],
-    "excess_rainfall_waterlogging": ["Mark low-lying lanes that flood", "Plan who warns and moves whom"],
-}
-_HEALTH = ["Look for signs of heat exhaustion", "Refer severe cases to hospital at once"]
-COMMUNITY_AUDIENCES = ("village_official", "ngo_extension_worker")
-
-
-def default_library(spark: SparkSession) -> DataFrame:
-    """Library rows for all users and for each kind of user."""
-    rows = [
-        (scenario, category, audience, pos, text)
-        for scenario, groups in _LIBRARY.items()
-        for (category, audience), texts in groups.items()
-        for pos, text in enumerate(texts)
-    ]
-    return spark.createDataFrame(rows, SCHEMA)
-
-
-def default_community(spark: SparkSession) -> DataFrame:
-    """Community rows for officials and field workers, and the health-worker list."""
-    rows = [
-        (scenario, "prepare", audience, pos, text)
-        for scenario, texts in _COMMUNITY.items()
-        for audience in COMMUNITY_AUDIENCES
-        for pos, text in enumerate(texts)
-    ]
-    rows += [("heat_stress", "do_now", "health_worker", pos, text) for pos, text in enumerate(_HEALTH)]
-    return spark.createDataFrame(rows, SCHEMA)
-
 
 def read_action_library(spark: SparkSession, path: str) -> DataFrame:
+    """A library kept as CSV files with a header."""
     return spark.read.schema(SCHEMA).option("header", True).csv(path)
-
-
-def library_values() -> str:
-    """The default library as a SQL VALUES list, for comparison queries."""
-    out = []
-    for scenario, groups in _LIBRARY.items():
-        for (category, audience), texts in groups.items():
-            for pos, text in enumerate(texts):
-                out.append(f"('{scenario}','{category}','{audience}',{pos},'{text}')")
-    return ", ".join(out)
-
-
-def community_values() -> str:
-    out = [
-        f"('{s}','prepare','{a}',{i},'{t}')"
-        for s, texts in _COMMUNITY.items()
-        for a in COMMUNITY_AUDIENCES
-        for i, t in enumerate(texts)
-    ]
-    out += [f"('heat_stress','do_now','health_worker',{i},'{t}')" for i, t in enumerate(_HEALTH)]
-    return ", ".join(out)

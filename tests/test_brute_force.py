@@ -11,7 +11,6 @@ from skyfold.operators import advisory, dedup, extract, matching, ordered
 from skyfold.plans import extract_queries, record_queries
 from skyfold.plans import views as v
 from skyfold.sources import documents
-from skyfold.sources import library as lib
 
 
 def fold_by_hand(texts):
@@ -216,8 +215,8 @@ def test_final_lists_by_hand(spark, sf):
         assert got[key] == fold_by_hand(result), key
 
 
-def test_library_shape(spark):
-    rows = lib.default_library(spark).collect()
+def test_library_shape(spark, sf):
+    rows = v.action_library(spark, sf).collect()
     assert {r["category"] for r in rows} == {"do_now", "prepare", "avoid"}
     assert not [r for r in rows if any(p in r["text"].lower() for p in advisory.FORBIDDEN)]
 

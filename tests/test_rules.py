@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from skyfold.operators import advisory, rules
 from skyfold.plans import views as v
-from skyfold.sources import library as lib
 
 NEUTRAL = {
     "state": "S", "district": "D", "forecast_date": "2026-06-24",
@@ -83,7 +82,7 @@ CONTEXTS += [{"user_type": u, "irrigation_status": "unknown"} for u in ("livesto
 
 
 def test_every_context_is_well_formed(spark, sf):
-    adv = advisory.advisories(v.records(spark, sf), CONTEXTS, lib.default_library(spark), lib.default_community(spark))
+    adv = advisory.advisories(v.records(spark, sf), CONTEXTS, v.action_library(spark, sf), v.community_library(spark, sf))
     rows = adv.collect()
     assert len(rows) == v.records(spark, sf).count() * len(CONTEXTS)
     for r in rows:
