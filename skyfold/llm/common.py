@@ -27,3 +27,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Itera
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def split_join(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of rows with one aggregated row a key, in which adaptive execution can split hot keys.
+
+    An aggregate is partitioned by its keys already, and a join that takes this over
+    cannot be split. A hash of the keys beside them makes both sides shuffle for the join.
+    """
+    number = F.xxhash64(*keys)
+    return rows.withColumn("_keys", number).join(groups.withColumn("_keys", number), ["_keys", *keys]).drop("_keys")

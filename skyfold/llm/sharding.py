@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import whole_text
+from skyfold.llm.common import split_join, whole_text
 from skyfold.session import stage
 
 #: Bits of each dimension of the grid.
@@ -99,8 +99,7 @@ def curve_position(docs: DataFrame) -> DataFrame:
     placed = group.select("text_hash", F.col("first.lang").alias("lang"), F.col("first.source").alias("source"))
     size_code = F.least(F.lit((1 << BITS) - 1), F.floor(4 * F.log2(F.col("size").cast("double"))) - 8)
     return (
-        rows.drop("lang", "source")
-        .join(placed, "text_hash")
+        split_join(rows.drop("lang", "source"), placed, ["text_hash"])
         .select(
             "doc_id", "size", "text_crc32", "text_hash",
             hilbert_index([_ordered_code(F.col("lang")), _ordered_code(F.col("source")), F.greatest(F.lit(0), size_code)]).alias("curve"),

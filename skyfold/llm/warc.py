@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import slices
+from skyfold.llm.common import slices, split_join
 from skyfold.session import checkpoint_dir
 
 BREAK = "\r\n\r\n"
@@ -66,7 +66,7 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     keys = ["payload_digest", "payload_bytes"]
     first = rows.groupBy(*keys).agg(F.min("page_id").alias("first_id"))
     revisit = (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(first, keys).select(
+    return split_join(rows, first, keys).select(
         *rows.columns,
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("first_id")).alias("refers_to"),
