@@ -157,7 +157,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
             )
 
-    return docs.select("doc_id", whole_text(docs).cast("binary").alias("text")).mapInArrow(
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).cast("binary").alias("text")).mapInArrow(
         run,
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double",
     )

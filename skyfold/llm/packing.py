@@ -98,7 +98,7 @@ def cut(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 1, capacit
                 [pa.array(x, pa.int64()) for x in out], ["doc_id", "row_key", "start", "length", "ids_crc32", "doc_tokens"]
             )
 
-    rows = docs.select("doc_id", F.xxhash64(docs["doc_id"], docs["text"]).alias("row_key"), whole_text(docs).alias("text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["doc_id"], docs["text"]).alias("row_key"), whole_text(docs).alias("text"))
     return rows.mapInArrow(run, PIECES)
 
 

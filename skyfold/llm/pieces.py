@@ -197,7 +197,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
             ids = [np.frombuffer(own.encode(t), "<u4").astype(np.int32) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", whole_text(docs).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -232,6 +232,6 @@ def round_trip_digests(docs: DataFrame, model_path: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", whole_text(docs).alias("text")).mapInArrow(
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

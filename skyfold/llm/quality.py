@@ -131,7 +131,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
     for quality in (1, 0):
         chosen = usable.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id")
         rows = (
-            docs.select("doc_id", whole_text(docs).cast("binary").alias("text"))
+            docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).cast("binary").alias("text"))
             .join(F.broadcast(chosen), "doc_id", "left_semi")
             .groupBy("doc_id")
             .agg(F.min("text").alias("text"))
@@ -156,7 +156,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             found = [scorer.score(t) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", whole_text(docs).cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -213,3 +213,30 @@ def test_first_fit_decreasing_equals_a_scan():
             used[b:b] = [0] if b == len(used) else []
             assert (bins[k], offsets[k]) == (b, used[b])
             used[b] += sizes[k]
+
+
+EVERY = {
+    "pieces": lambda docs: pieces.round_trip_digests(docs, MODEL),
+    "encode": lambda docs: pieces.decode_documents(pieces.encode_documents(docs, MODEL), MODEL),
+    "licenses": licenses.scan,
+    "rules": lambda docs: rules.verdicts(rules.ledger(docs)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(EVERY))
+def test_odd_tables_keep_their_rows(docs_of, name):
+    """Null and repeated ids, repeated rows, a very long text, clashing extra columns, narrow ids, no rows."""
+    rows = [(None, "no id"), (None, None), (1, "once"), (1, "once"), (1, "other"), (2, "long words " * 60_000), (3, "y" * 300_000)]
+    docs = docs_of(rows).withColumn("n_words", F.lit("own")).withColumn("ids", F.lit(1)).withColumn("score", F.lit(None)).withColumn("m", F.lit(2))
+    got = EVERY[name](docs).collect()
+    assert sorted((r["doc_id"] for r in got), key=str) == sorted((i for i, _ in rows), key=str)
+    assert EVERY[name](docs.withColumn("doc_id", F.col("doc_id").cast("int"))).count() == len(rows)
+    assert EVERY[name](docs.limit(0)).count() == 0
+
+
+def test_packing_odd_table(docs_of):
+    rows = [(None, "no id"), (None, None), (1, "once"), (1, "once"), (2, "long words " * 60_000)]
+    docs = docs_of(rows).withColumn("length", F.lit("own")).withColumn("group", F.lit(1))
+    found = pack_all(docs).collect()
+    assert sum(r["start"] == 0 for r in found) == len(rows)
+    assert all(r["length"] <= 2048 for r in found)
