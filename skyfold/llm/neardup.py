@@ -4,9 +4,9 @@ A document is the sequence of its five-word shingles, each labelled with how oft
 occurred before. For each of several hash functions a sketch keeps the few shingles
 with the smallest hashes in the order of the text, so it is sensitive to edits and
 order and not to shared words alone. Documents that share a sketch are compared with
-one hub, the member of the sketch's bucket whose sketches are the commonest, and
-with the hubs of finer buckets (two, four and eight sketches in a row alike), so a
-bucket of any size gives a few pairs for each member and never all of them. Pairs are verified by a banded
+a hub, the member of the sketch's bucket whose sketches are the commonest, and with
+the hubs of finer buckets (two to eight sketches in a row alike), so a bucket of any
+size gives a few pairs for each member and never all. Pairs are verified by a banded
 alignment of the shingle sequences, and verified links are joined into classes.
 """
 
@@ -18,10 +18,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import slices, whole_text
+from skyfold.llm.common import slices, split_join, whole_text
 from skyfold.session import stage
 
 WORDS = 5
@@ -29,7 +29,11 @@ WORDS = 5
 SKETCHES = 32
 SHINGLES = 4
 #: How many sketches in a row a bucket needs alike.
-LEVELS = (1, 2, 4, 8)
+LEVELS = (1, 2, 3, 4, 5, 6, 8)
+#: From this level on a bucket has a drawn hub besides.
+DRAWN_FROM = 3
+#: Links that a task thins to a spanning forest at a time.
+LINKS_AT_ONCE = 200_000
 #: A pair is similar if 9 * common >= 4 * (n1 + n2), which is common / (n1 + n2 - common) >= 0.8.
 NUMERATOR, DENOMINATOR = 4, 9
 LAST_ID = (1 << 63) - 1
@@ -157,31 +161,34 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def _pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs ``a < b`` of texts to verify: every member of a shared bucket with the bucket's hub.
+    """Distinct pairs ``a < b`` of texts to verify: every member of a shared bucket with the bucket's hubs.
 
-    The hub is the member whose sketches are the commonest, which in a group of edited
-    copies is the text that all others were made from.
+    A hub is the member whose sketches are the commonest, which in a group of edited
+    copies is the text that all others were made from. Fine buckets have a second hub
+    drawn by a hash, which brings their few members together in other ways.
     """
-    each = nodes.where("n > 0").select("node", "rank", "n", "sketch", F.explode(F.sequence(F.lit(0), F.lit(SKETCHES - 1))).alias("j"))
-    level = [
-        F.xxhash64("j", *(F.get(F.col("sketch"), F.pmod(F.col("j") + k, F.lit(SKETCHES))) for k in range(depth))).alias(f"key{depth}") for depth in LEVELS
-    ]
-    entries = each.select("node", "rank", "n", *level)
-    coarse = f"key{LEVELS[0]}"
-    shared = entries.groupBy(coarse).agg(F.count("*").alias("members")).where("members > 1")
-    # finer buckets lie inside the coarse ones, so only members of shared coarse buckets go on
-    live = stage(entries.join(shared, coarse), "neardup-buckets")
-    common = live.groupBy("node").agg(F.sum("members").alias("commonness"))
-    live = stage(live.drop("members").join(common, "node"), "neardup-members")
-
-    def with_hub(key: str) -> DataFrame:
-        first = F.min(F.struct((-F.col("commonness")).alias("rare"), "rank", "node", "n"))
-        hubs = live.groupBy(key).agg(first.alias("hub"), F.count("*").alias("members")).where("members > 1")
-        met = live.select("node", "n", key).join(hubs.select(key, "hub"), key)
+    turns = F.explode(F.sequence(F.lit(0), F.lit(SKETCHES - 1))).alias("j")
+
+    def key(depth: int) -> Column:
+        return F.xxhash64("j", *(F.get(F.col("sketch"), F.pmod(F.col("j") + k, F.lit(SKETCHES))) for k in range(depth)))
+
+    entries = nodes.where("n > 0").select("node", "sketch", turns).select("node", key(1).alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    common = split_join(entries, shared, ["key"]).groupBy("node").agg(F.sum("members").alias("commonness"))
+    # only texts that share a sketch go on, with the keys of their coarse and fine buckets
+    live = nodes.join(common, "node").select("node", "rank", "n", "commonness", "sketch", turns)
+    live = stage(live.select("node", "rank", "n", "commonness", *(key(depth).alias(f"key{depth}") for depth in LEVELS)), "neardup-members")
+
+    def with_hub(depth: int) -> DataFrame:
+        bucket = f"key{depth}"
+        first = F.min(F.struct((-F.col("commonness")).alias("order"), "rank", "node", "n"))
+        drawn = F.min(F.struct(F.xxhash64("node", bucket).alias("order"), "rank", "node", "n"))
+        hubs = live.groupBy(bucket).agg(F.array(*([first, drawn] if depth >= DRAWN_FROM else [first])).alias("hubs"), F.count("*").alias("members")).where("members > 1")
+        met = split_join(live.select("node", "n", bucket), hubs.select(bucket, "hubs"), [bucket]).select("node", "n", F.explode("hubs").alias("hub"))
         near = DENOMINATOR * F.least("n", "hub.n") >= NUMERATOR * (F.col("n") + F.col("hub.n"))
         return met.where((F.col("node") != F.col("hub.node")) & near).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
 
-    return reduce(DataFrame.unionAll, [with_hub(f"key{depth}") for depth in LEVELS]).distinct()
+    return reduce(DataFrame.unionAll, [with_hub(depth) for depth in LEVELS]).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -202,6 +209,33 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
+def spanning(edges: DataFrame) -> DataFrame:
+    """Edges ``a, b`` that connect what the given ones connect: a forest of each task's edges, taken in bounded portions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while above.setdefault(x, x) != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        seen = 0
+        for part in slices(batches, 8192):
+            if seen >= LINKS_AT_ONCE:
+                above.clear()
+                seen = 0
+            seen += part.num_rows
+            keep = []
+            for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                one, other = root(a), root(b)
+                above[one] = other
+                keep.append(one != other)
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of the edges ``a, b``: the smallest node that it is connected with.
 
@@ -240,10 +274,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     source = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)).alias("rank"), F.md5(text.cast("binary")).alias("text_key"), text.alias("text"))
     texts = source.join(paired, ["rank", "text_key"]).select("node", "text").dropDuplicates(["node"])
     links = stage(_verified(pairs, stage(texts, "neardup-texts")), "neardup-links")
-    label = components(links)
+    label = components(spanning(links))
     grouped = nodes.select("text_key", "node", "rank").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = grouped.groupBy("label").agg(F.min(F.struct("rank", "node")).alias("first"))
-    known = grouped.join(first, "label").select("text_key", F.col("first.rank").alias("rank"), F.col("first.node").alias("first_row"))
+    known = split_join(grouped, first, ["label"]).select("text_key", F.col("first.rank").alias("rank"), F.col("first.node").alias("first_row"))
     out = rows.select("row", "doc_id", "text_key").join(known, "text_key")
     return out.select("row", "doc_id", "text_key", F.when(F.col("rank") != LAST_ID, F.col("rank")).alias("class_id"), "first_row"), links
 
