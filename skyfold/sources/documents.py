@@ -46,18 +46,18 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pixels_of(images: DataFrame) -> DataFrame:
-    """One row per pixel."""
-    n = F.col("width") * F.col("height")
-    at = images.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    """One row per pixel. An image is cut into its scan lines first, so a pixel row carries a line and not the image."""
+    stride = (F.col("width") * F.col("channels")).cast("int")
+    y = F.explode(F.sequence(F.lit(0), F.col("height").cast("int") - 1)).alias("y")
+    cut = images.where("width > 0 and height > 0").select("image_id", "width", "channels", "data", stride.alias("stride"), y)
+    lines = cut.select("image_id", "width", "channels", "y", F.substring("data", F.col("y") * F.col("stride") + 1, F.col("stride")).alias("line"))
+    at = lines.select("image_id", "channels", "y", "line", F.explode(F.sequence(F.lit(0), F.col("width").cast("int") - 1)).alias("x"))
 
     def channel(k: int) -> Column:
-        offset = (F.col("i") * F.col("channels") + k + 1).cast("int")
-        return F.conv(F.hex(F.substring("data", offset, F.lit(1))), 16, 10).cast("int")
+        offset = (F.col("x") * F.col("channels") + k + 1).cast("int")
+        return F.conv(F.hex(F.substring("line", offset, F.lit(1))), 16, 10).cast("int")
 
-    return at.select(
-        "image_id", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"),
-        channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b"),
-    )
+    return at.select("image_id", "x", "y", channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b"))
 
 
 def audit_checksums(manifest: DataFrame, files: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 """Incremental member ingest: new grid files fold into weekly sums, records follow.
 
-Each micro-batch writes its own partial sums under its batch id, so a batch
-that is run again after a lost executor or driver replaces itself and nothing
-is counted twice. Readers add the partial sums up.
+Each micro-batch writes its own partial sums under its checkpoint's mark and its
+batch id, so a batch that is run again after a lost executor or driver replaces
+itself, nothing is counted twice, and the batches of another checkpoint stay.
+Readers add the partial sums up.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -41,8 +44,10 @@ def ingest(spark: SparkSession, landing: str, schema: str, target: str, checkpoi
     skipped on the next run.
     """
 
+    run = "c" + hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        weekly_partials(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        weekly_partials(batch).write.mode("overwrite").parquet(f"{target}/run={run}/batch={batch_id}")
 
     return (
         spark.readStream.schema(schema)
