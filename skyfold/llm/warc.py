@@ -92,7 +92,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
             F.concat(F.lit("<urn:segment:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.col("segment").cast("string"), F.lit(">")))),
         F.concat(F.lit("WARC-Segment-Number: "), (F.col("segment") + 1).cast("string")),
         F.when(~first, F.concat(F.lit("WARC-Segment-Origin-ID: "), _record_id(F.col("page_id")))),
-        F.when(~last, F.lit("WARC-Truncated-Here: no")),
+        F.when(~last, F.lit("X-More-Segments: yes")),
         F.when(last & ~first, F.concat(F.lit("WARC-Segment-Total-Length: "), (F.col("payload_bytes")).cast("string"))),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.col("url"), "[\\r\\n]", "%0A")),
@@ -146,7 +146,7 @@ class _Stream:
                     yield self._chunk(CHUNK_BYTES, False)
                 if len(self.pending) < min(self.left, CHUNK_BYTES) or self.left > CHUNK_BYTES:
                     return
-                yield self._chunk(self.left, "WARC-Truncated-Here" not in self.head)
+                yield self._chunk(self.left, "X-More-Segments" not in self.head)
                 self.state = "end"
             else:
                 if len(self.pending) < 4:
