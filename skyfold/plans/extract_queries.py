@@ -174,6 +174,11 @@ def plan_cells(spark, sf):
     return head.unionByName(cells)
 
 
+def staged_cells(spark, sf):
+    """The cells as a stage table whose files hold whole documents of even size, for the walk's many scans."""
+    return stage(plan_cells(spark, sf).repartition("doc_id"), "plan-cells")
+
+
 VIEW_SQL["v_plan_rows"] = f"""SELECT doc_id, pos, CAST(floor(pos / 6.0) AS BIGINT) AS page, {_sql_pick('pos % 5', CONDITIONS)} AS cond, CASE WHEN pos % 3 = 0 THEN 'Situation ' || pos % 4 END AS farm,
   CASE WHEN pos % 4 = 1 THEN 'Rice - ' || pos % 7 END AS crop, CASE WHEN pos % 7 = 3 THEN '-do-' ELSE replace(line, '. ', ' • ') END AS chg,
   CASE WHEN pos % 5 = 2 THEN 'NA' WHEN pos % 5 = 4 THEN '' ELSE 'Mulch then ' || line END AS agro, line FROM v_lines"""
@@ -198,13 +203,13 @@ def ex2(spark, sf):
    UNION SELECT DISTINCT doc_id, page FROM v_plan_rows WHERE page > 0 GROUP BY doc_id, page HAVING count(*) >= 2 AND
      bool_or(cond <> '' OR ({condition_sql("chg")}) IS NOT NULL OR ({condition_sql("agro")}) IS NOT NULL)) GROUP BY ALL""")
 def wn9(spark, sf):
-    cells = stage(plan_cells(spark, sf), "plan-cells")
+    cells = staged_cells(spark, sf)
     t = extract.usable_tables(cells, stage(extract.analyze_tables(cells), "analysis"))
     return t.groupBy("doc_id", "page").agg(F.count("*").alias("n_tables"))
 
 
 def harvested(spark, sf):
-    return extract.harvest(stage(plan_cells(spark, sf), "plan-cells"))
+    return extract.harvest(staged_cells(spark, sf))
 
 
 def _sq(c):
@@ -237,7 +242,7 @@ def ex3(spark, sf):
 
 @query("pf34_verbatim_actions", "SELECT doc_id FROM documents WHERE false")
 def pf34(spark, sf):
-    cells = stage(plan_cells(spark, sf), "plan-cells")
+    cells = staged_cells(spark, sf)
     plain = stage(extract.harvest(cells).where(~F.col("resolved_from_ditto")), "harvest")
     bad = quality.not_verbatim(plain, cells).select("doc_id")
     headers = plain.where(extract.is_header_label(F.col("action"))).select("doc_id")
