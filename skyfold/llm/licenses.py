@@ -1,11 +1,13 @@
 """Licence scan by a positional index of rare words.
 
 Templates are short licence passages as word lists. The index lists, for every
-template word, its postings (template, position). A file is looked up by its rarest
-licence words, rarity being the inverse document frequency over the whole corpus.
-Each place of such a word in the file votes for the alignments of its postings
-(place minus position); alignments with enough distinct words are compared word by
-word, and a template's label is given if its mandatory phrase stands in place.
+template word, its postings (template, position). Each template is looked up by
+anchors of its own, the rarest words of its mandatory phrase, rarity being the inverse
+document frequency over the whole corpus. Each place of an anchor in the file votes for
+the alignment of its posting (place minus position); an alignment with all anchors is
+compared word by word, and a template's label is given if its mandatory phrase stands in
+place. A phrase in place has all its anchors in place, so no label is lost, however many
+licences a file holds.
 """
 
 from __future__ import annotations
@@ -39,24 +41,23 @@ TEMPLATES = (
     ("spdx-tag", "spdx license identifier", "spdx license identifier"),
 )
 
-#: Rarest licence words of a file that are looked up.
-RARE_WORDS = 12
-#: Distinct words that must agree on an alignment before it is compared in full.
+#: Anchors of a template: distinct words of its phrase that must agree on an alignment before it is compared in full.
 AGREEING = 3
 
 
 class Index:
-    """Postings of the templates' words with their weights, and the base phrases."""
+    """Postings of the templates' anchors, chosen by the words' weights, and the base phrases."""
 
     def __init__(self, document_frequency: dict[str, int], documents: int, templates=TEMPLATES, phrases=None):
         self.templates = [(label, text.encode().split(), phrase.encode().split()) for label, text, phrase in templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, words, _) in enumerate(self.templates):
-            for q, word in enumerate(words):
-                self.postings[word].append((t, q))
-        self.vocabulary = frozenset(self.postings)
+        self.vocabulary = frozenset(w for _, words, _ in self.templates for w in words)
         self.idf = {w: math.log((documents + 1) / (document_frequency.get(w.decode(), 0) + 1)) for w in self.vocabulary}
         self.phrase_at = [_find(words, phrase) for _, words, phrase in self.templates]
+        self.phrase_words = [frozenset(phrase) for _, _, phrase in self.templates]
+        self.anchors = [sorted(words, key=lambda w: (-self.idf[w], w))[:AGREEING] for words in self.phrase_words]
+        self.postings = [
+            [(word, self.phrase_at[t] + self.templates[t][2].index(word)) for word in anchors] for t, anchors in enumerate(self.anchors)
+        ]
         self.phrases = [(p.encode().split(), label) for p, label in (phrases or PHRASES).items()]
 
     def base(self, words: list[bytes]) -> dict[str, list[int]]:
@@ -76,18 +77,21 @@ class Index:
     def match(self, words: list[bytes]) -> dict[str, float]:
         """Labels whose template stands in the file, with the share of its words in place."""
         held = self.vocabulary.intersection(words)
-        if not held:
+        looked_up: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for t, needed in enumerate(self.phrase_words):
+            if needed <= held:
+                for word, q in self.postings[t]:
+                    looked_up[word].append((t, q))
+        if not looked_up:
             return {}
-        rare = set(sorted(held, key=lambda w: (-self.idf[w], w))[:RARE_WORDS])
-        votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
+        votes: dict[tuple[int, int], int] = defaultdict(int)
         for place, word in enumerate(words):
-            if word in rare:
-                for t, q in self.postings[word]:
-                    votes[t, place - q].add(word)
+            for t, q in looked_up.get(word, ()):
+                votes[t, place - q] += 1
         found: dict[str, float] = {}
         for (t, shift), agreeing in votes.items():
             label, template, phrase = self.templates[t]
-            if len(agreeing) < min(AGREEING, len(set(template))):
+            if agreeing < len(self.anchors[t]):
                 continue
             first = shift + self.phrase_at[t]
             if first < 0 or words[first : first + len(phrase)] != phrase:

@@ -93,6 +93,19 @@ def test_license_templates(docs_of):
         assert own in got[4 + k]["labels"].split(",")
 
 
+def test_license_files_with_several_templates(docs_of):
+    full = [t for _, t, _ in licenses.TEMPLATES]
+    scattered = " ".join(sorted({w for t in full for w in t.split()}))
+    texts = [f"{a}\n\n{b}" for a in full for b in full if a != b] + [" - ".join(full), " - ".join(full[::-1])]
+    texts += [f"{scattered}\n{phrase}\n{scattered}" for _, _, phrase in licenses.TEMPLATES] + [scattered]
+    got = rows_by_id(licenses.scan(docs_of(texts)))
+    for k, text in enumerate(texts):
+        words = f" {' '.join(licenses.words_of(text.encode())[i].decode() for i in range(got[k]['n_words']))} "
+        expected = {label for label, _, phrase in licenses.TEMPLATES if f" {phrase} " in words}
+        assert expected == set(filter(None, got[k]["labels"].split(","))) - set(licenses.PHRASES.values()), text
+    assert expected == set()
+
+
 def test_quality_held_out(spark, sf):
     big = sf.replace("sf0.001", "sf0.01")
     docs, labels = table(spark, big, "documents"), table(spark, big, "labels")
