@@ -27,16 +27,19 @@ CAPACITY = 2048
 #: Pieces of a packing group on average.
 GROUP_PIECES = 4_096
 
+#: Added tokens of byte_bpe_50k.json, which its tokenizer finds in any text as it is loaded.
+ADDED_TOKENS = (("<|endoftext|>", 50256),)
+
 PIECES = "doc_id long, row_key long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 @functools.lru_cache(maxsize=2)
-def encoding(ranks_path: str, pattern: str) -> tiktoken.Encoding:
-    """The byte-level vocabulary; special strings in a text are ordinary text."""
+def encoding(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> tiktoken.Encoding:
+    """The byte-level vocabulary. ``added``: strings with an id of their own; others are ordinary text."""
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
 class Tournament:
@@ -76,20 +79,21 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[n
     return bins, offsets
 
 
-def cut(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+def cut(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 1, capacity: int = CAPACITY, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """Pieces of every document: full sequences, then the rest.
 
     The ids are those of the text (null: empty) with the end id after them, so an
-    empty document gives one piece of one id. ``row_key`` spreads rows over groups
-    whatever the ids of the documents are.
+    empty document gives one piece of one id. Each string of ``added`` is one id
+    wherever it stands, and the text is split there. ``row_key`` spreads rows over
+    groups whatever the ids of the documents are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoding(ranks_path, pattern)
+        own = encoding(ranks_path, pattern, added)
         for part in slices(batches):
             out: list[list[int]] = [[], [], [], [], [], []]
             for doc, key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                ids = np.append(own.encode_to_numpy(text, disallowed_special=()), end_id).astype("<u4")
+                ids = np.append(own.encode_to_numpy(text, allowed_special="all"), end_id).astype("<u4")
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
                     for column, x in zip(out, (doc, key, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)), strict=True):
@@ -124,11 +128,11 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     return dealt.groupBy("group").applyInArrow(run, PACKED)
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
-    """Every document's pieces with sequence and offset, in sequences of ``capacity``.
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
+    """Every document's pieces with sequence and offset, in sequences of ``capacity``; ``added`` as in :func:`cut`.
 
     The pieces, without the ids, are written to the shared folder once; their number
     sets the number of groups.
     """
-    pieces = stage(cut(docs, ranks_path, pattern, capacity=capacity), "packing-pieces")
+    pieces = stage(cut(docs, ranks_path, pattern, capacity=capacity, added=added), "packing-pieces")
     return pack(pieces, max(1, round(pieces.count() / GROUP_PIECES)), capacity)

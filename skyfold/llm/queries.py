@@ -44,7 +44,7 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_tree_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=packing.ADDED_TOKENS
     )
 
 

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -13,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skyfold.llm import licenses, packing, pieces, quality, rules
+from skyfold.llm import licenses, packing, pieces, quality, queries, rules
 from skyfold.llm.common import table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -210,6 +211,22 @@ def test_packing_equals_the_tokenizer(docs_of, real):
     assert pack_all(docs_of(["x"]).limit(0)).count() == 0
 
 
+def test_registered_packing_equals_the_tokenizer_as_loaded(spark, docs_of, tmp_path):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"x  {end}  y\n{end}", f"it's {end} " * 4000, "<|endoftext", "<|ENDOFTEXT|>", f"é{end}日", None, *ODD]
+    docs = docs_of(texts)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for found in (queries.op9_tree_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        by_doc = {}
+        for r in found.collect():
+            by_doc.setdefault(r["doc_id"], []).append(r)
+        for k, text in enumerate(texts):
+            ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+            own = sorted((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in by_doc[k])
+            assert own == [(at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes()), len(ids)) for at in range(0, len(ids), 2048)]
+
+
 def test_packing_repeated_rows(docs_of):
     found = pack_all(docs_of([(7, "the same row")] * 5)).collect()
     assert len(found) == 5 and len({(r["sequence_id"], r["offset"]) for r in found}) == 5
