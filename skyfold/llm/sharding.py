@@ -1,9 +1,9 @@
 """Shards along a Hilbert curve over metadata.
 
-Language, source and size of a document are quantised to a grid cell each; the
-cells' index on a Hilbert curve orders the documents, and the order is cut into
-runs of equal row counts. A run then covers a compact part of every dimension, so
-files can be skipped by any of them.
+Language, source and size of a document are quantised to a grid cell each, language
+and source by their rank among all rows' values; the cells' index on a Hilbert curve
+orders the documents, and the order is cut into runs of equal row counts. A run then
+covers a compact part of every dimension, so files can be skipped by any of them.
 """
 
 from __future__ import annotations
@@ -65,26 +65,33 @@ def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
     return F.element_at(F.transform(F.array(x), interleave), 1)
 
 
-def _ordered_code(value: Column, bits: int = BITS) -> Column:
-    """A text's place among all texts on ``bits`` bits: fixed by its first bytes, so no table of values is needed.
+def _cells(rows: DataFrame, column: str, bits: int = BITS) -> DataFrame:
+    """``column, cell``: each distinct value with its place among the values of all rows on ``bits`` bits.
 
-    Digits and letters spread over the range; order is kept up to the resolution.
+    The place is that of the middle of the value's rows in the order of values, so
+    values that hold more than one cell's share of the rows never meet in a cell. The
+    rows of a value are counted first; values are ranked like rows in :func:`cut_runs`.
     """
-    text = F.lower(F.coalesce(value.cast("string"), F.lit("")))
-    total = F.lit(0.0)
-    for k in range(4):
-        c = F.ascii(F.substring(text, k + 1, 1))
-        rank = F.when(c == 0, 0).when(c < 48, 1).when(c < 58, c - 46).when(c < 97, 12).when(c < 123, c - 84).otherwise(39)
-        total = total + rank / F.lit(40.0 ** (k + 1))
-    return F.floor(total * (1 << bits)).cast("int")
+    values = rows.groupBy(column).agg(F.count("*").alias("n"))
+    ordered = values.repartitionByRange(column).sortWithinPartitions(column)
+    ordered = stage(ordered.withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33)), f"hilbert-{column}")
+    counts = ordered.groupBy("part").agg(F.sum("n").alias("held"))
+    before = counts.select(
+        "part",
+        (F.sum("held").over(Window.orderBy("part")) - F.col("held")).alias("before"),
+        F.sum("held").over(Window.partitionBy()).alias("total"),
+    )
+    within = F.sum("n").over(Window.partitionBy("part").orderBy(column)) - F.col("n")
+    ranked = ordered.withColumn("within", within).join(F.broadcast(before), "part")
+    return ranked.select(column, F.expr(f"cast(((2 * (before + within) + n) * {1 << bits}) div (2 * total) as int)").alias("cell"))
 
 
 def curve_position(docs: DataFrame) -> DataFrame:
     """``doc_id, size, text_crc32, text_hash, curve`` of every row.
 
-    Dimensions: language, source and size (steps of a quarter of a doubling). Rows
-    of equal text take the dimensions of their smallest ``doc_id`` (then of the
-    smallest language and source), so they stand together on the curve.
+    Dimensions: language and source (ranks by rows, see :func:`_cells`) and size
+    (steps of a quarter of a doubling). Rows of equal text take the dimensions of
+    their smallest ``doc_id`` (then of the smallest language and source), so they stand together on the curve.
     """
     raw = docs["text"].cast("string").cast("binary")
     rows = docs.select(
@@ -92,18 +99,18 @@ def curve_position(docs: DataFrame) -> DataFrame:
         (F.coalesce(F.octet_length(raw), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(raw, F.lit(b""))).alias("text_crc32"),
         F.xxhash64(whole_text(docs)).alias("text_hash"),
-        (docs["lang"] if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang"),
-        (docs["source"] if "source" in docs.columns else F.lit(None)).cast("string").alias("source"),
+        F.coalesce((docs["lang"] if "lang" in docs.columns else F.lit(None)).cast("string"), F.lit("")).alias("lang"),
+        F.coalesce((docs["source"] if "source" in docs.columns else F.lit(None)).cast("string"), F.lit("")).alias("source"),
     )
     group = rows.groupBy("text_hash").agg(F.min(F.struct("doc_id", "lang", "source")).alias("first"))
     placed = group.select("text_hash", F.col("first.lang").alias("lang"), F.col("first.source").alias("source"))
     size_code = F.least(F.lit((1 << BITS) - 1), F.floor(4 * F.log2(F.col("size").cast("double"))) - 8)
-    return (
-        split_join(rows.drop("lang", "source"), placed, ["text_hash"])
-        .select(
-            "doc_id", "size", "text_crc32", "text_hash",
-            hilbert_index([_ordered_code(F.col("lang")), _ordered_code(F.col("source")), F.greatest(F.lit(0), size_code)]).alias("curve"),
-        )
+    known = stage(split_join(rows.drop("lang", "source"), placed, ["text_hash"]), "hilbert-rows")
+    for column in ("lang", "source"):
+        known = split_join(known, _cells(known.select(column), column).withColumnRenamed("cell", f"{column}_cell"), [column])
+    return known.select(
+        "doc_id", "size", "text_crc32", "text_hash",
+        hilbert_index([F.col("lang_cell"), F.col("source_cell"), F.greatest(F.lit(0), size_code)]).alias("curve"),
     )
 
 

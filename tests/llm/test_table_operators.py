@@ -107,6 +107,31 @@ def test_shards_of_the_table(spark, sf):
     assert all(max(x) - min(x) == len(x) - 1 for x in by_text.values())  # equal texts stand together
 
 
+def test_shards_are_narrow_in_language_and_source(spark):
+    rng = random.Random(8)
+    langs = ["en"] * 8 + ["es"] * 6 + ["de"] * 4 + ["fr"] * 2
+    rows = [(k, "w" * rng.randint(50, 60), rng.choice(langs), f"https://www.src{rng.randint(0, 19)}.org/") for k in range(4_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    # a text of its own for each row
+    docs = docs.withColumn("text", F.concat("text", F.lpad(F.col("doc_id").cast("string"), 6, "0")))
+    held = defaultdict(lambda: (set(), set()))
+    for r in sharding.assign(docs).collect():
+        _, _, lang, source = rows[r["doc_id"]]
+        held[r["shard"]][0].add(lang)
+        held[r["shard"]][1].add(source)
+    assert sum(len(x) for x, _ in held.values()) <= 16 * 2
+    assert sum(len(x) for _, x in held.values()) <= 16 * 10
+
+
+@pytest.mark.parametrize("columns", [("lang",), ("source",), ("lang", "source")])
+def test_shards_without_metadata(docs_of, columns):
+    docs = docs_of([f"text {k}" for k in range(40)])
+    assert len(check_shards(docs.drop(*columns))) == 40
+    for c in columns:
+        docs = docs.withColumn(c, F.lit(None).cast("string"))
+    assert len(check_shards(docs)) == 40
+
+
 def check_shards(docs):
     got = sharding.assign(docs.withColumn("curve", F.lit("own")).withColumn("size", F.lit(0))).collect()
     source = docs.collect()
