@@ -188,7 +188,9 @@ def read_chunks(spark: SparkSession, path: str, payloads: bool = True) -> DataFr
             for name, line in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if name != file:
                     file, stream = name, _Stream(payloads)
-                rows.extend(stream.feed(line + BREAK.encode()))
+                else:  # a break stands between lines; a file's last line may end without one
+                    line = BREAK.encode() + line
+                rows.extend(stream.feed(line))
             columns = list(zip(*rows, strict=True)) or [()] * 8
             kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
             names = ["page_id", "chunk_no", "is_last", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"]

@@ -75,6 +75,13 @@ def test_warc_chunks_give_the_payloads(spark, tmp_path):
         assert so_far == (html[page] or "").encode() and rows[-1]["is_last"] and not any(r["is_last"] for r in rows[:-1])
 
 
+def test_warc_last_record_of_a_file(spark):
+    ends = ["x\r\n", "\r\n", "x\r\n\r\n", "\r\n\r\n", "x\r\n\r\n\r\n", "x\r\n\r", "x\r", "x\n", "x", ""]
+    for k, end in enumerate(ends):
+        rows = [(k, end)]
+        assert [tuple(r) for r in warc.archive_and_read(pages_of(spark, rows).coalesce(1)).collect()] == brute_warc(rows), repr(end)
+
+
 def test_warc_empty_table(spark):
     assert warc.archive_and_read(pages_of(spark, PAGES).limit(0)).count() == 0
 
