@@ -6,8 +6,11 @@ with the smallest hashes in the order of the text, so it is sensitive to edits a
 order and not to shared words alone. Documents that share a sketch are compared with
 a hub, the member of the sketch's bucket whose sketches are the commonest, and with
 the hubs of finer buckets (two to eight sketches in a row alike), so a bucket of any
-size gives a few pairs for each member and never all. Pairs are verified by a banded
-alignment of the shingle sequences, and verified links are joined into classes.
+size gives a few pairs for each member. Pairs are verified by a banded alignment of the
+shingle sequences, and verified links are joined into classes. Members of a bucket that
+are still in different classes are then compared with each other, unless the shingles
+that no other of them holds rule the pair out; so each two texts that share a sketch are
+in one class, compared, or known to differ.
 """
 
 from __future__ import annotations
@@ -160,8 +163,8 @@ def sketched(docs: DataFrame) -> DataFrame:
     return stage(made.select(F.monotonically_increasing_id().alias("row"), "*"), "neardup-sketches")
 
 
-def _pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs ``a < b`` of texts to verify: every member of a shared bucket with the bucket's hubs.
+def _pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ``a < b`` of texts to verify: every member of a shared bucket with the bucket's hubs; and the buckets' members.
 
     A hub is the member whose sketches are the commonest, which in a group of edited
     copies is the text that all others were made from. Fine buckets have a second hub
@@ -188,7 +191,42 @@ def _pairs(nodes: DataFrame) -> DataFrame:
         near = DENOMINATOR * F.least("n", "hub.n") >= NUMERATOR * (F.col("n") + F.col("hub.n"))
         return met.where((F.col("node") != F.col("hub.node")) & near).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
 
-    return reduce(DataFrame.unionAll, [with_hub(depth) for depth in LEVELS]).distinct()
+    return reduce(DataFrame.unionAll, [with_hub(depth) for depth in LEVELS]).distinct(), live
+
+
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """``node, own``: how many labelled shingles of each text no other of the texts holds (a row only where there are some)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            for node, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                held = labelled(shingles(text)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), node, np.int64))], ["shingle", "node"])
+
+    held = texts.select("node", "text").mapInArrow(run, "shingle long, node long")
+    alone = held.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+    return alone.groupBy("node").agg(F.count("*").alias("own"))
+
+
+def _apart(live: DataFrame, label: DataFrame) -> DataFrame:
+    """``key1, node, n, label`` of the members of buckets that hold more than one class."""
+    members = live.select("key1", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = members.groupBy("key1").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return split_join(members, mixed.select("key1"), ["key1"])
+
+
+def _pairs_apart(apart: DataFrame, own: DataFrame, seen: DataFrame) -> DataFrame:
+    """Distinct pairs ``a < b`` of one bucket and two classes that are not ruled out and not among ``seen``.
+
+    What two texts have in common is no more than either holds without its own
+    shingles, so a pair left out here is not similar.
+    """
+    members = stage(apart.join(own, "node", "left").select("key1", "node", "n", "label", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")), "neardup-apart")
+    one, other = members.alias("one"), members.alias("other")
+    may = (F.col("one.node") < F.col("other.node")) & (F.col("one.label") != F.col("other.label"))
+    may &= DENOMINATOR * F.least("one.shared", "other.shared") >= NUMERATOR * (F.col("one.n") + F.col("other.n"))
+    met = one.join(other, (F.col("one.key1") == F.col("other.key1")) & may)
+    return met.select(F.col("one.node").alias("a"), F.col("other.node").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -268,13 +306,28 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("rank"), "row")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
     nodes = stage(nodes.select("text_key", F.col("first.row").alias("node"), F.col("first.rank").alias("rank"), "n", "sketch"), "neardup-nodes")
-    pairs = stage(_pairs(nodes), "neardup-pairs")
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_key", "rank"), "node")
+    found, live = _pairs(nodes)
+    pairs = stage(found, "neardup-pairs")
     text = whole_text(docs)
     source = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)).alias("rank"), F.md5(text.cast("binary")).alias("text_key"), text.alias("text"))
-    texts = source.join(paired, ["rank", "text_key"]).select("node", "text").dropDuplicates(["node"])
-    links = stage(_verified(pairs, stage(texts, "neardup-texts")), "neardup-links")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        known = wanted.distinct().join(nodes.select("node", "text_key", "rank"), "node")
+        return source.join(known, ["rank", "text_key"]).select("node", "text").dropDuplicates(["node"])
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        texts = stage(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), f"{name}-texts")
+        return stage(_verified(pairs, texts), f"{name}-links")
+
+    links = verified(pairs, "neardup")
     label = components(spanning(links))
+    # members that no hub brought together are compared with each other
+    apart = stage(_apart(live, label), "neardup-mixed")
+    further = stage(_pairs_apart(apart, _own_shingles(texts_of(apart.select("node"))), pairs), "neardup-further")
+    more = verified(further, "neardup-further")
+    if not more.isEmpty():
+        links = links.unionAll(more)
+        label = components(spanning(links))
     grouped = nodes.select("text_key", "node", "rank").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = grouped.groupBy("label").agg(F.min(F.struct("rank", "node")).alias("first"))
     known = split_join(grouped, first, ["label"]).select("text_key", F.col("first.rank").alias("rank"), F.col("first.node").alias("first_row"))

@@ -169,6 +169,39 @@ def test_one_document_of_each_class_stays(docs_of):
     assert neardup.class_of_documents(wide.limit(0)).count() == 0
 
 
+def test_links_that_bypass_every_hub(docs_of):
+    """Copies that are too far from the text they were made from, and among them pairs of siblings and a chain."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(300)]
+    words = lambda at, mark: [f"{mark}{k}" if k in at else w for k, w in enumerate(base)]
+    texts = [" ".join(base)]
+    for k in range(150):
+        at = set(range(rng.randint(0, 7), 300, 27 + k % 4))
+        own = words(at, f"s{k}_")
+        texts.append(" ".join(own))
+        for sibling in range(2 if k % 10 == 0 else 0):
+            own = [f"t{k}_{sibling}" if i == 40 + 90 * sibling else w for i, w in enumerate(own)]
+            texts.append(" ".join(own))
+    held = [neardup.shingles(t) for t in texts]
+    smallest = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if smallest[a] != smallest[b] and neardup.similar(held[a], held[b]):
+                low, high = sorted((smallest[a], smallest[b]))
+                smallest = [low if x == high else x for x in smallest]
+    got = neardup.class_of_documents(docs_of(texts)).collect()
+    assert sorted(tuple(r) for r in got) == list(enumerate(smallest))
+
+
+def test_links_between_classes_need_no_hub(spark):
+    """Every pair of a bucket and two classes is found unless its own shingles rule it out."""
+    rows = [(1, 1, 10, 1), (1, 2, 10, 1), (1, 3, 10, 3), (1, 4, 10, 4), (2, 3, 10, 3), (2, 5, 30, 5)]
+    apart = spark.createDataFrame(rows, "key1 long, node long, n long, label long")
+    own = spark.createDataFrame([(4, 2)], "node long, own long")
+    seen = spark.createDataFrame([(1, 3)], "a long, b long")
+    assert [tuple(r) for r in neardup._pairs_apart(apart, own, seen).collect()] == [(2, 3)]
+
+
 def test_components_of_a_path(spark):
     path = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["label"] for r in neardup.components(path).collect()}
