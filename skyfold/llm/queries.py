@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfold.llm import licenses, neardup, neighbours, packing, pieces, quality, rules, sharding, suffixes, warc
+from skyfold.llm import licenses, neardup, neighbours, packing, phrases, pieces, quality, rules, sharding, suffixes, warc
 from skyfold.llm.common import table
 
 
@@ -52,12 +52,16 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_chunks, op2_piece_codec, op3_license_scan, op4_compression_quality, op5_order_minhash, op6_hilbert_shards,
-        op7_multi_index, op8_rule_ledger, op9_tree_packing, op10_suffix_arrays,
+        op7_multi_index, op8_rule_ledger, op9_tree_packing, op10_suffix_arrays, op11_setm_phrases,
     )
 }
 
-ORACLES = {"op1_warc_chunks": warc.ORACLE_SQL, "op8_rule_ledger": rules.ORACLE_SQL}
+ORACLES = {"op1_warc_chunks": warc.ORACLE_SQL, "op8_rule_ledger": rules.ORACLE_SQL, "op11_setm_phrases": phrases.ORACLE_SQL}
