@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,11 @@ GROUP_PIECES = 4_096
 #: Added tokens of byte_bpe_50k.json, which its tokenizer finds in any text as it is loaded.
 ADDED_TOKENS = (("<|endoftext|>", 50256),)
 
+#: From this length on a run of white space is cut out by hand: the pattern goes back over a run, and fails on very long ones.
+LONG_RUN = 1 << 16
+#: White space as the pattern knows it (fixed values).
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
+
 PIECES = "doc_id long, row_key long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -42,6 +48,27 @@ def encoding(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] =
     return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
+def ids_of(own: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The ids of a text, its added tokens included.
+
+    The pattern takes a run of white space as one piece, without its last character
+    where other text follows (an added token counts as the end). A long run is cut there
+    and its piece encoded alone, which gives the same ids.
+    """
+    if len(text) < LONG_RUN:
+        return own.encode_to_numpy(text, allowed_special="all")
+    parts, at = [], 0
+    for run in _LONG_SPACE.finditer(text):
+        stop = run.end()
+        if stop < len(text) and not text.startswith(tuple(own.special_tokens_set), stop):
+            stop -= 1
+        parts.append(own.encode_to_numpy(text[at : run.start()], allowed_special="all"))
+        parts.append(np.array(own._encode_single_piece(text[run.start() : stop]), np.uint32))
+        at = stop
+    parts.append(own.encode_to_numpy(text[at:], allowed_special="all"))
+    return np.concatenate(parts)
+
+
 class Tournament:
     """Bins of equal capacity; each inner node holds the largest room below it."""
 
@@ -93,7 +120,7 @@ def cut(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 1, capacit
         for part in slices(batches):
             out: list[list[int]] = [[], [], [], [], [], []]
             for doc, key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                ids = np.append(own.encode_to_numpy(text, allowed_special="all"), end_id).astype("<u4")
+                ids = np.append(ids_of(own, text), end_id).astype("<u4")
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
                     for column, x in zip(out, (doc, key, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)), strict=True):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfold.llm import licenses, neardup, neighbours, packing, phrases, pieces, quality, rules, sharding, suffixes, warc
+from skyfold.llm import chat, lexical, licenses, neardup, neighbours, packing, phrases, pieces, quality, rules, sharding, suffixes, warc
 from skyfold.llm.common import table
 
 
@@ -56,12 +56,26 @@ def op11_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = chat.with_example(table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.format_conversations(rows, *vocabulary), *vocabulary)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_chunks, op2_piece_codec, op3_license_scan, op4_compression_quality, op5_order_minhash, op6_hilbert_shards,
-        op7_multi_index, op8_rule_ledger, op9_tree_packing, op10_suffix_arrays, op11_setm_phrases,
+        op7_multi_index, op8_rule_ledger, op9_tree_packing, op10_suffix_arrays, op11_setm_phrases, op12_dual_tree_search,
+        op13_chat_masks,
     )
 }
 
-ORACLES = {"op1_warc_chunks": warc.ORACLE_SQL, "op8_rule_ledger": rules.ORACLE_SQL, "op11_setm_phrases": phrases.ORACLE_SQL}
+ORACLES = {
+    "op1_warc_chunks": warc.ORACLE_SQL, "op8_rule_ledger": rules.ORACLE_SQL, "op11_setm_phrases": phrases.ORACLE_SQL,
+    "op12_dual_tree_search": lexical.ORACLE_SQL, "op13_chat_masks": chat.ORACLE_SQL,
+}
