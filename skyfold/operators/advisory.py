@@ -1,22 +1,22 @@
 """Advisories for every district and user context at once.
 
-Records and contexts stay one row while text and scenarios are derived by
-projection. Actions are exploded, joined to the library on equality keys,
-deduplicated by map-side combined aggregation, and folded back to one row.
+A record and context is one row from beginning to end. What depends on a context alone
+is settled in a guide of one row a context, what depends on a district alone in one row
+a district; the lists are then put together, freed of repeats and capped by array
+functions in the row.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.functions import labels
 from skyfold.functions.signals import OUTLOOK_LABELS_EN, OUTLOOK_LABELS_HI, outlook_label, signed
-from skyfold.functions.text import ACTION_TEMPLATES, action_id, any_phrase
+from skyfold.functions.text import ACTION_TEMPLATES, ACTION_TEMPLATES_HI, action_id, any_phrase, replace_all, translate_label
 from skyfold.operators import dedup, rules
+from skyfold.operators.matching import catalog_lookup
+from skyfold.session import stage
 
 # Keyword lists, caps and sentences.
 CROP_KEYWORDS = ("planting", "sowing", "crop", "fertilizer", "seed", "field operations")
@@ -48,6 +48,23 @@ BASE_DRYING_COMMUNITY = "Rainfall outlook dries out over weeks 2-4 — review co
 BASE_WETTING = "Above-normal rainfall expected in coming weeks — ensure field drainage is clear"
 BASE_WETTING_2 = "Plan pesticide/fungicide applications around expected wet spells"
 BASE_MONITOR = "Monitor IMD forecasts and local KVK advisories for updates"
+ACTIONS_HI = {
+    BASE_GOOD: "इस सप्ताह मिट्टी में नमी की अच्छी स्थिति रहेगी — बुवाई या खेत के काम के लिए अनुकूल",
+    BASE_NORMAL: "स्थितियाँ सामान्य के आसपास हैं — नियमित फसल प्रबंधन और निगरानी जारी रखें",
+    BASE_MONITOR: "अपडेट के लिए IMD पूर्वानुमान और स्थानीय KVK सलाह देखते रहें",
+    BASE_DRYING_2: "सिंचाई स्रोतों की जाँच करें और जल-संचयन संरचनाओं की मरम्मत करें",
+    BASE_WETTING: "आने वाले सप्ताहों में सामान्य से अधिक वर्षा की संभावना है — खेत की जल निकासी साफ रखें",
+    BASE_WETTING_2: "संभावित बारिश के दौर को ध्यान में रखकर कीटनाशक/फफूंदनाशक के उपयोग की योजना बनाएँ",
+    RAINFED_NOW: "वर्षा आधारित खेत: मिट्टी की नमी बचाने को प्राथमिकता दें — मल्चिंग, निराई और धूल मल्च करें",
+    RAINFED_PREPARE: "सिंचाई की सुविधा न होने पर दोबारा बुवाई की स्थिति में कम अवधि या सूखा-सहने वाली किस्मों की योजना बनाएँ",
+    IRRIGATED_NOW: "फसल की महत्वपूर्ण अवस्थाओं में सिंचाई का रणनीतिक उपयोग करें — वर्षा आधारित किसानों की तुलना में आपके पास अधिक सुविधा है",
+}
+PHRASES_HI = {
+    "Season-to-date rainfall is": "अब तक की मौसमी वर्षा",
+    "below normal — prioritize moisture conservation": "सामान्य से कम है — नमी संरक्षण को प्राथमिकता दें",
+    "Rainfall outlook dries out over weeks 2-4 —": "सप्ताह 2-4 में वर्षा कम होने की संभावना है —",
+    "conserve soil moisture and plan water use carefully": "मिट्टी की नमी बचाएँ और पानी के उपयोग की सावधानीपूर्वक योजना बनाएँ",
+}
 DISCLAIMER = "Decision support only; check with the local extension office before acting."
 RECORD_KEY = ["state", "district", "context_id"]
 
@@ -244,12 +261,13 @@ def annotate(df: DataFrame) -> DataFrame:
             "flowering": flowering,
             "evergreen": any_phrase(t, EVERGREEN),
             "concept": dedup.concept(t),
+            "bag": dedup.bag(t),
         }
     )
 
 
 def guardrail_hits(text: Column) -> Column:
-    return any_phrase(text, FORBIDDEN)
+    return dedup.let(text, lambda t: any_phrase(t, FORBIDDEN))
 
 
 # --- actions --------------------------------------------------------------
@@ -257,8 +275,11 @@ def guardrail_hits(text: Column) -> Column:
 def prepare_contexts(records: DataFrame, contexts: list[dict]) -> DataFrame:
     """Records in all contexts with scenarios and normalised user type."""
     out = rules.expand_contexts(records, contexts)
-    user = F.regexp_replace(F.coalesce("user_type", F.lit("farmer")), r"[^a-z0-9]+", "_")
-    return rules.with_inputs(out.withColumn("user_type", user)).withColumn("scenarios", rules.scenarios())
+    return rules.with_inputs(out.withColumn("user_type", _user_key(F.col("user_type")))).withColumn("scenarios", rules.scenarios())
+
+
+def _user_key(user: Column) -> Column:
+    return F.regexp_replace(F.coalesce(user, F.lit("farmer")), r"[^a-z0-9]+", "_")
 
 
 def guidance_table(library: DataFrame, community: DataFrame) -> DataFrame:
@@ -280,76 +301,184 @@ def guidance_table(library: DataFrame, community: DataFrame) -> DataFrame:
     )
 
 
-def scenario_actions(ctx: DataFrame, library: DataFrame, community: DataFrame, plan: DataFrame | None = None) -> DataFrame:
-    """Ordered action rows of every fired scenario."""
-    fired = ctx.select(
-        *RECORD_KEY, "user_type", "crop", "irrigation_status", "crop_stage",
-        F.posexplode(F.transform("scenarios", lambda s: s["scenario"])).alias("rank", "scenario"),
-    )
-    columns = [*RECORD_KEY, "category", "rank", "block", "pos", "text", "evergreen", "concept"]
-    fits = stage_fit(F.col("sowing"), F.col("harvest"), F.col("flowering"), F.col("crop_stage"))
+def own_text_hi(text: Column) -> Column:
+    """Hindi of the texts that are written here, known phrases replaced in others."""
+    exact = translate_label(text, ACTIONS_HI)
+    return F.when(exact == text, replace_all(text, PHRASES_HI)).otherwise(exact)
+
+
+def in_hindi(texts: DataFrame, catalog: DataFrame | None) -> DataFrame:
+    """Adds ``text_hi``: the catalog's translation of ``text``, else what :func:`own_text_hi` gives."""
+    if catalog is None:
+        return texts.withColumn("text_hi", own_text_hi(F.col("text")))
+    return catalog_lookup(texts, catalog, "hi", own_text_hi(F.col("text"))).withColumnRenamed("translated", "text_hi")
+
+
+def _entry(category: Column, block: Column, pos: Column) -> Column:
+    """One action as every later step needs it; found once per text and not per district and context."""
+    return F.struct(
+        category.alias("category"), block.cast("int").alias("block"), pos.cast("long").alias("pos"), F.col("text"), F.col("text_hi"),
+        F.col("evergreen"), F.col("concept").cast("int").alias("concept"), F.col("bag"),
+    )
+
+
+ENTRY = (
+    "struct<category:string,block:int,pos:bigint,text:string,text_hi:string,evergreen:boolean,concept:int,"
+    "bag:struct<words:array<string>,marks:bigint>>"
+)
+_NONE = f"array<{ENTRY}>"
+
+
+def context_guide(contexts: list[dict], library: DataFrame, community: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """``context_id, before, after``: maps of a scenario to its texts in a context, in order.
+
+    Audience, crop advice and crop stage are settled here, at the size of the libraries
+    times the contexts. ``before`` is told before a district's plan, ``after`` behind it.
+    """
+    spark = library.sparkSession
+    fields = ("user_type", "irrigation_status", "crop_stage")
+    rows = [(i, *(c.get(f) for f in fields)) for i, c in enumerate(contexts)]
+    told = spark.createDataFrame(rows, "context_id int, user_type string, irrigation_status string, crop_stage string")
+    told = told.withColumn("user_type", _user_key(F.col("user_type")))
     audiences = F.array(F.lit("all"), F.col("user_type"), F.concat_ws(":", "user_type", "irrigation_status"))
-    asked = fired.withColumn("audience", F.explode(audiences))
-    told = asked.join(annotate(guidance_table(library, community)), ["scenario", "audience"])
+    texts = annotate(in_hindi(guidance_table(library, community), catalog))
+    met = told.withColumn("audience", F.explode(audiences)).join(texts, "audience")
     shown = (F.col("audience") != "all") | (F.col("user_type") != "livestock_owner") | ~F.col("crop_advice")
-    out = told.where(shown & fits).select(*columns)
-    if plan is not None:
-        p = plan.select(
-            "state", "district", "scenario", "kind", "pos", F.col("action").alias("text"), F.col("crop").alias("p_crop")
-        )
-        wants = F.when(F.col("user_type") == "farmer", "crop").when(F.col("user_type") == "livestock_owner", "livestock")
-        local = fired.withColumn("kind", wants).join(annotate(p), ["state", "district", "scenario", "kind"])
-        named = F.contains(F.lower("p_crop"), F.lower("crop"))
-        category = (
-            F.when((F.col("kind") == "livestock") | (F.coalesce("crop", F.lit("")) == ""), "do_now")
-            .when(F.coalesce(named, F.lit(False)) & (F.col("p_crop") != ""), "do_now")
-            .otherwise("prepare")
-        )
-        local = local.withColumn("category", category).withColumn("block", F.lit(4))
-        out = out.unionByName(local.where(fits).select(*columns))
-    return out
+    fits = stage_fit(F.col("sowing"), F.col("harvest"), F.col("flowering"), F.col("crop_stage"))
+    kept = met.where(shown & fits).withColumn("entry", _entry(F.col("category"), F.col("block"), F.col("pos")))
 
+    def in_order(test: Column) -> Column:
+        listed = F.sort_array(F.collect_list(F.when(test, F.struct("block", "pos", "category", "entry"))))
+        return F.transform(listed, lambda x: x["entry"])
 
-def baseline_actions(ctx: DataFrame) -> DataFrame:
-    """Planning guidance for records where no scenario fires."""
+    lists = kept.groupBy("context_id", "scenario").agg(in_order(F.col("block") < 4).alias("before"), in_order(F.col("block") > 4).alias("after"))
+    maps = [F.map_from_entries(F.collect_list(F.struct("scenario", c))).alias(c) for c in ("before", "after")]
+    guide = lists.groupBy("context_id").agg(*maps)
+    none = F.create_map().cast(f"map<string,{_NONE}>")
+    return told.select("context_id").join(guide, "context_id", "left").select("context_id", *(F.coalesce(c, none).alias(c) for c in ("before", "after")))
+
+
+def district_plans(plan: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """``state, district, plan``: a district's plan actions in order, one row a district.
+
+    ``plan`` has scenario, kind, pos, action and crop. Rows of the older flat list have
+    kind ``flat``: they are told to farmers whatever their crop.
+    """
+    p = plan.select("state", "district", "scenario", "kind", "pos", F.col("action").alias("text"), F.col("crop").alias("p_crop"))
+    p = annotate(in_hindi(p, catalog))
+    item = F.struct(
+        (F.col("kind") != "flat").alias("later"), "pos", "scenario", "kind", "p_crop", "sowing", "harvest", "flowering",
+        _entry(F.lit("do_now"), F.lit(4), F.col("pos")).alias("entry"),
+    )
+    return p.groupBy("state", "district").agg(F.sort_array(F.collect_list(item)).alias("plan"))
+
+
+def _plan_entries(scenario: Column) -> Column:
+    """The plan's entries for a scenario and the row's user, crop and crop stage."""
+    wants = F.when(F.col("user_type") == "farmer", "crop").when(F.col("user_type") == "livestock_owner", "livestock")
+
+    def asked(p: Column) -> Column:
+        mine = (p["kind"] == wants) | ((p["kind"] == "flat") & (F.col("user_type") == "farmer"))
+        return (p["scenario"] == scenario) & F.coalesce(mine, F.lit(False)) & stage_fit(p["sowing"], p["harvest"], p["flowering"], F.col("crop_stage"))
+
+    def placed(p: Column) -> Column:
+        named = F.coalesce(F.contains(F.lower(p["p_crop"]), F.lower("crop")), F.lit(False)) & (p["p_crop"] != "")
+        now = (p["kind"] != "crop") | (F.coalesce("crop", F.lit("")) == "") | F.coalesce(named, F.lit(False))
+        return p["entry"].withField("category", F.when(now, "do_now").otherwise("prepare"))
+
+    return F.transform(F.filter(F.coalesce("plan", F.array()), asked), placed)
+
+
+def with_entries(
+    ctx: DataFrame, contexts: list[dict], library: DataFrame, community: DataFrame, plan: DataFrame | None = None, catalog: DataFrame | None = None
+) -> DataFrame:
+    """Rows of :func:`prepare_contexts` with ``entries``: per fired scenario its actions in order.
+
+    The guide has a row for each context and is written to the shared folder, so its
+    size is known when its join is planned; plans meet the rows by district. ``plan``
+    may already be a column of ``ctx``, joined before the contexts multiply the rows.
+    """
+    guide = stage(context_guide(contexts, library, community, catalog), "context-guide")
+    rows = ctx
+    if "plan" not in ctx.columns:
+        rows = ctx.withColumn("plan", F.lit(None)) if plan is None else ctx.join(district_plans(plan, catalog), ["state", "district"], "left")
+    if plan is None and "plan" not in ctx.columns:
+        def local(scenario: Column) -> Column:
+            return F.array().cast(_NONE)
+    else:
+        local = _plan_entries
+    none = F.array().cast(_NONE)
+
+    def told(s: Column) -> Column:
+        name = s["scenario"]
+        return F.concat(F.coalesce(F.try_element_at("before", name), none), local(name), F.coalesce(F.try_element_at("after", name), none))
+
+    return rows.join(guide, "context_id").withColumn("entries", F.transform("scenarios", told)).drop("before", "after", "plan")
+
+
+def scenario_actions(
+    ctx: DataFrame, contexts: list[dict], library: DataFrame, community: DataFrame, plan: DataFrame | None = None
+) -> DataFrame:
+    """Ordered action rows of every fired scenario."""
+    rows = with_entries(ctx, contexts, library, community, plan).select(*RECORD_KEY, F.posexplode("entries").alias("rank", "_told"))
+    each = rows.select(*RECORD_KEY, "rank", F.inline("_told"))
+    return each.select(*RECORD_KEY, "category", "rank", "block", "pos", "text", "evergreen", "concept")
+
+
+def baseline_entries() -> Column:
+    """Planning guidance for rows in which no scenario fires, as entries in order."""
     x = rules.inputs()
     user = F.col("user_type")
     field = user.isin("farmer", "livestock_owner")
     official = user.isin("village_official", "ngo_extension_worker")
     wk1, later = x.weeks[0], x.later
-
-    def entry(when: Column, category: str, text) -> Column:
-        value = text if isinstance(text, Column) else F.lit(text)
-        return F.when(when, F.struct(F.lit(category).alias("category"), value.alias("text")))
-
     deficit = F.concat(
         F.lit("Season-to-date rainfall is "), _pct(x.since_june), F.lit("% below normal — prioritize moisture conservation")
     )
-    entries = F.array_compact(
-        F.array(
-            entry((wk1 >= 3.0) & field, "do_now", BASE_GOOD),
-            entry((wk1 >= 3.0) & field & (x.since_june <= -20), "do_now", BASE_RECOVERY),
-            entry((wk1 > -3.0) & (wk1 < 3.0) & field, "do_now", BASE_NORMAL),
-            entry((later <= -3.0) & field, "prepare", BASE_DRYING),
-            entry((later <= -3.0) & field, "prepare", BASE_DRYING_2),
-            entry((later <= -3.0) & official, "prepare", BASE_DRYING_COMMUNITY),
-            entry((later >= 3.0) & field, "prepare", BASE_WETTING),
-            entry((later >= 3.0) & field, "prepare", BASE_WETTING_2),
-            entry((x.since_june <= -30) & field, "prepare", deficit),
-            entry(F.lit(True), "do_now", BASE_MONITOR),
-        )
-    )
-    quiet = ctx.where(F.size("scenarios") == 0)
-    rows = quiet.select(*RECORD_KEY, F.posexplode(entries).alias("pos", "_e"))
-    flat = rows.select(
-        *RECORD_KEY,
-        F.col("_e.category").alias("category"),
-        F.lit(0).alias("rank"),
-        F.lit(0).alias("block"),
-        F.col("pos").cast("long").alias("pos"),
-        F.col("_e.text").alias("text"),
+    said = (
+        ((wk1 >= 3.0) & field, "do_now", F.lit(BASE_GOOD)),
+        ((wk1 >= 3.0) & field & (x.since_june <= -20), "do_now", F.lit(BASE_RECOVERY)),
+        ((wk1 > -3.0) & (wk1 < 3.0) & field, "do_now", F.lit(BASE_NORMAL)),
+        ((later <= -3.0) & field, "prepare", F.lit(BASE_DRYING)),
+        ((later <= -3.0) & field, "prepare", F.lit(BASE_DRYING_2)),
+        ((later <= -3.0) & official, "prepare", F.lit(BASE_DRYING_COMMUNITY)),
+        ((later >= 3.0) & field, "prepare", F.lit(BASE_WETTING)),
+        ((later >= 3.0) & field, "prepare", F.lit(BASE_WETTING_2)),
+        ((x.since_june <= -30) & field, "prepare", deficit),
+        (F.lit(True), "do_now", F.lit(BASE_MONITOR)),
     )
-    return annotate(flat).drop("crop_advice", "sowing", "harvest", "flowering")
+
+    offered = (F.when(when, F.struct(F.lit(category).alias("category"), text.alias("text"))) for when, category, text in said)
+
+    def entry(e: Column, i: Column) -> Column:
+        text = e["text"]
+        return F.struct(
+            e["category"].alias("category"), F.lit(0).alias("block"), i.cast("long").alias("pos"), text.alias("text"), own_text_hi(text).alias("text_hi"),
+            any_phrase(text, EVERGREEN).alias("evergreen"), dedup.concept(text).cast("int").alias("concept"), dedup.bag(text).alias("bag"),
+        ).cast(ENTRY)
+
+    return F.transform(F.array_compact(F.array(*offered)), entry)
+
+
+def baseline_actions(ctx: DataFrame) -> DataFrame:
+    """Planning guidance for records where no scenario fires."""
+    rows = ctx.where(F.size("scenarios") == 0).select(*RECORD_KEY, F.inline(baseline_entries()))
+    return rows.select(*RECORD_KEY, "category", F.lit(0).alias("rank"), "block", "pos", "text", "evergreen", "concept")
+
+
+def category_list(entries: Column, category: str) -> Column:
+    """The entries of a list in order; evergreen ones of all lists make up general guidance."""
+    def of(c: str, evergreen: bool) -> Column:
+        return F.filter(entries, lambda e: (e["category"] == c) & (e["evergreen"] == evergreen))
+
+    if category != "general_guidance":
+        return of(category, False)
+    return F.concat(*(of(c, True) for c in CATEGORIES), of(category, False))
+
+
+def settled_list(entries: Column) -> Column:
+    """A list without repeats: equal texts, then texts of one concept, then texts that share their words."""
+    return dedup.fold_overlaps(dedup.longest_of_concepts(dedup.first_of_texts(entries)))
 
 
 def separate_evergreen(actions: DataFrame) -> DataFrame:
@@ -357,56 +486,60 @@ def separate_evergreen(actions: DataFrame) -> DataFrame:
     origin = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category")).cast("int")
     moved = F.when(F.col("evergreen"), "general_guidance").otherwise(F.col("category"))
     first = F.when(moved == "general_guidance", origin).otherwise(0)
-    # one whole number of wide fields keeps the order (list, rank, block, position), so that its minimum is a hash aggregate
-    parts = (first, F.col("rank"), F.col("block"), F.col("pos"))
-    places = (Decimal(10) ** 32, Decimal(10) ** 26, Decimal(10) ** 20, Decimal(1))
-    whole = "decimal(38,0)"
-    order = reduce(lambda a, b: a + b, ((p.cast(whole) * F.lit(n).cast(whole)).cast(whole) for p, n in zip(parts, places, strict=True))).cast(whole)
+    order = F.struct(first.alias("list"), "rank", "block", "pos")
     return actions.select(*RECORD_KEY, moved.alias("category"), order.alias("order"), "text", "concept")
 
 
-def deduplicate(actions: DataFrame) -> DataFrame:
-    """Exact and concept dedup by aggregation, then the ordered overlap fold per list.
+def action_records(items: Column) -> Column:
+    """Items of a settled list as bilingual records with a stable id and their origin."""
+    return F.transform(
+        items,
+        lambda e: F.struct(action_id(e["text"]).alias("action_id"), e["text"].alias("text_en"), e["text_hi"].alias("text_hi"), F.lit("action_pipeline").alias("source")),
+    )
+
+
+def _note(template: str, count: Column) -> Column:
+    """Record of an overflow note; its template's name is its id."""
+    return F.struct(
+        F.lit(template).alias("action_id"), F.format_string(ACTION_TEMPLATES[template], count).alias("text_en"),
+        F.format_string(ACTION_TEMPLATES_HI[template], count).alias("text_hi"), F.lit("generated").alias("source"),
+    )
 
-    A list is one district, context and category: library entries plus that
-    district's plan, already distinct.
-    """
-    keys = [*RECORD_KEY, "category"]
-    unique = dedup.exact_first(actions, [*keys, "concept"], "text", "order")  # the concept follows from the text
-    merged = dedup.concept_longest(unique, keys, "text", "order", known="concept")
-    lists = merged.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("order", "text"))).alias("_l"))
-    return lists.select(*keys, dedup.overlap_fold(F.col("_l.text")).alias("actions"))
 
+def capped(rows: DataFrame) -> DataFrame:
+    """Rows whose four lists of action records are cut to their caps, with a note on what is left out."""
+    def settled(lists: Column) -> Column:
+        over = {c: F.size(lists[c]) - n for c, n in CAPS.items()}
+        general = lists["general_guidance"]
+        now_note = F.when(over["do_now"] > 0, _note("additional_contingency", over["do_now"]))
+        already = (over["do_now"] > 0) | F.exists(general, lambda g: F.contains(g["text_en"], F.lit("Additional contingency measures")))
+        prepare_note = F.when((over["prepare"] > 0) & ~already, _note("additional_preparatory", over["prepare"]))
+        return F.struct(
+            *(F.slice(lists[c], 1, n).alias(c) for c, n in CAPS.items()), lists["avoid"].alias("avoid"),
+            F.concat(general, F.array_compact(F.array(now_note, prepare_note))).alias("general_guidance"),
+        )
 
-def assemble(lists: DataFrame) -> DataFrame:
-    """One row per district and context with capped lists and overflow notes."""
-    empty = F.array().cast("array<string>")
-    wide = lists.groupBy(*RECORD_KEY).agg(
-        *[
-            F.coalesce(F.max(F.when(F.col("category") == c, F.col("actions"))), empty).alias(c) for c in CATEGORIES
-        ]
-    )
-    over = {c: F.size(c) - n for c, n in CAPS.items()}
-    now_note = F.when(over["do_now"] > 0, F.format_string(ACTION_TEMPLATES["additional_contingency"], over["do_now"]))
-    already = F.exists("general_guidance", lambda g: F.contains(g, F.lit("Additional contingency measures")))
-    prepare_note = F.when(
-        (over["prepare"] > 0) & now_note.isNull() & ~already,
-        F.format_string(ACTION_TEMPLATES["additional_preparatory"], over["prepare"]),
-    )
-    notes = F.array_compact(F.array(now_note, prepare_note))
-    return wide.select(
-        *RECORD_KEY,
-        *[F.slice(c, 1, n).alias(c) for c, n in CAPS.items()],
-        "avoid",
-        F.concat("general_guidance", notes).alias("general_guidance"),
-    )
+    others = [c for c in rows.columns if c not in CATEGORIES]
+    done = rows.select(*others, dedup.let(F.struct(*CATEGORIES), settled).alias("_lists"))
+    return done.select(*others, *(F.col(f"_lists.{c}").alias(c) for c in CATEGORIES))
 
 
-def as_action_records(actions: Column) -> Column:
-    """Texts as records with a stable id and their origin."""
-    return F.transform(
-        actions, lambda t: F.struct(action_id(t).alias("action_id"), t.alias("text_en"), F.lit("action_pipeline").alias("source"))
-    )
+def assemble(rows: DataFrame, entries: str = "entries") -> DataFrame:
+    """Rows with the four lists of ``entries`` as action records, capped, with overflow notes.
+
+    Everything happens in the row: no shuffle, no Python.
+    """
+    def lists(all_: Column) -> Column:
+        settled = F.transform(F.array(*(category_list(all_, c) for c in CATEGORIES)), lambda items: action_records(settled_list(items)))
+        return dedup.let(settled, lambda found: F.struct(*(F.get(found, F.lit(k)).alias(c) for k, c in enumerate(CATEGORIES))))
+
+    listed = rows.withColumn("_lists", dedup.let(F.col(entries), lists)).drop(entries)
+    return capped(listed.select(*(c for c in listed.columns if c != "_lists"), *(F.col(f"_lists.{c}").alias(c) for c in CATEGORIES)))
+
+
+def shown(actions: Column, language: str = "en") -> Column:
+    """The texts of action records in a language; without a translation in English."""
+    return F.transform(actions, lambda a: F.coalesce(a["text_hi"], a["text_en"]) if language == "hi" else a["text_en"])
 
 
 def first_and_overflow(actions: Column, n: int = 6) -> tuple[Column, Column]:
@@ -438,24 +571,30 @@ def advisories(
     community: DataFrame,
     plan: DataFrame | None = None,
     language: str = "en",
+    catalog: DataFrame | None = None,
 ) -> DataFrame:
-    """Complete advisory record for every district and context, sentences in English or Hindi."""
+    """Complete advisory record for every district and context, sentences in English or Hindi.
+
+    Plans meet records by district before the contexts multiply them; every later step
+    stays in the row. Actions carry both languages; ``catalog`` (``pos, source_text,
+    lang, text``) translates the texts of libraries and plans.
+    """
     hindi = language == "hi"
+    if plan is not None:
+        records = records.join(district_plans(plan, catalog), ["state", "district"], "left")
     ctx = prepare_contexts(records, contexts)
-    actions = scenario_actions(ctx, library, community, plan).unionByName(baseline_actions(ctx))
-    lists = assemble(deduplicate(separate_evergreen(actions)))
-    heads = ctx.select(
-        *RECORD_KEY,
-        "user_type",
-        "forecast_date",
-        rules.overall_risk(F.col("scenarios")).alias("overall_risk"),
-        F.transform("scenarios", lambda s: labels.scenario_name(s["scenario"], s["display_name"], language)).alias("main_concerns"),
-        F.coalesce(F.get("scenarios", F.lit(0))["confidence"], F.lit("Low")).alias("confidence"),
-        (summary_hi() if hindi else summary_en()).alias("forecast_summary"),
-        (narrative_hi() if hindi else narrative_en()).alias("outlook_narrative"),
-        outlook_weeks().alias("outlook_weeks"),
-        "scenarios",
-        source_notes(records).alias("source_notes"),
-        F.lit(DISCLAIMER).alias("disclaimer"),
-    )
-    return heads.join(lists, RECORD_KEY, "left")
+    rows = with_entries(ctx, contexts, library, community, None, catalog)
+    quiet = F.size("scenarios") == 0
+    rows = rows.withColumn("entries", F.when(quiet, baseline_entries()).otherwise(F.flatten("entries")))
+    heads = {
+        "overall_risk": rules.overall_risk(F.col("scenarios")),
+        "main_concerns": F.transform("scenarios", lambda s: labels.scenario_name(s["scenario"], s["display_name"], language)),
+        "confidence": F.coalesce(F.get("scenarios", F.lit(0))["confidence"], F.lit("Low")),
+        "forecast_summary": summary_hi() if hindi else summary_en(),
+        "outlook_narrative": narrative_hi() if hindi else narrative_en(),
+        "outlook_weeks": outlook_weeks(OUTLOOK_LABELS_HI if hindi else OUTLOOK_LABELS_EN),
+        "source_notes": source_notes(records),
+        "disclaimer": F.lit(DISCLAIMER),
+    }
+    named = rows.select(*RECORD_KEY, "user_type", "forecast_date", "scenarios", "entries", *(c.alias(n) for n, c in heads.items()))
+    return assemble(named)

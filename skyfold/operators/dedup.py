@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from skyfold.functions.text import STOP_WORDS, any_phrase
+from skyfold.functions.text import STOP_WORDS, WHITESPACE, any_phrase
 
 # Phrase groups; actions that hit the same group say the same thing.
 CONCEPTS = (
@@ -38,42 +38,91 @@ def exact_first(df: DataFrame, keys: list[str], text: str, order: str) -> DataFr
 def concept_longest(df: DataFrame, keys: list[str], text: str, order: str, known: str | None = None) -> DataFrame:
     """One action per concept: first position, longest text, earlier text on equal length.
 
-    ``order`` is a whole number. ``known`` names a column that already holds the concept of the text.
+    ``order`` is of any type with an order. ``known`` names a column that already holds the concept of the text.
     """
     c = F.col(known) if known else concept(F.col(text))
     work = df.withColumn("_c", c)
     work = work.withColumn("_t", F.when(F.col("_c").isNull(), F.col(text)))
-    best = F.max_by(F.col(text), F.struct(F.length(text), -F.col(order)))
+    best = F.min_by(F.col(text), F.struct(-F.length(text), F.col(order)))
     return work.groupBy(*keys, "_c", "_t").agg(F.min(order).alias(order), best.alias(text)).drop("_c", "_t")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def overlap_fold(texts: pd.Series) -> pd.Series:
-    """Greedy pass over an ordered array of texts.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def bag(text: Column) -> Column:
+    """A text's significant words, and 64 marks of which each word sets one."""
+    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
+    words = F.array_distinct(F.filter(F.split(F.lower(text), WHITESPACE), lambda w: (F.length(w) > 2) & ~F.array_contains(stops, w)))
+    return let(
+        words,
+        lambda own: F.struct(
+            own.alias("words"),
+            F.aggregate(own, F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int")))).alias("marks"),
+        ),
+    )
+
+
+def _share_words(a: Column, b: Column) -> Column:
+    """Whether two bags have half of the smaller one in common.
+
+    Common words set common marks, and no more words share a mark than a bag has words
+    beyond its marks; that rules most pairs out before words are compared.
+    """
+    least = F.least(F.size(a["words"]), F.size(b["words"]))
+    at_most = F.bit_count(a["marks"].bitwiseAND(b["marks"])) + F.size(a["words"]) - F.bit_count(a["marks"])
+    return (F.size(a["words"]) > 0) & (2 * at_most >= least) & (2 * F.size(F.array_intersect(a["words"], b["words"])) >= least)
+
+
+def first_of_texts(items: Column) -> Column:
+    """Items of a list whose text did not stand before."""
+    return let(items, lambda all_: let(F.transform(all_, lambda x: x["text"]), lambda texts: F.filter(all_, lambda x, i: F.array_position(texts, x["text"]) == i + 1)))
+
 
-    A text that shares at least half of the smaller word set with a kept one is
-    absorbed by the first such; the kept text is replaced when the new one is
-    longer, and its words count from then on. Every decision depends on the
-    ones before it, so the pass runs over one row's own array, in Arrow batches.
+def longest_of_concepts(items: Column) -> Column:
+    """One item for each concept in a list: in the first one's place the longest, of equal ones the earlier."""
+    def best(all_: Column, concept: Column) -> Column:
+        same = F.filter(all_, lambda y: y["concept"] == concept)
+        return F.array_max(F.transform(same, lambda y, j: F.struct(F.length(y["text"]).alias("n"), (-j).alias("o"), y.alias("item"))))["item"]
+
+    def kept(all_: Column, concepts: Column) -> Column:
+        picked = F.transform(
+            all_, lambda x, i: F.when(x["concept"].isNull(), x).when(F.array_position(concepts, x["concept"]) == i + 1, best(all_, x["concept"]))
+        )
+        return F.filter(picked, lambda x: x.isNotNull())
+
+    return let(items, lambda all_: let(F.transform(all_, lambda x: F.coalesce(x["concept"], F.lit(-1))), lambda concepts: kept(all_, concepts)))
+
+
+def fold_overlaps(items: Column) -> Column:
+    """Greedy pass over an ordered list of items with ``text`` and ``bag``.
+
+    An item that shares at least half of the smaller word set with a kept one is
+    absorbed by the first such; the kept item is replaced when the new text is longer,
+    and its words count from then on. Every decision depends on the ones before it, so
+    the pass is an aggregate over one row's own list.
     """
-    stops = frozenset(STOP_WORDS)
-
-    def fold(items) -> list[str]:
-        kept: list[str] = []
-        bags: list[frozenset[str]] = []
-        for text in items:
-            bag = frozenset(w for w in text.lower().split() if len(w) > 2 and w not in stops)
-            near = None
-            if bag:
-                near = next(
-                    (i for i, other in enumerate(bags) if other and 2 * len(bag & other) >= min(len(bag), len(other))),
-                    None,
-                )
-            if near is None:
-                kept.append(text)
-                bags.append(bag)
-            elif len(text) > len(kept[near]):
-                kept[near], bags[near] = text, bag
-        return kept
-
-    return texts.map(lambda items: None if items is None else fold(items))
+    def step(kept: Column, x: Column) -> Column:
+        near = F.when(F.size(x["bag"]["words"]) == 0, F.lit(0).cast("long")).otherwise(
+            F.array_position(F.transform(kept, lambda k: _share_words(k["bag"], x["bag"])), F.lit(True))
+        )
+
+        def placed(at: Column) -> Column:
+            longer = F.length(x["text"]) > F.length(F.get(kept, (at - 1).cast("int"))["text"])
+            return (
+                F.when(at == 0, F.array_append(kept, x))
+                .when(longer, F.transform(kept, lambda k, i: F.when(i + 1 == at, x).otherwise(k)))
+                .otherwise(kept)
+            )
+
+        return let(near, placed)
+
+    return let(items, lambda all_: F.aggregate(all_, F.filter(all_, lambda x: F.lit(False)), step))
+
+
+def overlap_fold(texts: Column) -> Column:
+    """The greedy pass of :func:`fold_overlaps` over an ordered array of texts."""
+    folded = fold_overlaps(F.transform(texts, lambda t: F.struct(t.alias("text"), bag(t).alias("bag"))))
+    return F.transform(folded, lambda x: x["text"])

@@ -1,18 +1,22 @@
 """Contingency tables and bulletins to action rows.
 
 Input is a cell table ``doc_id, page, table, row, col, text`` (text nullable) or a
-line table. A table's header is found from its first rows only, and everything
-that depends on row order goes through block-wise carry-forward, so a very long
-table is never gathered into one task.
+line table. Cells are gathered once to table rows that hold them as an array, with
+what the predicates say of each; a table's analysis is an expression over its first
+rows, and everything that depends on row order goes through block-wise carry-forward,
+so a very long table is never gathered into one task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.functions.text import BULLETS, CELL_TRIM, squeeze, squeeze_lower
-from skyfold.operators.ordered import carry_forward, keep_first
+from skyfold.operators.dedup import let
+from skyfold.operators.ordered import BLOCK, carry_forward, keep_first
 from skyfold.session import stage as staged
 
 # Phrases, labels and patterns of the plan tables.
@@ -59,13 +63,16 @@ AGRO_HINTS = ("agronomic", "soil nutrient", "soil management", "moisture conserv
 HEADER_DEPTH, HEADER_CELL_MAX, FRAGMENT_MAX = 5, 60, 25
 ENUMERATOR = r"(?:\d{1,2}|i{1,3}|iv|vi{0,3}|v)[.)](?:\s+(?=[A-Za-z])|(?=[A-Z]))"
 # a bullet anywhere, or an enumerator at the start of a piece or after a space
-BREAK = rf"[{BULLETS}]|(?:(?<=^)|(?<=[\s{BULLETS}])){ENUMERATOR}"
+BREAK = rf"[{BULLETS}]|(?=[\div])(?:(?<=^)|(?<=[\s{BULLETS}])){ENUMERATOR}"
+_MAY_BREAK = rf"[{BULLETS}.)]"
 LIVESTOCK = (
     r"(?i)\b(cattle|cow|buffalo|poultry|goat|sheep|livestock|fodder|feed ingredient|birds|fish|pig|camel|donkey|animal|"
     r"grazing|breed|vaccin|deworm|shed|piggery|fishery|duck|hen|chick|hatch|milch|calving|lamb|kid\b|ewe)\b"
 )
 WARNINGS = (("Thunderstorm", "thunderstorm"), ("lightening", "lightning"), ("strong surface winds", "strong_surface_winds"))
 TABLE = ["doc_id", "page", "table"]
+# a table's header has one of these words or it is neither of measures nor of stages
+_HEADER_WORD = "(?i)change|management|agronomic|soil|moisture|seedling|nursery|vegetative|flowering|maturity|harvest|reproductive"
 
 
 def _has(c: Column, phrases: tuple[str, ...]) -> Column:
@@ -77,29 +84,29 @@ def _has(c: Column, phrases: tuple[str, ...]) -> Column:
 
 # --- cell predicates --------------------------------------------------------
 
-def _pattern(phrases: tuple[str, ...]) -> str:
-    """Case-blind pattern for any of the phrases; a space stands for any run of whitespace."""
-    return "(?i)" + "|".join(p.replace(" ", r"\s+") for p in phrases)
+def scenario_of(low: Column) -> Column:
+    """Scenario named by a squeezed lower-case text; first matching rule, else null."""
+    return (
+        F.when(F.contains(low, F.lit("terminal")), "terminal_drought")
+        .when(_has(low, ("mid season", "mid-season")), "mid_season_break")
+        .when(_has(low, SCENARIO_PHRASES["excess_rainfall_waterlogging"]), "excess_rainfall_waterlogging")
+        .when(_has(low, ("delay by 2",)) | (_has(low, ("delayed onset",)) & _has(low, ("2 week",))), "delayed_monsoon")
+        .when(_has(low, SCENARIO_PHRASES["early_season_dry_spell"]), "early_season_dry_spell")
+    )
 
 
 def condition_scenario(text: Column) -> Column:
     """Scenario named by a condition text; first matching rule, else null."""
-    return (
-        F.when(text.rlike("(?i)terminal"), "terminal_drought")
-        .when(text.rlike(r"(?i)mid(?:\s+|-)season"), "mid_season_break")
-        .when(text.rlike(_pattern(SCENARIO_PHRASES["excess_rainfall_waterlogging"])), "excess_rainfall_waterlogging")
-        .when(
-            text.rlike(_pattern(("delay by 2",))) | (text.rlike(_pattern(("delayed onset",))) & text.rlike(_pattern(("2 week",)))),
-            "delayed_monsoon",
-        )
-        .when(text.rlike(_pattern(SCENARIO_PHRASES["early_season_dry_spell"])), "early_season_dry_spell")
-    )
+    return scenario_of(squeeze_lower(text))
+
+
+def is_label(low: Column) -> Column:
+    """Known header, also with a stray footnote letter at the end. Expects squeezed lower-case text."""
+    return low.isin(*HEADER_LABELS) | F.substring(low, F.lit(1), F.length(low) - 1).isin(*HEADER_LABELS)
 
 
 def is_header_label(text: Column) -> Column:
-    """Known header, also with a stray footnote letter at the end."""
-    n = squeeze_lower(text)
-    return n.isin(*HEADER_LABELS) | F.substring(n, F.lit(1), F.length(n) - 1).isin(*HEADER_LABELS)
+    return is_label(squeeze_lower(text))
 
 
 def is_placeholder(text: Column) -> Column:
@@ -112,10 +119,9 @@ def is_ditto(text: Column) -> Column:
 
 def is_valid_action(piece: Column) -> Column:
     """Not a header, not a short lower-case tail of another cell, and carries a word. Expects squeezed text."""
-    low = F.lower(piece)
-    header = low.isin(*HEADER_LABELS) | F.substring(low, F.lit(1), F.length(low) - 1).isin(*HEADER_LABELS)
-    tail = piece.rlike("^[^A-Za-z]*[a-z]") & (F.size(F.split(piece, " ")) < 9)
-    return (F.length(piece) >= 4) & piece.rlike("[A-Za-z]{3}") & ~tail & ~header
+    short = F.length(piece) - F.length(F.replace(piece, F.lit(" "))) < 8  # fewer than nine words
+    tail = short & piece.rlike("^[^A-Za-z]*[a-z]")
+    return (F.length(piece) >= 4) & piece.rlike("[A-Za-z]{3}") & ~tail & ~is_label(F.lower(piece))
 
 
 def is_livestock(action: Column) -> Column:
@@ -129,8 +135,10 @@ def explode_actions(df: DataFrame, cell: str, header: str | None = None) -> Data
     out. Pieces become rows before they are tested, so the tests stay in
     generated code.
     """
-    pieces = df.select("*", F.posexplode(F.split(squeeze(F.col(cell)), BREAK)).alias("piece", "_raw"))
-    pieces = pieces.withColumn("action", F.trim("_raw")).drop("_raw").where(is_valid_action(F.col("action")))
+    plain = df.withColumn("_cell", squeeze(F.col(cell)))
+    cut = F.when(F.col("_cell").rlike(_MAY_BREAK), F.split("_cell", BREAK)).otherwise(F.array("_cell"))
+    pieces = plain.select("*", F.posexplode(cut).alias("piece", "_raw")).withColumn("action", F.trim("_raw")).drop("_raw", "_cell")
+    pieces = pieces.where(is_valid_action(F.col("action")))
     if header is None:
         return pieces
     low = F.lower("action")
@@ -138,80 +146,38 @@ def explode_actions(df: DataFrame, cell: str, header: str | None = None) -> Data
     return pieces.where(~own)
 
 
-# --- header analysis ---------------------------------------------------------
+# --- table rows and their analysis --------------------------------------------
 
-def table_headers(cells: DataFrame) -> DataFrame:
-    """Header end, first data row and width of every recognisable table.
+def table_rows(cells: DataFrame) -> DataFrame:
+    """One row for each table row, its cells an array of (col, text, scenario) in order: text squeezed, the scenario it names."""
+    plain = cells.select(*TABLE, "row", F.col("col").cast("int").alias("col"), squeeze(F.col("text")).alias("_t"))
+    known = plain.select(*TABLE, "row", "col", "_t", F.lower("_t").alias("_low"))
+    cell = F.struct("col", F.col("_t").alias("text"), F.when(F.col("_t") != "", scenario_of(F.col("_low"))).alias("scenario"))
+    return known.groupBy(*TABLE, "row").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
 
-    Only the first five rows take part. Row features are aggregated from cells,
-    then a fold over at most five rows finds the header block.
-    """
-    text = squeeze(F.col("text"))
-    head = cells.where(F.col("row") < HEADER_DEPTH).withColumn("_t", text)
-    label = F.when(
-        (F.col("_t") != "") & (F.length("_t") < HEADER_CELL_MAX) & ~F.col("_t").rlike(f"[{BULLETS}]"), F.col("_t")
-    )
-    rows = head.groupBy(*TABLE, "row").agg(
-        F.bool_or(condition_scenario(F.col("_t")).isNotNull()).alias("cond"),
-        F.lower(
-            F.array_join(
-                F.transform(
-                    F.sort_array(F.collect_list(F.when(label.isNotNull(), F.struct("col", label.alias("t"))))), lambda x: x["t"]
-                ),
-                " ",
-            )
-        ).alias("labels"),
-        F.count_if(F.col("_t") != "").alias("filled"),
-        F.max(F.length("_t")).alias("longest"),
-    )
-    sub = _has(F.col("labels"), HEADER_HINTS[1:] + STAGE_KEYS)
-    hint = _has(F.col("labels"), HEADER_HINTS + STAGE_KEYS)
-    feature = F.struct(
-        F.col("row").cast("int").alias("row"),
-        "cond",
-        sub.alias("sub"),
-        hint.alias("hint"),
-        ((F.col("filled") > 0) & ~F.col("cond") & (F.col("longest") < FRAGMENT_MAX)).alias("fragment"),
-    )
-    per_table = rows.groupBy(*TABLE).agg(F.sort_array(F.collect_list(feature)).alias("rows"))
-    size = cells.groupBy(*TABLE).agg((F.max("col") + 1).cast("int").alias("ncols"), (F.max("row") + 1).alias("nrows"))
-    scan = F.expr(
-        """aggregate(rows, named_struct('start', 0, 'end', 0, 'done', false), (s, r) -> case
-             when s.done then s
-             when r.cond and r.sub then named_struct('start', r.row, 'end', r.row + 1, 'done', true)
-             when r.cond and s.start > 0 then named_struct('start', s.start, 'end', s.end, 'done', true)
-             when r.cond then named_struct('start', s.start, 'end', r.row + 1, 'done', false)
-             when r.hint then named_struct('start', r.row + 1, 'end', r.row + 1, 'done', false)
-             else s end)"""
-    )
-    absorb = F.expr(
-        """aggregate(rows, named_struct('start', scan.start, 'end', scan.end, 'done', false), (s, r) -> case
-             when s.done or r.row < s.start then s
-             when r.row = s.start and r.fragment then named_struct('start', s.start + 1, 'end', greatest(s.end, s.start + 1), 'done', false)
-             else named_struct('start', s.start, 'end', s.end, 'done', true) end)"""
-    )
-    return (
-        per_table.withColumn("scan", scan)
-        .where("scan.end > 0")
-        .withColumn("block", absorb)
-        .join(size, TABLE)
-        .where((F.col("ncols") >= 3) & (F.col("nrows") >= 2))
-        .select(*TABLE, F.col("block.start").alias("data_start"), F.col("block.end").alias("header_end"), "ncols")
-    )
 
+def cell_at(cells: Column, col: Column) -> Column:
+    """The cell of a column, null where the row has none."""
+    return F.get(F.filter(cells, lambda c: c["col"] == col), F.lit(0))
 
-def column_profiles(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """Joined header text of every column with its role and growth stage."""
-    head = cells.where(F.col("row") < HEADER_DEPTH).join(headers, TABLE).where(F.col("row") < F.col("header_end"))
-    text = squeeze(F.col("text"))
-    cols = head.groupBy(*TABLE, F.col("col").cast("int").alias("col")).agg(
-        F.lower(
-            F.array_join(
-                F.transform(F.sort_array(F.collect_list(F.when(text != "", F.struct("row", text.alias("t"))))), lambda x: x["t"]), " "
-            )
-        ).alias("header")
-    )
-    h = F.col("header")
+
+def _row_features(head: Column) -> Column:
+    """What the header scan needs of one of a table's first rows."""
+    cells = head["cells"]
+    label = F.filter(cells, lambda c: (c["text"] != "") & (F.length(c["text"]) < HEADER_CELL_MAX) & ~c["text"].rlike(f"[{BULLETS}]"))
+    labels = F.lower(F.array_join(F.transform(label, lambda c: c["text"]), " "))
+    cond = F.exists(cells, lambda c: c["scenario"].isNotNull())
+    longest = F.array_max(F.transform(cells, lambda c: F.length(c["text"])))
+    fragment = F.exists(cells, lambda c: c["text"] != "") & ~cond & (longest < FRAGMENT_MAX)
+    return F.struct(
+        head["row"].alias("row"), cond.alias("cond"), _has(labels, HEADER_HINTS[1:] + STAGE_KEYS).alias("sub"),
+        _has(labels, HEADER_HINTS + STAGE_KEYS).alias("hint"), fragment.alias("fragment"),
+    )
+
+
+def _column_profile(head: Column) -> Column:
+    """Role and growth stage of a column from its joined header text."""
+    h = head["header"]
     crop = F.contains(h, F.lit("crop"))
     role = (
         F.when((F.contains(h, F.lit("change in")) & crop) | F.contains(h, F.lit("crop management")), "change")
@@ -221,56 +187,119 @@ def column_profiles(cells: DataFrame, headers: DataFrame) -> DataFrame:
         .when(F.contains(h, F.lit("farming situation")), "farming")
         .when(F.contains(h, F.lit("condition")), "condition")
     )
-    stage = None
-    for key in STAGE_KEYS:
-        hit = F.contains(h, F.lit(key))
-        stage = F.when(hit, key) if stage is None else stage.when(hit, key)
-    return cols.select(*TABLE, "col", "header", role.alias("role"), stage.alias("stage"))
+    stage = reduce(lambda expr, key: expr.when(F.contains(h, F.lit(key)), key), STAGE_KEYS[1:], F.when(F.contains(h, F.lit(STAGE_KEYS[0])), STAGE_KEYS[0]))
+    return F.struct(head["col"].alias("col"), h.alias("header"), role.alias("role"), stage.alias("stage"))
+
+
+def analyzed(rows: DataFrame) -> DataFrame:
+    """Every table of three columns and two rows or more, with its ``analysis`` where its header is recognised.
+
+    The analysis has kind (``measures`` or ``stages``), first data row, width, the sorted
+    ``anchors`` (col, role), the table's scenario and the column headers. Only the first
+    five rows are looked at.
+    """
+    head = F.when(F.col("row") < HEADER_DEPTH, F.struct(F.col("row").cast("int").alias("row"), "cells"))
+    tables = rows.groupBy(*TABLE).agg(
+        F.sort_array(F.collect_list(head)).alias("heads"), (F.max(F.element_at("cells", -1)["col"]) + 1).alias("ncols"), (F.max("row") + 1).alias("nrows"),
+        F.bool_or(F.exists("cells", lambda c: c["scenario"].isNotNull())).alias("names_condition"),
+        F.bool_or((F.col("row") < HEADER_DEPTH) & F.exists("cells", lambda c: c["text"].rlike(_HEADER_WORD))).alias("may"),
+    ).where("ncols >= 3 and nrows >= 2")
+    return tables.select(*TABLE, "ncols", "nrows", "names_condition", F.when(F.col("may"), _analysis()).alias("analysis"))
+
+
+def _header_block(features: Column) -> Column:
+    """(start, end) of the header and first data row: a scan of the first rows for the header, then fragments below it are taken in."""
+    def state(start: Column, end: Column, done: bool) -> Column:
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(done).alias("done"))
+
+    def scan(s: Column, r: Column) -> Column:
+        return (
+            F.when(s["done"], s)
+            .when(r["cond"] & r["sub"], state(r["row"], r["row"] + 1, True))
+            .when(r["cond"] & (s["start"] > 0), state(s["start"], s["end"], True))
+            .when(r["cond"], state(s["start"], r["row"] + 1, False))
+            .when(r["hint"], state(r["row"] + 1, r["row"] + 1, False))
+            .otherwise(s)
+        )
+
+    def absorb(s: Column, r: Column) -> Column:
+        return (
+            F.when(s["done"] | (r["row"] < s["start"]), s)
+            .when((r["row"] == s["start"]) & r["fragment"], state(s["start"] + 1, F.greatest(s["end"], s["start"] + 1), False))
+            .otherwise(state(s["start"], s["end"], True))
+        )
+
+    zero = F.lit(0)
+    scanned = F.aggregate(features, state(zero, zero, False), scan)
+    return let(scanned, lambda found: F.when(found["end"] > 0, F.aggregate(features, state(found["start"], found["end"], False), absorb)))
+
+
+def _analysis() -> Column:
+    """Analysis of a table from ``heads`` and ``ncols``, null where its header is not recognised.
+
+    Each step is bound once, so that the whole is one expression of plain size.
+    """
+    def columns(block: Column) -> Column:
+        above = F.filter("heads", lambda h: h["row"] < block["end"])
+
+        def header(col: Column) -> Column:
+            texts = F.filter(F.transform(above, lambda h: cell_at(h["cells"], col)["text"]), lambda t: t != "")
+            return F.struct(col.cast("int").alias("col"), F.lower(F.array_join(texts, " ")).alias("header"))
+
+        return F.transform(F.transform(F.sequence(F.lit(0), F.col("ncols") - 1), header), _column_profile)
+
+    def first_of_roles(cols: Column) -> Column:
+        """The first column of each role."""
+        with_role = F.filter(cols, lambda c: c["role"].isNotNull())
+        return let(
+            with_role,
+            lambda held: F.transform(
+                F.filter(held, lambda c, i: ~F.exists(F.slice(held, F.lit(1), i), lambda x: x["role"] == c["role"])),
+                lambda c: F.struct(c["col"].alias("col"), c["role"].alias("role")),
+            ),
+        )
+
+    def last_of_stages(cols: Column) -> Column:
+        """The last column of each growth stage."""
+        return F.transform(
+            F.filter(cols, lambda c, i: ~F.exists(F.slice(cols, i + 2, F.size(cols)), lambda x: x["stage"] == c["stage"])),
+            lambda c: F.struct(c["col"].alias("col"), F.concat(F.lit("stage:"), c["stage"]).alias("role")),
+        )
+
+    def stage_anchors(roles: Column, staged_cols: Column) -> Column:
+        at = F.coalesce(F.get(F.filter(roles, lambda x: x["role"] == "condition"), F.lit(0))["col"], F.lit(0))
+
+        def with_condition(col: Column) -> Column:
+            own = last_of_stages(staged_cols)
+            condition = F.array(F.struct(col.alias("col"), F.lit("condition").alias("role")))
+            return F.when(F.exists(staged_cols, lambda c: c["col"] == col), own).otherwise(F.concat(own, condition))
+
+        return let(at, with_condition)
+
+    def described(block: Column, cols: Column, roles: Column, staged_cols: Column) -> Column:
+        measures = F.exists(roles, lambda x: x["role"].isin("change", "agro"))
+        headers = F.transform(cols, lambda c: c["header"])
+        known = F.struct(
+            F.when(measures, "measures").otherwise("stages").alias("kind"), block["start"].alias("data_start"), F.col("ncols"),
+            F.array_sort(F.when(measures, roles).otherwise(stage_anchors(roles, staged_cols))).alias("anchors"),
+            scenario_of(F.array_join(headers, " ")).alias("table_scenario"), headers.alias("col_headers"),
+        )
+        return F.when(measures | (F.size(staged_cols) >= 2), known)
+
+    def over(block: Column, cols: Column) -> Column:
+        staged_cols = F.filter(cols, lambda c: c["stage"].isNotNull())
+        return let(first_of_roles(cols), lambda roles: let(staged_cols, lambda held: described(block, cols, roles, held)))
+
+    block = let(F.transform("heads", _row_features), _header_block)
+    return let(block, lambda b: F.when(b.isNotNull(), let(columns(b), lambda cols: over(b, cols))))
 
 
 def analyze_tables(cells: DataFrame) -> DataFrame:
     """Roles, first data row, table scenario and column headers of every matrix.
 
-    ``anchors`` is the sorted list of ``(col, role)``; ``kind`` is ``measures`` or
-    ``stages``. Tables that are neither do not appear.
+    Tables that are neither of measures nor of stages do not appear.
     """
-    headers = table_headers(cells)
-    profiles = column_profiles(cells, headers)
-    # first column wins for a role, last column for a growth stage
-    entry = profiles.groupBy(*TABLE).agg(
-        F.sort_array(F.collect_list(F.struct("col", "header", "role", "stage"))).alias("cols")
-    )
-    entry = entry.withColumn(
-        "roles",
-        F.expr(
-            "aggregate(cols, cast(array() as array<struct<col:int,role:string>>), (a, c) -> case when c.role is null or"
-            " exists(a, x -> x.role = c.role) then a else concat(a, array(named_struct('col', c.col, 'role', c.role))) end)"
-        ),
-    ).withColumn("stage_cols", F.expr("filter(cols, c -> c.stage is not null)"))
-    measures = F.expr("exists(roles, x -> x.role in ('change', 'agro'))")
-    stages = F.expr(
-        "filter(transform(stage_cols, c -> named_struct('col', c.col, 'role', concat('stage:', c.stage))),"
-        " (x, i) -> not exists(slice(stage_cols, i + 2, size(stage_cols)), y -> concat('stage:', y.stage) = x.role))"
-    )
-    cond_at = F.expr("coalesce(get(filter(roles, x -> x.role = 'condition'), 0).col, 0)")
-    with_cond = F.when(
-        F.exists("stage_cols", lambda c: c["col"] == cond_at), stages
-    ).otherwise(F.concat(stages, F.array(F.struct(cond_at.alias("col"), F.lit("condition").alias("role")))))
-    blob = F.array_join(F.transform("cols", lambda c: c["header"]), " ")
-    return (
-        entry.withColumn("kind", F.when(measures, "measures").when(F.size("stage_cols") >= 2, "stages"))
-        .where(F.col("kind").isNotNull())
-        .join(headers, TABLE)
-        .select(
-            *TABLE,
-            "kind",
-            "data_start",
-            "ncols",
-            F.array_sort(F.when(F.col("kind") == "measures", F.col("roles")).otherwise(with_cond)).alias("anchors"),
-            condition_scenario(blob).alias("table_scenario"),
-            F.transform("cols", lambda c: c["header"]).alias("col_headers"),
-        )
-    )
+    return analyzed(table_rows(cells)).where("analysis is not null").select(*TABLE, "analysis.*")
 
 
 def nearest_role(anchors: Column, col: Column) -> Column:
@@ -287,42 +316,20 @@ def _anchor_col(role: str) -> Column:
     return F.expr(f"get(filter(anchors, x -> x.role = '{role}'), 0).col")
 
 
-def usable_tables(cells: DataFrame, analysis: DataFrame) -> DataFrame:
-    """Analysed tables plus header-less continuations of the last analysed one.
+def usable_tables(rows: DataFrame) -> DataFrame:
+    """Analysed tables of :func:`table_rows` plus header-less continuations of the last analysed one.
 
     A continuation has the same width and either two filled stage cells or one
-    cell that names a condition.
+    cell that names a condition. ``advice`` lists the columns that hold advice.
     """
-    seq = F.col("page").cast("long") * 1_000_000 + F.col("table")
-    shape = cells.groupBy(*TABLE).agg(
-        (F.max("col") + 1).cast("int").alias("own_cols"),
-        (F.max("row") + 1).alias("nrows"),
-        F.bool_or(condition_scenario(F.col("text")).isNotNull()).alias("names_condition"),
-    )
-    shape = shape.where((F.col("own_cols") >= 3) & (F.col("nrows") >= 2)).withColumn("seq", seq)
-    own = analysis.select(*TABLE, F.lit(True).alias("own"))
-    marked = shape.join(own, TABLE, "left")
-    source = F.when(F.col("own"), F.struct(F.col("page").alias("src_page"), F.col("table").alias("src_table")))
-    marked = carry_forward(marked, ["doc_id"], "seq", {"src": source}, block=1_000_000_000)
-    info = analysis.withColumnsRenamed({"page": "src_page", "table": "src_table"})
-    known = (
-        marked.where(F.col("src").isNotNull())
-        .select("doc_id", "page", "table", "own", "own_cols", "names_condition", "src.src_page", "src.src_table")
-        .join(info, ["doc_id", "src_page", "src_table"])
-        .where("own or own_cols = ncols")
-    )
-    role = nearest_role(F.col("anchors"), F.col("col"))["role"]
-    stage_cell = (squeeze(F.col("text")) != "") & F.startswith(role, F.lit("stage:"))
+    tables = staged(analyzed(rows), "plan-analysis")
+    marked = carry_forward(tables.withColumn("own", F.col("analysis").isNotNull()), ["doc_id"], ["page", "table"], {"src": F.col("analysis")}, block=F.floor(F.col("page") / 1000))
+    known = marked.where("src is not null and (own or ncols = src.ncols)").select(*TABLE, "own", "names_condition", "nrows", "src.*")
     # a stage continuation needs its cells counted; the other tables are decided already
-    follow = F.col("own").isNull() & (F.col("kind") == "stages")
-    filled = (
-        cells.join(known.where(follow).select(*TABLE, "anchors"), TABLE)
-        .groupBy(*TABLE)
-        .agg(F.count_if(stage_cell).alias("filled"))
-    )
-    accepted = F.coalesce("own", F.lit(False)) | F.when(
-        F.col("kind") == "measures", F.col("names_condition")
-    ).otherwise(F.coalesce("filled", F.lit(0)) >= 2)
+    follow = known.where("not own and kind = 'stages'").select(*TABLE, "anchors")
+    stage_cells = F.filter("cells", lambda c: (c["text"] != "") & F.startswith(nearest_role(F.col("anchors"), c["col"])["role"], F.lit("stage:")))
+    filled = rows.join(follow, TABLE).groupBy(*TABLE).agg(F.sum(F.size(stage_cells)).alias("filled"))
+    accepted = F.col("own") | F.when(F.col("kind") == "measures", F.col("names_condition")).otherwise(F.coalesce("filled", F.lit(0)) >= 2)
     return known.join(filled, TABLE, "left").where(accepted).select(
         *TABLE, "kind", "anchors", "ncols", "table_scenario", "col_headers",
         F.when(F.col("own"), F.col("data_start")).otherwise(0).alias("data_start"),
@@ -331,25 +338,27 @@ def usable_tables(cells: DataFrame, analysis: DataFrame) -> DataFrame:
             _anchor_col("normal"), F.when(F.col("kind") == "stages", _anchor_col("condition"))
         ).alias("crop_col"),
         _anchor_col("farming").alias("farming_col"),
-    )
+        advice_columns().alias("advice"), "nrows",
+    )
+
+
+def advice_columns() -> Column:
+    """Columns of a table that hold advice as an array of (col, column, header): their place, role and header text."""
+    def described(col: Column) -> Column:
+        near = nearest_role(F.col("anchors"), col)
+        own = F.coalesce(F.get("col_headers", col), F.lit(""))
+        anchor = F.coalesce(F.get("col_headers", near["anchor"]), F.lit(""))
+        header = (
+            F.when(near["anchor"] == col, own)
+            .when(near["anchor"] < col, F.concat_ws(" ", anchor, own))
+            .otherwise(F.concat_ws(" ", own, anchor))
+        )
+        return F.struct(col.cast("int").alias("col"), near["role"].alias("column"), header.alias("header"))
 
+    def advises(x: Column) -> Column:
+        return ((F.col("kind") == "measures") & x["column"].isin("change", "agro")) | F.startswith(x["column"], F.lit("stage:"))
 
-def action_columns(tables: DataFrame) -> DataFrame:
-    """Columns that hold advice, with their role and header text; one row per table and column."""
-    cols = tables.select("*", F.explode(F.sequence(F.lit(0), F.col("ncols") - 1)).alias("col"))
-    cols = cols.withColumn("near", nearest_role(F.col("anchors"), F.col("col")))
-    own = F.coalesce(F.get("col_headers", F.col("col")), F.lit(""))
-    anchor = F.coalesce(F.get("col_headers", F.col("near.anchor")), F.lit(""))
-    header = (
-        F.when(F.col("near.anchor") == F.col("col"), own)
-        .when(F.col("near.anchor") < F.col("col"), F.concat_ws(" ", anchor, own))
-        .otherwise(F.concat_ws(" ", own, anchor))
-    )
-    role = F.col("near.role")
-    measures = (F.col("kind") == "measures") & role.isin("change", "agro")
-    return cols.where(measures | F.startswith(role, F.lit("stage:"))).select(
-        *TABLE, "col", role.alias("column"), header.alias("header")
-    )
+    return F.filter(F.transform(F.sequence(F.lit(0), F.col("ncols") - 1), described), advises)
 
 
 # --- row walk -----------------------------------------------------------------
@@ -376,44 +385,67 @@ def fill_context(rows: DataFrame, keys: list[str], farming: str, crop: str) -> D
     )
 
 
-def resolve_dittos(cells: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Replace ditto cells by the last real text above in their column; none above drops the cell."""
-    t = squeeze(F.col(text))
-    filled = cells.where(t != "")
-    out = carry_forward(filled, keys, "row", {"_above": F.when(~is_ditto(t), t)}, include_current=False)
-    ditto = is_ditto(t)
-    return (
-        out.withColumn("resolved_from_ditto", ditto)
-        .withColumn("resolved", F.when(ditto, F.col("_above")).otherwise(t))
-        .where(F.col("resolved").isNotNull())
-        .drop("_above")
+def walked_rows(rows: DataFrame, tables: DataFrame, block: int | None = BLOCK) -> DataFrame:
+    """Body rows with scenario, farming situation, crop and their advice cells, carried down in one pass.
+
+    Scenario as in :func:`fill_scenarios`; farming situation and crop as in
+    :func:`fill_context`, from rows that have a scenario.
+    """
+    body = rows.join(tables.select(*TABLE, "data_start", "table_scenario", "condition_col", "crop_col", "farming_col", "advice"), TABLE)
+    body = body.where(F.col("row") >= F.col("data_start"))
+    named = F.get(F.filter("cells", lambda c: (c["col"] <= F.col("condition_col")) & c["scenario"].isNotNull()), F.lit(0))["scenario"]
+    texts = F.transform("advice", lambda a: a.withField("text", cell_at(F.col("cells"), a["col"])["text"]))
+    body = body.select(
+        *TABLE, "row", "table_scenario", named.alias("named"), cell_at(F.col("cells"), F.col("farming_col")).alias("_farm"),
+        cell_at(F.col("cells"), F.col("crop_col")).alias("_crop"), F.filter(texts, lambda a: a["text"] != "").alias("advice"),
+    )
+
+    def counts(cell: str) -> Column:
+        return (F.col(f"{cell}.text") != "") & ~is_label(F.lower(f"{cell}.text"))
+
+    def told(cell: str, when: Column) -> Column:
+        return F.when(when, F.struct("row", F.col(f"{cell}.text").alias("text")))
+
+    carried = carry_forward(
+        body.withColumn("_named", F.col("named")), TABLE, "row",
+        {"named": F.col("_named"), "_farm": told("_farm", counts("_farm")), "_crop": told("_crop", counts("_crop") & F.col("_crop.scenario").isNull())},
+        block=block, firsts={"_since": F.when(F.col("_named").isNotNull(), F.col("row"))},
+    )
+
+    def since(c: str) -> Column:
+        return F.when(F.col("table_scenario").isNotNull() | (F.col(f"{c}.row") >= F.col("_since")), F.col(f"{c}.text"))
+
+    scenario = F.coalesce("named", "table_scenario")
+    return carried.where(scenario.isNotNull()).select(
+        *TABLE, "row", scenario.alias("scenario"), since("_farm").alias("farming_situation"), since("_crop").alias("crop"), "advice"
     )
 
 
+def resolve_dittos(cells: DataFrame, keys: list[str], text: str, block: int | None = BLOCK) -> DataFrame:
+    """Replace ditto cells by the last real text above in their column; none above drops the cell."""
+    filled = cells.withColumn("_t", squeeze(F.col(text))).where(F.col("_t") != "")
+    filled = filled.withColumn("resolved_from_ditto", F.trim(F.lower("_t"), F.lit(CELL_TRIM)).isin(*DITTOS))
+    ditto = F.col("resolved_from_ditto")
+    out = carry_forward(filled, keys, "row", {"_above": F.when(~ditto, F.col("_t"))}, include_current=False, block=block)
+    return out.withColumn("resolved", F.when(ditto, F.col("_above")).otherwise(F.col("_t"))).where(F.col("resolved").isNotNull()).drop("_above", "_t")
+
+
 def harvest(cells: DataFrame) -> DataFrame:
-    """All action rows of all documents with their provenance."""
-    tables = staged(usable_tables(cells, staged(analyze_tables(cells), "analysis")), "tables")
-    body = cells.join(
-        tables.select(*TABLE, "data_start", "table_scenario", "condition_col", "crop_col", "farming_col"), TABLE
-    ).where(F.col("row") >= F.col("data_start"))
-    named = condition_scenario(F.col("text"))
-    leading = F.when(F.col("col") <= F.col("condition_col"), named)
-    rows = body.groupBy(*TABLE, "row", "table_scenario").agg(
-        F.min(F.when(leading.isNotNull(), F.struct("col", leading.alias("s"))))["s"].alias("named"),
-        F.max(F.when(F.col("col") == F.col("farming_col"), F.col("text"))).alias("farm_text"),
-        F.max(F.when(F.col("col") == F.col("crop_col"), F.col("text"))).alias("crop_text"),
-    )
-    rows = staged(fill_scenarios(staged(rows, "rows"), TABLE, "named", F.col("table_scenario")), "scenarios")
-    rows = fill_context(rows, TABLE, "farm_text", "crop_text").select(
-        *TABLE, "row", "scenario", "farming_situation", "crop"
-    )
-    wanted = cells.join(action_columns(tables), [*TABLE, "col"]).where(squeeze(F.col("text")) != "")
-    with_rows = staged(wanted.join(rows, [*TABLE, "row"]), "cells")
-    texts = resolve_dittos(with_rows, [*TABLE, "col"], "text").withColumn("placeholder", is_placeholder(F.col("resolved")))
+    """All action rows of all documents with their provenance.
+
+    Cells are read once: table rows and usable tables are written to the shared folder,
+    and the walk is one query over them. Tables are walked in blocks where one is longer
+    than a block.
+    """
+    rows = staged(table_rows(cells), "plan-rows")
+    tables = staged(usable_tables(rows), "plan-tables")
+    block = BLOCK if (tables.agg(F.max("nrows")).first()[0] or 0) > BLOCK else None
+    advice = walked_rows(rows, tables, block).select(*TABLE, "row", "scenario", "farming_situation", "crop", F.inline("advice"))
+    texts = resolve_dittos(advice, [*TABLE, "col"], "text", block).withColumn("placeholder", is_placeholder(F.col("resolved")))
     pieces = explode_actions(texts, "resolved", "header")
     low_crop, low_farm = F.lower(F.coalesce("crop", F.lit(""))), F.lower(F.coalesce("farming_situation", F.lit("")))
     first = keep_first(
-        pieces,
+        pieces.drop("text", "header"),
         [F.col("doc_id"), F.col("scenario"), F.lower("action"), low_crop, low_farm, F.col("column")],
         F.struct("page", "table", "row", "col", "piece"),
     )

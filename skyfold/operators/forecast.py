@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfold.functions.signals import pct_of_normal
-from skyfold.operators.ordered import exact_quantiles
+from skyfold.operators.ordered import exact_quantiles, joint_quantiles
 
 # Thresholds of the weekly odds and of the seasonal context.
 WETTER, DRIER, HEAVY, DRY_SPELL, HOT = 1.0, -1.0, 7.0, -3.0, 1.5
@@ -146,13 +146,12 @@ def season_collapse(df: DataFrame, keys: list[str], variables: list[str], n_mont
 def robust_limits(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Colour limits over a whole map: 98th percentile of the size, 2nd and 98th of the value.
 
-    A map is one group of every cell, so the distributed selection is used.
+    A map is one group of every cell, so the distributed selection is used, once for all three.
     """
-    size = exact_quantiles(df.withColumn("_abs", F.abs(value)), keys, "_abs", {"symmetric": 0.98})
-    ends = exact_quantiles(df, keys, value, {"low": 0.02, "high": 0.98})
-    if keys:
-        return size.join(ends, keys)
-    return ends.withColumn("symmetric", size.scalar())
+    def same(v: Column) -> Column:
+        return v
+
+    return joint_quantiles(df, keys, value, {"symmetric": (F.abs, 0.98), "low": (same, 0.02), "high": (same, 0.98)})
 
 
 def seasonal_context(terciles: DataFrame, keys: list[str], leads: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:

@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skyfold.functions.text import catalog_key
 
 CUTOFF = 0.85
-# Rare letters first, so that shared prefix tokens are selective join keys.
-RARE_FIRST, ORDERED = "zqxjkvbpygfwmucldrhsnioate", "abcdefghijklmnopqrstuvwxyz"
 
 
 def apply_aliases(names: DataFrame, state_aliases: DataFrame, district_aliases: DataFrame) -> DataFrame:
@@ -32,63 +30,127 @@ def apply_aliases(names: DataFrame, state_aliases: DataFrame, district_aliases:
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def _block_ratio(word: pd.Series, candidate: pd.Series) -> pd.Series:
-    """Matching-block similarity; edit distance built-ins rank differently."""
-    matcher = difflib.SequenceMatcher()
-    out, last = [], None
-    for w, c in zip(word, candidate):
-        if w != last:
-            matcher.set_seq2(w)
-            last = w
-        matcher.set_seq1(c)
-        out.append(matcher.ratio())
-    return pd.Series(out, dtype="float64")
-
-
-def letter_counts(c: Column) -> Column:
-    """Letters with a running number, coded as whole numbers, so set overlap equals multiset overlap."""
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    numbered = F.transform(
-        F.array_distinct(chars),
-        lambda x: F.transform(
-            F.sequence(F.lit(1), F.length(c) - F.length(F.replace(c, x, F.lit("")))),
-            lambda i: F.ascii(x) * 256 + i,
-        ),
-    )
-    return F.flatten(numbered)
+def _common_letters(word: str, candidate: str) -> int:
+    """Length of the longest common subsequence, a bit for each letter of the word."""
+    where: dict[str, int] = {}
+    for i, x in enumerate(word):
+        where[x] = where.get(x, 0) | 1 << i
+    every = (1 << len(word)) - 1
+    open_ = every
+    for x in candidate:
+        hit = open_ & where.get(x, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & every
+    return len(word) - open_.bit_count()
+
+
+def _scored(pairs: DataFrame, cutoff: float) -> DataFrame:
+    """``_s, word, cand, score`` of the pairs whose matching-block similarity reaches the cutoff.
+
+    Edit distance built-ins rank differently. Matched blocks are common letters in order,
+    so pairs with too few of these are not scored.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, last = difflib.SequenceMatcher(), None
+        for batch in batches:
+            scores = []
+            for w, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                need = cutoff * (len(w) + len(c)) - 1e-9  # a pair exactly at the cutoff stays
+                if 2 * _common_letters(w, c) < need:
+                    scores.append(-1.0)
+                    continue
+                if w != last:
+                    matcher.set_seq2(w)
+                    last = w
+                matcher.set_seq1(c)
+                scores.append(matcher.ratio())
+            yield batch.append_column("score", pa.array(scores, pa.float64()))
+
+    scored = pairs.select("_s", "word", "cand").mapInArrow(run, "_s string, word string, cand string, score double")
+    return scored.where(F.col("score") >= cutoff)
+
+
+def _lengths(n: Column, cutoff: float) -> Column:
+    """Lengths that a name similar to one of ``n`` letters can have."""
+    apart = (1 - cutoff) / (1 + cutoff)
+    return F.sequence(F.floor(n * apart).cast("int"), F.ceil(n / max(apart, 0.01)).cast("int"))
+
+
+def _unmatched(a: Column, b: Column, cutoff: float) -> Column:
+    """Letters of two names of these lengths that may stay unmatched at the cutoff."""
+    return F.floor((1 - cutoff) * (a + b) + 1e-9).cast("int")
+
+
+def _segment(b: Column, d: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment ``i`` of ``d + 1`` even segments of a name of ``b`` letters."""
+    start = F.floor(i * b / (d + 1)).cast("int")
+    return start, F.floor((i + 1) * b / (d + 1)).cast("int") - start
+
+
+def _segments_of(name: str, cutoff: float) -> Column:
+    """Array of (b, d, i, piece): the segments of a roster name for every limit that a similar name can bring."""
+    b = F.length(name)
+    limits = F.array_distinct(F.transform(F.filter(_lengths(b, cutoff), lambda a: F.abs(a - b) <= _unmatched(a, b, cutoff)), lambda a: _unmatched(a, b, cutoff)))
+
+    def cut(d: Column, i: Column) -> Column:
+        start, size = _segment(b, d, i)
+        return F.struct(b.alias("b"), d.alias("d"), i.alias("i"), F.substring(name, start + 1, size).alias("piece"))
+
+    return F.flatten(F.transform(limits, lambda d: F.transform(F.sequence(F.lit(0), d), lambda i: cut(d, i))))
+
+
+def _lookups_of(name: str, cutoff: float) -> Column:
+    """Array of (b, d, i, piece): what a name holds where segment ``i`` of a similar roster name can stand.
+
+    Of ``d + 1`` segments one stays whole with at most ``i`` unmatched letters before it
+    and ``d - i`` behind it, which bounds its shift from both sides.
+    """
+    a = F.length(name)
+
+    def at(b: Column, d: Column, i: Column) -> Column:
+        start, size = _segment(b, d, i)
+        low = F.greatest(F.lit(0), start - i, start + (a - b) - (d - i))
+        high = F.least(a - size, start + i, start + (a - b) + (d - i))
+        places = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        return F.transform(
+            F.array_distinct(F.transform(places, lambda q: F.substring(name, q + 1, size))),
+            lambda piece: F.struct(b.alias("b"), d.alias("d"), i.alias("i"), piece.alias("piece")),
+        )
+
+    def of_length(b: Column) -> Column:
+        d = _unmatched(a, b, cutoff)
+        return F.flatten(F.transform(F.sequence(F.lit(0), d), lambda i: at(b, d, i)))
+
+    return F.flatten(F.transform(F.filter(_lengths(a, cutoff), lambda b: F.abs(a - b) <= _unmatched(a, b, cutoff)), of_length))
+
+
+def similar_candidates(words: DataFrame, pool: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """Distinct pairs ``_s, word, cand`` of one state that can reach the cutoff: a partition join.
+
+    A ratio at the cutoff leaves at most ``d`` letters of both names unmatched, so of
+    ``d + 1`` segments of the roster name one stands whole in the other, at a bounded
+    shift. State, length, limit, number and text of a segment are the equality key, and
+    an edit distance with the same limit follows on what meets.
+    """
+    # a name becomes a hundred rows, so the names are dealt to all partitions however few bytes they are;
+    # by a hash of their own, or the shuffle would pass for the one before it, whose partitions are merged by size
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = pool.repartition(parts, F.xxhash64("_s", "cand")).select("_s", "cand", F.inline(_segments_of("cand", cutoff)))
+    asked = words.repartition(parts, F.xxhash64("_s", "word")).select("_s", "word", F.inline(_lookups_of("word", cutoff)))
+    met = asked.join(cut, ["_s", "b", "d", "i", "piece"]).where(F.expr("levenshtein(word, cand, d) >= 0"))
+    return met.select("_s", "word", "cand").distinct()
 
 
 def fuzzy_best(names: DataFrame, roster: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Best roster district in the same state with similarity at or above the cutoff.
 
-    Two names this similar share at least ``need`` letters, so they share one of
-    the first ``n - need + 1`` numbered letters in any common order. That makes
-    (state, letter token) an equality key; distinct names only are joined, and
-    length and letter-overlap bounds drop pairs before the Arrow call scores them.
+    Distinct names only are joined; candidates come from :func:`similar_candidates`,
+    and those whose common letters suffice are scored in Arrow batches.
     ``names`` has ``id``, ``state``, ``district``; equal scores take the larger name.
     """
-    def with_tokens(df: DataFrame, name: str) -> DataFrame:
-        # a pair at the cutoff shares at least cutoff/(2-cutoff) of either side's letters
-        letters = F.array_sort(letter_counts(F.translate(name, RARE_FIRST, ORDERED)))
-        lettered = df.withColumn(f"_l_{name}", letters)
-        n = F.size(f"_l_{name}")
-        prefix = F.greatest(F.lit(1), (n - F.ceil(F.round(n * (cutoff / (2.0 - cutoff)), 9)) + 1).cast("int"))
-        lettered = lettered.withColumn(f"_p_{name}", F.slice(f"_l_{name}", F.lit(1), prefix))
-        return lettered.withColumn("_t", F.explode(f"_p_{name}"))
-
     q = names.select("id", F.lower("state").alias("_s"), F.lower("district").alias("word"))
     pool = roster.select(F.lower("state").alias("_s"), F.lower("district").alias("cand")).distinct()
-    words = with_tokens(q.select("_s", "word").distinct(), "word")
-    cands = with_tokens(pool, "cand")
-    need = cutoff * (F.length("word") + F.length("cand")) - 1e-9  # a pair exactly at the cutoff stays
-    shared = F.size(F.array_intersect("_l_word", "_l_cand"))
-    # a pair that shares several prefix tokens is kept at the first one only
-    first = F.get(F.array_intersect("_p_word", "_p_cand"), F.lit(0)) == F.col("_t")
-    long_enough = 2 * F.least(F.length("word"), F.length("cand")) >= need
-    pairs = words.join(cands, ["_s", "_t"]).where(long_enough & first & (2 * shared >= need)).select("_s", "word", "cand")
-    scored = pairs.withColumn("score", _block_ratio("word", "cand")).where(F.col("score") >= cutoff)
-    best = scored.groupBy("_s", "word").agg(F.max(F.struct("score", "cand")).alias("_b"))
+    pairs = similar_candidates(q.select("_s", "word").distinct(), pool, cutoff)
+    best = _scored(pairs, cutoff).groupBy("_s", "word").agg(F.max(F.struct("score", "cand")).alias("_b"))
     return q.join(best, ["_s", "word"]).select("id", F.col("_b.cand").alias("match"), F.col("_b.score").alias("score"))
 
 

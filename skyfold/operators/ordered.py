@@ -7,7 +7,10 @@ use partial aggregation so that no task ever sees a whole hot key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from skyfold.session import stage
@@ -20,57 +23,65 @@ STEPS = 4096
 def carry_forward(
     df: DataFrame,
     keys: list[str],
-    order: str,
+    order: str | list[str],
     values: dict[str, Column],
     include_current: bool = True,
-    block: int = BLOCK,
+    block: int | Column | None = BLOCK,
+    firsts: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add one column per entry of ``values``: its last non-null value in ``order``.
-
-    ``order`` must be a non-negative whole number unique within the keys. With
-    ``include_current=False`` only earlier rows count. Keys are cut into blocks
-    of ``block`` positions; a block summary carries values across the cut.
+    """Add one column per entry of ``values``: its last non-null value in ``order``; of ``firsts`` the first one.
+
+    ``order`` is unique within the keys: a non-negative whole number, or several columns
+    with ``block`` as an expression that does not fall along them. With
+    ``include_current=False`` only earlier rows count. Keys are cut into blocks, of
+    ``block`` positions where it is a number; what earlier blocks carry enters a block as
+    a row of its own before all others, so one window does the rest. ``block=None`` is
+    for keys that are known to be short, which need no blocks.
     """
-    names = list(values)
-    work = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
-    for name in names:
-        work = work.withColumn(f"_v_{name}", values[name])
-    summary = work.groupBy(*keys, "_block").agg(
-        *[
-            F.max_by(F.col(f"_v_{name}"), F.when(F.col(f"_v_{name}").isNotNull(), F.col(order))).alias(
-                f"_s_{name}"
-            )
-            for name in names
-        ]
-    )
+    firsts = firsts or {}
+    given = values | firsts
+    names = list(given)
+    by = [order] if isinstance(order, str) else list(order)
+    if block is None:
+        cut = F.lit(0)
+    else:
+        cut = block if isinstance(block, Column) else F.floor(F.col(by[0]) / F.lit(block))
+    work = df.select("*", cut.alias("_block"), *(given[name].alias(f"_v_{name}") for name in names))
+    place = F.struct(*by) if len(by) > 1 else F.col(by[0])
+
+    def end(name: str) -> Column:
+        pick = F.min_by if name in firsts else F.max_by
+        return pick(f"_v_{name}", F.when(F.col(f"_v_{name}").isNotNull(), place)).alias(f"_v_{name}")
+
+    def along(name: str, window: WindowSpec) -> Column:
+        pick = F.first if name in firsts else F.last
+        return pick(f"_v_{name}", ignorenulls=True).over(window)
+
+    frame = (Window.unboundedPreceding, Window.currentRow if include_current else -1)
+    kept = [c for c in df.columns if c not in names]
+    if block is None:
+        whole = Window.partitionBy(*keys).orderBy(*by).rowsBetween(*frame)
+        return work.select(*kept, *(along(name, whole).alias(name) for name in names))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select(
-        *keys,
-        "_block",
-        *[F.last(f"_s_{name}", ignorenulls=True).over(earlier).alias(f"_c_{name}") for name in names],
+    carried = (
+        work.groupBy(*keys, "_block").agg(*(end(name) for name in names))
+        .select(*keys, "_block", *(along(name, earlier).alias(f"_v_{name}") for name in names))
+        .where(reduce(Column.__or__, (F.col(f"_v_{name}").isNotNull() for name in names)))
     )
-    inside = (
-        Window.partitionBy(*keys, "_block")
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow if include_current else -1)
-    )
-    joined = _null_safe_join(work, carried, [*keys, "_block"])
-    for name in names:
-        joined = joined.withColumn(
-            name,
-            F.coalesce(F.last(f"_v_{name}", ignorenulls=True).over(inside), F.col(f"_c_{name}")),
-        )
-    return joined.drop("_block", *[f"_v_{n}" for n in names], *[f"_c_{n}" for n in names])
+    both = work.withColumn("_real", F.lit(True)).unionByName(carried.withColumn("_real", F.lit(False)), allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_block").orderBy("_real", *by).rowsBetween(*frame)
+    out = both.select(*kept, "_real", *(along(name, inside).alias(name) for name in names))
+    return out.where("_real").drop("_real")
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     renamed = right.select(
         *[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in right.columns if c not in on]
     )
     condition = F.lit(True)
     for c in on:
         condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    return left.join(renamed, condition, "left").drop(*[f"_r_{c}" for c in on])
+    return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
 
 
 def keep_first(df: DataFrame, keys: list[Column], order: Column) -> DataFrame:
@@ -88,61 +99,64 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank_na
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linearly interpolated quantiles of unbounded groups.
+    """Exact linearly interpolated quantiles of unbounded groups, one column for each entry of ``probs``."""
+    return joint_quantiles(df, keys, value, {name: (lambda v: v, p) for name, p in probs.items()})
+
 
-    Values are first collapsed to counts, then counted in order-preserving
-    logarithmic buckets. The buckets that hold a wanted rank are counted again in
-    equal steps between their smallest and largest value, since values may crowd
-    round one level; only the steps that hold a wanted rank are sorted.
+def joint_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[Callable[[Column], Column], float]]) -> DataFrame:
+    """Exact quantiles of several expressions of one value, selected together.
+
+    ``wanted`` gives a name its expression of the value and its probability. Values are
+    collapsed to counts, written once; an expression's counts are those of the values it
+    comes from. All expressions are counted in order-preserving logarithmic buckets (a
+    bounded number for each group); buckets that hold a wanted rank are counted again in
+    equal steps between their smallest and largest value, since values may crowd round
+    one level, and only the steps that hold a wanted rank are sorted.
     """
+    kinds = list(dict.fromkeys(kind for kind, _ in wanted.values()))
     v = F.col(value)
-    counts = df.where(v.isNotNull()).groupBy(*keys, v.cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    magnitude = F.ceil(F.log2(F.lit(1.0) + F.abs(F.col("_v")) * F.lit(1e6)) * 1024)
-    counts = counts.withColumn("_b", (F.signum("_v") * magnitude).cast("long"))
-    buckets = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
-    w = Window.partitionBy(*keys)
-    buckets = buckets.withColumn(
-        "_before",
-        F.sum("_bn").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        - F.col("_bn"),
-    ).withColumn("_total", F.sum("_bn").over(w))
-    ranks = [F.floor(F.lit(p) * (F.col("_total") - 1)) for p in probs.values()]
-    wanted = F.lit(False)
-    for lo in ranks:
-        wanted = wanted | (
-            (F.col("_before") <= lo + 1) & (F.col("_before") + F.col("_bn") > lo)
-        )
-    picked = buckets.where(wanted).drop("_bn")
-    near = _null_safe_join(counts, picked, [*keys, "_b"]).where(F.col("_before").isNotNull())
-    reach = near.groupBy(*keys, "_b").agg(F.min("_v").alias("_from"), F.max("_v").alias("_to"))
-    near = _null_safe_join(near, reach, [*keys, "_b"])
-    share = F.coalesce(F.try_divide(F.col("_v") - F.col("_from"), F.col("_to") - F.col("_from")), F.lit(0.0))
+    counts = stage(df.where(v.isNotNull()).groupBy(*keys, v.cast("double").alias("_v")).agg(F.count("*").alias("_n")), "quantile-counts")
+    each = counts.select(*keys, "_n", F.posexplode(F.array(*(kind(F.col("_v")) for kind in kinds))).alias("_e", "_x"))
+    magnitude = F.ceil(F.log2(F.lit(1.0) + F.abs("_x") * F.lit(1e6)) * 1024)
+    each = each.withColumn("_b", (F.signum("_x") * magnitude).cast("long"))
+
+    def rank(kind: Callable[[Column], Column], p: float) -> tuple[Column, Column]:
+        return F.col("_e") == kinds.index(kind), F.floor(F.lit(p) * (F.col("_total") - 1))
+
+    def holds_a_rank() -> Column:
+        """Rows whose range of places holds a wanted rank or the one after it."""
+        found = F.lit(False)
+        for mine, low in (rank(*w) for w in wanted.values()):
+            found = found | (mine & (F.col("_before") <= low + 1) & (F.col("_before") + F.col("_bn") > low))
+        return found
+
+    group = Window.partitionBy(*keys, "_e")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    size = F.sum("_n").alias("_bn")
+    buckets = each.groupBy(*keys, "_e", "_b").agg(size, F.min("_x").alias("_from"), F.max("_x").alias("_to"))
+    buckets = buckets.withColumn("_before", F.sum("_bn").over(group.orderBy("_b").rowsBetween(*so_far)) - F.col("_bn"))
+    buckets = stage(buckets.withColumn("_total", F.sum("_bn").over(group)).where(holds_a_rank()), "quantile-buckets")
+    near = _null_safe_join(each, buckets.drop("_bn"), [*keys, "_e", "_b"], "inner")
+    share = F.coalesce(F.try_divide(F.col("_x") - F.col("_from"), F.col("_to") - F.col("_from")), F.lit(0.0))
     near = near.withColumn("_s", F.floor(share * STEPS).cast("long")).drop("_from", "_to")
-    steps = near.groupBy(*keys, "_b", "_s").agg(F.sum("_n").alias("_bn"), F.first("_before").alias("_before"), F.first("_total").alias("_total"))
-    earlier = Window.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = steps.withColumn("_before", F.col("_before") + F.sum("_bn").over(earlier) - F.col("_bn"))
-    near = _null_safe_join(near.drop("_before", "_total"), steps.where(wanted).drop("_bn"), [*keys, "_b", "_s"]).where(F.col("_before").isNotNull())
-    inside = (
-        Window.partitionBy(*keys, "_b", "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    near = near.withColumn("_hi", F.col("_before") + F.sum("_n").over(inside)).withColumn(
-        "_lo", F.col("_hi") - F.col("_n")
-    )
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_lo") <= rank) & (F.col("_hi") > rank), F.col("_v")))
-
-    aggs = []
-    for name, lo in zip(probs, ranks):
-        aggs += [at(lo).alias(f"_a_{name}"), at(lo + 1).alias(f"_b_{name}")]
-    out = near.groupBy(*keys).agg(F.max("_total").alias("_total"), *aggs)
-    cols = []
-    for name, p in probs.items():
+    steps = near.groupBy(*keys, "_e", "_b", "_s").agg(size, F.first("_before").alias("_before"), F.first("_total").alias("_total"))
+    inside = Window.partitionBy(*keys, "_e", "_b").orderBy("_s").rowsBetween(*so_far)
+    steps = steps.withColumn("_before", F.col("_before") + F.sum("_bn").over(inside) - F.col("_bn")).where(holds_a_rank())
+    last = _null_safe_join(near.drop("_before", "_total"), steps.drop("_bn"), [*keys, "_e", "_b", "_s"], "inner")
+    inside = Window.partitionBy(*keys, "_e", "_b", "_s").orderBy("_x").rowsBetween(*so_far)
+    last = last.withColumn("_hi", F.col("_before") + F.sum("_n").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_n"))
+    aggs, cols = [], []
+    for name, (kind, p) in wanted.items():
+        mine, low = rank(kind, p)
+
+        def at(place: Column) -> Column:
+            return F.max(F.when(mine & (F.col("_lo") <= place) & (F.col("_hi") > place), F.col("_x")))
+
+        aggs += [at(low).alias(f"_a_{name}"), at(low + 1).alias(f"_b_{name}")]
         h = F.lit(p) * (F.col("_total") - 1)
         a = F.col(f"_a_{name}")
-        b = F.coalesce(F.col(f"_b_{name}"), a)
-        cols.append((a + (b - a) * (h - F.floor(h))).alias(name))
-    return out.select(*keys, *cols)
+        cols.append((a + (F.coalesce(f"_b_{name}", a) - a) * (h - F.floor(h))).alias(name))
+    return last.groupBy(*keys).agg(F.max("_total").alias("_total"), *aggs).select(*keys, *cols)
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -92,13 +92,14 @@ def pf21(spark, sf):
 @query("fn7_split_actions", f"""SELECT doc_id, pos, count(*) AS n, sum(length(p))::BIGINT AS chars FROM (SELECT doc_id, pos, trim(regexp_replace(unnest(string_split(replace(line, '. ', ' • '), '•')), '\\s+', ' ', 'g')) AS p FROM v_lines)
    WHERE {valid_sql('p')} GROUP BY doc_id, pos""")
 def fn7(spark, sf):
-    cells = v.lines(spark, sf).select("doc_id", "pos", F.replace("line", F.lit(". "), F.lit(" • ")).alias("cell"))
+    # dealt by document first: the split runs in all tasks whatever the files are, and its sums need no further shuffle
+    cells = v.lines(spark, sf).repartition("doc_id").select("doc_id", "pos", F.replace("line", F.lit(". "), F.lit(" • ")).alias("cell"))
     return extract.explode_actions(cells, "cell").groupBy("doc_id", "pos").agg(F.count("*").alias("n"), F.sum(F.length("action")).alias("chars"))
 
 
 STOCK = ("Feed the cattle ", "Sow maize ", "Vaccinated birds ", "Deworm ", "shed ", "Kids play ")
 VIEW_SQL["v_stock_lines"] = f"SELECT doc_id, pos, {_sql_pick('(doc_id + pos * 5) % 6', STOCK)} || line AS text FROM v_lines"
-_STOCK_RE = r"(?i)\b(cattle|cow|buffalo|poultry|goat|sheep|livestock|fodder|feed ingredient|birds|fish|pig|camel|donkey|animal|grazing|breed|vaccin|deworm|shed|piggery|fishery|duck|hen|chick|hatch|milch|calving|lamb|kid\b|ewe)\b"
+_STOCK_RE = extract.LIVESTOCK
 
 
 @query("pf18_livestock", f"SELECT regexp_matches(text, '{_STOCK_RE}') AS livestock, count(*) AS n, sum(length(text))::BIGINT AS chars FROM v_stock_lines GROUP BY 1")
@@ -153,9 +154,12 @@ CONDITIONS = ("Mid season drought", "", "", "Terminal drought", "")
 
 
 def plan_cells(spark, sf):
-    """Every document as a plan of two pages: a header table, then a continuation without header."""
+    """Every document as a plan of two pages: a header table, then a continuation without header.
+
+    Lines are dealt by document before cells are made of them, whatever the files are.
+    """
     pos = F.col("pos")
-    body = v.lines(spark, sf).select("doc_id", F.floor(pos / 6).cast("int").alias("page"), (pos % 6).cast("int").alias("r"), "pos", "line")
+    body = v.lines(spark, sf).repartition("doc_id").select("doc_id", F.floor(pos / 6).cast("int").alias("page"), (pos % 6).cast("int").alias("r"), "pos", "line")
     step = F.replace("line", F.lit(". "), F.lit(" • "))
     cols = F.array(
         _pick(pos % 5, CONDITIONS),
@@ -174,11 +178,6 @@ def plan_cells(spark, sf):
     return head.unionByName(cells)
 
 
-def staged_cells(spark, sf):
-    """The cells as a stage table whose files hold whole documents of even size, for the walk's many scans."""
-    return stage(plan_cells(spark, sf).repartition("doc_id"), "plan-cells")
-
-
 VIEW_SQL["v_plan_rows"] = f"""SELECT doc_id, pos, CAST(floor(pos / 6.0) AS BIGINT) AS page, {_sql_pick('pos % 5', CONDITIONS)} AS cond, CASE WHEN pos % 3 = 0 THEN 'Situation ' || pos % 4 END AS farm,
   CASE WHEN pos % 4 = 1 THEN 'Rice - ' || pos % 7 END AS crop, CASE WHEN pos % 7 = 3 THEN '-do-' ELSE replace(line, '. ', ' • ') END AS chg,
   CASE WHEN pos % 5 = 2 THEN 'NA' WHEN pos % 5 = 4 THEN '' ELSE 'Mulch then ' || line END AS agro, line FROM v_lines"""
@@ -203,13 +202,12 @@ def ex2(spark, sf):
    UNION SELECT DISTINCT doc_id, page FROM v_plan_rows WHERE page > 0 GROUP BY doc_id, page HAVING count(*) >= 2 AND
      bool_or(cond <> '' OR ({condition_sql("chg")}) IS NOT NULL OR ({condition_sql("agro")}) IS NOT NULL)) GROUP BY ALL""")
 def wn9(spark, sf):
-    cells = staged_cells(spark, sf)
-    t = extract.usable_tables(cells, stage(extract.analyze_tables(cells), "analysis"))
+    t = extract.usable_tables(stage(extract.table_rows(plan_cells(spark, sf)), "plan-rows"))
     return t.groupBy("doc_id", "page").agg(F.count("*").alias("n_tables"))
 
 
 def harvested(spark, sf):
-    return extract.harvest(staged_cells(spark, sf))
+    return extract.harvest(plan_cells(spark, sf))
 
 
 def _sq(c):
@@ -242,7 +240,7 @@ def ex3(spark, sf):
 
 @query("pf34_verbatim_actions", "SELECT doc_id FROM documents WHERE false")
 def pf34(spark, sf):
-    cells = staged_cells(spark, sf)
+    cells = plan_cells(spark, sf)
     plain = stage(extract.harvest(cells).where(~F.col("resolved_from_ditto")), "harvest")
     bad = quality.not_verbatim(plain, cells).select("doc_id")
     headers = plain.where(extract.is_header_label(F.col("action"))).select("doc_id")

@@ -822,10 +822,11 @@ def fn19(spark, sf):
     return v.cells(spark, sf).select("cell", F.round(cos_weight(F.col("lat")), 8).alias("w"))
 
 
-@query("ag33_dissolve", "SELECT r_name AS state, n_name AS district, 1 AS n_parts, 5 AS n_points FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("ag33_dissolve", """SELECT r_name AS state, n_name AS district, 1 + (n_nationkey % 3 = 0)::INT AS n_parts, 5 + 3 * (n_nationkey % 3 = 0)::INT AS n_points,
+   round(66.013::DOUBLE + (n_nationkey % 5) * 6.4::DOUBLE, 6) AS first_lon FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def ag33(spark, sf):
-    return region.dissolve(v.polygons(spark, sf)).select(
-        "state", "district", "n_parts", F.expr("aggregate(rings, 0L, (s, x) -> s + size(x))").alias("n_points")
+    return region.dissolve(v.parted_polygons(spark, sf)).select(
+        "state", "district", "n_parts", F.expr("aggregate(rings, 0L, (s, x) -> s + size(x))").alias("n_points"), F.round(F.col("rings")[0][0]["lon"], 6).alias("first_lon")
     )
 
 

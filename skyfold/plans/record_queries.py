@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skyfold.functions import labels, signals, text
 from skyfold.operators import advisory, dedup, forecast, matching, ordered, records, rules
 from skyfold.plans import views as v
-from skyfold.plans.grid_queries import mean_anomaly, r, up
+from skyfold.plans.grid_queries import r, up, weekly_means
 from skyfold.plans.registry import VIEW_SQL, query
 from skyfold.plans.scratch import scratch
 from skyfold.sources import library as lib
@@ -212,14 +212,27 @@ SELECT upper(n_name) || ' ' AS state, CASE WHEN c_custkey % 10 = 0 THEN c_name |
 
 
 def s2s(spark, sf):
-    m = mean_anomaly(spark, sf).select("cell", "week", "model", up("precip", 3), up("t2m", 3))
-    mme = m.groupBy("cell", "week").agg(up(F.avg("precip"), 3).alias("precip"), up(F.avg("t2m"), 3).alias("t2m"))
-    both = m.unionByName(mme.withColumn("model", F.lit("MME")))
+    return s2s_of(spark, sf, weekly_means(spark, sf))
+
+
+def s2s_places(spark, sf):
+    """Cells with the district that each of them is."""
     c, n = v.table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"), v.table(spark, sf, "nation").select("n_nationkey", "n_name")
     name = F.when(F.col("c_custkey") % 10 == 0, F.concat("c_name", F.lit(" NEW"))).otherwise(F.upper("c_name"))
-    return both.join(c, F.col("cell") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.concat(F.upper("n_name"), F.lit(" ")).alias("state"), name.alias("district"), "week", "model", "precip", "t2m",
-        F.lit("20240101").alias("init_date"),
+    named = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("cell"), F.concat(F.upper("n_name"), F.lit(" ")).alias("state"), name.alias("district")
+    )
+    return v.cells(spark, sf).select("cell", "lat", "lon").join(named, "cell")
+
+
+def s2s_of(spark, sf, means):
+    """Weekly model rows of the districts, and their multi-model mean, from means by model, cell and week."""
+    anomaly = forecast.weekly_anomaly(means, v.clim_weekly(spark, sf), ["cell", "week"], ["t2m", "precip"])
+    m = anomaly.select("cell", "week", "model", up("precip", 3), up("t2m", 3))
+    mme = m.groupBy("cell", "week").agg(up(F.avg("precip"), 3).alias("precip"), up(F.avg("t2m"), 3).alias("t2m"))
+    both = m.unionByName(mme.withColumn("model", F.lit("MME")))
+    return both.join(s2s_places(spark, sf), "cell").select(
+        "state", "district", "week", "model", "precip", "t2m", F.lit("20240101").alias("init_date"),
     )
 
 
@@ -595,10 +608,14 @@ def keyed(df, spark, sf):
 
 def all_actions(spark, sf):
     return advisory.scenario_actions(
-        ctx_records(spark, sf), v.action_library(spark, sf), v.community_library(spark, sf), plan_rows(spark, sf)
+        ctx_records(spark, sf), CONTEXTS, v.action_library(spark, sf), v.community_library(spark, sf), plan_rows(spark, sf)
     )
 
 
+#: The contexts without a crop stage, so that the stage filter lets everything pass.
+ANY_STAGE = [{**c, "crop_stage": None} for c in CONTEXTS]
+
+
 @query("ad4_scenario_actions", "SELECT * FROM v_actions")
 def ad4(spark, sf):
     return keyed(all_actions(spark, sf), spark, sf).drop("evergreen", "concept")
@@ -608,16 +625,14 @@ def ad4(spark, sf):
 def jn24(spark, sf):
     path = scratch(spark, "library")
     v.action_library(spark, sf).write.option("header", True).csv(path)
-    ctx = ctx_records(spark, sf)
-    fired_all = ctx.withColumn("crop_stage", F.lit(None).cast("string"))  # stage filter off
-    out = advisory.scenario_actions(fired_all, lib.read_action_library(spark, path), v.community_library(spark, sf))
+    out = advisory.scenario_actions(ctx_records(spark, sf), ANY_STAGE, lib.read_action_library(spark, path), v.community_library(spark, sf))
     return keyed(out.where("block <> 3"), spark, sf).drop("evergreen", "concept")
 
 
 @query("jn25_plan_by_crop", "SELECT k, context_id, category, rank, pos, text FROM v_plan_actions")
 def jn25(spark, sf):
     ctx = ctx_records(spark, sf).withColumn("crop_stage", F.lit(None).cast("string"))
-    out = advisory.scenario_actions(ctx, v.action_library(spark, sf), v.community_library(spark, sf), plan_rows(spark, sf))
+    out = advisory.scenario_actions(ctx, ANY_STAGE, v.action_library(spark, sf), v.community_library(spark, sf), plan_rows(spark, sf))
     return keyed(out.where("block = 4"), spark, sf).select("k", "context_id", "category", "rank", "pos", "text")
 
 
@@ -649,7 +664,7 @@ def ad5(spark, sf):
 @query("pf22_relevant_for_livestock", "SELECT category, text, count(*) AS n FROM v_lib_actions WHERE context_id = 4 AND block = 1 GROUP BY ALL")
 def pf22(spark, sf):
     ctx = ctx_records(spark, sf).where("user_type = 'livestock_owner'")
-    out = advisory.scenario_actions(ctx, v.action_library(spark, sf), v.community_library(spark, sf))
+    out = advisory.scenario_actions(ctx, CONTEXTS, v.action_library(spark, sf), v.community_library(spark, sf))
     return out.where("block = 1").groupBy("category", "text").agg(F.count("*").alias("n"))
 
 
@@ -775,25 +790,67 @@ def full_advisories(spark, sf):
     )
 
 
-def lists_sql(source):
+def hindi_catalog(spark, sf):
+    """Translations of every second library text, under spellings that the catalog's key evens out."""
+    text_ = F.col("text")
+    return v.action_library(spark, sf).where("pos % 4 < 2").select(
+        "pos", F.concat(F.lit("  "), F.upper(text_), F.lit(".")).alias("source_text"), F.lit("hi").alias("lang"), F.concat(F.lit("हि "), text_).alias("text")
+    )
+
+
+def hindi_sql(t):
+    """Hindi of a text: catalog, own texts, known phrases replaced. Needs ``known``, the catalog as a map, in scope."""
+    own = "CASE " + t + " " + " ".join(f"WHEN {sql_text(en)} THEN {sql_text(hi)}" for en, hi in advisory.ACTIONS_HI.items())
+    replaced = t
+    for en, hi in advisory.PHRASES_HI.items():
+        replaced = f"replace({replaced}, {sql_text(en)}, {sql_text(hi)})"
+    return f"coalesce(known[{t}], {own} ELSE {replaced} END)"
+
+
+VIEW_SQL["v_known_hi"] = "SELECT map(list(text), list('हि ' || text)) AS known FROM (SELECT DISTINCT text FROM v_library WHERE pos % 4 < 2)"
+
+
+def lists_sql(source, hindi=False):
     """Capped lists with their overflow notes: ``k, context_id`` and one text per category."""
     over = {c: f"len({c}) - {n}" for c, n in advisory.CAPS.items()}
-    note = {c: "'" + text.ACTION_TEMPLATES[key].replace("%d", f"' || ({over[c]}) || '") + "'" for c, key in (("do_now", "additional_contingency"), ("prepare", "additional_preparatory"))}
+    templates = text.ACTION_TEMPLATES_HI if hindi else text.ACTION_TEMPLATES
+    note = {c: "'" + templates[key].replace("%d", f"' || ({over[c]}) || '") + "'" for c, key in (("do_now", "additional_contingency"), ("prepare", "additional_preparatory"))}
     key = "k || '/' || context_id || '/' || category"
     folded = fold_sql(f"(SELECT {key} AS id, list(text ORDER BY place) AS ts FROM ({merged_sql(f'({split_sql(source)})')}) GROUP BY ALL)")
     columns = ", ".join(f"coalesce(any_value(kt) FILTER (WHERE split_part(id, '/', 3) = '{c}'), []) AS {c}" for c in advisory.CATEGORIES)
-    shown = ", ".join(f"array_to_string({c}[:{n}], ' | ') AS {c}" for c, n in advisory.CAPS.items())
-    return f"""SELECT k, context_id, {shown}, array_to_string(avoid, ' | ') AS avoid, array_to_string(list_concat(general_guidance, list_filter([now_note,
+
+    def said(items):
+        return f"list_transform({items}, lambda t: {hindi_sql('t')})" if hindi else items
+
+    capped = ", ".join(f"array_to_string({said(f'{c}[:{n}]')}, ' | ') AS {c}" for c, n in advisory.CAPS.items())
+    return f"""SELECT k, context_id, {capped}, array_to_string({said('avoid')}, ' | ') AS avoid, array_to_string(list_concat({said('general_guidance')}, list_filter([now_note,
      CASE WHEN {over['prepare']} > 0 AND now_note IS NULL AND len(list_filter(general_guidance, lambda g: contains(g, 'Additional contingency measures'))) = 0 THEN {note['prepare']} END],
      lambda z: z IS NOT NULL)), ' | ') AS general_guidance
    FROM (SELECT *, CASE WHEN {over['do_now']} > 0 THEN {note['do_now']} END AS now_note FROM (
-     SELECT split_part(id, '/', 1)::BIGINT AS k, split_part(id, '/', 2)::INT AS context_id, {columns} FROM {folded} GROUP BY 1, 2))"""
+     SELECT split_part(id, '/', 1)::BIGINT AS k, split_part(id, '/', 2)::INT AS context_id, {columns} FROM {folded} GROUP BY 1, 2)){', v_known_hi' if hindi else ''}"""
+
+
+def said(c, language="en"):
+    return F.array_join(advisory.shown(F.col(c), language), " | ").alias(c)
+
+
+def told_rows(spark, sf):
+    """Every district and context with the entries of its fired scenarios."""
+    rows = advisory.with_entries(ctx_records(spark, sf), CONTEXTS, v.action_library(spark, sf), v.community_library(spark, sf), plan_rows(spark, sf), hindi_catalog(spark, sf))
+    return rows.withColumn("entries", F.flatten("entries")).select(*advisory.RECORD_KEY, "entries")
 
 
 @query("ad7_action_lists", f"SELECT state, district, l.* EXCLUDE (k) FROM ({lists_sql('v_actions')}) l JOIN v_record USING (k)")
 def ad7(spark, sf):
-    lists = advisory.assemble(advisory.deduplicate(advisory.separate_evergreen(all_actions(spark, sf))))
-    return lists.select(*advisory.RECORD_KEY, *[F.array_join(c, " | ").alias(c) for c in advisory.CATEGORIES])
+    lists = advisory.assemble(told_rows(spark, sf).where(F.size("entries") > 0))
+    return lists.select(*advisory.RECORD_KEY, *(said(c) for c in advisory.CATEGORIES))
+
+
+@query("ad7_action_records", f"""SELECT state, district, context_id, trim(left(trim(regexp_replace(lower(t), '[^a-z0-9]+', '_', 'g'), '_'), 120)) AS action_id, t AS text_en, {hindi_sql('t')} AS text_hi, 'action_pipeline' AS source
+   FROM (SELECT state, district, context_id, unnest(string_split(do_now, ' | ')) AS t FROM ({lists_sql('v_actions')}) JOIN v_record USING (k) WHERE do_now <> ''), v_known_hi""")
+def ad7_records(spark, sf):
+    lists = advisory.assemble(told_rows(spark, sf))
+    return lists.select(*advisory.RECORD_KEY, F.inline("do_now"))
 
 
 VIEW_SQL["v_all_actions"] = """SELECT k, context_id, category, rank, block, pos, text FROM v_actions
@@ -809,29 +866,33 @@ VIEW_SQL["v_all_actions"] = """SELECT k, context_id, category, rank, block, pos,
 def ad8(spark, sf):
     return full_advisories(spark, sf).select(
         "state", "district", "context_id", "overall_risk", "confidence", "forecast_summary", "outlook_narrative",
-        F.array_join("main_concerns", "; ").alias("main_concerns"),
-        *[F.array_join(c, " | ").alias(c) for c in advisory.CATEGORIES],
+        F.array_join("main_concerns", "; ").alias("main_concerns"), *(said(c) for c in advisory.CATEGORIES),
     )
 
 
 _SCENARIO_HI = "CASE scenario " + " ".join(f"WHEN '{k}' THEN '{n}'" for k, n in labels.SCENARIOS_HI.items()) + " END"
 
 
-@query("ad8_advisories_hi", f"""SELECT r.k, r.context_id, summary AS forecast_summary, narrative AS outlook_narrative, coalesce(s.main_concerns, '') AS main_concerns,
-   '{advisory.FORECAST_SOURCE}; {advisory.AGRICULTURE_SOURCE}; {advisory.HEALTH_SOURCE}' AS sources
+@query("ad8_advisories_hi", f"""SELECT r.state, r.district, r.context_id, summary AS forecast_summary, narrative AS outlook_narrative, coalesce(s.main_concerns, '') AS main_concerns,
+   '{advisory.FORECAST_SOURCE}; {advisory.AGRICULTURE_SOURCE}; {advisory.HEALTH_SOURCE}' AS sources, l.do_now, l.prepare, l.avoid, l.general_guidance
    FROM v_rc r JOIN v_summary_hi USING (k) JOIN v_narrative_hi USING (k)
-   LEFT JOIN (SELECT k, context_id, string_agg({_SCENARIO_HI}, '; ' ORDER BY scenario_rank) AS main_concerns FROM v_scen_ctx GROUP BY ALL) s ON s.k = r.k AND s.context_id = r.context_id""")
+   LEFT JOIN (SELECT k, context_id, string_agg({_SCENARIO_HI}, '; ' ORDER BY scenario_rank) AS main_concerns FROM v_scen_ctx GROUP BY ALL) s ON s.k = r.k AND s.context_id = r.context_id
+   LEFT JOIN ({lists_sql('v_all_actions', hindi=True)}) l ON l.k = r.k AND l.context_id = r.context_id""")
 def ad8_hi(spark, sf):
-    records = v.records(spark, sf)
-    adv = advisory.advisories(records, CONTEXTS, v.action_library(spark, sf), v.community_library(spark, sf), language="hi")
+    adv = advisory.advisories(
+        v.records(spark, sf), CONTEXTS, v.action_library(spark, sf), v.community_library(spark, sf), plan_rows(spark, sf), "hi", hindi_catalog(spark, sf)
+    )
     notes = F.concat_ws("; ", *(F.col(f"source_notes.{c}") for c in ("forecast_source", "agriculture_source", "health_source")))
-    return keyed(adv, spark, sf).select("k", "context_id", "forecast_summary", "outlook_narrative", F.array_join("main_concerns", "; ").alias("main_concerns"), notes.alias("sources"))
+    return adv.select(
+        *advisory.RECORD_KEY, "forecast_summary", "outlook_narrative", F.array_join("main_concerns", "; ").alias("main_concerns"), notes.alias("sources"),
+        *(said(c, "hi") for c in advisory.CATEGORIES),
+    )
 
 
 @query("pf25_guardrail_phrases", "SELECT k, 'summary' AS field FROM v_record WHERE false")
 def pf25(spark, sf):
     adv = full_advisories(spark, sf)
-    body = F.concat_ws(" ", *advisory.CATEGORIES, "forecast_summary")
+    body = F.concat_ws(" ", *(advisory.shown(F.col(c)) for c in advisory.CATEGORIES), "forecast_summary")
     hits = adv.where(advisory.guardrail_hits(body)).select("state", "district")
     return keyed(hits, spark, sf).select("k", F.lit("summary").alias("field"))
 
@@ -849,10 +910,19 @@ def pf25_planted(spark, sf):
 @query("sl2_caps_with_overflow", """SELECT doc_id, least(n, 12) AS shown, greatest(n - 12, 0) AS over, CASE WHEN n > 12 THEN 'Additional contingency measures (' || (n - 12) ||
    ' items) are available — consult your local KVK extension officer.' END AS note FROM (SELECT doc_id, count(DISTINCT line) AS n FROM v_lines GROUP BY doc_id)""")
 def sl2(spark, sf):
-    lists = v.table(spark, sf, "documents").select("doc_id", F.array_distinct(F.split("text", "\n")).alias("do_now"))
-    over = F.size("do_now") - 12
-    note = F.when(over > 0, F.format_string(text.ACTION_TEMPLATES["additional_contingency"], over))
-    return lists.select("doc_id", F.size(F.slice("do_now", 1, 12)).alias("shown"), F.greatest(over, F.lit(0)).alias("over"), note.alias("note"))
+    out = advisory.capped(line_lists(spark, sf, F.lit("do_now")))
+    note = F.get("general_guidance", F.lit(0))["text_en"]
+    over = F.coalesce(F.regexp_extract(note, r"\((\d+) items\)", 1).cast("int"), F.lit(0))
+    return out.select("doc_id", F.size("do_now").alias("shown"), over.alias("over"), note.alias("note"))
+
+
+def line_lists(spark, sf, category):
+    """Every document's distinct lines as one of its action lists."""
+    lines = F.transform(F.array_distinct(F.split("text", "\n")), lambda t: F.struct(t.alias("text"), t.alias("text_hi")))
+    none = F.filter(lines, lambda x: F.lit(False))
+    return v.table(spark, sf, "documents").select(
+        "doc_id", *(advisory.action_records(F.when(category == c, lines).otherwise(none)).alias(c) for c in advisory.CATEGORIES)
+    )
 
 
 _ACTION_NOTE = {c: "'" + text.ACTION_TEMPLATES[k].replace("%d", "' || n || '") + "'" for c, k in (("do_now", "additional_contingency"), ("prepare", "additional_preparatory"))}
@@ -862,13 +932,9 @@ _ACTION_NOTE = {c: "'" + text.ACTION_TEMPLATES[k].replace("%d", "' || n || '") +
    CASE WHEN n > 0 THEN CASE c WHEN 'do_now' THEN {_ACTION_NOTE['do_now']} ELSE {_ACTION_NOTE['prepare']} END ELSE '' END AS guidance
    FROM (SELECT *, total - CASE c WHEN 'do_now' THEN 12 ELSE 8 END AS n FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'do_now' ELSE 'prepare' END AS c, count(DISTINCT line) AS total FROM v_lines GROUP BY doc_id))""")
 def sl2_assembled(spark, sf):
-    lists = v.table(spark, sf, "documents").select(
-        F.lit("S").alias("state"), F.col("doc_id").cast("string").alias("district"), F.lit(0).alias("context_id"),
-        F.when(F.col("doc_id") % 2 == 0, "do_now").otherwise("prepare").alias("category"), F.array_distinct(F.split("text", "\n")).alias("actions"),
-    )
-    out = advisory.assemble(lists)
+    out = advisory.capped(line_lists(spark, sf, F.when(F.col("doc_id") % 2 == 0, "do_now").otherwise("prepare")))
     return out.select(
-        F.col("district").cast("long").alias("doc_id"), F.size("do_now").alias("n_now"), F.size("prepare").alias("n_prepare"), F.array_join("general_guidance", " ").alias("guidance")
+        "doc_id", F.size("do_now").alias("n_now"), F.size("prepare").alias("n_prepare"), F.array_join(advisory.shown(F.col("general_guidance")), " ").alias("guidance")
     )
 
 

@@ -9,12 +9,12 @@ from skyfold.functions import dates, geo, labels, signals, text
 from skyfold.operators import grid, matching, ordered, quality, records
 from skyfold.plans import views as v
 from skyfold.plans.grid_queries import r
-from skyfold.plans.record_queries import odds_rows, s2s, signed_sql, sql_text
+from skyfold.plans.record_queries import odds_rows, s2s, s2s_of, s2s_places, signed_sql, sql_text
 from skyfold.plans.registry import VIEW_SQL, query
 from skyfold.plans.scratch import scratch
-from skyfold.sources import documents, grids, sinks
+from skyfold.sources import documents, grids, sinks, versions
 from skyfold.sources import records as src
-from skyfold.streaming import ingest
+from skyfold.streaming import ingest, refresh
 
 
 def s(c):
@@ -42,8 +42,8 @@ def sc2(spark, sf):
 @query("sc3_record_json", "SELECT state, district, since_jun1 AS since_june, heat_wave, wk1, t1 FROM v_record")
 def sc3(spark, sf):
     path = scratch(spark, "records")
-    v.records(spark, sf).write.json(path)
-    return src.read_records(spark, path, multi_line=False).select(
+    sinks.write_array(v.records(spark, sf), path)
+    return src.read_records(spark, path).select(
         "state", "district", F.col("rainfall_since_june_1_pct_departure").alias("since_june"), F.col("heat_wave_warning").alias("heat_wave"),
         F.col("week1_rainfall_anomaly_mm_day").alias("wk1"), F.col("week1_tmax_anomaly_degC").alias("t1"),
     )
@@ -67,9 +67,22 @@ def contingency_text(spark, sf):
    'act ' || o_orderkey AS action, CASE WHEN o_orderkey % 2 = 0 THEN 'Rice - early' ELSE '' END AS crop FROM orders""")
 def sc4(spark, sf):
     path = scratch(spark, "plans")
-    contingency_text(spark, sf).write.text(path)
-    raw = spark.read.schema(schemas.CONTINGENCY).json(path)
-    return src.plan_actions(raw).select("district", "pos", "action", "crop")
+    sinks.framed(contingency_text(spark, sf), path, "[", "]")
+    return src.plan_actions(src.read_contingency(spark, path)).select("district", "pos", "action", "crop")
+
+
+@query("jn25_flat_plans", """SELECT CAST(o_custkey AS VARCHAR) AS district, CASE WHEN o_custkey % 2 = 0 THEN 'flat' ELSE 'livestock' END AS kind,
+   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, 'act ' || o_orderkey AS action FROM orders""")
+def jn25_flat(spark, sf):
+    path = scratch(spark, "flat-plans")
+    o = v.table(spark, sf, "orders")
+    items = F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit("act "), k.cast("string")))
+    lists = o.groupBy("o_custkey").agg(items.alias("items"))
+    name = F.when(F.col("o_custkey") % 2 == 0, schemas.FLAT_PLAN).otherwise("livestock_actions")
+    body = F.create_map(F.lit("heat_stress"), F.create_map(name, F.col("items")))
+    plans = lists.select(F.to_json(F.struct(F.lit("S").alias("state"), s("o_custkey").alias("district"), body.alias("scenarios"))).alias("value"))
+    sinks.framed(plans, path, "[", "]")
+    return src.plan_actions(src.read_contingency(spark, path)).select("district", "kind", "pos", "action")
 
 
 def admin_text(spark, sf):
@@ -83,10 +96,12 @@ def admin_text(spark, sf):
     )
 
 
-@query("sc5_admin_csv", "SELECT k, since_jun1 AS since_june, CASE WHEN k % 10 = 3 THEN 0 ELSE r14 END AS r14, heat_wave, heavy_rain FROM v_record")
+@query("sc5_admin_csv", "SELECT state, district, since_jun1 AS since_june, CASE WHEN k % 10 = 3 THEN 0 ELSE r14 END AS r14, heat_wave, heavy_rain FROM v_record")
 def sc5(spark, sf):
-    return src.typed_admin(admin_text(spark, sf)).select(
-        "k", F.col("rainfall_since_june_1_pct_departure").alias("since_june"), F.col("rainfall_last_14_days_pct_departure").alias("r14"),
+    path = scratch(spark, "admin")
+    admin_text(spark, sf).drop("k").write.option("header", True).csv(path)
+    return src.read_admin(spark, path).select(
+        "state", "district", F.col("rainfall_since_june_1_pct_departure").alias("since_june"), F.col("rainfall_last_14_days_pct_departure").alias("r14"),
         F.col("heat_wave_warning").alias("heat_wave"), F.col("heavy_rain_warning").alias("heavy_rain"),
     )
 
@@ -125,7 +140,10 @@ def sc9(spark, sf):
         F.lit("m").alias("model"), F.when(F.col("l_linenumber") != 4, s("l_linenumber")).otherwise("x").alias("lead"),
         s("l_tax").alias("p_above"), s("l_discount").alias("p_below"),
     )
-    return src.typed_seasonal(raw).select(F.col("state").cast("long").alias("k"), "lead", "p_above", "p_below")
+    path = scratch(spark, "seasonal")
+    names = [c.strip().split(" ")[0] for c in schemas.SEASONAL_CSV.split(",")]
+    raw.select(*(F.col(c) if c in raw.columns else F.lit("").alias(c) for c in names)).write.option("header", True).csv(path)
+    return src.read_seasonal(spark, path).select(F.col("state").cast("long").alias("k"), "lead", "p_above", "p_below")
 
 
 VIEW_SQL["v_files"] = """SELECT DISTINCT event_type AS model, lower(event_type) || '_' || strftime(ts, '%Y%m%d') || '_india_weekly.nc' AS name, strftime(ts, '%Y%m%d') AS init
@@ -173,16 +191,17 @@ def sc13(spark, sf):
     return cycle.withColumn("clim", grids.pick_climatology(clim, "06").scalar())
 
 
-@query("sc14_polygon_features", "SELECT state, district, 5 AS n_points, round(avg(x1), 6) AS mean_lon FROM v_edges GROUP BY state, district")
+@query("sc14_polygon_features", """SELECT r_name AS state, n_name AS district, 1 + (n_nationkey % 3 = 0)::INT AS n_features, 5 + 3 * (n_nationkey % 3 = 0)::INT AS n_points,
+   4 * (n_nationkey % 2 = 0)::INT AS hole_points, round(66.013::DOUBLE + (n_nationkey % 5) * 6.4::DOUBLE, 6) AS west FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def sc14(spark, sf):
     path = scratch(spark, "features")
-    sinks.write_features(v.polygons(spark, sf), path)
-    lines = spark.read.text(path)
-    renamed = lines.select(F.replace(F.replace("value", F.lit('"state"'), F.lit('"NAME_1"')), F.lit('"district"'), F.lit('"NAME_2"')).alias("value"))
-    whole = renamed.select(F.from_json(F.concat(F.lit('{"type":"FeatureCollection","features":['), "value", F.lit("]}")), schemas.FEATURES).alias("c")).select("c.*")
-    p = src.polygon_rows(whole, "NAME_1", "NAME_2")
-    mean = F.aggregate("ring", F.lit(0.0), lambda a, x: a + x["lon"]) / F.size("ring")
-    return p.select("state", "district", F.size("ring").alias("n_points"), F.round(mean, 6).alias("mean_lon"))
+    sinks.write_collection(v.parted_polygons(spark, sf), path, {"NAME_1": "state", "NAME_2": "district"})
+    p = src.read_polygons(spark, path).select(
+        "state", "district", F.size("ring").alias("n"), F.aggregate("holes", F.lit(0), lambda a, x: a + F.size(x)).alias("h"), F.array_min(F.transform("ring", lambda x: x["lon"])).alias("w")
+    )
+    return p.groupBy("state", "district").agg(
+        F.count("*").alias("n_features"), F.sum("n").alias("n_points"), F.sum("h").alias("hole_points"), F.round(F.min("w"), 6).alias("west")
+    )
 
 
 @query("sc15_image_pixels", """SELECT doc_id, count(*) AS n, sum(('0x' || h[i * 6 + 5:i * 6 + 6])::INT)::BIGINT AS r, sum(('0x' || h[i * 6 + 1:i * 6 + 2])::INT)::BIGINT AS b
@@ -231,10 +250,29 @@ def sk1(spark, sf):
 def sk2(spark, sf):
     base = scratch(spark, "versions")
     recs = v.records(spark, sf)
-    sinks.write_records(recs, base)
-    sinks.write_records(spark.read.json(sinks.latest_version(spark, base)), base)
-    latest = sinks.latest_version(spark, base)
-    return spark.read.json(latest).select("k", F.col("monsoon_onset_status").alias("onset"), F.lit(int(latest[-1])).alias("version"))
+    versions.publish(recs.where("k % 2 = 0"), base, form="json")
+    last = versions.publish(recs, base, form="json")
+    path = versions.version_path(spark, base, versions.latest(spark, base))
+    return spark.read.json(path).select("k", F.col("monsoon_onset_status").alias("onset"), F.lit(last).alias("version"))
+
+
+@query("sk2_changed_rows", """SELECT state, district, CASE WHEN k % 3 = 0 THEN 12 WHEN k % 2 = 0 THEN 11 ELSE r14 END AS r14 FROM v_record
+   UNION ALL SELECT 'New', 'District', 12""")
+def sk2_changed(spark, sf):
+    base = scratch(spark, "changes")
+    recs = v.records(spark, sf)
+    names = ["k", "state", "district", "rainfall_last_14_days_pct_departure"]
+    for n in range(9):
+        versions.publish(recs.where(F.col("k") % 9 >= n).select(*names), base)
+    versions.publish(recs.select(*names), base)
+    versions.publish(recs.where("k % 2 = 0").select(*names[:3], F.lit(11).alias(names[3])), base, whole=False)
+    newest = recs.where("k % 3 = 0").select(F.upper("state").alias("state"), "district", F.lit(12).alias(names[3]))
+    new = recs.limit(1).select(F.lit("New").alias("state"), F.lit("District").alias("district"), F.lit(12).alias(names[3]))
+    versions.publish(newest.unionByName(new), base, whole=False)
+    merged = versions.read_records(spark, base)
+    state = recs.select(F.upper("state").alias("u"), F.col("state").alias("known")).distinct()
+    named = merged.join(state, F.col("u") == F.upper("state"), "left")
+    return named.select(F.coalesce("known", "state").alias("state"), "district", F.col(names[3]).alias("r14"))
 
 
 def grid_table(spark, sf):
@@ -252,14 +290,17 @@ def sk3(spark, sf):
     return got.groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum("precip"), 4).alias("precip"))
 
 
-@query("sk4_master_list", "SELECT state, district, round(lat, 4) AS lat, round(lon, 4) AS lon FROM v_centroid")
+@query("sk4_master_list", """SELECT c.state, c.district, round(lat, 4) AS lat, round(lon, 4) AS lon, 'r' AS region, 1 AS listed, 5 AS n_points FROM v_centroid c""")
 def sk4(spark, sf):
     from skyfold.operators import region
 
-    path = scratch(spark, "master")
-    points = region.centroids(v.polygons(spark, sf)).select("state", "district", F.round("lat", 4).alias("latitude"), F.round("lon", 4).alias("longitude"), F.lit("r").alias("region"))
-    sinks.write_csv(points, path, ("state", "district", "latitude", "longitude", "region"))
-    return src.read_district_points(spark, path).select("state", "district", "lat", "lon")
+    base = scratch(spark, "master")
+    shapes = v.polygons(spark, sf)
+    points = region.centroids(shapes).select("state", "district", F.round("lat", 4).alias("latitude"), F.round("lon", 4).alias("longitude"), F.lit("r").alias("region"))
+    sinks.write_master_list(points, shapes, base)
+    listed = src.read_roster(spark, f"{base}/district_metadata").groupBy("state", "district").agg(F.count("*").alias("listed"))
+    outlines = src.read_polygons(spark, f"{base}/districts_geojson", "state", "district").select("state", "district", F.size("ring").alias("n_points"))
+    return src.read_district_points(spark, f"{base}/district_coordinates").join(listed, ["state", "district"]).join(outlines, ["state", "district"])
 
 
 @query("sk5_missing_stages", """SELECT model, init_date FROM (SELECT DISTINCT event_type AS model, CAST(ts AS DATE) AS init_date FROM events)
@@ -281,6 +322,19 @@ def sk6(spark, sf):
     return documents.audit_checksums(manifest, files).select("doc_id", "status", F.col("true_digest").alias("digest"))
 
 
+@query("sk6_file_digests", """SELECT bucket AS filename, CASE bucket % 3 WHEN 0 THEN 'OK' WHEN 1 THEN 'MISMATCH' ELSE 'NO_CHECKSUM' END AS status, digest FROM (
+   SELECT doc_id % 20 AS bucket, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1) UNION ALL SELECT -1, 'MISSING', NULL""")
+def sk6_files(spark, sf):
+    path = scratch(spark, "files")
+    d = v.table(spark, sf, "documents").withColumn("bucket", F.col("doc_id") % 20)
+    d.repartition(20, "bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "text").write.partitionBy("bucket").text(path)
+    bucket = F.regexp_extract("path", r"bucket=(\d+)", 1)
+    digests = documents.file_digests(spark, path, bucket)
+    listed = digests.select("filename", F.when(F.col("filename") % 3 == 0, F.upper("digest")).when(F.col("filename") % 3 == 1, "0").otherwise("").alias("sha256"))
+    manifest = listed.unionByName(d.agg(F.lit("-1").alias("filename"), F.lit("x").alias("sha256")))
+    return documents.audit_checksums(manifest, digests).select(F.col("filename").cast("long").alias("filename"), "status", "digest")
+
+
 @query("sm1_incremental_ingest", """SELECT model, CAST(member AS VARCHAR) AS member, lat, lon, week, round(avg(t2m) + 1e-9, 5) AS t2m, round(avg(precip) + 1e-9, 5) AS precip FROM
    (SELECT l.*, c.lat, c.lon, CAST(ceil(lead_hours / 168.0) AS BIGINT) AS week FROM v_lead l JOIN v_cells c USING (cell) WHERE lead_hours > 0 AND lead_hours <= 840) GROUP BY ALL""")
 def sm1(spark, sf):
@@ -295,6 +349,40 @@ def sm1(spark, sf):
     )
 
 
+@query("sm1_refreshed_records", f"""SELECT lower(trim(coalesce(r.state, s.state))) AS ks, lower(trim(coalesce(r.district, s.district))) AS kd, CASE WHEN s.ks IS NOT NULL THEN s.p1 ELSE r.wk1 END AS wk1,
+   CASE WHEN s.ks IS NOT NULL THEN s.p4 ELSE r.wk4 END AS wk4, CASE WHEN s.ks IS NOT NULL THEN 'S2S multi-model mean (' || models || ') init 2024-01-01' END AS forecast_source, coalesce(r.onset, 'normal') AS onset
+   FROM v_record r FULL JOIN v_s2s_wide s ON s.ks = lower(trim(r.state)) AND s.kd = lower(trim(r.district))""")
+def sm1_refreshed(spark, sf):
+    landing, target, marks, base = (scratch(spark, n) for n in ("landing", "weekly", "marks", "records"))
+    rows = grid_table(spark, sf)
+    cells = v.cells(spark, sf).select("cell", "lat", "lon")
+    places = s2s_places(spark, sf)
+    versions.publish(v.records(spark, sf), base)
+
+    def model_rows(sums):
+        means = sums.groupBy("model", "lat", "lon", "week").agg(*((F.sum(f"{x}_sum") / F.sum(f"{x}_n")).alias(x) for x in ("t2m", "precip")))
+        return s2s_of(spark, sf, means.join(cells, ["lat", "lon"]).drop("lat", "lon"))
+
+    def run():
+        return refresh.ingest_and_refresh(spark, landing, schemas.GRID_LEAD, target, marks, base, places, model_rows).awaitTermination()
+
+    rows.where("model in ('click', 'view')").write.parquet(landing)
+    run()
+    rows.where("model not in ('click', 'view')").write.mode("append").parquet(landing)
+    run()
+    run()  # nothing new: no batch
+    # a batch that runs again after a loss finds its version and publishes none
+    before, tags = versions.latest(spark, base), [versions.Log(spark, base).entry(n)["tag"] for n in versions.Log(spark, base).numbers()]
+    again = refresh.refresh_districts(spark, rows.where("model not in ('click', 'view')"), target, base, places, model_rows, tags[-1])
+    if not again == before == versions.latest(spark, base):
+        raise AssertionError("a replayed batch published a version")
+    out = records.with_keys(versions.read_records(spark, base))
+    return out.select(
+        F.col("_ks").alias("ks"), F.col("_kd").alias("kd"), F.col("week1_rainfall_anomaly_mm_day").alias("wk1"), F.col("week4_rainfall_anomaly_mm_day").alias("wk4"),
+        "forecast_source", F.col("monsoon_onset_status").alias("onset"),
+    )
+
+
 # --- classes, labels, colours ----------------------------------------------------
 
 def rec_query(key, sql, *cols):

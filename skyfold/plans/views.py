@@ -315,6 +315,23 @@ def polygons(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def parted_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    """The pentagons, of every second nation with a hole, and for every third nation a triangle as a second part."""
+    n = F.col("n_nationkey")
+    x0, y0 = 66.013 + (n % 5) * 6.4, 6.013 + F.floor(n / 5.0) * 6.4
+
+    def ring(*offsets):
+        return F.array(*[F.struct((x0 + dx).alias("lon"), (y0 + dy).alias("lat")) for dx, dy in offsets])
+
+    hole, none = ring((2.0, 2.0), (3.0, 2.0), (3.0, 3.0), (2.0, 3.0)), F.array().cast("array<array<struct<lon:double,lat:double>>>")
+    parts = F.array(
+        F.struct(F.lit(0).alias("part"), ring((0.0, 1.0), (3.0, 0.0), (6.0, 1.5), (5.0, 5.0), (1.0, 4.5)).alias("ring"), F.when(n % 2 == 0, F.array(hole)).otherwise(none).alias("holes")),
+        F.when(n % 3 == 0, F.struct(F.lit(1).alias("part"), ring((0.0, 5.0), (1.0, 5.0), (0.5, 6.0)).alias("ring"), none.alias("holes"))),
+    )
+    nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return nations.select(F.col("r_name").alias("state"), F.col("n_name").alias("district"), F.inline(F.array_compact(parts)))
+
+
 VIEW_SQL["v_edges"] = """
 WITH p AS (SELECT r_name AS state, n_name AS district, 66.013::DOUBLE + (n_nationkey % 5) * 6.4::DOUBLE AS x0,
              6.013::DOUBLE + floor(n_nationkey / 5.0) * 6.4::DOUBLE AS y0

@@ -38,9 +38,11 @@ RECORD = (
     "p_wetter:double,p_near:double,p_drier:double,p_heavy:double,p_dryspell:double,p_hot:double>>>"
 )
 _ITEMS = "array<string>"
+#: Name of the older flat list of a plan (fixed by the files).
+FLAT_PLAN = "icar_pdf_actions"
 CONTINGENCY = (
     "state string, district string, source string, source_url string, local_sources array<string>, major_crops array<string>,"
-    f" scenarios map<string,struct<crop_actions:{_ITEMS},livestock_actions:{_ITEMS},local_override_notes:array<string>>>,"
+    f" scenarios map<string,struct<crop_actions:{_ITEMS},livestock_actions:{_ITEMS},{FLAT_PLAN}:{_ITEMS},local_override_notes:array<string>>>,"
     " source_pdf string, pages int"
 )
 CATALOG = (
@@ -50,7 +52,4 @@ CATALOG = (
 MANIFEST = "state string, district string, filename string, source_url string, sha256 string"
 GRID_LEAD = "model string, init_date date, kind string, member string, lead_hours int, lat double, lon double, t2m double, precip double"
 GRID_WEEKLY = "model string, init_date date, kind string, member string, week int, lat double, lon double, t2m double, precip double"
-FEATURES = (
-    "type string, features array<struct<type:string,properties:map<string,string>,"
-    "geometry:struct<type:string,coordinates:string>>>"
-)
+FEATURE = "type string, properties map<string,string>, geometry struct<type:string,coordinates:string>"

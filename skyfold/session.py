@@ -25,6 +25,8 @@ def build_session(app: str = "skyfold", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # no call site for every column expression: large plans are built several times as fast
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     if master and master.startswith("local["):
         # small single-file inputs are cut for all cores

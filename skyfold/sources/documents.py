@@ -75,10 +75,11 @@ def audit_checksums(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return joined.withColumn("status", status)
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every file below a folder."""
+def file_digests(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+    """SHA-256 of every file below a folder, named by its last path segment or by an expression of ``path``."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("digest"))
+    last = F.element_at(F.split("path", "/"), -1)
+    return f.select((last if name is None else name).alias("filename"), F.sha2("content", 256).alias("digest"))
 
 
 def require_columns(df: DataFrame, wanted: list[str]) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold import schemas
+from skyfold.sources.big_json import FEATURES, read_array
 
 # Districts served when no roster file exists.
 FALLBACK_DISTRICTS = (
@@ -48,8 +49,8 @@ def read_roster(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Nested district records. JSON lines (``multi_line=False``) split over tasks; one array does not."""
-    return spark.read.schema(schemas.RECORD).option("multiLine", multi_line).json(path)
+    """Nested district records of one array or, with ``multi_line=False``, of JSON lines; tasks share a file of either form."""
+    return read_array(spark, path, schemas.RECORD) if multi_line else spark.read.schema(schemas.RECORD).json(path)
 
 
 def typed_admin(raw: DataFrame) -> DataFrame:
@@ -126,11 +127,15 @@ def read_seasonal(spark: SparkSession, path: str) -> DataFrame:
 
 
 def plan_actions(raw: DataFrame) -> DataFrame:
-    """Contingency records to flat actions; an item may be plain text or an object with ``action``."""
+    """Contingency records to flat actions; an item may be plain text or an object with ``action``.
+
+    The older form of a plan is one flat list, of kind ``flat``.
+    """
     per_scenario = raw.select("state", "district", F.explode("scenarios").alias("scenario", "lists"))
     kinds = F.array(
         F.struct(F.lit("crop").alias("kind"), F.col("lists.crop_actions").alias("items")),
         F.struct(F.lit("livestock").alias("kind"), F.col("lists.livestock_actions").alias("items")),
+        F.struct(F.lit("flat").alias("kind"), F.col(f"lists.{schemas.FLAT_PLAN}").alias("items")),
     )
     rows = per_scenario.select("state", "district", "scenario", F.inline(kinds)).select(
         "state", "district", "scenario", "kind", F.posexplode("items").alias("pos", "item")
@@ -146,8 +151,8 @@ def plan_actions(raw: DataFrame) -> DataFrame:
 
 
 def read_contingency(spark: SparkSession, path: str) -> DataFrame:
-    """Contingency records. Items are read as text, so both item forms load under one schema."""
-    return spark.read.schema(schemas.CONTINGENCY).option("multiLine", True).json(path)
+    """Contingency records of an array. Items are read as text, so both item forms load under one schema."""
+    return read_array(spark, path, schemas.CONTINGENCY)
 
 
 def catalog_rows(raw: DataFrame) -> DataFrame:
@@ -160,9 +165,9 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return catalog_rows(spark.read.schema(schemas.CATALOG).option("multiLine", True).json(path))
 
 
-def polygon_rows(raw: DataFrame, state_field: str, district_field: str) -> DataFrame:
+def polygon_rows(features: DataFrame, state_field: str, district_field: str) -> DataFrame:
     """Features to open outline rings and holes under one pair of names; a multipolygon gives several parts."""
-    f = raw.select(F.explode("features").alias("f"))
+    f = features.select(F.struct("properties", "geometry").alias("f"))
     point = "array<double>"
     g = f.select(
         F.col("f.properties")[state_field].alias("state"),
@@ -183,4 +188,5 @@ def polygon_rows(raw: DataFrame, state_field: str, district_field: str) -> DataF
 
 
 def read_polygons(spark: SparkSession, path: str, state_field: str = "NAME_1", district_field: str = "NAME_2") -> DataFrame:
-    return polygon_rows(spark.read.schema(schemas.FEATURES).option("multiLine", True).json(path), state_field, district_field)
+    """District outlines of a feature collection; tasks share one file."""
+    return polygon_rows(read_array(spark, path, schemas.FEATURE, FEATURES), state_field, district_field)

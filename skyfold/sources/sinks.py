@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.sources.records import path_exists
@@ -38,36 +41,53 @@ def write_csv(df: DataFrame, path: str, columns: tuple[str, ...]) -> None:
     )
 
 
-def next_version(spark: SparkSession, base: str) -> str:
-    """First unused ``base/v=N`` path."""
-    n = 1
-    while path_exists(spark, f"{base}/v={n}"):
-        n += 1
-    return f"{base}/v={n}"
+def framed(values: DataFrame, path: str, head: str, tail: str) -> None:
+    """Lines of ``value`` as JSON list files: a file for each task, its values between head and tail."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"value": [head]})
+        first = True
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"value": [line if first and not k else f",{line}" for k, line in enumerate(lines)]}, pa.schema([("value", pa.string())]))
+            first = first and not lines
+        yield pa.RecordBatch.from_pydict({"value": [tail]})
 
+    values.mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
-def latest_version(spark: SparkSession, base: str) -> str | None:
-    path = next_version(spark, base)
-    n = int(path.rsplit("=", 1)[1]) - 1
-    return f"{base}/v={n}" if n else None
 
+def write_array(df: DataFrame, path: str) -> None:
+    """Rows as JSON arrays, one in each file."""
+    framed(df.select(F.to_json(F.struct("*")).alias("value")), path, "[", "]")
 
-def write_records(df: DataFrame, base: str) -> str:
-    """Nested records as JSON lines under a new version; the former version stays as its backup."""
-    target = next_version(df.sparkSession, base)
-    df.write.json(target)
-    return target
 
+def feature(names: dict[str, str]) -> Column:
+    """Feature object of an outline: property names with their columns, ring and holes."""
+    def closed(ring: Column) -> Column:
+        return F.transform(F.concat(ring, F.slice(ring, 1, 1)), lambda p: F.array(p["lon"], p["lat"]))
 
-def write_features(polygons: DataFrame, path: str) -> None:
-    """One feature object per line, names and outline of each part."""
-    ring = F.transform(F.concat("ring", F.slice("ring", 1, 1)), lambda p: F.array(p["lon"], p["lat"]))
-    feature = F.struct(
+    return F.struct(
         F.lit("Feature").alias("type"),
-        F.struct("state", "district").alias("properties"),
-        F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"),
+        F.struct(*(F.col(c).alias(name) for name, c in names.items())).alias("properties"),
+        F.struct(F.lit("Polygon").alias("type"), F.concat(F.array(closed(F.col("ring"))), F.transform("holes", closed)).alias("coordinates")).alias("geometry"),
     )
-    polygons.select(F.to_json(feature).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_collection(polygons: DataFrame, path: str, names: dict[str, str]) -> None:
+    """Outlines as feature collections, one in each file; every part is a feature of its own."""
+    holes = polygons if "holes" in polygons.columns else polygons.withColumn("holes", F.slice(F.array("ring"), 1, 0))
+    framed(holes.select(F.to_json(feature(names)).alias("value")), path, '{"type":"FeatureCollection","features":[', "]}")
+
+
+def write_master_list(points: DataFrame, polygons: DataFrame, base: str) -> None:
+    """The district list in three forms: names, coordinates with region, and outlines.
+
+    Lists are ordered by state and district over all their files.
+    """
+    listed = points.repartitionByRange("state", "district").sortWithinPartitions("state", "district")
+    write_csv(listed, f"{base}/district_metadata", ("state", "district"))
+    write_csv(listed, f"{base}/district_coordinates", ("state", "district", "latitude", "longitude", "region"))
+    write_collection(polygons, f"{base}/districts_geojson", {"state": "state", "district": "district"})
 
 
 def write_if_missing(df: DataFrame, path: str, force: bool = False) -> bool:

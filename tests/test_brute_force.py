@@ -191,11 +191,11 @@ def _pieces_of(pieces, squeezed):
 
 
 def test_final_lists_by_hand(spark, sf):
-    acts = record_queries.all_actions(spark, sf)
-    split = advisory.separate_evergreen(acts).collect()
-    got = {}
-    for r in advisory.deduplicate(advisory.separate_evergreen(acts)).collect():
-        got[(r["state"], r["district"], r["context_id"], r["category"])] = r["actions"]
+    split = advisory.separate_evergreen(record_queries.all_actions(spark, sf)).collect()
+    lists = record_queries.told_rows(spark, sf).select(
+        *advisory.RECORD_KEY, *(advisory.settled_list(advisory.category_list(F.col("entries"), c))["text"].alias(c) for c in advisory.CATEGORIES)
+    )
+    got = {(*r[:3], c): r[c] for r in lists.collect() for c in advisory.CATEGORIES if r[c]}
     groups = {}
     for r in split:
         groups.setdefault((r["state"], r["district"], r["context_id"], r["category"]), []).append((r["order"], r["text"]))

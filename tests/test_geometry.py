@@ -1,10 +1,7 @@
 """Polygons with holes and several parts against plain Python."""
 
-from pyspark.sql import functions as F
-
-from skyfold import schemas
 from skyfold.operators import region
-from skyfold.sources.records import polygon_rows
+from skyfold.sources.records import read_polygons
 
 SQUARE = [[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]]
 HOLE = [[2, 2], [2, 6], [6, 6], [6, 2], [2, 2]]
@@ -13,19 +10,21 @@ ISLAND = [[20, 0], [22, 0], [22, 2], [20, 2], [20, 0]]
 FLAT = [[30, 1], [32, 1], [34, 1], [30, 1]]
 
 
-def features(spark, shapes):
+def features(spark, tmp_path, shapes):
     import json
 
     out = []
     for name, kind, coordinates in shapes:
         out.append({"type": "Feature", "properties": {"NAME_1": "S", "NAME_2": name}, "geometry": {"type": kind, "coordinates": coordinates}})
     text = json.dumps({"type": "FeatureCollection", "features": out})
-    raw = spark.createDataFrame([(text,)], "value string").select(F.from_json("value", schemas.FEATURES).alias("c")).select("c.*")
-    return polygon_rows(raw, "NAME_1", "NAME_2")
+    path = str(tmp_path / "features.json")
+    with open(path, "w") as f:
+        f.write(text)
+    return read_polygons(spark, path)
 
 
-def test_holes_and_parts(spark):
-    p = features(spark, [("holed", "Polygon", [SQUARE, HOLE]), ("same", "Polygon", [SQUARE, SAME_WAY]), ("two", "MultiPolygon", [[SQUARE, HOLE], [ISLAND]]), ("flat", "Polygon", [FLAT])])
+def test_holes_and_parts(spark, tmp_path):
+    p = features(spark, tmp_path, [("holed", "Polygon", [SQUARE, HOLE]), ("same", "Polygon", [SQUARE, SAME_WAY]), ("two", "MultiPolygon", [[SQUARE, HOLE], [ISLAND]]), ("flat", "Polygon", [FLAT])])
     points = spark.createDataFrame([(y + 0.5, x + 0.5) for x in range(25) for y in range(12)], "lat double, lon double")
     got = {}
     for r in region.cells_inside(points, p).collect():

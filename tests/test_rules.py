@@ -90,15 +90,38 @@ def test_every_context_is_well_formed(spark, sf):
         assert len(r["outlook_weeks"]) == 4 and r["disclaimer"]
         lists = [r[c] for c in advisory.CATEGORIES]
         assert all(isinstance(x, list) for x in lists) and len(r["do_now"]) <= 12 and len(r["prepare"]) <= 8
-        text = " ".join([*sum(lists, []), r["forecast_summary"]]).lower()
+        assert all(a["action_id"] and a["text_en"] and a["text_hi"] and a["source"] for x in lists for a in x)
+        text = " ".join([*(a["text_en"] for x in lists for a in x), r["forecast_summary"]]).lower()
         assert not any(p in text for p in advisory.FORBIDDEN)
 
 
 def test_caps_leave_one_note(spark):
-    keys = ("S", "D", 0)
-    rows = [(*keys, "do_now", [f"n{i}" for i in range(15)]), (*keys, "prepare", [f"p{i}" for i in range(11)])]
-    out = advisory.assemble(spark.createDataFrame(rows, "state string, district string, context_id int, category string, actions array<string>")).first()
-    assert (len(out["do_now"]), len(out["prepare"])) == (12, 8)
-    assert out["general_guidance"] == ["Additional contingency measures (3 items) are available — consult your local KVK extension officer."]
-    one = advisory.assemble(spark.createDataFrame(rows[1:], "state string, district string, context_id int, category string, actions array<string>")).first()
-    assert one["general_guidance"] == ["Additional preparatory measures (3 items) are available — consult your local KVK extension officer."]
+    from pyspark.sql import functions as F
+
+    def records(c):
+        return advisory.action_records(F.transform(c, lambda t: F.struct(t.alias("text"), t.alias("text_hi"))))
+
+    rows = [([f"n{i}" for i in range(n)], [f"p{i}" for i in range(11)], [], []) for n in (15, 3)]
+    lists = spark.createDataFrame(rows, ", ".join(f"{c} array<string>" for c in ("do_now", "prepare", "avoid", "general_guidance")))
+    out = advisory.capped(lists.select(*(records(c).alias(c) for c in lists.columns))).orderBy(F.size("do_now").desc()).collect()
+    assert [(len(r["do_now"]), len(r["prepare"])) for r in out] == [(12, 8), (3, 8)]
+    (now,), (prepare,) = (r["general_guidance"] for r in out)
+    assert now["text_en"] == "Additional contingency measures (3 items) are available — consult your local KVK extension officer."
+    assert prepare["text_en"] == "Additional preparatory measures (3 items) are available — consult your local KVK extension officer."
+    assert (now["action_id"], prepare["action_id"], now["source"]) == ("additional_contingency", "additional_preparatory", "generated") and "(3 वस्तुएँ)" in now["text_hi"]
+
+
+def test_flat_plans_reach_farmers_of_any_crop(spark, sf):
+    """The older flat list of a plan comes first, whatever the crop, and not to others."""
+    names = list(rules.RULES)
+    plan = [("S", "D", s, kind, k, f"{kind} step {k} of {s}", crop) for s in names for k, (kind, crop) in enumerate([("crop", "Maize"), ("flat", None), ("crop", "Rice"), ("livestock", None)])]
+    plans = spark.createDataFrame(plan, "state string, district string, scenario string, kind string, pos int, action string, crop string")
+    contexts = [{"user_type": "farmer", "crop": "rice"}, {"user_type": "livestock_owner"}, {"user_type": "health_worker"}]
+    none = v.action_library(spark, sf).limit(0)
+    hot = record(spark, heat_wave_warning=True)
+    rows = advisory.scenario_actions(advisory.prepare_contexts(hot, contexts), contexts, none, none, plans).collect()
+    heat = [(r["context_id"], r["category"], r["text"]) for r in rows if "heat_stress" in r["text"]]
+    assert heat == [
+        (0, "do_now", "flat step 1 of heat_stress"), (0, "prepare", "crop step 0 of heat_stress"), (0, "do_now", "crop step 2 of heat_stress"),
+        (1, "do_now", "livestock step 3 of heat_stress"),
+    ]
