@@ -222,11 +222,6 @@ def outlook_weeks(labels: tuple[str, ...] = OUTLOOK_LABELS_EN) -> Column:
 
 # --- filters --------------------------------------------------------------
 
-def relevant_for_user(text: Column, user_type: Column) -> Column:
-    """Livestock owners do not get crop advice from the general list."""
-    return (user_type != "livestock_owner") | ~any_phrase(text, CROP_KEYWORDS)
-
-
 def fits_crop_stage(text: Column, stage: Column) -> Column:
     """False where the text belongs to another crop stage; true when the stage is unknown."""
     return stage_fit(*stage_marks(text), stage)

@@ -1,8 +1,12 @@
-"""Map pixels to values: panel boxes, pixel lookup, colour to anomaly."""
+"""Map pixels to values: panel boxes, pixel lookup, colour to anomaly.
+
+Pixels of an image are kept in square tiles, a row each, so that a target meets its
+surroundings as a few rows and searches inside them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfold.functions import geo
@@ -42,6 +46,8 @@ RAIN_STEPS, TMAX_STEPS = 300, 240
 AXIS_BLACK, BORDER_BLACK = 10, 15
 SIDE_MARGIN, TOP_MARGIN, MIN_PANEL_WIDTH = 10, 30, 100
 WHITE = 255
+#: Side of a tile; a ring search must not reach farther than that.
+TILE = 16
 
 
 def is_black(limit: int, r: str = "r", g: str = "g", b: str = "b") -> Column:
@@ -114,60 +120,91 @@ def panel_bounds(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
         & (~low | (F.col("y") < F.col("height") - SIDE_MARGIN))
     )
     panel = F.when(~right & ~low, 1).when(right & ~low, 2).when(~right & low, 3).otherwise(4)
-    black = p.where(inside).withColumn("panel", panel).withColumn("_b", is_black(AXIS_BLACK))
+    dark = p.where(inside & is_black(AXIS_BLACK)).withColumn("panel", panel)
     span_x = F.when(F.col("panel") % 2 == 1, half_w - SIDE_MARGIN).otherwise(F.col("width") - SIDE_MARGIN - half_w)
     span_y = F.when(F.col("panel") <= 2, half_h - TOP_MARGIN).otherwise(F.col("height") - SIDE_MARGIN - half_h)
-    dark = black.where("_b").withColumn("_sx", span_x).withColumn("_sy", span_y)
-    lines_x = dark.groupBy("image_id", "panel", "x").agg(F.count("*").alias("n"), F.first("_sy").alias("s")).where("n > s * 0.5")
-    lines_y = dark.groupBy("image_id", "panel", "y").agg(F.count("*").alias("n"), F.first("_sx").alias("s")).where("n > s * 0.5")
-    box = lines_x.groupBy("image_id", "panel").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).join(
-        lines_y.groupBy("image_id", "panel").agg(F.min("y").alias("y0"), F.max("y").alias("y1")), ["image_id", "panel"]
-    )
+    along = F.array(F.struct(F.lit("x").alias("axis"), F.col("x").alias("at"), span_y.alias("span")), F.struct(F.lit("y").alias("axis"), F.col("y").alias("at"), span_x.alias("span")))
+    counts = dark.select("image_id", "panel", F.inline(along)).groupBy("image_id", "panel", "axis", "at").agg(F.count("*").alias("n"), F.first("span").alias("span"))
+    ends = [f(F.when(F.col("axis") == axis, F.col("at"))).alias(f"{axis}{k}") for axis in "xy" for k, f in ((0, F.min), (1, F.max))]
+    box = counts.where("n > span * 0.5").groupBy("image_id", "panel").agg(*ends).where("x0 is not null and y0 is not null")
     width = F.col("x1") - F.col("x0")
-    box = box.withColumn("ok", width >= MIN_PANEL_WIDTH)
-    sibling = box.where("ok").select("image_id", (F.col("panel") + 2).alias("panel"), width.alias("_w"))
-    repaired = box.join(sibling, ["image_id", "panel"], "left")
-    return repaired.where(F.col("ok") | F.col("_w").isNotNull()).select(
+    above = Window.partitionBy("image_id", F.col("panel") % 2).orderBy("panel")
+    box = box.withColumn("ok", width >= MIN_PANEL_WIDTH).withColumn("_w", F.lag(F.when(F.col("ok"), width)).over(above))
+    return box.where(F.col("ok") | F.col("_w").isNotNull()).select(
         "image_id", "panel", "x0", "y0", F.when(F.col("ok"), F.col("x1")).otherwise(F.col("x0") + F.col("_w")).alias("x1"), "y1",
         (~F.col("ok")).alias("repaired"),
     )
 
 
-def nearest_clear_pixel(targets: DataFrame, pixels: DataFrame, radius: int, black: int = BORDER_BLACK) -> DataFrame:
+def tiles_of(pixels: DataFrame) -> DataFrame:
+    """``image_id, tx, ty, pixels``: the pixels of an image in tiles of 16 by 16, an array of (x, y, r, g, b) in each."""
+    at = [F.floor(F.col(c) / TILE).cast("int").alias(f"t{c}") for c in "xy"]
+    return pixels.select("image_id", *at, F.struct("x", "y", "r", "g", "b").alias("p")).groupBy("image_id", "tx", "ty").agg(F.collect_list("p").alias("pixels"))
+
+
+def image_sizes(tiles: DataFrame) -> DataFrame:
+    """Width and height of the images as far as pixels are known."""
+    edge = [F.max(F.array_max(F.transform("pixels", lambda p: p[c]))) + 1 for c in "xy"]
+    return tiles.groupBy("image_id").agg(edge[0].alias("width"), edge[1].alias("height"))
+
+
+def pixels_in(tiles: DataFrame) -> DataFrame:
+    """The pixels of tiles, a row each."""
+    return tiles.select("image_id", F.inline("pixels"))
+
+
+def nearest_clear_pixel(targets: DataFrame, tiles: DataFrame, radius: int, black: int = BORDER_BLACK) -> DataFrame:
     """Colour at each target pixel, or of the nearest non-black pixel in growing rings.
 
-    ``targets`` has ``id, image_id, x, y`` inside the image. Only black targets
-    are spread to their neighbourhood, whose size the radius fixes; neighbours
-    meet the pixels by equality. White where no ring has a clear pixel.
+    ``targets`` has ``id, image_id, x, y`` inside the image. A target meets the tile it
+    lies in; a black one goes on to the tiles round it and takes the best of their own
+    best pixels. White where no ring has a clear pixel.
     """
-    here = targets.join(pixels, ["image_id", "x", "y"])
-    clear = here.where(~is_black(black)).select(*targets.columns, "r", "g", "b")
-    dark = here.where(is_black(black)).select(*targets.columns)
     reach = radius + 9
-    offsets = F.sequence(F.lit(-reach), F.lit(reach))
-    spread = dark.withColumn("dy", F.explode(offsets)).withColumn("dx", F.explode(offsets))
-    spread = spread.withColumn("_x", F.col("x") + F.col("dx")).withColumn("_y", F.col("y") + F.col("dy"))
-    lit = pixels.where(~is_black(black)).select("image_id", F.col("x").alias("_x"), F.col("y").alias("_y"), "r", "g", "b")
-    near = spread.join(lit, ["image_id", "_x", "_y"])
-    ring = F.greatest(F.abs("dx"), F.abs("dy"))
-    order = F.struct(ring, F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"), F.col("dy"), F.col("dx"))
-    best = near.groupBy("id").agg(F.min_by(F.struct("r", "g", "b"), order).alias("c"))
-    found = dark.join(best, "id", "left").select(
-        *targets.columns, *[F.coalesce(F.col(f"c.{k}"), F.lit(WHITE)).alias(k) for k in "rgb"]
+    if reach > TILE:
+        raise ValueError(f"a radius of {radius} reaches beyond the tiles beside a pixel's own")
+    own = [F.floor(F.col(c) / TILE).cast("int").alias(f"t{c}") for c in "xy"]
+
+    def is_dark(p: Column) -> Column:
+        return (p["r"] < black) & (p["g"] < black) & (p["b"] < black)
+
+    def ranked(p: Column) -> Column:
+        dx, dy = p["x"] - F.col("x"), p["y"] - F.col("y")
+        return F.struct(
+            F.greatest(F.abs(dx), F.abs(dy)).alias("ring"), (dx * dx + dy * dy).alias("d2"), dy.alias("dy"), dx.alias("dx"),
+            p["r"].alias("r"), p["g"].alias("g"), p["b"].alias("b"),
+        )
+
+    def near(p: Column) -> Column:
+        return (F.abs(p["x"] - F.col("x")) <= reach) & (F.abs(p["y"] - F.col("y")) <= reach) & ~is_dark(p)
+
+    best = F.array_min(F.transform(F.filter("pixels", near), ranked)).alias("best")
+    pixel = F.get(F.filter("pixels", lambda p: (p["x"] == F.col("x")) & (p["y"] == F.col("y"))), F.lit(0)).alias("pixel")
+    here = targets.select("*", *own).join(tiles, ["image_id", "tx", "ty"]).select(*targets.columns, pixel, best).where("pixel is not null")
+    here = here.select(*targets.columns, "pixel", is_dark(F.col("pixel")).alias("dark"), "best")
+    beside = F.array(*(F.struct((F.floor(F.col("x") / TILE) + i).cast("int").alias("tx"), (F.floor(F.col("y") / TILE) + j).cast("int").alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j))
+    round_ = here.where("dark").select(*targets.columns, F.inline(beside)).join(tiles, ["image_id", "tx", "ty"])
+    around = round_.select("id", best).groupBy("id").agg(F.min("best").alias("beside"))
+    found = here.join(around, "id", "left").withColumn("best", F.least("best", "beside"))
+    return found.select(
+        *targets.columns, *(F.when(~F.col("dark"), F.col(f"pixel.{k}")).otherwise(F.coalesce(f"best.{k}", F.lit(WHITE))).alias(k) for k in "rgb")
     )
-    return clear.unionByName(found)
 
 
-def read_map(places: DataFrame, pixels: DataFrame, panels: DataFrame, sizes: DataFrame, kind: str = "rain") -> DataFrame:
-    """Value and signal of every place in every panel; places off the image are marked."""
-    spots = places.join(panels.select("image_id", "panel", "x0", "y0"), "image_id")
+def map_spots(places: DataFrame, panels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pixel of every place in every panel of its image, and whether it lies ``on`` the image."""
+    boxes = panels.join(sizes, "image_id").select("image_id", "panel", "x0", "y0", "width", "height")
     px, py = geo.pixel_of(F.col("lat"), F.col("lon"), F.col("x0"), F.col("y0"))
-    spots = spots.withColumn("x", px).withColumn("y", py).join(sizes, "image_id")
-    spots = spots.withColumn("id", F.struct("state", "district", "image_id", "panel"))
+    spots = places.join(boxes, "image_id").withColumn("x", px).withColumn("y", py)
     on = (F.col("x") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") >= 0) & (F.col("y") < F.col("height"))
-    keep = ["id", "image_id", "x", "y"]
+    return spots.withColumn("on", on)
+
+
+def read_map(places: DataFrame, tiles: DataFrame, panels: DataFrame, sizes: DataFrame, kind: str = "rain") -> DataFrame:
+    """Value and signal of every place in every panel; places off the image are marked."""
+    spots = map_spots(places, panels, sizes).withColumn("id", F.struct("state", "district", "image_id", "panel"))
     keys, steps, radius = (RAIN_KEYS, RAIN_STEPS, 3) if kind == "rain" else (TMAX_KEYS, TMAX_STEPS, 2)
-    seen = colours_to_values(nearest_clear_pixel(spots.where(on).select(*keep), pixels, radius), keys, steps)
+    seen = colours_to_values(nearest_clear_pixel(spots.where("on").select("id", "image_id", "x", "y"), tiles, radius), keys, steps)
     signal = rain_signal(F.col("value")) if kind == "rain" else tmax_signal(F.col("value"))
     rgb = F.concat(F.lit("("), F.concat_ws(",", *[F.col(c).cast("string") for c in "rgb"]), F.lit(")"))
     values = seen.select("id", F.round("value", 1).alias("value"), signal.alias("signal"), rgb.alias("rgb"))

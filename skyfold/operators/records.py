@@ -312,3 +312,37 @@ def roster_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return l.join(r, ["state", "district"], "full_outer").where(F.col("_l").isNull() | F.col("_r").isNull()).select(
         "state", "district", F.when(F.col("_r").isNull(), "left_only").otherwise("right_only").alias("side")
     )
+
+
+def source_table(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Weeks of every forecast source of a record: ``label, source, week, rainfall_mm_day, tmax_degC``.
+
+    Sources without any number are left out; a record without a source that has one
+    shows its own fields.
+    """
+    def told(x: Column) -> Column:
+        return F.exists(x["weeks"], lambda w: w["rainfall_mm_day"].isNotNull() | w["tmax_degC"].isNotNull())
+
+    own = F.struct(
+        F.lit("").alias("key"), F.lit("").alias("label"), F.lit("").alias("source"),
+        F.array(
+            *(
+                F.struct(F.lit(w).alias("week"), F.col(f"week{w}_rainfall_anomaly_mm_day").alias("rainfall_mm_day"), F.col(f"week{w}_tmax_anomaly_degC").alias("tmax_degC"))
+                for w in WEEKS
+            )
+        ).cast(_WEEK_TYPE).alias("weeks"),
+    )
+    listed = F.filter(F.coalesce("forecast_variants", F.array().cast(VARIANT_TYPE)), told)
+    shown = F.when(F.size(listed) > 0, listed).otherwise(F.array(own))
+    rows = records.select(*keys, F.explode(shown).alias("v"))
+    return rows.select(*keys, "v.label", "v.source", F.inline("v.weeks"))
+
+
+def category_split(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Whole percentages of wetter, near and drier in each week that has odds; missing odds are 0."""
+    rows = records.select(*keys, F.explode("weekly_probabilities.weeks").alias("w"))
+
+    def percent(c: str) -> Column:
+        return F.bround(F.coalesce(F.col(f"w.{c}"), F.lit(0.0)) * 100).cast("int").alias(c[2:])
+
+    return rows.select(*keys, F.col("w.week").alias("week"), percent("p_wetter"), percent("p_near"), percent("p_drier"))

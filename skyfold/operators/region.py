@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfold.functions import geo
 from skyfold.functions.text import alnum_key
-from skyfold.operators.regrid import nearest_axis
+from skyfold.operators.regrid import nearest_on, with_axes
 from skyfold.session import stage
 
 REGION = ["state", "district"]
@@ -100,13 +103,8 @@ def dissolve(polygons: DataFrame) -> DataFrame:
 
 def nearest_cell(regions: DataFrame, points: DataFrame) -> DataFrame:
     """Nearest latitude and, independently, nearest longitude to a region point."""
-    lat_map = nearest_axis(regions, points, "lat", tie="low").withColumnRenamed("src", "cell_lat")
-    lon_map = nearest_axis(regions, points, "lon", tie="low").withColumnRenamed("src", "cell_lon")
-    return (
-        regions.join(lat_map, "lat")
-        .join(lon_map, "lon")
-        .select(*REGION, F.col("cell_lat").alias("lat"), F.col("cell_lon").alias("lon"))
-    )
+    placed = with_axes(regions, points)
+    return placed.select(*REGION, *(nearest_on(F.col(f"_axis_{c}"), F.col(c), tie="low").alias(c) for c in ("lat", "lon")))
 
 
 def region_weights(points: DataFrame, polygons: DataFrame, extra_points: DataFrame | None = None) -> DataFrame:
@@ -115,7 +113,7 @@ def region_weights(points: DataFrame, polygons: DataFrame, extra_points: DataFra
     ``extra_points`` holds regions that have a point but no polygon. Write this
     table once per polygon set and grid and reuse it for every model and variable.
     """
-    hit = cells_inside(points, polygons)
+    hit = stage(cells_inside(points, polygons), "cells-inside")
     centres = centroids(polygons).select(*REGION, "lat", "lon")
     if extra_points is not None:
         centres = centres.unionByName(extra_points.select(*REGION, "lat", "lon"))
@@ -256,30 +254,79 @@ def focus_regions(regions: DataFrame, names: list[str], margin: float = 0.6) ->
     )
 
 
-#: Sides of the buckets in degrees, from small to one that holds every coordinate.
-NEAREST_SIDES = (1.0, 4.0, 16.0, 64.0, 1024.0)
+#: Side of the cell that holds every coordinate, in degrees, and how often a cell is quartered at most.
+WORLD, DEEPEST = 1024.0, 24
+#: A cell with no more places than this is not opened further.
+FEW_PLACES = 64
+
+
+def place_cells(places: DataFrame) -> DataFrame:
+    """``level, ix, iy`` of every cell that holds places, with their number and the box they span.
+
+    Levels go on as long as a cell of the one before holds more than a few places, so cells are as
+    small as the places are dense.
+    """
+    def at(level: int) -> list[Column]:
+        side = WORLD / (1 << level)
+        return [F.floor((F.col(c) + WORLD / 2) / side).cast("long").alias(name) for c, name in (("lon", "ix"), ("lat", "iy"))]
+
+    left, found, level = places.select("lat", "lon"), [], 0
+    box = [F.count("*").alias("n"), *(f(c).alias(f"{name}_{c}") for c in ("lat", "lon") for f, name in ((F.min, "min"), (F.max, "max")))]
+    while True:
+        cells = stage(left.select(*at(level), "lat", "lon").groupBy("ix", "iy").agg(*box).withColumn("level", F.lit(level)), "place-cells")
+        found.append(cells)
+        dense = cells.where(F.col("n") > FEW_PLACES).select("ix", "iy")
+        level += 1
+        if level > DEEPEST or dense.isEmpty():
+            return reduce(DataFrame.unionAll, found)
+        left = stage(left.select(*at(level - 1), "lat", "lon").join(dense, ["ix", "iy"], "left_semi").select("lat", "lon"), "place-left")
 
 
 def nearest_place(queries: DataFrame, places: DataFrame) -> DataFrame:
     """Nearest (state, district) point to each query point by squared degrees.
 
-    Places lie in square buckets. A point meets the places of its bucket and the
-    eight round it; the nearest of them is final if it is no farther than the
-    bucket's side. Points without a final answer go on with larger buckets, so
-    points and places are paired by neighbourhood only. Ties go to the smaller name.
+    Places stand in a quadtree as deep as they are dense. A point opens cells level by
+    level and keeps those whose box is no farther than the farthest corner of its best
+    one, so it meets the places of a few small cells wherever it lies. Ties go to the
+    smaller name. Points with a null coordinate have no nearest place.
     """
-    waiting = queries.select("lat", "lon").distinct()
-    around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
-    final = None
-    for side in NEAREST_SIDES:
-        by, bx = F.floor(F.col("lat") / side), F.floor(F.col("lon") / side)
-        held = places.select("state", "district", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), by.alias("_by"), bx.alias("_bx"))
-        asked = waiting.withColumn("_n", F.explode(around)).select("lat", "lon", (by + F.col("_n.dy")).alias("_by"), (bx + F.col("_n.dx")).alias("_bx"))
-        d_lat, d_lon = F.col("lat") - F.col("p_lat"), F.col("lon") - F.col("p_lon")
-        found = asked.join(held, ["_by", "_bx"]).groupBy("lat", "lon").agg(
-            F.min(F.struct((d_lat * d_lat + d_lon * d_lon).alias("d2"), "state", "district")).alias("near")
-        )
-        settled = stage(found.where(F.col("near.d2") <= side * side), "nearest-place")
-        final = settled if final is None else final.unionAll(settled)
-        waiting = waiting.join(settled.select("lat", "lon"), ["lat", "lon"], "left_anti")
-    return queries.join(final, ["lat", "lon"], "left")
+    held = places.where("lat is not null and lon is not null")
+    cells = stage(place_cells(held), "place-tree")
+    asked = queries.select("lat", "lon").where("lat is not null and lon is not null").distinct()
+
+    def beyond(c: str) -> Column:
+        return F.greatest(F.lit(0.0), F.col(f"min_{c}") - F.col(c), F.col(c) - F.col(f"max_{c}"))
+
+    def across(c: str) -> Column:
+        return F.greatest(F.abs(F.col(c) - F.col(f"min_{c}")), F.abs(F.col(f"max_{c}") - F.col(c)))
+
+    near = (beyond("lat") * beyond("lat") + beyond("lon") * beyond("lon")).alias("near")
+    far = (across("lat") * across("lat") + across("lon") * across("lon")).alias("far")
+    open_ = asked.select("lat", "lon", F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("iy"), F.lit(math.inf).alias("reach"))
+    final = []
+    for level in range(DEEPEST + 1):
+        here = open_.join(cells.where(F.col("level") == level), ["ix", "iy"]).select("lat", "lon", "ix", "iy", "reach", "n", near, far)
+        best = F.least("reach", F.min("far").over(Window.partitionBy("lat", "lon")))
+        kept = stage(here.withColumn("reach", best).where("near <= reach"), "place-search")
+        last = F.col("n") <= FEW_PLACES if level < DEEPEST else F.lit(True)
+        final.append(kept.where(last).select("lat", "lon", F.lit(level).alias("level"), "ix", "iy", "near", "reach"))
+        deeper = kept.where(~last)
+        if deeper.isEmpty():
+            break
+        quarters = F.array(*(F.struct((F.col("ix") * 2 + dx).alias("ix"), (F.col("iy") * 2 + dy).alias("iy")) for dx in (0, 1) for dy in (0, 1)))
+        open_ = deeper.select("lat", "lon", "reach", F.inline(quarters))
+    reached = reduce(DataFrame.unionAll, final)
+    tightest = F.min("reach").over(Window.partitionBy("lat", "lon"))
+    reached = reached.withColumn("reach", tightest).where("near <= reach").select("lat", "lon", "level", "ix", "iy")
+    levels = F.transform(F.sequence(F.lit(0), F.lit(len(final) - 1)), lambda k: F.struct(k.alias("level"), F.pow(F.lit(2.0), k).alias("cuts")))
+    spread = held.select("state", "district", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.inline(levels))
+
+    def cell(c: str) -> Column:
+        return F.floor((F.col(c) + WORLD / 2) / (F.lit(WORLD) / F.col("cuts"))).cast("long")
+
+    spread = spread.select("*", cell("p_lon").alias("ix"), cell("p_lat").alias("iy"))
+    d_lat, d_lon = F.col("lat") - F.col("p_lat"), F.col("lon") - F.col("p_lon")
+    found = reached.join(spread, ["level", "ix", "iy"]).groupBy("lat", "lon").agg(
+        F.min(F.struct((d_lat * d_lat + d_lon * d_lon).alias("d2"), "state", "district")).alias("near")
+    )
+    return queries.join(found, ["lat", "lon"], "left")

@@ -1,66 +1,83 @@
 """Nearest and bilinear alignment of grids, and nearest-in-time matching.
 
-Work happens on axes, not on cell pairs: each distinct target coordinate is
-bracketed by its two source neighbours once, and values follow by equi join.
-Axes are bounded by grid resolution (tens of thousands of values at most).
+An axis of a source grid is one sorted array, bounded by the grid's resolution (tens of
+thousands of values at most). Every target row brackets its own coordinate in it by
+binary search, a projection; values follow by equi join on the source coordinates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyfold.operators.dedup import let
 
-def bracket_axis(target: DataFrame, source: DataFrame, coord: str) -> DataFrame:
-    """For each distinct target coordinate: source neighbours ``lo`` (<=) and ``hi`` (>=)."""
-    t = target.select(F.col(coord).alias("c")).distinct().withColumn("is_src", F.lit(False))
-    s = source.select(F.col(coord).alias("c")).distinct().withColumn("is_src", F.lit(True))
-    both = t.unionByName(s).groupBy("c").agg(F.max("is_src").alias("is_src"), F.max(~F.col("is_src")).alias("is_tgt"))
-    src = F.when(F.col("is_src"), F.col("c"))
-    w = Window.partitionBy(F.lit(0)).orderBy("c")
-    up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return (
-        both.withColumn("lo", F.last(src, ignorenulls=True).over(up))
-        .withColumn("hi", F.first(src, ignorenulls=True).over(down))
-        .where("is_tgt")
-        .select(F.col("c").alias(coord), "lo", "hi")
-    )
+#: Halvings that an axis of any admitted length needs.
+HALVINGS = 20
+
+
+def axis_of(source: DataFrame, coord: str) -> Column:
+    """The distinct coordinates of a grid in order, as one value."""
+    return source.agg(F.sort_array(F.collect_set(F.col(coord).cast("double")))).scalar()
+
+
+def with_axes(df: DataFrame, source: DataFrame, coords: tuple[str, ...] = ("lat", "lon")) -> DataFrame:
+    """Rows with the axes of a grid beside them, as ``_axis_`` columns (array functions cannot hold the subquery itself)."""
+    return df.withColumns({f"_axis_{c}": axis_of(source, c) for c in coords})
+
+
+def bracket(axis: Column, c: Column) -> Column:
+    """(lo, hi): the neighbours of ``c`` on the axis with ``lo <= c <= hi``; null beyond its ends."""
+    def found(a: Column) -> Column:
+        def halve(s: Column, _: Column) -> Column:
+            middle = F.shiftright(s["low"] + s["high"], 1)
+            right = F.struct((middle + 1).alias("low"), s["high"].alias("high"))
+            left = F.struct(s["low"].alias("low"), middle.alias("high"))
+            return F.when(s["low"] >= s["high"], s).when(F.get(a, middle) <= c, right).otherwise(left)
 
+        start = F.struct(F.lit(0).alias("low"), F.size(a).alias("high"))
+        above = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve)["low"]  # how many are not above c
 
-def nearest_axis(target: DataFrame, source: DataFrame, coord: str, tie: str = "high") -> DataFrame:
-    """Distinct target coordinates with the nearest source coordinate ``src``.
+        def pair(n: Column) -> Column:
+            lo = F.when(n > 0, F.get(a, n - 1))
+            return F.struct(lo.alias("lo"), F.when(lo == c, lo).otherwise(F.get(a, n)).alias("hi"))
+
+        return F.when(c.isNotNull(), let(above, pair))
+
+    return let(axis, found)
+
+
+def nearest_on(axis: Column, c: Column, tie: str = "high") -> Column:
+    """The nearest coordinate of an axis.
 
     ``tie`` says which neighbour wins at equal distance: ``high`` for grid
     alignment, ``low`` for first-index rules on ascending axes.
     """
-    c, lo, hi = F.col(coord), F.col("lo"), F.col("hi")
-    d_lo, d_hi = c - lo, hi - c
-    low_wins = (d_lo < d_hi) if tie == "high" else (d_lo <= d_hi)
-    src = F.when(hi.isNull() | low_wins, lo).otherwise(hi)
-    src = F.when(lo.isNull(), hi).otherwise(src)
-    return bracket_axis(target, source, coord).select(coord, src.alias("src"))
+    def choose(b: Column) -> Column:
+        below, above = c - b["lo"], b["hi"] - c
+        low_wins = (below < above) if tie == "high" else (below <= above)
+        return F.when(b["lo"].isNull(), b["hi"]).when(b["hi"].isNull() | low_wins, b["lo"]).otherwise(b["hi"])
+
+    return let(bracket(axis, c), choose)
 
 
 def align_nearest(source: DataFrame, target_grid: DataFrame, values: list[str], extra: list[str] | None = None) -> DataFrame:
     """Source values moved to the nearest target grid points, per axis."""
     extra = extra or []
-    lat_map = nearest_axis(target_grid, source, "lat").withColumnRenamed("src", "_slat")
-    lon_map = nearest_axis(target_grid, source, "lon").withColumnRenamed("src", "_slon")
-    mapped = target_grid.select("lat", "lon").distinct().join(lat_map, "lat").join(lon_map, "lon")
+    points = with_axes(target_grid.select("lat", "lon").distinct(), source)
+    mapped = points.select("lat", "lon", *(nearest_on(F.col(f"_axis_{c}"), F.col(c)).alias(f"_s{c}") for c in ("lat", "lon")))
     src = source.select(F.col("lat").alias("_slat"), F.col("lon").alias("_slon"), *extra, *values)
     return mapped.join(src, ["_slat", "_slon"]).drop("_slat", "_slon")
 
 
-def _axis_parts(brackets: DataFrame, coord: str, name: str) -> DataFrame:
-    lo, hi, c = F.col("lo"), F.col("hi"), F.col(coord)
-    frac = F.when(hi == lo, F.lit(0.0)).otherwise((c - lo) / (hi - lo))
-    parts = F.array(
-        F.struct(lo.alias(f"_s{name}"), (1.0 - frac).alias(f"_w{name}")),
-        F.struct(hi.alias(f"_s{name}"), frac.alias(f"_w{name}")),
-    )
-    used = F.filter(parts, lambda p: p[f"_w{name}"] > 0)
-    return brackets.where(lo.isNotNull() & hi.isNotNull()).select(coord, F.inline(used))
+def _parts(axis: Column, c: Column) -> Column:
+    """Array of (at, w): the source coordinates that an interpolated one is made of, with their weights; empty outside the axis."""
+    def weighed(b: Column) -> Column:
+        frac = F.when(b["hi"] == b["lo"], F.lit(0.0)).otherwise((c - b["lo"]) / (b["hi"] - b["lo"]))
+        both = F.array(F.struct(b["lo"].alias("at"), (1.0 - frac).alias("w")), F.struct(b["hi"].alias("at"), frac.alias("w")))
+        return F.filter(both, lambda p: p["w"] > 0)  # a null weight, beyond an end, is no part
+
+    return let(bracket(axis, c), weighed)
 
 
 def bilinear(source: DataFrame, target_grid: DataFrame, values: list[str], extra: list[str] | None = None) -> DataFrame:
@@ -71,17 +88,16 @@ def bilinear(source: DataFrame, target_grid: DataFrame, values: list[str], extra
     source by equi join and fold in a partial aggregation.
     """
     extra = extra or []
-    points = target_grid.select("lat", "lon").distinct()
-    lat_parts = _axis_parts(bracket_axis(points, source, "lat"), "lat", "lat")
-    lon_parts = _axis_parts(bracket_axis(points, source, "lon"), "lon", "lon")
-    corners = points.join(lat_parts, "lat").join(lon_parts, "lon")
+    points = with_axes(target_grid.select("lat", "lon").distinct(), source)
+    for c in ("lat", "lon"):
+        points = points.select("*", F.inline(_parts(F.col(f"_axis_{c}"), F.col(c))).alias(f"_s{c}", f"_w{c}")).drop(f"_axis_{c}")
     src = source.select(F.col("lat").alias("_slat"), F.col("lon").alias("_slon"), *extra, *values)
     w = F.col("_wlat") * F.col("_wlon")
     aggs = []
     for v in values:
         full = F.abs(F.sum(F.when(F.col(v).isNotNull(), w)) - 1.0) < 1e-9
         aggs.append(F.when(full, F.sum(w * F.col(v))).alias(v))
-    return corners.join(src, ["_slat", "_slon"]).groupBy("lat", "lon", *extra).agg(*aggs)
+    return points.join(src, ["_slat", "_slon"]).groupBy("lat", "lon", *extra).agg(*aggs)
 
 
 def asof_nearest_month(wanted: DataFrame, observed: DataFrame, keys: list[str], valid: str, month: str, tolerance_days: int | None) -> DataFrame:

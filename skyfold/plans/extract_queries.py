@@ -9,8 +9,10 @@ from skyfold.operators import extract, quality, raster
 from skyfold.plans import views as v
 from skyfold.plans.record_queries import sql_text
 from skyfold.plans.registry import VIEW_SQL, query
+from skyfold.plans.scratch import scratch
 from skyfold.session import stage
-from skyfold.sources import documents
+from skyfold.sources import documents, sinks
+from skyfold.sources.big_json import read_array
 
 PHRASES = (
     "Terminal drought ", "Mid-season drought ", "mid season break ", "Floods in field ", "Water logging ", "Delay by 2 weeks ",
@@ -238,6 +240,69 @@ def ex3(spark, sf):
     return h.select("doc_id", "scenario", "page", "row", "column", "action", "crop", "farming_situation", "resolved_from_ditto", "placeholder")
 
 
+SHAPES = (
+    (
+        ("Condition", "", "Suggested Contingency measures", "", ""),
+        ("Early season drought (delayed onset)", "Major Farming situation", "Normal Crop / cropping system", "Change in crop / cropping system", "Agronomic measures"),
+        ("Delay by 2 weeks", "Red soils", "Maize", "", ""),
+    ),
+    (
+        ("Condition", "Suggested contingency measure", "", "", ""),
+        ("", "Vegetative stage", "Flowering stage", "Crop maturity stage", "Post harvest"),
+        ("Continuous high rainfall in a short span leading to water logging", "", "", "", ""),
+    ),
+    (
+        ("Condition", "Major farming situation", "Normal crop / cropping system", "Change in crop / cropping system including", "Remarks"),
+        ("", "", "", "variety", ""),
+        ("Terminal drought", "", "", "", ""),
+    ),
+)
+SHAPE_SQL = (
+    "WHEN 0 THEN ['measures', '1', '0:condition,1:farming,2:normal,3:change,4:agro', 'early_season_dry_spell'] "
+    "WHEN 1 THEN ['stages', '2', '0:condition,1:stage:vegetative stage,2:stage:flowering stage,3:stage:crop maturity,4:stage:post harvest', ''] "
+    "ELSE ['measures', '2', '0:condition,1:farming,2:normal,3:change,4:remarks', ''] END"
+)
+
+
+def shaped_cells(spark, sf):
+    """Every document's lines below one of three header shapes; every fourth header holds a bullet."""
+    def heads(shape):
+        return F.array(*(F.array(*(F.lit(c) for c in row)) for row in shape))
+
+    doc = F.col("doc_id")
+    head = F.when(doc % 3 == 0, heads(SHAPES[0])).when(doc % 3 == 1, heads(SHAPES[1])).otherwise(heads(SHAPES[2]))
+    body = F.transform(F.split("text", "\n"), lambda t: F.array(F.lit(""), F.lit(""), F.lit(""), t, F.lit("")))
+    rows = v.table(spark, sf, "documents").select("doc_id", F.posexplode(F.concat(head, body)).alias("row", "cells"))
+    cells = rows.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("table"), "row", F.posexplode("cells").alias("col", "text"))
+    marked = (doc % 4 == 0) & (F.col("row") == 0) & (F.col("col") == 2)
+    return cells.withColumn("text", F.when(marked, F.concat("text", F.lit(" •"))).otherwise(F.col("text")))
+
+
+@query("ex1_header_shapes", f"SELECT doc_id, s[1] AS kind, s[2]::INT AS data_start, s[3] AS anchors, s[4] AS table_scenario FROM (SELECT doc_id, CASE doc_id % 3 {SHAPE_SQL} AS s FROM documents)")
+def ex1_shapes(spark, sf):
+    a = extract.analyze_tables(shaped_cells(spark, sf))
+    anchors = F.array_join(F.transform("anchors", lambda x: F.concat(x["col"].cast("string"), F.lit(":"), x["role"])), ",")
+    return a.select("doc_id", "kind", "data_start", anchors.alias("anchors"), F.coalesce("table_scenario", F.lit("")).alias("table_scenario"))
+
+
+@query("pf34_bullets_in_headers", "SELECT doc_id FROM documents WHERE doc_id % 4 = 0")
+def pf34_headers(spark, sf):
+    return quality.bullets_in_headers(extract.analyze_tables(shaped_cells(spark, sf))).select("doc_id")
+
+
+VIEW_SQL["v_verbatim"] = """SELECT doc_id, pos % 6 + (page = 0)::INT AS "row", page, line FROM (SELECT doc_id, pos, line, CAST(floor(pos / 6.0) AS BIGINT) AS page FROM v_lines)"""
+
+
+@query("pf34_planted_actions", """SELECT doc_id, page, "row" FROM v_verbatim WHERE "row" % 3 = 1""")
+def pf34_planted(spark, sf):
+    """The line of each advice cell as an action; every third one is not what the cell says."""
+    page = F.floor(F.col("pos") / 6)
+    at = v.lines(spark, sf).select("doc_id", page.alias("page"), F.lit(0).alias("table"), (F.col("pos") % 6 + (page == 0).cast("int")).alias("row"), F.lit(4).alias("col"), "line")
+    cells = at.withColumn("text", F.concat(F.lit("Mulch then "), "line"))
+    actions = at.withColumn("action", F.when(F.col("row") % 3 == 1, F.concat(F.lit("*"), "line", F.lit("*"))).otherwise(text.squeeze(F.col("line")))).drop("line")
+    return quality.not_verbatim(actions, cells).select("doc_id", "page", "row")
+
+
 @query("pf34_verbatim_actions", "SELECT doc_id FROM documents WHERE false")
 def pf34(spark, sf):
     cells = plan_cells(spark, sf)
@@ -268,6 +333,20 @@ def ex4(spark, sf):
     return extract.contingency_rows(extracted(spark, sf)).select("doc_id", "scenario", "action", "crop", "pos", "kind")
 
 
+@query("ex4_nested_plans", f"""SELECT doc_id, scenario, count_if(NOT l)::BIGINT AS n_crop, count_if(l)::BIGINT AS n_livestock, coalesce(first(action ORDER BY pos) FILTER (NOT l), '') AS first_crop FROM (
+   SELECT *, regexp_matches(action, '{_STOCK_RE}') AS l, row_number() OVER (PARTITION BY doc_id, scenario, lower(action), lower(coalesce(crop, '')) ORDER BY pos) AS rn FROM v_extracted WHERE NOT placeholder) WHERE rn = 1 GROUP BY doc_id, scenario""")
+def ex4_nested(spark, sf):
+    path = scratch(spark, "plans")
+    sinks.write_array(extract.nest_contingency(extract.contingency_rows(extracted(spark, sf))), path)
+    item = "array<struct<action:string,crop:string,farming_situation:string>>"
+    back = read_array(spark, path, f"doc_id long, scenarios map<string,struct<crop_actions:{item},livestock_actions:{item}>>")
+    plans = back.select("doc_id", F.explode("scenarios").alias("scenario", "p"))
+    return plans.select(
+        "doc_id", "scenario", F.size("p.crop_actions").alias("n_crop"), F.size("p.livestock_actions").alias("n_livestock"),
+        F.coalesce(F.get("p.crop_actions", F.lit(0))["action"], F.lit("")).alias("first_crop"),
+    )
+
+
 @query("ag28_coverage", f"""SELECT doc_id, count(*) AS total_actions, count_if(scenario = 'mid_season_break')::BIGINT AS mid_season_break, min(scenario) AS found, 5 - count(DISTINCT scenario) AS n_missing FROM v_extracted GROUP BY doc_id""")
 def ag28(spark, sf):
     c = quality.coverage(extracted(spark, sf), ["doc_id"], extract.PLAN_SCENARIOS)
@@ -396,73 +475,75 @@ def pf27(spark, sf):
 def wn16(spark, sf):
     px = v.pixels(spark, sf).withColumn("image_id", F.lit("a"))
     targets = px.select(F.struct("x", "y").alias("id"), "image_id", "x", "y")
-    return raster.nearest_clear_pixel(targets, px, 2, black=120).select("x", "y", "r", "g", "b")
-
-
-VIEW_SQL["v_map"] = """SELECT (idx % 500)::INT AS x, (idx // 500)::INT AS y, CASE WHEN ink THEN 0 ELSE (idx * 37) % 256 END AS r, CASE WHEN ink THEN 0 ELSE (idx * 59) % 256 END AS g, CASE WHEN ink THEN 0 ELSE 90 + (idx * 83) % 160 END AS b
-  FROM (SELECT idx, (idx % 500) IN (20, 200, 270, 340) OR (idx // 500) % 60 IN (32, 55) AS ink FROM (SELECT (l_orderkey * 7 + l_linenumber - 1) // 2 AS idx FROM lineitem GROUP BY 1))"""
+    return raster.nearest_clear_pixel(targets, stage(raster.tiles_of(px), "tiles"), 2, black=120).select("x", "y", "r", "g", "b")
 
 
-def image_name(number):
-    """Image of a pixel or place number; all numbers in use fall into the first image."""
-    return F.concat(F.lit("map"), F.floor(number / 1e12).cast("string"))
+VIEW_SQL["v_map"] = """SELECT img, (idx % 250)::INT AS x, y::INT AS y, CASE WHEN ink THEN 0 ELSE (idx * 37) % 256 END AS r, CASE WHEN ink THEN 0 ELSE (idx * 59) % 256 END AS g, CASE WHEN ink THEN 0 ELSE 90 + (idx * 83) % 160 END AS b
+  FROM (SELECT idx, 'map' || ((idx // 250) % 4) AS img, idx // 1000 AS y, (idx % 250) IN (12, 115, 130, 235) OR (idx // 1000) % 60 IN (32, 55) AS ink FROM (SELECT (l_orderkey * 7 + l_linenumber - 1) // 2 AS idx FROM lineitem GROUP BY 1))"""
 
 
 def map_pixels(spark, sf):
+    """Pixels of four images of 250 columns; scan lines go to them in turn."""
     idx = v.table(spark, sf, "lineitem").select(F.floor((F.col("l_orderkey") * 7 + F.col("l_linenumber") - 1) / 2).alias("idx")).distinct()
-    x, y = F.col("idx") % 500, F.floor(F.col("idx") / 500)
-    ink = x.isin(20, 200, 270, 340) | (y % 60).isin(32, 55)
+    line = F.floor(F.col("idx") / 250)
+    x, y = F.col("idx") % 250, F.floor(F.col("idx") / 1000)
+    ink = x.isin(12, 115, 130, 235) | (y % 60).isin(32, 55)
     return idx.select(
-        image_name(F.col("idx")).alias("image_id"), x.cast("int").alias("x"), y.cast("int").alias("y"),
+        F.concat(F.lit("map"), (line % 4).cast("string")).alias("image_id"), x.cast("int").alias("x"), y.cast("int").alias("y"),
         F.when(ink, 0).otherwise((F.col("idx") * 37) % 256).cast("int").alias("r"), F.when(ink, 0).otherwise((F.col("idx") * 59) % 256).cast("int").alias("g"),
         F.when(ink, 0).otherwise(90 + (F.col("idx") * 83) % 160).cast("int").alias("b"),
     )
 
 
-def map_size(px):
-    return px.groupBy("image_id").agg(F.lit(500).alias("width"), (F.max("y") + 1).alias("height"))
+def map_store(spark, sf):
+    """The images as stored tiles, their sizes, and the panels found in them."""
+    tiles = stage(raster.tiles_of(map_pixels(spark, sf)), "map-tiles")
+    sizes = stage(raster.image_sizes(tiles), "map-sizes")
+    return tiles, sizes, stage(raster.panel_bounds(raster.pixels_in(tiles), sizes), "map-panels")
+
+
+def map_places(spark, sf):
+    """Every cell is read in one of the images."""
+    image = F.concat(F.lit("map"), (F.col("cell") % 4).cast("string"))
+    return v.cells(spark, sf).select(F.col("state"), F.col("cell").cast("string").alias("district"), "lat", "lon", image.alias("image_id"))
 
 
+VIEW_SQL["v_map_height"] = "SELECT img, max(y) + 1 AS h FROM v_map GROUP BY img"
 VIEW_SQL["v_panel_px"] = """SELECT *, CASE WHEN NOT rgt AND NOT low THEN 1 WHEN rgt AND NOT low THEN 2 WHEN low AND NOT rgt THEN 3 ELSE 4 END AS panel FROM (
-  SELECT m.*, x >= 250 AS rgt, y >= h // 2 AS low, h FROM v_map m, (SELECT max(y) + 1 AS h FROM v_map)) WHERE x >= 10 AND y >= 30 AND (NOT rgt OR x < 490) AND (NOT low OR y < h - 10)"""
-VIEW_SQL["v_panel_box"] = """WITH a AS (SELECT panel, min(x) AS x0, max(x) AS x1 FROM (SELECT panel, x, count_if(r < 10 AND g < 10 AND b < 10) AS n, any_value(CASE WHEN panel <= 2 THEN h // 2 - 30 ELSE h - 10 - h // 2 END) AS s FROM v_panel_px GROUP BY ALL) WHERE n > s * 0.5 GROUP BY panel),
-  b AS (SELECT panel, min(y) AS y0, max(y) AS y1 FROM (SELECT panel, y, count_if(r < 10 AND g < 10 AND b < 10) AS n, any_value(CASE WHEN panel % 2 = 1 THEN 240 ELSE 240 END) AS s FROM v_panel_px GROUP BY ALL) WHERE n > s * 0.5 GROUP BY panel)
-  SELECT a.*, b.y0, b.y1 FROM a JOIN b USING (panel)"""
+  SELECT m.*, x >= 125 AS rgt, y >= h // 2 AS low, h FROM v_map m JOIN v_map_height USING (img)) WHERE x >= 10 AND y >= 30 AND (NOT rgt OR x < 240) AND (NOT low OR y < h - 10)"""
+VIEW_SQL["v_panel_box"] = """WITH a AS (SELECT img, panel, min(x) AS x0, max(x) AS x1 FROM (SELECT img, panel, x, count_if(r < 10 AND g < 10 AND b < 10) AS n, any_value(CASE WHEN panel <= 2 THEN h // 2 - 30 ELSE h - 10 - h // 2 END) AS s FROM v_panel_px GROUP BY ALL) WHERE n > s * 0.5 GROUP BY img, panel),
+  b AS (SELECT img, panel, min(y) AS y0, max(y) AS y1 FROM (SELECT img, panel, y, count_if(r < 10 AND g < 10 AND b < 10) AS n, 115 AS s FROM v_panel_px GROUP BY ALL) WHERE n > s * 0.5 GROUP BY img, panel)
+  SELECT a.*, b.y0, b.y1 FROM a JOIN b USING (img, panel)"""
+VIEW_SQL["v_panels"] = """SELECT p.img, p.panel, p.x0, p.y0, CASE WHEN p.x1 - p.x0 >= 100 THEN p.x1 ELSE p.x0 + s.x1 - s.x0 END AS x1, p.y1, p.x1 - p.x0 < 100 AS repaired FROM v_panel_box p
+   LEFT JOIN v_panel_box s ON s.img = p.img AND s.panel = p.panel - 2 AND s.x1 - s.x0 >= 100 WHERE p.x1 - p.x0 >= 100 OR s.panel IS NOT NULL"""
 
 
-@query("ag30_panel_bounds", """SELECT p.panel, p.x0, p.y0, CASE WHEN p.x1 - p.x0 >= 100 THEN p.x1 ELSE p.x0 + s.x1 - s.x0 END AS x1, p.y1, p.x1 - p.x0 < 100 AS repaired FROM v_panel_box p
-   LEFT JOIN v_panel_box s ON s.panel = p.panel - 2 AND s.x1 - s.x0 >= 100 WHERE p.x1 - p.x0 >= 100 OR s.panel IS NOT NULL""")
+@query("ag30_panel_bounds", "SELECT img AS image_id, panel, x0, y0, x1, y1, repaired FROM v_panels")
 def ag30(spark, sf):
-    px = map_pixels(spark, sf)
-    return raster.panel_bounds(px, map_size(px)).select("panel", "x0", "y0", "x1", "y1", "repaired")
+    return map_store(spark, sf)[2]
 
 
 def map_read(spark, sf):
-    px = map_pixels(spark, sf)
-    size = map_size(px)
-    places = v.cells(spark, sf).select(F.col("state"), F.col("cell").cast("string").alias("district"), "lat", "lon", image_name(F.col("cell")).alias("image_id"))
-    panels = size.select("image_id", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("panel"), F.lit(x).alias("x0"), F.lit(y).alias("y0")) for i, x, y in ((1, 20, 32), (2, 270, 32), (3, 20, 400), (4, 270, 400))
-    ])))
-    return raster.read_map(places, px, panels, size)
+    tiles, sizes, panels = map_store(spark, sf)
+    return raster.read_map(map_places(spark, sf), tiles, panels, sizes)
 
 
 _DARK = " AND ".join(f"{c} < {raster.BORDER_BLACK}" for c in "rgb")
 _D = {axis: f"(c.{axis} - a.{axis})" for axis in "xy"}
-VIEW_SQL["v_map_read"] = f"""WITH spots AS (SELECT state, CAST(cell AS VARCHAR) AS district, 'map0' AS image_id, panel, CAST(trunc(x0 + 36 + (lon - 70.0) * (201 / 28.0::DOUBLE)) AS INT) AS x,
-    CAST(trunc(y0 + 26 + (35.0 - lat) * (257 / 30.0::DOUBLE)) AS INT) AS y FROM v_cells, (VALUES (1, 20, 32), (2, 270, 32), (3, 20, 400), (4, 270, 400)) t(panel, x0, y0)),
-  px AS (SELECT *, {_DARK} AS dark FROM v_map),
-  targets AS (SELECT DISTINCT p.x, p.y, p.r, p.g, p.b, dark FROM spots JOIN px p ON p.x = spots.x AND p.y = spots.y),
-  near AS (SELECT a.x, a.y, c.r, c.g, c.b, row_number() OVER (PARTITION BY a.x, a.y ORDER BY greatest(abs{_D['x']}, abs{_D['y']}), {_D['x']} * {_D['x']} + {_D['y']} * {_D['y']}, {_D['y']}, {_D['x']}) AS n
-    FROM targets a JOIN px c ON abs{_D['x']} <= 12 AND abs{_D['y']} <= 12 WHERE a.dark AND NOT c.dark),
-  seen AS (SELECT t.x, t.y, CASE WHEN dark THEN coalesce(near.r, 255) ELSE t.r END AS r, CASE WHEN dark THEN coalesce(near.g, 255) ELSE t.g END AS g, CASE WHEN dark THEN coalesce(near.b, 255) ELSE t.b END AS b
-    FROM targets t LEFT JOIN near ON near.x = t.x AND near.y = t.y AND n = 1),
+VIEW_SQL["v_spots"] = """SELECT state, CAST(cell AS VARCHAR) AS district, img, panel, CAST(trunc(x0 + 36 + (lon - 70.0) * (201 / 28.0::DOUBLE)) AS INT) AS x,
+    CAST(trunc(y0 + 26 + (35.0 - lat) * (257 / 30.0::DOUBLE)) AS INT) AS y FROM v_cells JOIN v_panels ON img = 'map' || (cell % 4)"""
+VIEW_SQL["v_map_read"] = f"""WITH px AS (SELECT *, {_DARK} AS dark FROM v_map),
+  targets AS (SELECT DISTINCT p.img, p.x, p.y, p.r, p.g, p.b, dark FROM v_spots s JOIN px p ON p.img = s.img AND p.x = s.x AND p.y = s.y),
+  near AS (SELECT a.img, a.x, a.y, c.r, c.g, c.b, row_number() OVER (PARTITION BY a.img, a.x, a.y ORDER BY greatest(abs{_D['x']}, abs{_D['y']}), {_D['x']} * {_D['x']} + {_D['y']} * {_D['y']}, {_D['y']}, {_D['x']}) AS n
+    FROM targets a JOIN px c ON c.img = a.img AND abs{_D['x']} <= 12 AND abs{_D['y']} <= 12 WHERE a.dark AND NOT c.dark),
+  seen AS (SELECT t.img, t.x, t.y, CASE WHEN dark THEN coalesce(near.r, 255) ELSE t.r END AS r, CASE WHEN dark THEN coalesce(near.g, 255) ELSE t.g END AS g, CASE WHEN dark THEN coalesce(near.b, 255) ELSE t.b END AS b
+    FROM targets t LEFT JOIN near ON near.img = t.img AND near.x = t.x AND near.y = t.y AND n = 1),
   scaled AS (SELECT r, g, b, first(val ORDER BY (p.r - s.sr) * (p.r - s.sr) + (p.g - s.sg) * (p.g - s.sg) + (p.b - s.sb) * (p.b - s.sb), i) AS val
     FROM (SELECT DISTINCT r, g, b FROM seen) p, (SELECT i, val, r AS sr, g AS sg, b AS sb FROM v_rain_scale) s GROUP BY r, g, b)
-  SELECT state, district, image_id, panel, spots.x, spots.y, round(val, 1) AS value,
+  SELECT state, district, s.img AS image_id, panel, s.x, s.y, round(val, 1) AS value,
     CASE WHEN val IS NULL THEN 'UNKNOWN' WHEN val >= 3 THEN 'above_normal' WHEN val <= -3 THEN 'below_normal' ELSE 'near_normal' END AS signal,
     coalesce('(' || r || ',' || g || ',' || b || ')', 'OUT_OF_BOUNDS') AS rgb
-  FROM spots LEFT JOIN (SELECT * FROM seen JOIN scaled USING (r, g, b)) k ON k.x = spots.x AND k.y = spots.y"""
+  FROM v_spots s LEFT JOIN (SELECT * FROM seen JOIN scaled USING (r, g, b)) k ON k.img = s.img AND k.x = s.x AND k.y = s.y"""
 
 
 @query("ex5_map_reading", "SELECT * FROM v_map_read")
@@ -470,12 +551,10 @@ def ex5(spark, sf):
     return map_read(spark, sf)
 
 
-@query("pf28_out_of_bounds", """SELECT CAST(cell AS VARCHAR) AS district, panel, m.x IS NULL AS out_of_bounds FROM (
-   SELECT cell, panel, trunc(x0 + 36 + (lon - 70.0) * (201 / 28.0::DOUBLE)) AS px, trunc(y0 + 26 + (35.0 - lat) * (257 / 30.0::DOUBLE)) AS py FROM v_cells,
-   (VALUES (1, 20, 32), (2, 270, 32), (3, 20, 400), (4, 270, 400)) t(panel, x0, y0)) p LEFT JOIN v_map m ON m.x = p.px AND m.y = p.py""")
+@query("pf28_out_of_bounds", """SELECT district, panel, x < 0 OR x >= w OR y < 0 OR y >= h AS out_of_bounds FROM v_spots JOIN (SELECT img, max(x) + 1 AS w, max(y) + 1 AS h FROM v_map GROUP BY img) USING (img)""")
 def pf28(spark, sf):
-    m = map_read(spark, sf)
-    return m.select("district", "panel", (F.col("rgb") == "OUT_OF_BOUNDS").alias("out_of_bounds"))
+    _, sizes, panels = map_store(spark, sf)
+    return raster.map_spots(map_places(spark, sf), panels, sizes).select("district", "panel", (~F.col("on")).alias("out_of_bounds"))
 
 
 @query("rs5_panels_to_wide", "SELECT state, district, image_id, " + ", ".join(

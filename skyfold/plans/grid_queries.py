@@ -265,6 +265,17 @@ def fn16(spark, sf):
     return v.table(spark, sf, "part").select(F.col("p_partkey").alias("idx"), lat.alias("lat"), lon.alias("lon"))
 
 
+@query(
+    "fn16_regular_grid",
+    """SELECT i AS idx, 6.0::DOUBLE + floor(i / 33.0) * 0.5 AS lat, 66.0::DOUBLE + (i % 33) * 0.5 AS lon, coalesce(n, 0) AS n FROM range(0, 33 * 17) t(i)
+       LEFT JOIN (SELECT p_partkey % 561 AS i, count(*) AS n FROM part GROUP BY 1) USING (i)""",
+)
+def fn16_grid(spark, sf):
+    points = grid.regular_grid(spark, 6.0, 14.0, 66.0, 82.0, 0.5)
+    hits = v.table(spark, sf, "part").groupBy((F.col("p_partkey") % 561).alias("idx")).agg(F.count("*").alias("n"))
+    return points.join(hits, "idx", "left").select("idx", "lat", "lon", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query(
     "rs3_members_from_columns",
     """SELECT k, member, coalesce(CASE member WHEN 'm01' THEN t1 WHEN 'm02' THEN t2 ELSE t3 END, wk1) AS t
@@ -901,6 +912,20 @@ def jn16(spark, sf):
     return regrid.bilinear(source_grid(spark, sf), v.grid_points(spark, sf), ["val"]).select("lat", "lon", r("val", 5))
 
 
+VIEW_SQL["v_src_nulls"] = """SELECT lat, lon, CASE WHEN (round((lat - 6) / 1.7) + round((lon - 66) / 1.7))::INT % 7 <> 3 THEN val END AS val FROM v_src_grid"""
+VIEW_SQL["v_lat_parts"] = """SELECT lat, unnest([lo, hi]) AS slat, unnest([1 - f, f]) AS wlat FROM (SELECT *, CASE WHEN hi = lo THEN 0 ELSE (lat - lo) / (hi - lo) END AS f FROM (
+  SELECT lat, (SELECT max(s.lat) FROM v_src_nulls s WHERE s.lat <= t.lat) AS lo, (SELECT min(s.lat) FROM v_src_nulls s WHERE s.lat >= t.lat) AS hi FROM (SELECT DISTINCT lat FROM v_points) t))"""
+VIEW_SQL["v_lon_parts"] = VIEW_SQL["v_lat_parts"].replace("lat", "lon")
+
+
+@query("jn16_null_corners", """SELECT p.lat, p.lon, CASE WHEN abs(sum(CASE WHEN val IS NOT NULL THEN wlat * wlon END) - 1) < 1e-9 THEN round(sum(wlat * wlon * val), 5) END AS val
+   FROM v_points p JOIN v_lat_parts a ON a.lat = p.lat AND wlat > 0 JOIN v_lon_parts b ON b.lon = p.lon AND wlon > 0 JOIN v_src_nulls s ON s.lat = slat AND s.lon = slon GROUP BY p.lat, p.lon""")
+def jn16_nulls(spark, sf):
+    i, j = F.round((F.col("lat") - 6) / 1.7), F.round((F.col("lon") - 66) / 1.7)
+    holed = source_grid(spark, sf).withColumn("val", F.when((i + j).cast("int") % 7 != 3, F.col("val")))
+    return regrid.bilinear(holed, v.grid_points(spark, sf), ["val"]).select("lat", "lon", r("val", 5))
+
+
 @query(
     "jn11_match_polygons",
     """SELECT r.k, r.req, count(p.district) AS n, min(p.state) AS state FROM

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skyfold import schemas
 from skyfold.functions import dates, geo, labels, signals, text
-from skyfold.operators import grid, matching, ordered, quality, records
+from skyfold.operators import grid, matching, ordered, providers, quality, records
 from skyfold.plans import views as v
 from skyfold.plans.grid_queries import r
 from skyfold.plans.record_queries import odds_rows, s2s, s2s_of, s2s_places, signed_sql, sql_text
@@ -762,9 +762,93 @@ def ad9_map(spark, sf):
     return v.records(spark, sf).select("k", d.alias("value"), signals.value_label(d, 0, "%").alias("label"), signals.map_colour(d, "season").alias("colour"))
 
 
-@query("ud3_resolver_choice", "SELECT 'roster_a' AS source, count(DISTINCT district) AS n FROM v_edges UNION ALL SELECT 'roster_b', count(DISTINCT lower(district)) FROM v_edges")
+VIEW_SQL["v_region_weights"] = """SELECT state, district, lat, lon, cos(radians(lat)) AS w FROM (SELECT state, district, lat, lon FROM v_inside UNION ALL
+   SELECT c.state, c.district, (SELECT arg_min(p.lat, abs(p.lat - c.lat)) FROM v_points p), (SELECT arg_min(p.lon, abs(p.lon - c.lon)) FROM v_points p)
+   FROM v_centroid c WHERE NOT EXISTS (SELECT 1 FROM v_inside i WHERE i.district = c.district))"""
+VIEW_SQL["v_holed"] = "SELECT lat, lon, CASE WHEN floor(lat * 2)::INT % 9 <> 0 THEN lat + lon END AS x FROM v_points"
+
+
+@query("ud3_resolver_choice", """SELECT state, district, round(sum(w * x) / sum(CASE WHEN x IS NOT NULL THEN w END), 6) AS skipped,
+   CASE WHEN count(x) = count(*) THEN round(sum(w * x) / sum(w), 6) END AS propagated FROM v_region_weights JOIN v_holed USING (lat, lon) GROUP BY state, district""")
 def ud3(spark, sf):
-    p = v.polygons(spark, sf)
-    rosters = {"roster_a": p, "roster_b": p.withColumn("district", F.lower("district"))}
-    parts = [df.groupBy().agg(F.count_distinct("district").alias("n")).select(F.lit(name).alias("source"), "n") for name, df in rosters.items()]
-    return parts[0].unionByName(parts[1])
+    shapes = v.polygons(spark, sf)
+    resolvers = {"gadm": providers.Resolver(shapes), "lgd": providers.Resolver(shapes, "propagate")}
+    values = v.grid_points(spark, sf).withColumn("x", F.when(F.floor(F.col("lat") * 2).cast("int") % 9 != 0, F.col("lat") + F.col("lon")))
+    one, other = (providers.district_means(resolvers, name, values, [], ["x"]) for name in ("gadm", "lgd"))
+    both = one.withColumnRenamed("x", "skipped").join(other.withColumnRenamed("x", "propagated"), ["state", "district"])
+    return both.select("state", "district", r("skipped", 6), r("propagated", 6))
+
+
+def upper_if_short():
+    """A translator: short texts in capitals, others unknown."""
+    return lambda texts: ["~" + t if len(t) < 40 else None for t in texts]
+
+
+@query("ud2_translator_batches", f"""SELECT t.text, coalesce(c.translated, CASE WHEN length(t.text) < 40 THEN '~' || t.text END, t.text) AS translated FROM v_texts t
+   LEFT JOIN v_catalog c ON c.key = {_CKEY.format('t.text')}""")
+def ud2_batches(spark, sf):
+    return providers.translate(texts(spark, sf), catalog(spark, sf), "hi", upper_if_short).select("text", "translated")
+
+
+VIEW_SQL["v_states"] = "SELECT segment, upper(segment) AS state FROM (SELECT DISTINCT state AS segment FROM v_links) WHERE segment <> (SELECT min(state) FROM v_links)"
+VIEW_SQL["v_known_plans"] = """SELECT upper(state) AS state, CASE WHEN pos % 3 = 0 THEN district || ' old' ELSE district END AS district, 'old_' || min(pos) || '.pdf' AS filename FROM v_links
+   WHERE pos % 2 = 0 AND state <> (SELECT min(state) FROM v_links) GROUP BY 1, 2"""
+
+
+def plan_links(spark, sf):
+    """Page addresses as links of an index, with a map that lacks one segment."""
+    pages = v.table(spark, sf, "pages")
+    links = pages.select(
+        text.path_segment(F.col("url"), r"example\.com/([^/]+)/").alias("segment"), F.regexp_extract("url", r"//([^.]+)\.", 1).alias("district"),
+        F.col("url").alias("href"), F.col("page_id").alias("pos"),
+    )
+    first = links.agg(F.min("segment")).scalar()
+    states = links.select("segment").distinct().where(F.col("segment") != first).select("segment", F.upper("segment").alias("state"))
+    mapped, unmapped = documents.mapped_links(links, states)
+    name = F.concat(text.ascii_slug(F.concat_ws("_", "state", "district")), F.lit(".pdf"))
+    known = mapped.where("pos % 2 = 0").select("state", F.when(F.col("pos") % 3 == 0, F.concat("district", F.lit(" old"))).otherwise(F.col("district")).alias("district"), "pos")
+    known = known.groupBy("state", "district").agg(F.concat(F.lit("old_"), F.min("pos").cast("string"), F.lit(".pdf")).alias("filename"))
+    existing = known.select("state", "district", "filename", F.lit("u").alias("source_url"), F.lit("sum").alias("sha256"))
+    return documents.build_manifest(mapped.withColumn("filename", name), existing), unmapped
+
+
+VIEW_SQL["v_plan_manifest"] = """SELECT coalesce(l.state, e.state) AS state, coalesce(l.district, e.district) AS district, coalesce(l.href, 'u') AS source_url, coalesce(e.filename, lower(l.state || '_' || l.district) || '.pdf') AS filename,
+   CASE WHEN e.state IS NULL THEN '' ELSE 'sum' END AS sha256, CASE WHEN l.state IS NULL THEN 'kept' WHEN e.state IS NULL THEN 'new' ELSE 'preserved' END AS origin
+   FROM (SELECT s.state, v_links.district, arg_min(href, pos) AS href FROM v_links JOIN v_states s ON s.segment = v_links.state WHERE length(district) >= 2 GROUP BY ALL) l
+   FULL JOIN v_known_plans e ON e.state = l.state AND lower(e.district) = lower(l.district)"""
+
+
+@query("ex7_mapped_index", "SELECT * FROM v_plan_manifest")
+def ex7_mapped(spark, sf):
+    return plan_links(spark, sf)[0]
+
+
+@query("fn6_unmapped_segments", "SELECT state AS segment, count(*) AS n FROM v_links WHERE state = (SELECT min(state) FROM v_links) GROUP BY state")
+def fn6_unmapped(spark, sf):
+    return plan_links(spark, sf)[1]
+
+
+@query("ag27_run_totals", """SELECT origin AS kind, state AS place, count(*) AS n FROM v_plan_manifest GROUP BY ALL UNION ALL SELECT origin, NULL, count(*) FROM v_plan_manifest GROUP BY ALL""")
+def ag27_totals(spark, sf):
+    return quality.run_totals(plan_links(spark, sf)[0], "origin", "state")
+
+
+@query("ad9_source_table", """SELECT r.k, CASE WHEN s.model = 'MME' THEN 'MME' ELSE s.model END AS key, s.week, s.precip AS rain, s.t2m AS tmax FROM v_record r JOIN v_s2s s ON s.ks = lower(r.state) AND s.kd = lower(r.district)
+   UNION ALL SELECT k, CASE WHEN EXISTS (SELECT 1 FROM v_s2s s WHERE s.ks = lower(r.state) AND s.kd = lower(r.district)) THEN 'IMD' ELSE '' END, w,
+     CASE w WHEN 1 THEN wk1 WHEN 2 THEN wk2 WHEN 3 THEN wk3 ELSE wk4 END, CASE w WHEN 1 THEN t1 WHEN 2 THEN t2 WHEN 3 THEN t3 ELSE t4 END FROM v_record r, range(1, 5) t(w)""")
+def ad9_sources(spark, sf):
+    merged = records.merge_weekly(v.records(spark, sf), s2s(spark, sf))
+    key = F.when(F.col("label") == "", "").when(F.col("label") == records.BASELINE_LABEL, "IMD").when(F.startswith("label", F.lit("Multi-model mean")), "MME").otherwise(F.col("label"))
+    return records.source_table(merged, ["k"]).select("k", key.alias("key"), "week", F.col("rainfall_mm_day").alias("rain"), F.col("tmax_degC").alias("tmax"))
+
+
+@query("ad9_category_split", "SELECT r.k, o.week, CAST(round_even(o.w * 100, 0) AS INT) AS wetter FROM v_record r JOIN v_odds_rows o ON o.ks = lower(r.state) AND o.kd = lower(r.district)")
+def ad9_split(spark, sf):
+    odds = records.attach_odds(v.records(spark, sf), odds_rows(spark, sf))
+    return records.category_split(odds, ["k"]).select("k", "week", "wetter")
+
+
+@query("pf16_odds_range", """SELECT ks, kd, week, 'p_wetter' AS field, round(w * 1.2 - 0.1, 6) AS value FROM v_odds_rows WHERE round(w * 1.2 - 0.1, 6) < 0 OR round(w * 1.2 - 0.1, 6) > 1.001""")
+def pf16_odds(spark, sf):
+    odds = records.with_keys(odds_rows(spark, sf)).withColumn("p_wetter", F.round(F.col("p_wetter") * 1.2 - 0.1, 6))
+    return quality.odds_range_violations(odds.select(F.col("_ks").alias("ks"), F.col("_kd").alias("kd"), "week", "p_wetter", "p_heavy"), ["ks", "kd", "week"], ["p_wetter", "p_heavy"])

@@ -88,6 +88,16 @@ def require_columns(df: DataFrame, wanted: list[str]) -> None:
         raise ValueError(f"missing columns: {missing}")
 
 
+def mapped_links(links: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links with the state of their path ``segment``, and the segments without one with their number of links.
+
+    ``states`` has ``segment`` and ``state``.
+    """
+    joined = links.join(states.select("segment", "state"), "segment", "left")
+    unmapped = joined.where("state is null").groupBy("segment").agg(F.count("*").alias("n"))
+    return joined.where("state is not null"), unmapped
+
+
 def build_manifest(links: DataFrame, existing: DataFrame) -> DataFrame:
     """Manifest of plan files: first link per district; earlier file name and checksum kept.
 

@@ -54,3 +54,45 @@ def test_nearest_place_equals_a_scan(spark):
     for lat, lon in queries:
         best = min(((lat - p[2]) ** 2 + (lon - p[3]) ** 2, p[0], p[1]) for p in places)
         assert got[lat, lon] == best[2]
+
+
+def test_nearest_place_far_from_a_dense_degree(spark):
+    """All places in one degree, most points far away: a point meets the places of few cells."""
+    import random
+
+    rng = random.Random(5)
+    places = [("S", f"d{k:04}", 20 + rng.random(), 70 + rng.random()) for k in range(1500)] + [("S", "same1", 20.5, 70.5), ("R", "same2", 20.5, 70.5)]
+    queries = [(rng.uniform(-89, 89), rng.uniform(-179, 179)) for _ in range(80)] + [(20 + rng.random(), 70 + rng.random()) for _ in range(80)] + [(20.5, 70.5), (None, 1.0)]
+    table = spark.createDataFrame(places, "state string, district string, lat double, lon double")
+    got = {(r["lat"], r["lon"]): r["near"] for r in region.nearest_place(spark.createDataFrame(queries, "lat double, lon double"), table).collect()}
+    for lat, lon in queries[:-1]:
+        best = min(((lat - p[2]) ** 2 + (lon - p[3]) ** 2, p[0], p[1]) for p in places)
+        assert (got[lat, lon]["d2"], got[lat, lon]["state"], got[lat, lon]["district"]) == best
+    assert got[None, 1.0] is None
+    cells = region.place_cells(table)
+    assert cells.agg({"level": "max"}).first()[0] >= 12 and cells.where("n > 1500").count() <= 11
+
+
+def test_brackets_on_an_axis(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from skyfold.operators import regrid
+
+    rng = random.Random(6)
+    axis = sorted({round(rng.uniform(-50, 50), 1) for _ in range(150)})
+    values = [*axis[:20], *(rng.uniform(-60, 60) for _ in range(60)), None]
+    grid = spark.createDataFrame([(x,) for x in axis], "c double")
+    df = spark.createDataFrame([(x,) for x in values], "c double")
+    at = F.col("_axis_c")
+    rows = regrid.with_axes(df, grid, ("c",)).select("c", regrid.bracket(at, F.col("c")).alias("b"), *(regrid.nearest_on(at, F.col("c"), t).alias(t) for t in ("low", "high"))).collect()
+    for r in rows:
+        if r["c"] is None:
+            assert r["b"] is None and r["low"] is None
+            continue
+        lo, hi = max((a for a in axis if a <= r["c"]), default=None), min((a for a in axis if a >= r["c"]), default=None)
+        assert tuple(r["b"]) == (lo, hi)
+        near = min(abs(a - r["c"]) for a in axis)
+        ties = [a for a in axis if abs(a - r["c"]) == near]
+        assert (r["low"], r["high"]) == (min(ties), max(ties))
