@@ -7,10 +7,11 @@ order and not to shared words alone. Documents that share a sketch are compared
 a hub, the member of the sketch's bucket whose sketches are the commonest, and with
 the hubs of finer buckets (two to eight sketches in a row alike), so a bucket of any
 size gives a few pairs for each member. Pairs are verified by a banded alignment of the
-shingle sequences, and verified links are joined into classes. Members of a bucket that
-are still in different classes are then compared with each other, unless the shingles
-that no other of them holds rule the pair out; so each two texts that share a sketch are
-in one class, compared, or known to differ.
+shingle sequences, and verified links are joined into classes. Members of buckets that
+hold several classes then meet by their rarest shared shingles: similar texts share one
+of the first few in the order of rarity, and shingle sets whose parities differ too much
+are not similar. So each two texts that share a sketch are in one class, compared, or
+known to differ, and no bucket is paired in full.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfold.llm.common import slices, split_join, whole_text
@@ -41,6 +42,8 @@ LINKS_AT_ONCE = 200_000
 #: A pair is similar if 9 * common >= 4 * (n1 + n2), which is common / (n1 + n2 - common) >= 0.8.
 NUMERATOR, DENOMINATOR = 4, 9
 LAST_ID = (1 << 63) - 1
+#: Longs that hold the parities of a text's labelled shingles.
+PARITIES = 16
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -195,39 +198,62 @@ def _pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reduce(DataFrame.unionAll, [with_hub(depth) for depth in LEVELS]).distinct(), live
 
 
-def _own_shingles(texts: DataFrame) -> DataFrame:
-    """``node, own``: how many labelled shingles of each text no other of the texts holds (a row only where there are some)."""
+def _held(texts: DataFrame) -> DataFrame:
+    """``node, held, parity``: the labelled shingles of each text, and the parity of how many fall on each of 1,024 bits.
+
+    Two sets differ in at least as many elements as their parities differ in bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            for node, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                held = labelled(shingles(text)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), node, np.int64))], ["shingle", "node"])
+            held = [labelled(shingles(t)) for t in part.column(1).to_pylist()]
+            parity = []
+            for own in held:
+                bit = (own * _M1) >> np.uint64(64 - (64 * PARITIES - 1).bit_length())
+                odd = np.bincount(bit.astype(np.int64), minlength=64 * PARITIES) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            lists = [pa.array([x.view(np.int64) for x in column], pa.list_(pa.int64())) for column in (held, parity)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["node", "held", "parity"])
 
-    held = texts.select("node", "text").mapInArrow(run, "shingle long, node long")
-    alone = held.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
-    return alone.groupBy("node").agg(F.count("*").alias("own"))
+    return texts.select("node", "text").mapInArrow(run, "node long, held array<long>, parity array<long>")
 
 
 def _apart(live: DataFrame, label: DataFrame) -> DataFrame:
-    """``key1, node, n, label`` of the members of buckets that hold more than one class."""
-    members = live.select("key1", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """``node, label`` of the members of buckets that hold more than one class."""
+    members = live.select("key1", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = members.groupBy("key1").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    return split_join(members, mixed.select("key1"), ["key1"])
+    return split_join(members, mixed.select("key1"), ["key1"]).select("node", "label").distinct()
 
 
-def _pairs_apart(apart: DataFrame, own: DataFrame, seen: DataFrame) -> DataFrame:
-    """Distinct pairs ``a < b`` of one bucket and two classes that are not ruled out and not among ``seen``.
+def _pairs_apart(apart: DataFrame, texts: DataFrame, seen: DataFrame) -> DataFrame:
+    """Distinct pairs ``a < b`` of texts of two classes that can be similar and are not among ``seen``.
 
-    What two texts have in common is no more than either holds without its own
-    shingles, so a pair left out here is not similar.
+    Similar texts have ``4 * (n1 + n2) / 9`` labelled shingles in common, so 8/9 of the
+    shorter and 4/5 of the longer text's. In one order of all shingles they then share
+    one of the first ``n - 8/9 n + 1`` of the shorter with one of the first
+    ``n - 4/5 n + 1`` of the longer. Rare shingles come first, and what only one text
+    holds is no key. The rest of what meets differs in ``(n1 + n2) / 9`` shingles at most.
     """
-    members = stage(apart.join(own, "node", "left").select("key1", "node", "n", "label", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")), "neardup-apart")
-    one, other = members.alias("one"), members.alias("other")
-    may = (F.col("one.node") < F.col("other.node")) & (F.col("one.label") != F.col("other.label"))
-    may &= DENOMINATOR * F.least("one.shared", "other.shared") >= NUMERATOR * (F.col("one.n") + F.col("other.n"))
-    met = one.join(other, (F.col("one.key1") == F.col("other.key1")) & may)
-    return met.select(F.col("one.node").alias("a"), F.col("other.node").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
+    held = stage(_held(texts).join(apart, "node"), "neardup-held")
+    each = held.select("node", F.size("held").alias("n"), F.explode("held").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    shared = split_join(each, often, ["shingle"])
+    of_text = Window.partitionBy("node")
+    place = F.col("n") - F.count("*").over(of_text) + F.row_number().over(of_text.orderBy("often", "shingle"))
+    placed = shared.withColumn("place", place).where(5 * (F.col("place") - 1) <= F.col("n"))
+    keys = placed.select("node", "shingle", (9 * (F.col("place") - 1) <= F.col("n")).alias("first"))
+    keys = stage(keys.join(held.select("node", "label"), "node"), "neardup-keys")
+    mixed = keys.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bool_or("first").alias("opens")).where("opens and low < high")
+    known = held.select("node", F.size("held").alias("n"), "parity")
+    members = stage(split_join(keys, mixed.select("shingle"), ["shingle"]).join(known, "node"), "neardup-key-members")
+    one, other = members.where("first").alias("one"), members.alias("other")
+    total = F.col("one.n") + F.col("other.n")
+    differ = reduce(Column.__add__, (F.bit_count(F.get("one.parity", F.lit(k)).bitwiseXOR(F.get("other.parity", F.lit(k)))) for k in range(PARITIES)))
+    may = (F.col("one.shingle") == F.col("other.shingle")) & (F.col("one.label") != F.col("other.label"))
+    may &= (F.col("one.n") < F.col("other.n")) | ((F.col("one.n") == F.col("other.n")) & (F.col("one.node") < F.col("other.node")))
+    may &= (DENOMINATOR * F.col("one.n") >= NUMERATOR * total) & (DENOMINATOR * differ <= (DENOMINATOR - 2 * NUMERATOR) * total)
+    met = one.join(other, may).select(F.least("one.node", "other.node").alias("a"), F.greatest("one.node", "other.node").alias("b"))
+    return met.distinct().join(seen, ["a", "b"], "left_anti")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -322,9 +348,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     links = verified(pairs, "neardup")
     label = components(spanning(links))
-    # members that no hub brought together are compared with each other
+    # members that no hub brought together meet by their rarest shared shingles
     apart = stage(_apart(live, label), "neardup-mixed")
-    further = stage(_pairs_apart(apart, _own_shingles(texts_of(apart.select("node"))), pairs), "neardup-further")
+    further = stage(_pairs_apart(apart, texts_of(apart.select("node")), pairs), "neardup-further")
     more = verified(further, "neardup-further")
     if not more.isEmpty():
         links = links.unionAll(more)

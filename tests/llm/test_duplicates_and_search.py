@@ -194,12 +194,27 @@ def test_links_that_bypass_every_hub(docs_of):
 
 
 def test_links_between_classes_need_no_hub(spark):
-    """Every pair of a bucket and two classes is found unless its own shingles rule it out."""
-    rows = [(1, 1, 10, 1), (1, 2, 10, 1), (1, 3, 10, 3), (1, 4, 10, 4), (2, 3, 10, 3), (2, 5, 30, 5)]
-    apart = spark.createDataFrame(rows, "key1 long, node long, n long, label long")
-    own = spark.createDataFrame([(4, 2)], "node long, own long")
-    seen = spark.createDataFrame([(1, 3)], "a long, b long")
-    assert [tuple(r) for r in neardup._pairs_apart(apart, own, seen).collect()] == [(2, 3)]
+    """Every similar pair of two classes is found; most others are ruled out without their texts."""
+    rng = random.Random(12)
+    texts = []
+    for size in (1, 3, 9, 14, 60, 400):
+        base = [f"b{size}_{k}" for k in range(size)] + (["same"] * 7 if size == 60 else [])
+        for k in range(40):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, size // 60, size // 25])):
+                at = rng.randint(0, len(own))
+                own[at : at + rng.randint(0, 2)] = [f"x{rng.randint(0, 10**6)}"] * rng.randint(0, 2)
+            texts.append(" ".join(own))
+    held = [neardup.shingles(t) for t in texts]
+    label = [k - k % 4 if k % 3 else k for k in range(len(texts))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    apart = spark.createDataFrame(list(enumerate(label)), "node long, label long")
+    seen = spark.createDataFrame([(0, 2)], "a long, b long")
+    got = {tuple(r) for r in neardup._pairs_apart(apart, rows, seen).collect()}
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if label[a] != label[b] and (a, b) != (0, 2)]
+    similar = {(a, b) for a, b in pairs if len(held[a]) and len(held[b]) and neardup.similar(held[a], held[b])}
+    assert similar <= got <= set(pairs) and len(similar) > 500
+    assert len(got) < 0.25 * len(pairs)
 
 
 def test_components_of_a_path(spark):
@@ -208,6 +223,13 @@ def test_components_of_a_path(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+def test_more_neighbours_than_usual_of_shared_vectors(spark):
+    rows = [(k, [1.0, 2.0, 3.0, 4.0]) for k in range(40)] + [(k, [float(k), 0.0, 1.0, 2.0]) for k in range(40, 70)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"]) for r in neighbours.search(vectors, vectors.where("vec_id = 0"), nearest=50, coverage=1.0).collect())
+    assert [v for _, v in got[:39]] == list(range(1, 40)) and len(got) == 50
+
+
 # --- neighbours -------------------------------------------------------------------------------------------------------
 
 
