@@ -152,7 +152,7 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, cover
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells, pa.int64())], ["embedding", "ids", "cell"])
 
     fitting = F.size("embedding") == dimension
-    placed = distinct_vectors(rows.where(fitting)).mapInArrow(place, "embedding array<double>, ids array<long>, cell long")
+    placed = distinct_vectors(rows.where(fitting), nearest + 1).mapInArrow(place, "embedding array<double>, ids array<long>, cell long")
     held = np.zeros(n_cells, np.int64)
     for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # one row a cell at most
         held[r["cell"]] = r["n"]

@@ -130,6 +130,47 @@ def test_shards_are_narrow_in_language_and_source(spark):
     assert sum(len(x) for _, x in held.values()) <= 16 * 10
 
 
+def test_placement_equals_a_plain_version(spark):
+    """Shard and slot of every row, from ranks, size steps and a sort in plain Python."""
+    import math
+
+    import xxhash
+
+    rng = random.Random(9)
+    texts = ["", None, "é" * 40, *("w" * rng.choice([1, 9, 70, 4000]) + str(rng.randint(0, 80)) for _ in range(200))]
+    rows = [(k, rng.choice(texts), rng.choice(["en", "de", None, ""]), rng.choice([f"s{n}" for n in range(9)])) for k in range(500)]
+    first, own_hash = {}, {}
+    for k, t, lang, source in rows:
+        key = t or ""
+        first[key] = min(first.get(key, (k, lang or "", source)), (k, lang or "", source))
+        h = xxhash.xxh64_intdigest(key.encode(), 42)
+        own_hash[key] = h - (1 << 64) if h >> 63 else h
+    placed = [(k, t or "", first[t or ""][1], first[t or ""][2]) for k, t, _, _ in rows]
+    cells = []
+    for at in (2, 3):
+        held, before, cell = defaultdict(int), 0, {}
+        for r in placed:
+            held[r[at]] += 1
+        for value in sorted(held):
+            cell[value] = ((2 * before + held[value]) << sharding.BITS) // (2 * len(rows))
+            before += held[value]
+        cells.append(cell)
+    points = []
+    for k, t, lang, source in placed:
+        step = max(0, min((1 << sharding.BITS) - 1, math.floor(4 * math.log2(len(t.encode()) + 1)) - 8))
+        points.append((k, own_hash[t], cells[0][lang], cells[1][source], step))
+    table_ = spark.createDataFrame(points, "doc_id long, h long, x int, y int, z int")
+    curve = {r["doc_id"]: r["c"] for r in table_.select("doc_id", sharding.hilbert_index([F.col("x"), F.col("y"), F.col("z")]).alias("c")).collect()}
+    order = sorted((curve[k], h, k) for k, h, *_ in points)
+    small, extra = divmod(len(rows), 16)
+    expected = {}
+    for rank, (_, _, k) in enumerate(order):
+        shard = rank // (small + 1) if rank < extra * (small + 1) else extra + (rank - extra * (small + 1)) // small
+        expected[k] = (shard, rank - (shard * small + min(shard, extra)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.assign(docs).collect()} == expected
+
+
 @pytest.mark.parametrize("columns", [("lang",), ("source",), ("lang", "source")])
 def test_shards_without_metadata(docs_of, columns):
     docs = docs_of([f"text {k}" for k in range(40)])
