@@ -235,3 +235,18 @@ def test_quantiles_of_values_round_one_level(spark):
     for g in (0, 1):
         want = np.quantile([r["v"] for r in rows if r["g"] == g], [1 / 3, 0.5, 0.99])
         assert np.allclose([got[g]["a"], got[g]["b"], got[g]["c"]], want, rtol=0, atol=1e-9)
+
+
+def test_carry_forward_firsts_and_orders(spark):
+    """Last and first values by one or several order columns, in blocks and without, against a scan."""
+    rng = random.Random(13)
+    rows = [(k, p, r, rng.choice([None, None, p * 100 + r])) for k in ("a", "b", None) for p in range(4) for r in rng.sample(range(30), 12)]
+    df = spark.createDataFrame(rows, "k string, p int, r int, x int")
+    given = [tuple(r) for r in df.collect()]
+    for block in (F.floor(F.col("p") / 2), None):
+        out = ordered.carry_forward(df, ["k"], ["p", "r"], {"y": F.col("x")}, block=block, firsts={"z": F.col("x")})
+        got = {(r["k"], r["p"], r["r"]): (r["y"], r["z"]) for r in out.collect()}
+        assert len(got) == len(given)
+        for k, p, r, _ in given:
+            upto = [x for kk, pp, rr, x in sorted(given, key=lambda g: (g[1], g[2])) if kk == k and (pp, rr) <= (p, r) and x is not None]
+            assert got[k, p, r] == ((upto[-1], upto[0]) if upto else (None, None))
