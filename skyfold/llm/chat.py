@@ -12,6 +12,7 @@ character, so no text holds a mark and unescaping gives back what was written.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -40,12 +41,14 @@ _ONE_TURN = re.compile(f"{re.escape(TURN)}(.*?){re.escape(TEXT)}(.*?){re.escape(
 
 def escaped(text: str) -> str:
     text = text.replace("\\", "\\\\")
-    for mark, _ in MARKS:
+    for mark, _ in MARKS if "<" in text else ():
         text = text.replace(mark, f"{mark[0]}\\{mark[1:]}")
     return text
 
 
 def unescaped(text: str) -> str:
+    if "\\" not in text:
+        return text
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
@@ -75,14 +78,18 @@ def learned_tokens(sizes: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarra
     return np.cumsum(change[:-1]) > 0
 
 
+@functools.lru_cache(maxsize=2)
+def _token_sizes(ranks_path: str, pattern: str) -> np.ndarray:
+    own = packing.encoding(ranks_path, pattern, MARKS)
+    return np.array([len(own.decode_single_token_bytes(k)) for k in range(own.n_vocab)], np.int64)
+
+
 class Encoder:
     """The vocabulary with the marks, and the byte length of each token."""
 
     def __init__(self, ranks_path: str, pattern: str):
         self.own = packing.encoding(ranks_path, pattern, MARKS)
-        self.size = np.zeros(self.own.n_vocab, np.int64)
-        for k in range(self.own.n_vocab):
-            self.size[k] = len(self.own.decode_single_token_bytes(k))
+        self.size = _token_sizes(ranks_path, pattern)
 
     def block(self, turns: list[tuple[str, str]]) -> tuple[str, np.ndarray, np.ndarray]:
         text, spans = rendered(turns)
@@ -153,13 +160,16 @@ def digests(formatted: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         rows: list[list] = []
         last: list = []  # conv_id, turns, digest, learned characters, digest, characters
         for part in slices(batches):
-            for conv, text, ids, learned in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
+            ends = np.cumsum(np.append(0, part.column(2).value_lengths().to_numpy()))
+            ids, learned = part.column(2).flatten().to_numpy(), part.column(3).flatten().to_numpy(zero_copy_only=False)
+            for k, (conv, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
                 if not last or last[0] != conv:
                     if last:
                         rows.append(last)
                     last = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 turns = read_turns(text)
-                loss = unescaped(own.decode_bytes([i for i, m in zip(ids, learned, strict=True) if m]).decode())
+                here = slice(ends[k], ends[k + 1])
+                loss = unescaped(own.decode_bytes(ids[here][learned[here]].tolist()).decode())
                 last[1] += len(turns)
                 last[2].update("".join(f"{role}\n{body}\n" for role, body in turns).encode())
                 last[3] += len(loss)

@@ -19,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -33,11 +34,13 @@ LEAST_COUNT = 10
 COVERED = 50
 BEST = 2000
 NO_LANGUAGE = "und"
-#: Bytes of text that one row of a relation is made from; a piece is never cut.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text that one row of a relation is made from; a piece is never cut. A task holds four times as much at most.
+BLOCK_BYTES = 2 << 20
 #: Bits of the bitmap of frequent phrases: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 BITMAP_BITS = 1 << 15
+#: Phrases of a part on average when they are counted, those of each block by themselves.
+PART_PHRASES = 100_000
 
 # Bytes that end a piece, bytes between words.
 _BREAK = re.compile(rb"[.,;:!?\n-\r]")
@@ -47,25 +50,43 @@ _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
-RELATION = "lang string, phrases array<string>, counts array<long>, places binary"
-_ARROW = pa.schema([("lang", pa.string()), ("phrases", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("places", pa.binary())])
+RELATION = "lang string, size long, words long, phrases binary, counts binary, places binary"
+_ARROW = pa.schema([("lang", pa.string()), ("size", pa.int64()), ("words", pa.int64()), *((c, pa.binary()) for c in ("phrases", "counts", "places"))])
+
+
+def _bytes_of(strings: pa.Array) -> bytes:
+    """Strings as one run of bytes: their number, their lengths, their letters."""
+    if not len(strings):
+        return bytes(4)
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    return len(strings).to_bytes(4, "little") + np.diff(ends).astype(np.int32).tobytes() + strings.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes()
+
+
+def _strings_of(run: bytes) -> pa.Array:
+    n = int.from_bytes(run[:4], "little")
+    ends = np.zeros(n + 1, np.int32)
+    np.cumsum(np.frombuffer(run, np.int32, n, 4), out=ends[1:])
+    return pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(memoryview(run)[4 + 4 * n :]))
 
 
 def _row(lang: str, phrases: pa.Array, at: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
-    """A row of a relation: ``code`` numbers the phrases, ``at`` are their sorted places."""
+    """A row of a relation: ``code`` numbers the phrases, ``at`` are their sorted places; both stay packed outside of tasks."""
+    pack = zstandard.ZstdCompressor(level=1).compress
     gaps = np.diff(at, prepend=0).astype(np.int32)
-    packed = zstandard.ZstdCompressor(level=1).compress(gaps.tobytes() + code.astype(np.int32).tobytes())
-    counts = np.bincount(code, minlength=len(phrases))
-    one = [0, len(phrases)]
+    counts = np.bincount(code, minlength=len(phrases)).astype(np.int64)
+    packed = [pack(_bytes_of(phrases)), pack(counts.tobytes()), pack(gaps.tobytes() + code.astype(np.int32).tobytes())]
     return pa.RecordBatch.from_arrays(
-        [pa.array([lang], pa.string()), pa.ListArray.from_arrays(pa.array(one, pa.int32()), phrases),
-         pa.ListArray.from_arrays(pa.array(one, pa.int32()), pa.array(counts, pa.int64())), pa.array([packed], pa.binary())],
+        [pa.array([lang], pa.string()), pa.array([len(phrases)], pa.int64()), pa.array([len(code)], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)],
         schema=_ARROW,
-    )
+    )
+
+
+def _unpacked(cell: pa.Scalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(cell.as_py())
 
 
 def _places(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.int32)
+    both = np.frombuffer(packed, np.int32)
     half = len(both) // 2
     return np.cumsum(both[:half], dtype=np.int64), both[half:]
 
@@ -102,31 +123,70 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[bytes]] = {}
-        held = 0
+        held: dict[str, int] = {}
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, texts in waiting.items():
-                for portion in _portions(b"\n".join(texts)):
-                    yield _row(lang, *words_in_order(portion))
-            waiting.clear()
+        def out(lang: str) -> Iterator[pa.RecordBatch]:
+            held.pop(lang)
+            for portion in _portions(b"\n".join(waiting.pop(lang))):
+                yield _row(lang, *words_in_order(portion))
 
         for part in slices(batches):
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 waiting.setdefault(lang, []).append(text)
-                held += len(text)
-                if held >= BLOCK_BYTES:
-                    yield from out()
-                    held = 0
-        yield from out()
+                held[lang] = held.get(lang, 0) + len(text) + 1
+                if held[lang] >= BLOCK_BYTES:
+                    yield from out(lang)
+                elif sum(held.values()) >= 4 * BLOCK_BYTES:
+                    yield from out(max(held, key=held.get))
+        for lang in list(held):
+            yield from out(lang)
 
     rows = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), whole_text(docs).alias("text"))
     return rows.mapInArrow(run, RELATION)
 
 
-def counted(relation: DataFrame) -> DataFrame:
-    """``lang, phrase, f``: the occurrences of each phrase of a relation."""
-    each = relation.select("lang", F.inline(F.arrays_zip("phrases", "counts"))).toDF("lang", "phrase", "count")
-    return each.groupBy("lang", "phrase").agg(F.sum("count").alias("f"))
+def _deal(phrases: pa.Array, parts: int) -> np.ndarray:
+    """A part for each phrase, the same wherever it stands: a polynomial of its bytes."""
+    ends = np.frombuffer(phrases.buffers()[1], np.int32)[phrases.offset : phrases.offset + len(phrases) + 1].astype(np.int64)
+    raw = np.frombuffer(phrases.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    sizes, starts = np.diff(ends), ends[:-1] - ends[0]
+    powers = np.multiply.accumulate(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
+    total = np.add.reduceat(raw * powers[np.arange(len(raw)) - np.repeat(starts, sizes)], starts)
+    return ((total >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def counted(relation: DataFrame, least: int) -> DataFrame:
+    """``lang, phrase, f``: the occurrences of the phrases of a relation that occur ``least`` times.
+
+    Phrases travel as arrays, cut by a hash into parts of a bounded average size; each
+    part of a language is summed in one go.
+    """
+    parts = max(1, (relation.agg(F.sum("size")).first()[0] or 0) // PART_PHRASES)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in slices(batches, 1):
+            phrases, counts = _strings_of(_unpacked(row.column(1)[0])), np.frombuffer(_unpacked(row.column(2)[0]), np.int64)
+            if not len(phrases):
+                continue
+            part = _deal(phrases, parts)
+            order = np.argsort(part, kind="stable")
+            held, firsts = np.unique(part[order], return_index=True)
+            taken, counts = phrases.take(pa.array(order)), counts[order]
+            ends = [*firsts[1:].tolist(), len(order)]
+            runs = [(_bytes_of(taken.slice(a, b - a)), counts[a:b].tobytes()) for a, b in zip(firsts.tolist(), ends, strict=True)]
+            langs = pa.array([row.column(0)[0].as_py()] * len(held), pa.string())
+            yield pa.RecordBatch.from_arrays([langs, pa.array(held), *(pa.array(x, pa.binary()) for x in zip(*runs, strict=True))], ["lang", "part", "phrases", "counts"])
+
+    def total(group: pa.Table) -> pa.Table:
+        lang = group["lang"][0].as_py()
+        phrases = pa.chunked_array([_strings_of(x) for x in group["phrases"].to_pylist()])
+        counts = pa.chunked_array([pa.array(np.frombuffer(x, np.int64)) for x in group["counts"].to_pylist()])
+        sums = pa.table({"phrase": phrases, "f": counts}).group_by("phrase").aggregate([("f", "sum")])
+        sums = sums.filter(pa.compute.greater_equal(sums["f_sum"], least))
+        return pa.table({"lang": pa.array([lang] * sums.num_rows, pa.string()), "phrase": sums["phrase"], "f": sums["f_sum"]})
+
+    dealt = relation.select("lang", "phrases", "counts").mapInArrow(cut, "lang string, part long, phrases binary, counts binary")
+    return dealt.groupBy("lang", "part").applyInArrow(total, "lang string, phrase string, f long")
 
 
 def _bitmap(frequent: DataFrame) -> bytes:
@@ -146,11 +206,11 @@ def extended(relation: DataFrame, frequent: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         for part in slices(batches, 1):
-            lang, phrases = part.column(0)[0].as_py(), part.column(1)[0].as_py()
+            lang, phrases = part.column(0)[0].as_py(), _strings_of(_unpacked(part.column(1)[0])).to_pylist()
             seed = xxhash.xxh64_intdigest(lang, 42)  # as xxhash64 of both columns
             hashes = np.fromiter((xxhash.xxh64_intdigest(p, seed) & (FILTER_BITS - 1) for p in phrases), np.int64, len(phrases))
             passes = (bits[hashes >> 3] >> (hashes & 7).astype(np.uint8) & 1).astype(bool)
-            at, code = _places(part.column(3)[0].as_py())
+            at, code = _places(_unpacked(part.column(2)[0]))
             kept = passes[code]
             at, code = at[kept], code[kept]
             left = np.flatnonzero(np.diff(at) == 1)
@@ -160,7 +220,7 @@ def extended(relation: DataFrame, frequent: DataFrame) -> DataFrame:
             longer = [f"{phrases[a]} {last[b]}" for a, b in zip((distinct >> 32).tolist(), (distinct & 0xFFFFFFFF).tolist(), strict=True)]
             yield _row(lang, pa.array(longer, pa.string()), at[left], number)
 
-    return relation.mapInArrow(run, RELATION)
+    return relation.select("lang", "phrases", "places").mapInArrow(run, RELATION)
 
 
 def _part(first: int | Column, length: int | Column) -> Column:
@@ -204,11 +264,11 @@ def collocations(
     rows count as often as they stand. Other columns are not read.
     """
     relation = stage(occurrences(docs), "phrases-1")
-    totals = relation.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
-    frequent = [stage(counted(relation).where(F.col("f") >= least), "phrases-frequent-1")]
+    totals = relation.groupBy("lang").agg(F.sum("words").alias("n"))
+    frequent = [stage(counted(relation, least), "phrases-frequent-1")]
     for length in range(2, longest + 1):
         relation = stage(extended(relation, frequent[-1]), f"phrases-{length}")
-        frequent.append(stage(counted(relation).where(F.col("f") >= least), f"phrases-frequent-{length}"))
+        frequent.append(stage(counted(relation, least), f"phrases-frequent-{length}"))
     phrases = reduce(DataFrame.unionAll, frequent[1:])
     candidates = phrases.select("lang", "phrase", F.split("phrase", " ").alias("words"), F.col("f").alias("a"))
     rows = scored(uncovered(candidates, longest, covered), reduce(DataFrame.unionAll, frequent))
