@@ -779,15 +779,15 @@ def ud3(spark, sf):
     return both.select("state", "district", r("skipped", 6), r("propagated", 6))
 
 
-def upper_if_short():
-    """A translator: short texts in capitals, others unknown."""
+def mark_if_short():
+    """A translator that marks short texts and does not know others."""
     return lambda texts: ["~" + t if len(t) < 40 else None for t in texts]
 
 
 @query("ud2_translator_batches", f"""SELECT t.text, coalesce(c.translated, CASE WHEN length(t.text) < 40 THEN '~' || t.text END, t.text) AS translated FROM v_texts t
    LEFT JOIN v_catalog c ON c.key = {_CKEY.format('t.text')}""")
 def ud2_batches(spark, sf):
-    return providers.translate(texts(spark, sf), catalog(spark, sf), "hi", upper_if_short).select("text", "translated")
+    return providers.translate(texts(spark, sf), catalog(spark, sf), "hi", mark_if_short).select("text", "translated")
 
 
 VIEW_SQL["v_states"] = "SELECT segment, upper(segment) AS state FROM (SELECT DISTINCT state AS segment FROM v_links) WHERE segment <> (SELECT min(state) FROM v_links)"
