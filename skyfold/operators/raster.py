@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skyfold.functions import geo
 from skyfold.functions.signals import rain_signal, tmax_signal
+from skyfold.session import stage
 
 # Colour keys (value, r, g, b), scale sizes, pixel limits, scan margins.
 RAIN_KEYS = (
@@ -156,9 +157,10 @@ def pixels_in(tiles: DataFrame) -> DataFrame:
 def nearest_clear_pixel(targets: DataFrame, tiles: DataFrame, radius: int, black: int = BORDER_BLACK) -> DataFrame:
     """Colour at each target pixel, or of the nearest non-black pixel in growing rings.
 
-    ``targets`` has ``id, image_id, x, y`` inside the image. A target meets the tile it
-    lies in; a black one goes on to the tiles round it and takes the best of their own
-    best pixels. White where no ring has a clear pixel.
+    ``targets`` has ``id, image_id, x, y`` inside the image. A target meets its own pixel
+    by place. Only a black one meets the tile it lies in, and of the tiles round it those
+    that are no farther away than what its own tile has; it takes the best of their best
+    pixels. White where no ring has a clear pixel.
     """
     reach = radius + 9
     if reach > TILE:
@@ -179,16 +181,28 @@ def nearest_clear_pixel(targets: DataFrame, tiles: DataFrame, radius: int, black
         return (F.abs(p["x"] - F.col("x")) <= reach) & (F.abs(p["y"] - F.col("y")) <= reach) & ~is_dark(p)
 
     best = F.array_min(F.transform(F.filter("pixels", near), ranked)).alias("best")
-    pixel = F.get(F.filter("pixels", lambda p: (p["x"] == F.col("x")) & (p["y"] == F.col("y"))), F.lit(0)).alias("pixel")
-    here = targets.select("*", *own).join(tiles, ["image_id", "tx", "ty"]).select(*targets.columns, pixel, best).where("pixel is not null")
-    here = here.select(*targets.columns, "pixel", is_dark(F.col("pixel")).alias("dark"), "best")
-    beside = F.array(*(F.struct((F.floor(F.col("x") / TILE) + i).cast("int").alias("tx"), (F.floor(F.col("y") / TILE) + j).cast("int").alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j))
-    round_ = here.where("dark").select(*targets.columns, F.inline(beside)).join(tiles, ["image_id", "tx", "ty"])
+    first = pixels_in(tiles).groupBy("image_id", "x", "y").agg(*(F.first(k).alias(k) for k in "rgb"))
+    here = targets.join(first, ["image_id", "x", "y"])
+    dark = F.coalesce((F.col("r") < black) & (F.col("g") < black) & (F.col("b") < black), F.lit(True))
+    clear = here.where(~dark).select(*targets.columns, *"rgb")
+    within = here.where(dark).select(*targets.columns, *own).join(tiles, ["image_id", "tx", "ty"]).select(*targets.columns, "tx", "ty", best)
+    within = stage(within, "dark-pixels")
+
+    def gap(c: str, step: int) -> Column:
+        """Steps from the pixel to the first one of a tile beside its own."""
+        inside = F.col(c) - F.col(f"t{c}") * TILE
+        return {-1: inside + 1, 0: F.lit(0), 1: F.lit(TILE) - inside}[step]
+
+    def tile(i: int, j: int) -> Column:
+        away = F.greatest(gap("x", i), gap("y", j))
+        near_by = (away <= reach) & (F.col("best").isNull() | (away <= F.col("best.ring")))
+        return F.when(near_by, F.struct((F.col("tx") + i).alias("tx"), (F.col("ty") + j).alias("ty")))
+
+    beside = F.array_compact(F.array(*(tile(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)))
+    round_ = within.select(*targets.columns, F.inline(beside)).join(tiles, ["image_id", "tx", "ty"])
     around = round_.select("id", best).groupBy("id").agg(F.min("best").alias("beside"))
-    found = here.join(around, "id", "left").withColumn("best", F.least("best", "beside"))
-    return found.select(
-        *targets.columns, *(F.when(~F.col("dark"), F.col(f"pixel.{k}")).otherwise(F.coalesce(f"best.{k}", F.lit(WHITE))).alias(k) for k in "rgb")
-    )
+    found = within.join(around, "id", "left").withColumn("best", F.least("best", "beside"))
+    return clear.unionByName(found.select(*targets.columns, *(F.coalesce(f"best.{k}", F.lit(WHITE)).alias(k) for k in "rgb")))
 
 
 def map_spots(places: DataFrame, panels: DataFrame, sizes: DataFrame) -> DataFrame:
