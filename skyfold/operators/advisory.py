@@ -8,6 +8,8 @@ functions in the row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -268,9 +270,13 @@ def guardrail_hits(text: Column) -> Column:
 # --- actions --------------------------------------------------------------
 
 def prepare_contexts(records: DataFrame, contexts: list[dict]) -> DataFrame:
-    """Records in all contexts with scenarios and normalised user type."""
-    out = rules.expand_contexts(records, contexts)
-    return rules.with_inputs(out.withColumn("user_type", _user_key(F.col("user_type")))).withColumn("scenarios", rules.scenarios())
+    """Records in all contexts with scenarios and normalised user type.
+
+    What a record alone decides is derived before the contexts multiply the rows.
+    """
+    told = [{**c, "user_type": re.sub(r"[^a-z0-9]+", "_", "farmer" if c.get("user_type") is None else c["user_type"])} for c in contexts]
+    out = rules.expand_contexts(rules.with_weather(records), told)
+    return rules.with_stage(out).withColumn("scenarios", rules.scenarios())
 
 
 def _user_key(user: Column) -> Column:
@@ -317,10 +323,8 @@ def _entry(category: Column, block: Column, pos: Column) -> Column:
     )
 
 
-ENTRY = (
-    "struct<category:string,block:int,pos:bigint,text:string,text_hi:string,evergreen:boolean,concept:int,"
-    "bag:struct<words:array<string>,marks:bigint>>"
-)
+BAG = "struct<words:array<string>,marks:bigint>"
+ENTRY = f"struct<category:string,block:int,pos:bigint,text:string,text_hi:string,evergreen:boolean,concept:int,bag:{BAG}>"
 _NONE = f"array<{ENTRY}>"
 
 
@@ -353,14 +357,17 @@ def context_guide(contexts: list[dict], library: DataFrame, community: DataFrame
     return told.select("context_id").join(guide, "context_id", "left").select("context_id", *(F.coalesce(c, none).alias(c) for c in ("before", "after")))
 
 
-def district_plans(plan: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+def district_plans(plan: DataFrame, catalog: DataFrame | None = None, bags: bool = True) -> DataFrame:
     """``state, district, plan``: a district's plan actions in order, one row a district.
 
     ``plan`` has scenario, kind, pos, action and crop. Rows of the older flat list have
-    kind ``flat``: they are told to farmers whatever their crop.
+    kind ``flat``: they are told to farmers whatever their crop. ``bags=False`` leaves out
+    the word sets, which action rows do not show.
     """
     p = plan.select("state", "district", "scenario", "kind", "pos", F.col("action").alias("text"), F.col("crop").alias("p_crop"))
     p = annotate(in_hindi(p, catalog))
+    if not bags:
+        p = p.withColumn("bag", F.lit(None).cast(BAG))
     item = F.struct(
         (F.col("kind") != "flat").alias("later"), "pos", "scenario", "kind", "p_crop", "sowing", "harvest", "flowering",
         _entry(F.lit("do_now"), F.lit(4), F.col("pos")).alias("entry"),
@@ -412,16 +419,17 @@ def with_entries(
 
 
 def scenario_actions(
-    ctx: DataFrame, contexts: list[dict], library: DataFrame, community: DataFrame, plan: DataFrame | None = None
+    ctx: DataFrame, contexts: list[dict], library: DataFrame, community: DataFrame, plan: DataFrame | None = None, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Ordered action rows of every fired scenario."""
-    rows = with_entries(ctx, contexts, library, community, plan).select(*RECORD_KEY, F.posexplode("entries").alias("rank", "_told"))
-    each = rows.select(*RECORD_KEY, "rank", F.inline("_told"))
-    return each.select(*RECORD_KEY, "category", "rank", "block", "pos", "text", "evergreen", "concept")
+    """Ordered action rows of every fired scenario, with the columns of ``ctx`` that ``keep`` names."""
+    key = [*RECORD_KEY, *keep]
+    rows = with_entries(ctx, contexts, library, community, plan).select(*key, F.posexplode("entries").alias("rank", "_told"))
+    each = rows.select(*key, "rank", F.inline("_told"))
+    return each.select(*key, "category", "rank", "block", "pos", "text", "evergreen", "concept")
 
 
-def baseline_entries() -> Column:
-    """Planning guidance for rows in which no scenario fires, as entries in order."""
+def baseline_entries(bags: bool = True) -> Column:
+    """Planning guidance for rows in which no scenario fires, as entries in order; without word sets if ``bags`` is false."""
     x = rules.inputs()
     user = F.col("user_type")
     field = user.isin("farmer", "livestock_owner")
@@ -449,16 +457,17 @@ def baseline_entries() -> Column:
         text = e["text"]
         return F.struct(
             e["category"].alias("category"), F.lit(0).alias("block"), i.cast("long").alias("pos"), text.alias("text"), own_text_hi(text).alias("text_hi"),
-            any_phrase(text, EVERGREEN).alias("evergreen"), dedup.concept(text).cast("int").alias("concept"), dedup.bag(text).alias("bag"),
+            any_phrase(text, EVERGREEN).alias("evergreen"), dedup.concept(text).cast("int").alias("concept"), (dedup.bag(text) if bags else F.lit(None)).alias("bag"),
         ).cast(ENTRY)
 
     return F.transform(F.array_compact(F.array(*offered)), entry)
 
 
-def baseline_actions(ctx: DataFrame) -> DataFrame:
-    """Planning guidance for records where no scenario fires."""
-    rows = ctx.where(F.size("scenarios") == 0).select(*RECORD_KEY, F.inline(baseline_entries()))
-    return rows.select(*RECORD_KEY, "category", F.lit(0).alias("rank"), "block", "pos", "text", "evergreen", "concept")
+def baseline_actions(ctx: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Planning guidance for records where no scenario fires, with the columns of ``ctx`` that ``keep`` names."""
+    key = [*RECORD_KEY, *keep]
+    rows = ctx.where(F.size("scenarios") == 0).select(*key, F.inline(baseline_entries(bags=False)))
+    return rows.select(*key, "category", F.lit(0).alias("rank"), "block", "pos", "text", "evergreen", "concept")
 
 
 def category_list(entries: Column, category: str) -> Column:

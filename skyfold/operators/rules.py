@@ -77,13 +77,28 @@ def with_inputs(df: DataFrame) -> DataFrame:
     Derived once here, so that rules and sentences refer to plain columns
     instead of repeating the expressions.
     """
+    return with_stage(with_weather(df))
+
+
+def with_stage(df: DataFrame) -> DataFrame:
+    """The part of :func:`with_inputs` that depends on the crop stage, and so on the user context."""
+    stage = F.coalesce(F.col("crop_stage"), F.lit(""))
+    return df.withColumns(
+        {
+            "_in_stage": F.when(stage == "flowering_reproductive", "flowering").otherwise(stage),
+            "_in_stage_raw": F.coalesce("crop_stage", F.lit("unknown")),
+        }
+    )
+
+
+def with_weather(df: DataFrame) -> DataFrame:
+    """The part of :func:`with_inputs` that depends on the record alone."""
     def flag(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(False))
 
     def equals(name: str, value: str) -> Column:
         return F.coalesce(F.col(name) == value, F.lit(False))
 
-    stage = F.coalesce(F.col("crop_stage"), F.lit(""))
     base = {
         "since_june": F.coalesce("rainfall_since_june_1_pct_departure", F.lit(0)),
         "last_14": F.coalesce("rainfall_last_14_days_pct_departure", F.lit(0)),
@@ -95,8 +110,6 @@ def with_inputs(df: DataFrame) -> DataFrame:
         "tmax_above": equals("tmax_signal", "above_normal"),
         "tmin_above": equals("tmin_signal", "above_normal"),
         "humid": equals("humidity_heat_index_signal", "high"),
-        "stage": F.when(stage == "flowering_reproductive", "flowering").otherwise(stage),
-        "stage_raw": F.coalesce("crop_stage", F.lit("unknown")),
     }
     base |= {f"week{i}": F.coalesce(F.col(f), F.lit(0.0)) for i, f in enumerate(WEEK_FIELDS, 1)}
     w = [F.col(f"_in_week{i}") for i in range(1, 5)]

@@ -606,10 +606,22 @@ def keyed(df, spark, sf):
     return df.join(ids, ["state", "district"]).drop("state", "district")
 
 
-def all_actions(spark, sf):
-    return advisory.scenario_actions(
-        ctx_records(spark, sf), CONTEXTS, v.action_library(spark, sf), v.community_library(spark, sf), plan_rows(spark, sf)
-    )
+def named_records(spark, sf):
+    """Records with all record numbers of their name, which :func:`by_number` makes rows of: long action rows need no join."""
+    recs = v.records(spark, sf)
+    ks = recs.groupBy("state", "district").agg(F.collect_list(F.struct("k")).alias("ks"))
+    return recs.drop("k").join(ks, ["state", "district"])
+
+
+def by_number(rows):
+    return rows.select(*(c for c in rows.columns if c not in ("state", "district", "ks")), F.inline("ks"))
+
+
+def all_actions(spark, sf, records, keep=()):
+    """Action rows of all records; plans meet the records before the contexts multiply them."""
+    planned = records.join(advisory.district_plans(plan_rows(spark, sf), bags=False), ["state", "district"], "left")
+    ctx = advisory.prepare_contexts(planned, CONTEXTS)
+    return advisory.scenario_actions(ctx, CONTEXTS, v.action_library(spark, sf), v.community_library(spark, sf), keep=keep)
 
 
 #: The contexts without a crop stage, so that the stage filter lets everything pass.
@@ -618,15 +630,16 @@ ANY_STAGE = [{**c, "crop_stage": None} for c in CONTEXTS]
 
 @query("ad4_scenario_actions", "SELECT * FROM v_actions")
 def ad4(spark, sf):
-    return keyed(all_actions(spark, sf), spark, sf).drop("evergreen", "concept")
+    return by_number(all_actions(spark, sf, named_records(spark, sf), ("ks",))).drop("evergreen", "concept")
 
 
 @query("jn24_library_join", "SELECT k, context_id, category, rank, block, pos, text FROM v_lib_actions UNION ALL SELECT k, context_id, category, rank, block, pos, text FROM v_people_actions")
 def jn24(spark, sf):
     path = scratch(spark, "library")
     v.action_library(spark, sf).write.option("header", True).csv(path)
-    out = advisory.scenario_actions(ctx_records(spark, sf), ANY_STAGE, lib.read_action_library(spark, path), v.community_library(spark, sf))
-    return keyed(out.where("block <> 3"), spark, sf).drop("evergreen", "concept")
+    ctx = advisory.prepare_contexts(named_records(spark, sf), CONTEXTS)
+    out = advisory.scenario_actions(ctx, ANY_STAGE, lib.read_action_library(spark, path), v.community_library(spark, sf), keep=("ks",))
+    return by_number(out.where("block <> 3")).drop("evergreen", "concept")
 
 
 @query("jn25_plan_by_crop", "SELECT k, context_id, category, rank, pos, text FROM v_plan_actions")
@@ -658,7 +671,8 @@ VIEW_SQL["v_baseline"] = " UNION ALL ".join(
 
 @query("ad5_baseline_actions", "SELECT k, context_id, category, text, row_number() OVER (PARTITION BY k, context_id ORDER BY i) - 1 AS pos FROM v_baseline")
 def ad5(spark, sf):
-    return keyed(advisory.baseline_actions(ctx_records(spark, sf)), spark, sf).select("k", "context_id", "category", "text", "pos")
+    ctx = advisory.prepare_contexts(named_records(spark, sf), CONTEXTS)
+    return by_number(advisory.baseline_actions(ctx, ("ks",))).select("k", "context_id", "category", "text", "pos")
 
 
 @query("pf22_relevant_for_livestock", "SELECT category, text, count(*) AS n FROM v_lib_actions WHERE context_id = 4 AND block = 1 GROUP BY ALL")
@@ -746,7 +760,9 @@ def dd2(spark, sf):
     from pyspark.sql import Window
 
     keys = [*advisory.RECORD_KEY, "category"]
-    rows = advisory.separate_evergreen(all_actions(spark, sf))
+    # dealt anew as action rows: partitions sized before the contexts and lists multiply the rows would be sorted whole in a task.
+    # The keys stand the other way round than in the join with the plans, whose partitioning would do otherwise.
+    rows = advisory.separate_evergreen(all_actions(spark, sf, v.records(spark, sf))).repartition("district", "state")
     merged = dedup.concept_longest(dedup.exact_first(rows, [*keys, "concept"], "text", "order"), keys, "text", "order", known="concept")
     placed = merged.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("order")))
     return keyed(placed.drop("order"), spark, sf)
