@@ -297,9 +297,27 @@ def _analysis() -> Column:
 def analyze_tables(cells: DataFrame) -> DataFrame:
     """Roles, first data row, table scenario and column headers of every matrix.
 
-    Tables that are neither of measures nor of stages do not appear.
+    Tables that are neither of measures nor of stages do not appear. Of the cells below a
+    table's first rows only their places are looked at, so one aggregate finds all: their
+    texts are neither gathered nor searched.
     """
-    return analyzed(table_rows(cells)).where("analysis is not null").select(*TABLE, "analysis.*")
+    at = F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), squeeze(F.col("text")).alias("text"))
+    first = cells.select(*TABLE, "row", "col", F.when(F.col("row") < HEADER_DEPTH, at).alias("_at"))
+    tables = first.groupBy(*TABLE).agg(
+        F.sort_array(F.collect_list("_at")).alias("_at"), (F.max("col").cast("int") + 1).alias("ncols"), (F.max("row") + 1).alias("nrows")
+    ).where("ncols >= 3 and nrows >= 2")
+    tables = tables.where(F.exists("_at", lambda c: c["text"].rlike(_HEADER_WORD)))
+
+    def cell(c: Column) -> Column:
+        named = F.when(c["text"] != "", scenario_of(F.lower(c["text"])))
+        return F.struct(c["col"].alias("col"), c["text"].alias("text"), named.alias("scenario"))
+
+    def of_row(row: Column) -> Column:
+        return F.struct(row.alias("row"), F.transform(F.filter("_at", lambda c: c["row"] == row), cell).alias("cells"))
+
+    heads = F.transform(F.array_distinct(F.transform("_at", lambda c: c["row"])), of_row)
+    known = tables.select(*TABLE, "ncols", heads.alias("heads")).select(*TABLE, _analysis().alias("analysis"))
+    return known.where("analysis is not null").select(*TABLE, "analysis.*")
 
 
 def nearest_role(anchors: Column, col: Column) -> Column:

@@ -158,26 +158,31 @@ CONDITIONS = ("Mid season drought", "", "", "Terminal drought", "")
 def plan_cells(spark, sf):
     """Every document as a plan of two pages: a header table, then a continuation without header.
 
-    Lines are dealt by document before cells are made of them, whatever the files are.
+    Documents are dealt before cells are made of them, whatever the files are; a header's
+    cells come from the same row as the first line's, so tables meet without another shuffle.
     """
-    pos = F.col("pos")
-    body = v.lines(spark, sf).repartition("doc_id").select("doc_id", F.floor(pos / 6).cast("int").alias("page"), (pos % 6).cast("int").alias("r"), "pos", "line")
-    step = F.replace("line", F.lit(". "), F.lit(" • "))
+    pos, line = F.col("pos"), F.col("line")
+    docs = v.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+    lines = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+    step = F.replace(line, F.lit(". "), F.lit(" • "))
     cols = F.array(
         _pick(pos % 5, CONDITIONS),
         F.when(pos % 3 == 0, F.concat(F.lit("Situation "), (pos % 4).cast("string"))).otherwise(""),
         F.when(pos % 4 == 1, F.concat(F.lit("Rice - "), (pos % 7).cast("string"))),
         F.when(pos % 7 == 3, "-do-").otherwise(step),
-        F.when(pos % 5 == 2, "NA").when(pos % 5 == 4, "").otherwise(F.concat(F.lit("Mulch then "), F.col("line"))),
+        F.when(pos % 5 == 2, "NA").when(pos % 5 == 4, "").otherwise(F.concat(F.lit("Mulch then "), line)),
         F.lit(""),
     )
+    page = F.floor(pos / 6).cast("int")
     # the first page starts with a header row, so its body is one row lower
-    row = F.when(F.col("page") == 0, F.col("r") + 1).otherwise(F.col("r"))
-    cells = body.select("doc_id", "page", F.lit(0).alias("table"), row.alias("row"), F.posexplode(cols).alias("col", "text"))
-    head = v.table(spark, sf, "documents").select(
-        "doc_id", F.lit(0).alias("page"), F.lit(0).alias("table"), F.lit(0).alias("row"), F.posexplode(F.array(*[F.lit(h) for h in HEADER])).alias("col", "text")
-    )
-    return head.unionByName(cells)
+    row = F.when(page == 0, pos % 6 + 1).otherwise(pos % 6).cast("int")
+
+    def table_row(page, row, texts):
+        return F.struct(page.alias("page"), row.alias("row"), texts.alias("cells"))
+
+    head, body = table_row(F.lit(0), F.lit(0), F.array(*[F.lit(h) for h in HEADER])), table_row(page, row, cols)
+    rows = F.when(pos.isNull(), F.array(head)).when(pos == 0, F.array(head, body)).otherwise(F.array(body))
+    return lines.select("doc_id", F.inline(rows)).select("doc_id", "page", F.lit(0).alias("table"), "row", F.posexplode("cells").alias("col", "text"))
 
 
 VIEW_SQL["v_plan_rows"] = f"""SELECT doc_id, pos, CAST(floor(pos / 6.0) AS BIGINT) AS page, {_sql_pick('pos % 5', CONDITIONS)} AS cond, CASE WHEN pos % 3 = 0 THEN 'Situation ' || pos % 4 END AS farm,
@@ -272,7 +277,8 @@ def shaped_cells(spark, sf):
     doc = F.col("doc_id")
     head = F.when(doc % 3 == 0, heads(SHAPES[0])).when(doc % 3 == 1, heads(SHAPES[1])).otherwise(heads(SHAPES[2]))
     body = F.transform(F.split("text", "\n"), lambda t: F.array(F.lit(""), F.lit(""), F.lit(""), t, F.lit("")))
-    rows = v.table(spark, sf, "documents").select("doc_id", F.posexplode(F.concat(head, body)).alias("row", "cells"))
+    docs = v.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+    rows = docs.select("doc_id", F.posexplode(F.concat(head, body)).alias("row", "cells"))
     cells = rows.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("table"), "row", F.posexplode("cells").alias("col", "text"))
     marked = (doc % 4 == 0) & (F.col("row") == 0) & (F.col("col") == 2)
     return cells.withColumn("text", F.when(marked, F.concat("text", F.lit(" •"))).otherwise(F.col("text")))
