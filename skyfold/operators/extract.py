@@ -316,8 +316,9 @@ def analyze_tables(cells: DataFrame) -> DataFrame:
         return F.struct(row.alias("row"), F.transform(F.filter("_at", lambda c: c["row"] == row), cell).alias("cells"))
 
     heads = F.transform(F.array_distinct(F.transform("_at", lambda c: c["row"])), of_row)
-    known = tables.select(*TABLE, "ncols", heads.alias("heads")).select(*TABLE, _analysis().alias("analysis"))
-    return known.where("analysis is not null").select(*TABLE, "analysis.*")
+    known = tables.select(*TABLE, "ncols", heads.alias("heads"))
+    # a generator, not a filter, drops the tables without one: a filter would be pushed down and analyse twice
+    return known.select(*TABLE, F.inline(F.array_compact(F.array(_analysis()))))
 
 
 def nearest_role(anchors: Column, col: Column) -> Column:
