@@ -9,6 +9,7 @@ functions in the row.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -259,12 +260,13 @@ def annotate(df: DataFrame) -> DataFrame:
             "evergreen": any_phrase(t, EVERGREEN),
             "concept": dedup.concept(t),
             "bag": dedup.bag(t),
+            "action_id": action_id(t),
         }
     )
 
 
 def guardrail_hits(text: Column) -> Column:
-    return dedup.let(text, lambda t: any_phrase(t, FORBIDDEN))
+    return dedup.let(F.lower(text), lambda low: reduce(Column.__or__, (F.contains(low, F.lit(p)) for p in FORBIDDEN)))
 
 
 # --- actions --------------------------------------------------------------
@@ -315,16 +317,24 @@ def in_hindi(texts: DataFrame, catalog: DataFrame | None) -> DataFrame:
     return catalog_lookup(texts, catalog, "hi", own_text_hi(F.col("text"))).withColumnRenamed("translated", "text_hi")
 
 
+def _part(category: Column, evergreen: Column) -> Column:
+    """Number of the category among the lists; evergreen texts have their own numbers behind these."""
+    at = F.when(category == CATEGORIES[0], 0)
+    for i, c in enumerate(CATEGORIES[1:], 1):
+        at = at.when(category == c, i)
+    return F.when(evergreen, at + len(CATEGORIES)).when(~evergreen, at)
+
+
 def _entry(category: Column, block: Column, pos: Column) -> Column:
     """One action as every later step needs it; found once per text and not per district and context."""
     return F.struct(
         category.alias("category"), block.cast("int").alias("block"), pos.cast("long").alias("pos"), F.col("text"), F.col("text_hi"),
-        F.col("evergreen"), F.col("concept").cast("int").alias("concept"), F.col("bag"),
+        F.col("evergreen"), F.col("concept").cast("int").alias("concept"), F.col("bag"), F.col("action_id"), _part(category, F.col("evergreen")).alias("part"),
     )
 
 
 BAG = "struct<words:array<string>,marks:bigint>"
-ENTRY = f"struct<category:string,block:int,pos:bigint,text:string,text_hi:string,evergreen:boolean,concept:int,bag:{BAG}>"
+ENTRY = f"struct<category:string,block:int,pos:bigint,text:string,text_hi:string,evergreen:boolean,concept:int,bag:{BAG},action_id:string,part:int>"
 _NONE = f"array<{ENTRY}>"
 
 
@@ -362,12 +372,13 @@ def district_plans(plan: DataFrame, catalog: DataFrame | None = None, bags: bool
 
     ``plan`` has scenario, kind, pos, action and crop. Rows of the older flat list have
     kind ``flat``: they are told to farmers whatever their crop. ``bags=False`` leaves out
-    the word sets, which action rows do not show.
+    the word sets and ids, which action rows do not show.
     """
     p = plan.select("state", "district", "scenario", "kind", "pos", F.col("action").alias("text"), F.col("crop").alias("p_crop"))
-    p = annotate(in_hindi(p, catalog))
+    # dealt as short rows, so that all tasks look into the texts and a district's are gathered where they are
+    p = annotate(in_hindi(p.repartition("state", "district"), catalog))
     if not bags:
-        p = p.withColumn("bag", F.lit(None).cast(BAG))
+        p = p.withColumns({"bag": F.lit(None).cast(BAG), "action_id": F.lit(None).cast("string")})
     item = F.struct(
         (F.col("kind") != "flat").alias("later"), "pos", "scenario", "kind", "p_crop", "sowing", "harvest", "flowering",
         _entry(F.lit("do_now"), F.lit(4), F.col("pos")).alias("entry"),
@@ -386,7 +397,8 @@ def _plan_entries(scenario: Column) -> Column:
     def placed(p: Column) -> Column:
         named = F.coalesce(F.contains(F.lower(p["p_crop"]), F.lower("crop")), F.lit(False)) & (p["p_crop"] != "")
         now = (p["kind"] != "crop") | (F.coalesce("crop", F.lit("")) == "") | F.coalesce(named, F.lit(False))
-        return p["entry"].withField("category", F.when(now, "do_now").otherwise("prepare"))
+        category = F.when(now, "do_now").otherwise("prepare")
+        return dedup.let(category, lambda c: p["entry"].withField("category", c).withField("part", _part(c, p["entry"]["evergreen"])))
 
     return F.transform(F.filter(F.coalesce("plan", F.array()), asked), placed)
 
@@ -451,16 +463,20 @@ def baseline_entries(bags: bool = True) -> Column:
         (F.lit(True), "do_now", F.lit(BASE_MONITOR)),
     )
 
-    offered = (F.when(when, F.struct(F.lit(category).alias("category"), text.alias("text"))) for when, category, text in said)
-
-    def entry(e: Column, i: Column) -> Column:
-        text = e["text"]
+    def entry(category: str, text: Column) -> Column:
+        evergreen = any_phrase(text, EVERGREEN)
         return F.struct(
-            e["category"].alias("category"), F.lit(0).alias("block"), i.cast("long").alias("pos"), text.alias("text"), own_text_hi(text).alias("text_hi"),
-            any_phrase(text, EVERGREEN).alias("evergreen"), dedup.concept(text).cast("int").alias("concept"), (dedup.bag(text) if bags else F.lit(None)).alias("bag"),
+            F.lit(category).alias("category"), F.lit(0).alias("block"), F.lit(0).cast("long").alias("pos"), text.alias("text"), own_text_hi(text).alias("text_hi"),
+            evergreen.alias("evergreen"), dedup.concept(text).cast("int").alias("concept"), (dedup.bag(text) if bags else F.lit(None)).alias("bag"),
+            (action_id(text) if bags else F.lit(None)).alias("action_id"), _part(F.lit(category), evergreen).alias("part"),
         ).cast(ENTRY)
 
-    return F.transform(F.array_compact(F.array(*offered)), entry)
+    def told(category: str, text: Column) -> Column:
+        # what is found of a fixed text is a fixed value, but for its words
+        return dedup.let(text, lambda t: entry(category, t)) if text is deficit else entry(category, text)
+
+    offered = (F.when(when, told(category, text)) for when, category, text in said)
+    return F.transform(F.array_compact(F.array(*offered)), lambda e, i: e.withField("pos", i.cast("long")))
 
 
 def baseline_actions(ctx: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -472,12 +488,14 @@ def baseline_actions(ctx: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def category_list(entries: Column, category: str) -> Column:
     """The entries of a list in order; evergreen ones of all lists make up general guidance."""
-    def of(c: str, evergreen: bool) -> Column:
-        return F.filter(entries, lambda e: (e["category"] == c) & (e["evergreen"] == evergreen))
+    def of(part: int) -> Column:
+        return F.filter(entries, lambda e: e["part"] == part)
 
+    n = len(CATEGORIES)
     if category != "general_guidance":
-        return of(category, False)
-    return F.concat(*(of(c, True) for c in CATEGORIES), of(category, False))
+        return of(CATEGORIES.index(category))
+    evergreen = F.concat(*(of(n + i) for i in range(n)), of(n - 1))
+    return F.when(F.exists(entries, lambda e: e["part"] >= n), evergreen).otherwise(of(n - 1))
 
 
 def settled_list(entries: Column) -> Column:
@@ -485,6 +503,18 @@ def settled_list(entries: Column) -> Column:
     return dedup.fold_overlaps(dedup.longest_of_concepts(dedup.first_of_texts(entries)))
 
 
+def settled_records(entries: Column) -> Column:
+    """:func:`action_records` of :func:`settled_list`, with the ids that the entries hold."""
+    def record(e: Column) -> Column:
+        return F.struct(e["action_id"].alias("action_id"), e["text"].alias("text_en"), e["text_hi"].alias("text_hi"), F.lit("action_pipeline").alias("source"))
+
+    def settled(all_: Column) -> Column:
+        kept = dedup.let(dedup.longest_of_concepts(all_), lambda own: F.transform(dedup.folded_places(own), lambda i: record(F.get(own, i))))
+        return F.when(F.size(all_) < 2, F.transform(all_, record)).otherwise(kept)
+
+    return dedup.let(dedup.first_of_texts(entries), settled)
+
+
 def separate_evergreen(actions: DataFrame) -> DataFrame:
     """Move evergreen advice to general guidance, keeping the order of the source lists."""
     origin = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category")).cast("int")
@@ -524,8 +554,8 @@ def capped(rows: DataFrame) -> DataFrame:
         )
 
     others = [c for c in rows.columns if c not in CATEGORIES]
-    done = rows.select(*others, dedup.let(F.struct(*CATEGORIES), settled).alias("_lists"))
-    return done.select(*others, *(F.col(f"_lists.{c}").alias(c) for c in CATEGORIES))
+    # a generator, not a projection: what is asked of a list later would be pushed down and make all lists anew for each question
+    return rows.select(*others, F.inline(F.array(dedup.let(F.struct(*CATEGORIES), settled))))
 
 
 def assemble(rows: DataFrame, entries: str = "entries") -> DataFrame:
@@ -534,7 +564,7 @@ def assemble(rows: DataFrame, entries: str = "entries") -> DataFrame:
     Everything happens in the row: no shuffle, no Python.
     """
     def lists(all_: Column) -> Column:
-        settled = F.transform(F.array(*(category_list(all_, c) for c in CATEGORIES)), lambda items: action_records(settled_list(items)))
+        settled = F.transform(F.array(*(category_list(all_, c) for c in CATEGORIES)), settled_records)
         return dedup.let(settled, lambda found: F.struct(*(F.get(found, F.lit(k)).alias(c) for k, c in enumerate(CATEGORIES))))
 
     listed = rows.withColumn("_lists", dedup.let(F.col(entries), lists)).drop(entries)

@@ -21,6 +21,10 @@ CONCEPTS = (
 )
 
 
+#: Half the size of a bag that no other one reaches.
+NO_OVERLAP = 1 << 30
+
+
 def concept(text: Column) -> Column:
     """Index of the first phrase group the text hits, else null."""
     expr = None
@@ -65,20 +69,14 @@ def bag(text: Column) -> Column:
     )
 
 
-def _share_words(a: Column, b: Column) -> Column:
-    """Whether two bags have half of the smaller one in common.
-
-    Common words set common marks, and no more words share a mark than a bag has words
-    beyond its marks; that rules most pairs out before words are compared.
-    """
-    least = F.least(F.size(a["words"]), F.size(b["words"]))
-    at_most = F.bit_count(a["marks"].bitwiseAND(b["marks"])) + F.size(a["words"]) - F.bit_count(a["marks"])
-    return (F.size(a["words"]) > 0) & (2 * at_most >= least) & (2 * F.size(F.array_intersect(a["words"], b["words"])) >= least)
-
-
 def first_of_texts(items: Column) -> Column:
     """Items of a list whose text did not stand before."""
-    return let(items, lambda all_: let(F.transform(all_, lambda x: x["text"]), lambda texts: F.filter(all_, lambda x, i: F.array_position(texts, x["text"]) == i + 1)))
+    def kept(all_: Column, texts: Column) -> Column:
+        # most lists repeat nothing, which a set of their texts tells
+        plain = F.size(F.array_distinct(F.array_compact(texts))) == F.size(all_)
+        return F.when(plain, all_).otherwise(F.filter(all_, lambda x, i: F.array_position(texts, x["text"]) == i + 1))
+
+    return let(items, lambda all_: let(F.transform(all_, lambda x: x["text"]), lambda texts: kept(all_, texts)))
 
 
 def longest_of_concepts(items: Column) -> Column:
@@ -91,11 +89,55 @@ def longest_of_concepts(items: Column) -> Column:
         picked = F.transform(
             all_, lambda x, i: F.when(x["concept"].isNull(), x).when(F.array_position(concepts, x["concept"]) == i + 1, best(all_, x["concept"]))
         )
-        return F.filter(picked, lambda x: x.isNotNull())
+        known = F.array_remove(concepts, -1)
+        return F.when(F.size(F.array_distinct(known)) == F.size(known), all_).otherwise(F.filter(picked, lambda x: x.isNotNull()))
 
     return let(items, lambda all_: let(F.transform(all_, lambda x: F.coalesce(x["concept"], F.lit(-1))), lambda concepts: kept(all_, concepts)))
 
 
+def folded_places(items: Column) -> Column:
+    """Places, from 0, of the items that the pass of :func:`fold_overlaps` keeps, in its order.
+
+    The pass carries places alone, and what pairs are ruled out by is measured once an item.
+    Common words set common marks, and no more words share a mark than a bag has words beyond
+    its marks: a pair without half of the smaller bag in marks is not compared by words.
+    """
+    def measures(all_: Column) -> Column:
+        n = F.transform(all_, lambda x: F.size(x["bag"]["words"]))
+        # a bag without words overlaps with none
+        half = F.transform(n, lambda k: F.when(k == 0, NO_OVERLAP).otherwise(F.shiftright(k + 1, 1)))
+        marks = F.transform(all_, lambda x: x["bag"]["marks"])
+        spare = F.transform(all_, lambda x: F.size(x["bag"]["words"]) - F.bit_count(x["bag"]["marks"]))
+        length = F.transform(all_, lambda x: F.length(x["text"]))
+        return F.struct(half.alias("half"), marks.alias("marks"), spare.alias("spare"), length.alias("length"))
+
+    def over(all_: Column, m: Column) -> Column:
+        def words(i: Column) -> Column:
+            return F.get(all_, i)["bag"]["words"]
+
+        def step(kept: Column, i: Column) -> Column:
+            def may(k: Column) -> Column:
+                common = F.bit_count(F.get(m["marks"], k).bitwiseAND(F.get(m["marks"], i))) + F.get(m["spare"], k)
+                return common >= F.least(F.get(m["half"], k), F.get(m["half"], i))
+
+            def shares(k: Column) -> Column:
+                return F.size(F.array_intersect(words(k), words(i))) >= F.least(F.get(m["half"], k), F.get(m["half"], i))
+
+            def placed(near: Column) -> Column:
+                longer = F.get(m["length"], i) > F.get(m["length"], near)
+                return (
+                    F.when(near.isNull(), F.array_append(kept, i))
+                    .when(longer, F.transform(kept, lambda k: F.when(k == near, i).otherwise(k)))
+                    .otherwise(kept)
+                )
+
+            return let(F.get(F.filter(F.filter(kept, may), shares), F.lit(0)), placed)
+
+        return F.aggregate(F.transform(all_, lambda x, i: i), F.array().cast("array<int>"), step)
+
+    return let(items, lambda all_: let(measures(all_), lambda m: over(all_, m)))
+
+
 def fold_overlaps(items: Column) -> Column:
     """Greedy pass over an ordered list of items with ``text`` and ``bag``.
 
@@ -104,22 +146,7 @@ def fold_overlaps(items: Column) -> Column:
     and its words count from then on. Every decision depends on the ones before it, so
     the pass is an aggregate over one row's own list.
     """
-    def step(kept: Column, x: Column) -> Column:
-        near = F.when(F.size(x["bag"]["words"]) == 0, F.lit(0).cast("long")).otherwise(
-            F.array_position(F.transform(kept, lambda k: _share_words(k["bag"], x["bag"])), F.lit(True))
-        )
-
-        def placed(at: Column) -> Column:
-            longer = F.length(x["text"]) > F.length(F.get(kept, (at - 1).cast("int"))["text"])
-            return (
-                F.when(at == 0, F.array_append(kept, x))
-                .when(longer, F.transform(kept, lambda k, i: F.when(i + 1 == at, x).otherwise(k)))
-                .otherwise(kept)
-            )
-
-        return let(near, placed)
-
-    return let(items, lambda all_: F.aggregate(all_, F.filter(all_, lambda x: F.lit(False)), step))
+    return let(items, lambda all_: F.transform(folded_places(all_), lambda i: F.get(all_, i)))
 
 
 def overlap_fold(texts: Column) -> Column:

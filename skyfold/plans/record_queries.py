@@ -617,8 +617,9 @@ def by_number(rows):
     return rows.select(*(c for c in rows.columns if c not in ("state", "district", "ks")), F.inline("ks"))
 
 
-def all_actions(spark, sf, records, keep=()):
+def all_actions(spark, sf, records=None, keep=()):
     """Action rows of all records; plans meet the records before the contexts multiply them."""
+    records = v.records(spark, sf) if records is None else records
     planned = records.join(advisory.district_plans(plan_rows(spark, sf), bags=False), ["state", "district"], "left")
     ctx = advisory.prepare_contexts(planned, CONTEXTS)
     return advisory.scenario_actions(ctx, CONTEXTS, v.action_library(spark, sf), v.community_library(spark, sf), keep=keep)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyfold.functions import text
-from skyfold.operators import extract, raster
+from skyfold.operators import advisory, extract, raster
 from skyfold.plans import extract_queries, record_queries
 from skyfold.plans import views as v
 from skyfold.plans.catalog import QUERIES
@@ -85,3 +85,21 @@ def test_plan_cells_come_from_one_scan(spark, tmp_path):
     assert "Union" not in plan(cells)
     rows = cells.groupBy("doc_id", "page", "row").count().collect()
     assert sorted((str(r["doc_id"]), r["page"], r["row"], r["count"]) for r in rows) == [("1", 0, 0, 6), ("1", 0, 1, 6), ("1", 0, 2, 6), ("2", 0, 0, 6), ("None", 0, 0, 6), ("None", 0, 1, 6)]
+
+
+@pytest.mark.parametrize("key", ["pf25_guardrail_phrases", "ad7_action_records"])
+def test_lists_are_made_once_whatever_is_asked_of_them(spark, sf, key):
+    assert plan(QUERIES[key](spark, sf)).count("array_intersect(") == 1
+
+
+def test_settled_records_are_the_records_of_settled_lists(spark):
+    rng = random.Random(7)
+    words = ("use", "water", "judiciously", "conserve", "delay", "fertilizer", "short-duration", "crop", "re-sowing", "if", "plant", "stand", "x", "mulch", "drains", "seed")
+    lists = [[None if rng.random() < 0.05 else " ".join(rng.choices(words, k=rng.randint(0, 5))) for _ in range(rng.randint(0, 12))] for _ in range(150)]
+    df = spark.createDataFrame([(i, k, t) for i, ts in enumerate(lists) for k, t in enumerate(ts)], "i int, k int, text string")
+    known = advisory.annotate(df).withColumn("text_hi", F.upper("text"))
+    item = F.struct("k", "text", "text_hi", "concept", "bag", "action_id")
+    held = known.groupBy("i").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    for r in held.select("items", advisory.settled_records(F.col("items")).alias("a"), advisory.action_records(advisory.settled_list(F.col("items"))).alias("b")).collect():
+        assert r["a"] == r["b"]
+        assert {a["text_en"] for a in r["a"]} <= {x["text"] for x in r["items"] if x["text"] is not None}
