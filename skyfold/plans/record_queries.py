@@ -852,8 +852,11 @@ def said(c, language="en"):
 
 
 def told_rows(spark, sf):
-    """Every district and context with the entries of its fired scenarios."""
-    rows = advisory.with_entries(ctx_records(spark, sf), CONTEXTS, v.action_library(spark, sf), v.community_library(spark, sf), plan_rows(spark, sf), hindi_catalog(spark, sf))
+    """Every district and context with the entries of its fired scenarios; plans meet the records before the contexts multiply them."""
+    catalog = hindi_catalog(spark, sf)
+    planned = v.records(spark, sf).join(advisory.district_plans(plan_rows(spark, sf), catalog), ["state", "district"], "left")
+    ctx = advisory.prepare_contexts(planned, CONTEXTS)
+    rows = advisory.with_entries(ctx, CONTEXTS, v.action_library(spark, sf), v.community_library(spark, sf), catalog=catalog)
     return rows.withColumn("entries", F.flatten("entries")).select(*advisory.RECORD_KEY, "entries")
 
 

@@ -92,6 +92,12 @@ def test_lists_are_made_once_whatever_is_asked_of_them(spark, sf, key):
     assert plan(QUERIES[key](spark, sf)).count("array_intersect(") == 1
 
 
+def test_plans_meet_records_before_contexts_multiply_them(spark, sf):
+    shown = plan(record_queries.told_rows(spark, sf))
+    assert shown.index("Generate inline") < shown.index("Join LeftOuter")
+    assert "RepartitionByExpression [state" in plan(advisory.district_plans(record_queries.plan_rows(spark, sf)))
+
+
 def test_settled_records_are_the_records_of_settled_lists(spark):
     rng = random.Random(7)
     words = ("use", "water", "judiciously", "conserve", "delay", "fertilizer", "short-duration", "crop", "re-sowing", "if", "plant", "stand", "x", "mulch", "drains", "seed")
