@@ -109,3 +109,26 @@ def test_settled_records_are_the_records_of_settled_lists(spark):
     for r in held.select("items", advisory.settled_records(F.col("items")).alias("a"), advisory.action_records(advisory.settled_list(F.col("items"))).alias("b")).collect():
         assert r["a"] == r["b"]
         assert {a["text_en"] for a in r["a"]} <= {x["text"] for x in r["items"] if x["text"] is not None}
+
+
+def test_texts_of_a_harvest_are_squeezed_once(spark):
+    words = ("Condition", "Change in crop / cropping system", "Agronomic measures", "Terminal drought", "• Sow early  1. Mulch ii) Weed", "as above", "NA")
+    cells = spark.createDataFrame([(1, 0, 0, r, c, words[(r * 3 + c) % 7 if r else c]) for r in range(6) for c in range(3)], "doc_id long, page int, table int, row int, col int, text string")
+    found = extract.harvest(cells)
+    assert "regexp_replace" not in plan(found) and found.count() > 2
+
+
+def test_header_scan_joins_labels_once(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 0, 0, "x")], "doc_id long, page int, table int, row int, col int, text string")
+    assert plan(extract.analyzed(extract.table_rows(cells))).count("array_join(") < 6
+
+
+def test_squeezing_and_cutting_by_plain_patterns(spark):
+    rng = random.Random(11)
+    signs = [" ", "  ", "\t", "\n", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "\x7f", "a", "Zb", "é", "日", "😀", "•", "·", "⁃", "1.", "ii)", "v. ", "iv.A", "12) b", "."]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    plain = F.trim(F.regexp_replace(F.coalesce("t", F.lit("")), text.WHITESPACE, " "))
+    both = df.select("t", text.squeeze(F.col("t")).alias("a"), plain.alias("b")).select("*", extract._pieces(F.col("b")).alias("c"), F.split("b", extract.BREAK).alias("d"))
+    for r in both.collect():
+        assert r["a"] == r["b"] and r["c"] == r["d"], r
