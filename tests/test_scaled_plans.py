@@ -132,3 +132,5 @@ def test_squeezing_and_cutting_by_plain_patterns(spark):
     both = df.select("t", text.squeeze(F.col("t")).alias("a"), plain.alias("b")).select("*", extract._pieces(F.col("b")).alias("c"), F.split("b", extract.BREAK).alias("d"))
     for r in both.collect():
         assert r["a"] == r["b"] and r["c"] == r["d"], r
+    label = df.select(extract.is_header_label(F.concat(F.lit(" Crop\t management"), "t")).alias("x"), extract.is_label(text.squeeze_lower(F.concat(F.lit(" Crop\t management"), "t"))).alias("y"))
+    assert all(r["x"] == r["y"] for r in label.collect())
